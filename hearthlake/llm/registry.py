@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import exact_dedup, simhash
+from hearthlake.llm import chat, exact_dedup, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The conversation that the chat query adds: both of its turns hold nothing but control strings.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    content = turns.unionByName(extra).select("conv_id", "turn", "role", chat.parts_of_text("text").alias("content"))
+    return chat.read_back(chat.format_turns(content))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.balanced_shards(table(spark, sf_dir, "documents"), shards=8)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -23,11 +39,25 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_chat_format": op3_chat_format,
+    "op4_sharding": op4_sharding,
     "op5_simhash": op5_simhash,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
 ORACLES = {
+    "op3_chat_format": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        escaped AS (
+            SELECT *, regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|/?TURN[ >]|\|(?:image|audio|document):)', '\1\\\2\3', 'g') AS body FROM turns)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+               sum(length(body) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 14 + length(url_encode(role)) END)::BIGINT AS formatted_chars
+        FROM escaped GROUP BY conv_id""",
     "op8_exact_dedup": r"""
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
