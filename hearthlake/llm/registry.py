@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import chat, exact_dedup, sharding, simhash
+from hearthlake.llm import chat, contamination, exact_dedup, pieces, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    decoded = pieces.decode_ids(encoded)
+    return decoded.select(
+        "doc_id", F.size(F.coalesce("token_ids", F.array().cast("array<int>"))).alias("n_pieces"), F.xxhash64("token_ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
+    )
+
+
 #: The conversation that the chat query adds: both of its turns hold nothing but control strings.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -38,11 +46,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op3_chat_format": op3_chat_format,
     "op4_sharding": op4_sharding,
     "op5_simhash": op5_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_contamination": op9_contamination,
 }
 
 ORACLES = {
