@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import chat, contamination, exact_dedup, pieces, sharding, simhash
+from hearthlake.llm import chat, contamination, exact_dedup, line_dedup, pieces, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return found.select("doc_id", "chunks", "removed", "removed_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_chat_format": op3_chat_format,
@@ -57,6 +62,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_contamination": op9_contamination,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
