@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.shared import Scratch
+from hearthlake.llm.shared import Scratch, received, sent, without
 
 #: Errors allowed for each character of a test item.
 ERROR_RATE = 0.08
@@ -56,7 +56,7 @@ def best_match(pattern_bits: dict[str, int], length: int, text: str) -> tuple[in
 
 
 class Matcher:
-    """Test items of one block; the automaton is built once in each worker, from the broadcast items."""
+    """Test items of one block; the automaton is built once in each task, from the broadcast items."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items = [(item, text, int(rate * len(text))) for item, text in items if text]
@@ -128,13 +128,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     found = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        matcher = spark.sparkContext.broadcast(Matcher([(r["item_id"], normalised(r["text"])) for r in part.collect()], rate))
+        matcher = sent(spark, Matcher([(r["item_id"], normalised(r["text"])) for r in part.collect()], rate))
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
+            block_matcher = received(matcher)
             for batch in batches:
                 at, item, distance, end = [], [], [], []
                 for i, text in enumerate(batch.column(1)):
-                    for k, d, e in matcher.value.matches(normalised(text.as_py())):
+                    for k, d, e in block_matcher.matches(normalised(text.as_py())):
                         at.append(i), item.append(k), distance.append(d), end.append(e)
                 ids = batch.column(0).take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), pa.array(distance, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "distance", "end_char"])
@@ -147,4 +148,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, all columns, whose identifier has no leak; rows without an identifier stay."""
     leaks = find_leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(Scratch(docs.sparkSession, "leaks").keep(leaks, "ids"), id_col, "left_anti").select(*docs.columns)
+    return without(docs, Scratch(docs.sparkSession, "leaks").keep(leaks, "ids"), id_col)

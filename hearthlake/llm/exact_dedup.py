@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.shared import Scratch
+from hearthlake.llm.shared import Scratch, key_filter, passing
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
-#: Bits of a hit filter: 16 for each repeated digest, between these bounds, so that at most 32 MB are broadcast.
-LEAST_BITS, MOST_BITS, BITS_PER_PAGE = 1 << 18, 1 << 28, 1 << 15
 
 
 def normalised(text: Column) -> Column:
@@ -51,26 +49,6 @@ class DigestIndex:
         return self.scratch.keep(merged.sortWithinPartitions("digest"), f"level/{self.runs}", **self.options)
 
 
-def hit_filter(hits: DataFrame) -> tuple[DataFrame, int]:
-    """A bitmap over the hashes of the digests in hits, in pages of 4 KB, and its number of bits; at most 32 MB."""
-    bits = LEAST_BITS
-    wanted = min(MOST_BITS, 16 * hits.count())
-    while bits < wanted:
-        bits *= 2
-    place = F.pmod(F.xxhash64("digest"), F.lit(bits))
-    pages = hits.select((place / BITS_PER_PAGE).cast("long").alias("page"), (place % BITS_PER_PAGE).alias("bit"))
-    return pages.groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")), bits
-
-
-def passing(rows: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
-    """The rows whose digest may be in the filter; the filter is broadcast, its size is bounded by MOST_BITS."""
-    place = F.pmod(F.xxhash64("digest"), F.lit(bits))
-    marked = rows.withColumn("page", (place / BITS_PER_PAGE).cast("long")).join(F.broadcast(bitmap), "page")
-    bit = place % BITS_PER_PAGE
-    byte = F.conv(F.hex(F.substring("bitmap", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return marked.where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("page", "bitmap")
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, digest.
 
@@ -86,11 +64,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = DigestIndex(scratch, digest)
     index.flush(docs, id_col, text_col)
     hits = index.compact().where("n > 1").select("digest")
-    bitmap, bits = hit_filter(hits)
+    bitmap, bits = key_filter(hits, "digest")
 
     text = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", digest(F.col("norm")))
     verified = scratch.keep(
-        passing(text, bitmap, bits).groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("norm"), "verified"
+        passing(text, "digest", bitmap, bits).groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("norm"), "verified"
     )
     clashing = scratch.keep(verified.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "clashing")
     entries, apart = index.entries(), None

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthlake.llm.shared import received, sent
+
 #: Learned from at most this many documents, and at most this many words of each, spread evenly over the text.
 SAMPLE, WORDS = 2000, 64
 HIDDEN, STEPS, BATCH, RATE, SEED = 16, 350, 768, 0.01, 11
@@ -198,10 +200,10 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     score is the mean probability of the language over all positions. Texts that are null or have no
     letter, and all texts where nothing was learned, are `und` with score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    shared = sent(docs.sparkSession, network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value) if shared.value else None
+        reader = Reader(network) if (network := received(shared)) else None
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

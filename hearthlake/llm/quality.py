@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthlake.llm.shared import received, sent
+
 #: Bytes of a passage; the last one of a text may be longer by half or shorter.
 PASSAGE = 480
 #: The model is fitted on at most this many labelled documents, and on at most BAG passages of each, spread evenly over the text.
@@ -165,10 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "q
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score of every row of docs: the whole text, every passage. 0.5 without a model; null texts score as empty ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
+        fitted = received(shared)
         for batch in batches:
             scores = [fitted.scores([passages(t.as_py()) for t in batch.column(1)[at : at + 64]]) if fitted else np.full(len(batch.column(1)[at : at + 64]), 0.5) for at in range(0, batch.num_rows, 64)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "score"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import chat, contamination, exact_dedup, language, line_dedup, pieces, quality, sharding, simhash
+from hearthlake.llm import chat, contamination, exact_dedup, language, line_dedup, pieces, quality, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out(0, 5))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out(0, 5).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "any_term")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out(1, 3))
@@ -78,6 +85,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_sharding": op4_sharding,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_contamination": op9_contamination,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def sent(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of any object of this package; classes go along by value."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast: Broadcast):
+    """The object of sent(), inside a task."""
+    return cloudpickle.loads(broadcast.value)
+
+
 class Scratch:
     """Tables of one operator run, each written once and read back with its true size known to the planner."""
 
@@ -62,3 +73,44 @@ def global_rank(df: DataFrame, keys: list, scratch: Scratch, table: str, rank: s
         .withColumn(rank, F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_part", "_start", "_place")
     )
+
+
+#: Bits of a filter: 16 for each key, between these bounds, so that at most 32 MB are broadcast.
+LEAST_BITS, MOST_BITS, PAGE_BITS = 1 << 18, 1 << 28, 1 << 15
+
+
+def key_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """A bitmap over the hashes of a column, in pages of 4 KB (page, bitmap), and its number of bits; at most 32 MB."""
+    bits, wanted = LEAST_BITS, min(MOST_BITS, 16 * keys.count())
+    while bits < wanted:
+        bits *= 2
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    pages = keys.select((place / PAGE_BITS).cast("long").alias("page"), (place % PAGE_BITS).alias("bit"))
+    return pages.groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")), bits
+
+
+def maybe_in(rows: DataFrame, key: str, bitmap: DataFrame, bits: int) -> DataFrame:
+    """rows with `_maybe`: false where the key is certainly not in the filter. The bitmap is broadcast, bounded by MOST_BITS."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    pages = bitmap.withColumnsRenamed({"page": "_page", "bitmap": "_bitmap"})
+    paged = rows.withColumn("_page", (place / PAGE_BITS).cast("long")).join(F.broadcast(pages), "_page", "left")
+    bit = place % PAGE_BITS
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return paged.select(*rows.columns, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)).alias("_maybe"))
+
+
+def passing(rows: DataFrame, key: str, bitmap: DataFrame, bits: int) -> DataFrame:
+    """The rows whose key may be in the filter."""
+    return maybe_in(rows, key, bitmap, bits).where("_maybe").drop("_maybe")
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows, all columns, whose key is not in ids; rows with a null key stay.
+
+    Rows outside a bounded filter over ids stay where they are; only those that the filter lets
+    through are shuffled to be told apart exactly.
+    """
+    marked = maybe_in(rows, key, *key_filter(ids, key))
+    outside = marked.where(~F.col("_maybe")).select(*rows.columns)
+    apart = marked.where("_maybe").select(*rows.columns).join(ids.select(key).hint("merge"), key, "left_anti")
+    return outside.unionByName(apart.select(*rows.columns))

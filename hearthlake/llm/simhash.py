@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake.llm.components import components
-from hearthlake.llm.shared import Scratch
+from hearthlake.llm.shared import Scratch, without
 
 BITS, SEED = 64, 42
 #: Members of one bucket up to which its pairs are compared directly; larger buckets are linked exactly through flipped keys.
@@ -131,4 +131,4 @@ def one_of_each_group(docs: DataFrame, width: int = 5, radius: int = 4, id_col:
     """
     groups = near_groups(docs, width, radius, id_col, text_col)
     dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(Scratch(docs.sparkSession, "simhash-dropped").keep(dropped, "ids"), id_col, "left_anti").select(*docs.columns)
+    return without(docs, Scratch(docs.sparkSession, "simhash-dropped").keep(dropped, "ids"), id_col)
