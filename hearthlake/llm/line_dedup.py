@@ -9,8 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.exact_dedup import hit_filter, passing
-from hearthlake.llm.shared import Scratch
+from hearthlake.llm.shared import Scratch, key_filter, maybe_in, passing
 
 #: A chunk ends where the rolling hash over the last WINDOW line hashes is 0 modulo SPACING ...
 WINDOW, SPACING = 2, 2
@@ -85,8 +84,8 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch, digest=digest) -> DataFra
     """
     marks = scratch.keep(chunk_table(docs, False, digest), "marks")
     hits = scratch.keep(marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "hits")
-    bitmap, bits = hit_filter(hits)
-    rows = passing(chunk_table(docs, True, digest), bitmap, bits)
+    bitmap, bits = key_filter(hits, "digest")
+    rows = passing(chunk_table(docs, True, digest), "digest", bitmap, bits)
     verified = scratch.keep(rows.groupBy("digest", "body").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("n")).select("digest", "first", "n"), "verified")
     clashing = scratch.keep(verified.groupBy("digest").agg(F.count("*").alias("bodies")).where("bodies > 1").select("digest"), "clashing")
     firsts = scratch.keep(verified.where("n > 1").join(clashing, "digest", "left_anti").select("digest", "first"), "firsts")
@@ -110,7 +109,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "line-dedup")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     drop = repeated_chunks(rows, scratch, digest).withColumnsRenamed({"doc_id": id_col, "drop": "_drop"})
-    joined = docs.join(drop, id_col, "left").select(*docs.columns, "_drop")
+    # Only documents that may lose a chunk are shuffled; the others stay where they are.
+    marked = maybe_in(docs, id_col, *key_filter(drop, id_col))
+    outside = marked.where(~F.col("_maybe")).select(*docs.columns, F.lit(None).cast("array<int>").alias("_drop"))
+    joined = outside.unionByName(marked.where("_maybe").join(drop.hint("merge"), id_col, "left").select(*docs.columns, "_drop"))
     at = docs.columns.index(text_col)
     names = [*docs.columns, *(["chunks", "removed", "removed_chars"] if report else [])]
 
