@@ -1,7 +1,59 @@
 """A corpus pipeline of five of the library's operators; each stage reads what the one before it wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hearthlake.llm import contamination, line_dedup, pieces, quality, simhash
+from hearthlake.llm.registry import held_out, table
+from hearthlake.llm.shared import Scratch, without
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels outside fold 1 of 3, gives 0.5 or more."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out(1, 3))
+    rejected = quality.score(docs, model).where("score < 0.5").select("doc_id").distinct()
+    return without(docs, Scratch(spark, "rejected").keep(rejected, "ids"), "doc_id")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the line chunks that earlier documents already have, and their new lengths."""
+    return line_dedup.without_repeats(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, by five-word SimHash."""
+    return simhash.one_of_each_group(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return contamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids, their number, and the text that the ids decode to."""
+    decoded = pieces.decode_ids(pieces.encode_texts(docs), out_col="text")
+    return decoded.selectExpr("*", "coalesce(size(token_ids), 0) AS n_tokens")
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", cut_repeats),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("SentencePiece encoding and decoding", tokenise),
+]
+
+#: The quality model and the Viterbi search have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all stages over the documents of sf_dir."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{k}")
+    return docs
