@@ -9,15 +9,18 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from hearthlake.llm.shared import received, sent
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: What an unknown character costs beyond the worst piece (a fixed value of the format).
 UNKNOWN_PENALTY = 10.0
-#: Segments whose encoding a task remembers; when full, the memory is emptied and starts anew.
+#: Segments whose encoding a task remembers; when full, those of the fill before are forgotten.
 REMEMBERED = 200_000
 #: Rows handed back at a time: texts, ids and decoded texts of a few hundred rows are in memory, never a partition.
 ROWS = 256
@@ -51,6 +54,7 @@ class Encoder(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
+        self.before: dict[str, bytes] = {}
         self.vocabulary = vocabulary
         self.automaton = ahocorasick.Automaton()
         for i in vocabulary.plain:
@@ -64,8 +68,9 @@ class Encoder(dict):
 
     def __missing__(self, segment: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.before = dict(self)
             self.clear()
-        packed = self[segment] = array("i", self.viterbi(segment)).tobytes()
+        packed = self[segment] = self.before.get(segment) or array("i", self.viterbi(segment)).tobytes()
         return packed
 
     def viterbi(self, text: str) -> list[int]:
@@ -77,29 +82,30 @@ class Encoder(dict):
         """
         n = len(text)
         best, back = [0.0] + [float("-inf")] * n, [(0, -1)] * (n + 1)
+        strange = None if self.single.issuperset(text) else [c not in self.single for c in text]
         settled = 0
-
-        def unknowns(upto: int) -> None:
-            """Lets characters before upto that are no piece themselves stand as unknown."""
-            nonlocal settled
-            while settled < upto:
-                if text[settled] not in self.single and best[settled] + self.unknown_score > best[settled + 1]:
-                    best[settled + 1], back[settled + 1] = best[settled] + self.unknown_score, (settled, -1)
-                settled += 1
-
         for last, (length, score, i) in self.automaton.iter(text):
-            unknowns(last)
-            end, start = last + 1, last + 1 - length
-            if best[start] + score > best[end]:
-                best[end], back[end] = best[start] + score, (start, i)
-        unknowns(n)
+            if strange:
+                self.unknowns(strange, settled, last, best, back)
+                settled = last
+            total = best[last + 1 - length] + score
+            if total > best[last + 1]:
+                best[last + 1], back[last + 1] = total, (length, i)
+        if strange:
+            self.unknowns(strange, settled, n, best, back)
         ids: list[int] = []
         while n:
-            start, i = back[n]
-            ids += [i] if i >= 0 else self.unknown_ids(text[start:n])
-            n = start
+            length, i = back[n]
+            ids += [i] if i >= 0 else self.unknown_ids(text[n - length : n])
+            n -= length
         return ids[::-1]
 
+    def unknowns(self, strange: list[bool], begin: int, end: int, best: list[float], back: list[tuple[int, int]]) -> None:
+        """Lets the characters from begin to end that are no piece themselves stand as unknown."""
+        for at in range(begin, end):
+            if strange[at] and best[at] + self.unknown_score > best[at + 1]:
+                best[at + 1], back[at + 1] = best[at] + self.unknown_score, (1, -1)
+
     def unknown_ids(self, character: str) -> list[int]:
         """An unknown character as its bytes, last first; as the unknown id where the model has no bytes."""
         table = self.vocabulary.bytes_at
@@ -141,11 +147,11 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "token_
     """
     carried = [c for c in docs.columns if c != ids_col]
     frame = docs.select(*carried)
-    vocabulary = frame.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    vocabulary = sent(frame.sparkSession, Vocabulary(path))
     at = carried.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder = Encoder(received(vocabulary))
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
@@ -159,14 +165,19 @@ def decode_ids(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "d
     """encoded with the text that each list of ids stands for; null for null. Replaces a column named like out_col."""
     carried = [c for c in encoded.columns if c != out_col]
     frame = encoded.select(*carried)
-    vocabulary = frame.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    vocabulary = sent(frame.sparkSession, Vocabulary(path))
     at = carried.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = received(vocabulary)
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                texts = [None if ids is None else decode(vocabulary.value, ids) for ids in batch.column(at).to_pylist()]
+                lists = batch.column(at)
+                ids = lists.flatten().to_pylist() if lists.flatten().null_count else lists.flatten().to_numpy().tolist()
+                sizes = pc.list_value_length(lists).to_pylist()
+                ends = np.cumsum([n or 0 for n in sizes]).tolist()
+                texts = [None if n is None else decode(known, ids[end - n : end]) for n, end in zip(sizes, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*carried, out_col])
 
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(out_col, T.StringType())]))
