@@ -1,4 +1,8 @@
 """Every query of the listing engine by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from hearthlake.plans import listing_queries
+
+QUERIES: dict = {**listing_queries.QUERIES}
+ORACLES: dict[str, str] = {**listing_queries.ORACLES}
