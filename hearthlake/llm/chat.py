@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthlake.llm.shared import mapped
+
 #: A turn's content: parts of type text (text set) or image, audio, document (uri and size set).
 PARTS = "array<struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>>"
 SEGMENT = "n long, role string, formatted string, plain string, loss_start long, loss_end long, attachments array<string>, attachment_tokens long"
@@ -124,7 +126,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, SEGMENT_TYPES)
 
     ordered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "content").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "content")
-    return ordered.drop("turn").mapInArrow(run, f"conv_id long, {SEGMENT}")
+    return mapped(ordered.drop("turn"), run, f"conv_id long, {SEGMENT}")
 
 
 def read_back(segments: DataFrame) -> DataFrame:
@@ -161,4 +163,4 @@ def read_back(segments: DataFrame) -> DataFrame:
         yield frame(closed())
 
     columns = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return segments.select("conv_id", "n", "formatted", "loss_start", "loss_end").mapInArrow(run, columns)
+    return mapped(segments.select("conv_id", "n", "formatted", "loss_start", "loss_end"), run, columns)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.shared import Scratch, received, sent, without
+from hearthlake.llm.shared import Scratch, mapped, received, sent, without
 
 #: Errors allowed for each character of a test item.
 ERROR_RATE = 0.08
@@ -140,7 +140,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
                 ids = batch.column(0).take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), pa.array(distance, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "distance", "end_char"])
 
-        leaks = rows.mapInArrow(run, f"doc_id {kind}, item_id long, distance long, end_char long")
+        leaks = mapped(rows, run, f"doc_id {kind}, item_id long, distance long, end_char long")
         found = leaks if found is None else found.unionByName(leaks)
     return found
 

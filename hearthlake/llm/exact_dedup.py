@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.shared import Scratch, key_filter, passing
+from hearthlake.llm.shared import Scratch, key_filter, parted
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -68,7 +68,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     text = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", digest(F.col("norm")))
     verified = scratch.keep(
-        passing(text, "digest", bitmap, bits).groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("norm"), "verified"
+        parted(text, "digest", bitmap, bits)[1].groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("norm"), "verified"
     )
     clashing = scratch.keep(verified.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "clashing")
     entries, apart = index.entries(), None

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.shared import received, sent
+from hearthlake.llm.shared import mapped, received, sent
 
 #: Learned from at most this many documents, and at most this many words of each, spread evenly over the text.
 SAMPLE, WORDS = 2000, 64
@@ -184,7 +184,7 @@ def train(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
                     out.append({"lang": lang, "words": " ".join(words[i][: 4 * RUN] for i in spread)})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("lang", pa.string()), ("words", pa.string())]))
 
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang").mapInArrow(run, "lang string, words string").collect()
+    sample = mapped(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang"), run, "lang string, words string").collect()
     if not sample:
         return None
     sample.sort()
@@ -211,4 +211,4 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, lang_pred string, score double")

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.shared import Scratch, key_filter, maybe_in, passing
+from hearthlake.llm.shared import Scratch, key_filter, mapped, parted, unused
 
 #: A chunk ends where the rolling hash over the last WINDOW line hashes is 0 modulo SPACING ...
 WINDOW, SPACING = 2, 2
@@ -73,7 +73,7 @@ def chunk_table(docs: DataFrame, bodies: bool, digest=digest) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts, pa.binary())] if bodies else [])], ["doc_id", "chunk", "digest", *(["body"] if bodies else [])])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, chunk int, digest binary" + ", body binary" * bodies)
+    return mapped(docs, run, f"doc_id {kind}, chunk int, digest binary" + ", body binary" * bodies)
 
 
 def repeated_chunks(docs: DataFrame, scratch: Scratch, digest=digest) -> DataFrame:
@@ -85,7 +85,7 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch, digest=digest) -> DataFra
     marks = scratch.keep(chunk_table(docs, False, digest), "marks")
     hits = scratch.keep(marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "hits")
     bitmap, bits = key_filter(hits, "digest")
-    rows = passing(chunk_table(docs, True, digest), "digest", bitmap, bits)
+    rows = parted(chunk_table(docs, True, digest), "digest", bitmap, bits)[1]
     verified = scratch.keep(rows.groupBy("digest", "body").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("n")).select("digest", "first", "n"), "verified")
     clashing = scratch.keep(verified.groupBy("digest").agg(F.count("*").alias("bodies")).where("bodies > 1").select("digest"), "clashing")
     firsts = scratch.keep(verified.where("n > 1").join(clashing, "digest", "left_anti").select("digest", "first"), "firsts")
@@ -108,11 +108,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    drop = repeated_chunks(rows, scratch, digest).withColumnsRenamed({"doc_id": id_col, "drop": "_drop"})
+    dropped = unused("_drop", docs.columns)
+    drop = repeated_chunks(rows, scratch, digest).withColumnsRenamed({"doc_id": id_col, "drop": dropped})
     # Only documents that may lose a chunk are shuffled; the others stay where they are.
-    marked = maybe_in(docs, id_col, *key_filter(drop, id_col))
-    outside = marked.where(~F.col("_maybe")).select(*docs.columns, F.lit(None).cast("array<int>").alias("_drop"))
-    joined = outside.unionByName(marked.where("_maybe").join(drop.hint("merge"), id_col, "left").select(*docs.columns, "_drop"))
+    outside, inside = parted(docs, id_col, *key_filter(drop, id_col))
+    joined = outside.withColumn(dropped, F.lit(None).cast("array<int>")).unionByName(inside.join(drop.hint("merge"), id_col, "left").select(*docs.columns, dropped))
     at = docs.columns.index(text_col)
     names = [*docs.columns, *(["chunks", "removed", "removed_chars"] if report else [])]
 
@@ -135,4 +135,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(columns, names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, fields + ", chunks long, removed long, removed_chars long" * report)
+    return mapped(joined, run, fields + ", chunks long, removed long, removed_chars long" * report)

@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from hearthlake.llm.shared import received, sent
+from hearthlake.llm.shared import mapped, received, sent
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -158,7 +158,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "token_
                 ids = as_lists([None if t is None else encoder.encode(t) for t in batch.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*carried, ids_col])
 
-    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return mapped(frame, run, T.StructType([*frame.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode_ids(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded", path: str = MODEL) -> DataFrame:
@@ -180,4 +180,4 @@ def decode_ids(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "d
                 texts = [None if n is None else decode(known, ids[end - n : end]) for n, end in zip(sizes, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*carried, out_col])
 
-    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(out_col, T.StringType())]))
+    return mapped(frame, run, T.StructType([*frame.schema.fields, T.StructField(out_col, T.StringType())]))

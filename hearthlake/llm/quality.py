@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.shared import received, sent
+from hearthlake.llm.shared import mapped, received, sent
 
 #: Bytes of a passage; the last one of a text may be longer by half or shorter.
 PASSAGE = 480
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "q
                 out.append({"label": mark.as_py(), "bag": bag.tobytes()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("label", pa.int32()), ("bag", pa.binary())]))
 
-    rows = sampled(docs, labels, label, learnable).select("doc_id", "text", "label").mapInArrow(run, "label int, bag binary").collect()
+    rows = mapped(sampled(docs, labels, label, learnable).select("doc_id", "text", "label"), run, "label int, bag binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: bytes(r["bag"]))  # the order in which tasks end must not matter
@@ -176,4 +176,4 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, score double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,6 +32,22 @@ def received(broadcast: Broadcast):
     return cloudpickle.loads(broadcast.value)
 
 
+#: Bytes of rows that Spark hands to Python at a time.
+BATCH_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches bounded in bytes, so that long texts never fill a task's memory.
+
+    The bound is a setting of the session, read when the plan is made; a smaller one is left as it is.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = re.fullmatch(r"(\d+)b?", conf.get(name))
+    if given is None or int(given[1]) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 class Scratch:
     """Tables of one operator run, each written once and read back with its true size known to the planner."""
 
@@ -89,19 +106,22 @@ def key_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
     return pages.groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")), bits
 
 
-def maybe_in(rows: DataFrame, key: str, bitmap: DataFrame, bits: int) -> DataFrame:
-    """rows with `_maybe`: false where the key is certainly not in the filter. The bitmap is broadcast, bounded by MOST_BITS."""
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    pages = bitmap.withColumnsRenamed({"page": "_page", "bitmap": "_bitmap"})
-    paged = rows.withColumn("_page", (place / PAGE_BITS).cast("long")).join(F.broadcast(pages), "_page", "left")
-    bit = place % PAGE_BITS
-    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return paged.select(*rows.columns, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)).alias("_maybe"))
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores until no column has it."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
 
 
-def passing(rows: DataFrame, key: str, bitmap: DataFrame, bits: int) -> DataFrame:
-    """The rows whose key may be in the filter."""
-    return maybe_in(rows, key, bitmap, bits).where("_maybe").drop("_maybe")
+def parted(rows: DataFrame, key: str, bitmap: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is certainly not in the filter, and those whose key may be. The bitmap is broadcast, bounded by MOST_BITS."""
+    page, pages, maybe = (unused(n, rows.columns) for n in ("_page", "_bitmap", "_maybe"))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    paged = rows.withColumn(page, (place / PAGE_BITS).cast("long")).join(F.broadcast(bitmap.withColumnsRenamed({"page": page, "bitmap": pages})), page, "left")
+    bit = place % PAGE_BITS
+    byte = F.conv(F.hex(F.substring(pages, F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    marked = paged.withColumn(maybe, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)))
+    return marked.where(~F.col(maybe)).select(*rows.columns), marked.where(maybe).select(*rows.columns)
 
 
 def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -110,7 +130,5 @@ def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     Rows outside a bounded filter over ids stay where they are; only those that the filter lets
     through are shuffled to be told apart exactly.
     """
-    marked = maybe_in(rows, key, *key_filter(ids, key))
-    outside = marked.where(~F.col("_maybe")).select(*rows.columns)
-    apart = marked.where("_maybe").select(*rows.columns).join(ids.select(key).hint("merge"), key, "left_anti")
-    return outside.unionByName(apart.select(*rows.columns))
+    outside, inside = parted(rows, key, *key_filter(ids, key))
+    return outside.unionByName(inside.join(ids.select(key).hint("merge"), key, "left_anti").select(*rows.columns))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake.llm.components import components
-from hearthlake.llm.shared import Scratch, without
+from hearthlake.llm.shared import Scratch, mapped, without
 
 BITS, SEED = 64, 42
 #: Members of one bucket up to which its pairs are compared directly; larger buckets are linked exactly through flipped keys.
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, fp long")
 
 
 def covering_masks(radius: int) -> list[int]:

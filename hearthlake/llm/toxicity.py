@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.shared import received, sent
+from hearthlake.llm.shared import mapped, received, sent
 
 #: The lexicon and the weights are learned on at most this many toxic and this many other labelled documents.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 2500
@@ -254,7 +254,7 @@ def read_sample(sample: DataFrame, model: Model) -> list:
             fuzzy = [sorted({h[1] // 2 for h in reader.hits(t.lower()) if h[1] % 2}) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64())), pa.array(fuzzy, pa.list_(pa.int32()))], ["label", "x", "fuzzy"])
 
-    return sample.select("text", "label").mapInArrow(run, "label int, x array<double>, fuzzy array<int>").collect()
+    return mapped(sample.select("text", "label"), run, "label int, x array<double>, fuzzy array<int>").collect()
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "toxic") -> Model | None:
@@ -298,4 +298,4 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(hit)], ["doc_id", "score", "any_term"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, any_term boolean")
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, score double, any_term boolean")
