@@ -21,7 +21,7 @@ SPACE = "▁"
 #: What an unknown character costs beyond the worst piece (a fixed value of the format).
 UNKNOWN_PENALTY = 10.0
 #: Segments whose encoding a task remembers; when full, those of the fill before are forgotten.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 #: Rows handed back at a time: texts, ids and decoded texts of a few hundred rows are in memory, never a partition.
 ROWS = 256
 
