@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,10 +14,10 @@ from hearthlake.functions.numbers import AMOUNT, DIALECTS, digits, found, matche
 TIMES = {"akiyaportal": {"USD": 0.85}, "homege": {"USD": 0.85}, "bulgarianproperties": {"GBP": 1.163, "USD": 0.87}, "domaza": {"USD": 0.87}, "greenacres": {"USD": 0.87}, "ok_bulgaria": {"GBP": 1.166}}
 DIVIDED_BY = {"akiyaportal": {"JPY": 170.0}, "homege": {"GEL": 3.03}, "mubawab": {"MAD": 10.9}}
 
-# How each portal writes prices, in the order in which they count. A pattern has one group.
+# How each portal writes prices, in the order in which they count. A pattern has a group for each side on which the sign may stand.
 PATTERNS: dict[str, list[tuple[str, str]]] = {
-    "lefigaro": [(r"([0-9\s.,]+)\s*€", "EUR"), (r"€\s*([0-9\s.,]+)", "EUR")],
-    "centrarium": [(r"€\s*([0-9\s.,]+)", "EUR"), (r"([0-9\s.,]+)\s*€", "EUR")],
+    "lefigaro": [(r"([0-9\s.,]+)\s*€|€\s*([0-9\s.,]+)", "EUR")],
+    "centrarium": [(r"€\s*([0-9\s.,]+)|([0-9\s.,]+)\s*€", "EUR")],
     "abruzzopropertyitaly": [(r"€\s*([0-9.,\s]+)", "EUR")],
     "abruzzoruralproperty": [(r"€\s*([0-9.,\s]+)", "EUR")],
     "franimo": [(r"€\s*([0-9.,\s]+)", "EUR")],
@@ -27,12 +28,12 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
         (rf"(?i){AMOUNT}\s*(?:\$|USD\b|US\$)", "USD"), (rf"\$\s*{AMOUNT}", "USD"),
     ],
     "greenacres": [
-        (r"(?i)(?:prijs\s+in\s+euros?|price\s+in\s+euros?)\s*:\s*([0-9\s.]+)", "EUR"), (r"([0-9][0-9\s.]*)\s*(?:€|&euro;|&#x20AC;|\bEUR\b)", "EUR"),
-        (r"(?:€|&euro;|&#x20AC;|\bEUR\b)\s*([0-9][0-9\s.]*)", "EUR"), (r"([0-9][0-9\s.]*)\s*\$", "USD"), (r"\$\s*([0-9][0-9\s.]*)", "USD"),
+        (r"(?i)(?:prijs\s+in\s+euros?|price\s+in\s+euros?)\s*:\s*([0-9\s.]+)", "EUR"), 
+        (r"([0-9][0-9\s.]*)\s*(?:€|&euro;|&#x20AC;|\bEUR\b)|(?:€|&euro;|&#x20AC;|\bEUR\b)\s*([0-9][0-9\s.]*)", "EUR"), (r"([0-9][0-9\s.]*)\s*\$|\$\s*([0-9][0-9\s.]*)", "USD"),
     ],
     "ok_bulgaria": [(r"€\s*([0-9.,\s]+)", "EUR"), (r"£\s*([0-9.,\s]+)", "GBP")],
-    "holprop": [(r"€\s*([0-9.,\s]+)", "EUR"), (r"(?i)([0-9.,\s]+)\s*EUR\b", "EUR"), (r"(?i)£\s*([0-9.,\s]+)\s*GBP", "GBP"), (r"(?i)\$\s*([0-9.,\s]+)\s*USD", "USD")],
-    "domaza": [(rf"€\s*{AMOUNT}", "EUR"), (rf"{AMOUNT}\s*€", "EUR"), (rf"\$\s*{AMOUNT}", "USD")],
+    "holprop": [(r"(?i)€\s*([0-9.,\s]+)|([0-9.,\s]+)\s*EUR\b", "EUR"), (r"(?i)£\s*([0-9.,\s]+)\s*GBP", "GBP"), (r"(?i)\$\s*([0-9.,\s]+)\s*USD", "USD")],
+    "domaza": [(rf"€\s*{AMOUNT}|{AMOUNT}\s*€", "EUR"), (rf"\$\s*{AMOUNT}", "USD")],
     "akiyaportal": [(r"\$\s*([0-9,]+(?:\.[0-9]+)?)", "USD"), (r"[¥￥]\s*([0-9,]+)", "JPY"), (r"(?i)([0-9,]+)\s*(?:yen|JPY|円)", "JPY")],
 }
 # Texts instead of a price.
@@ -41,15 +42,21 @@ NO_PRICE = {
     "mubawab": r"(?i)price\s+on\s+request|prix\s+à\s+consulter",
     "abruzzoruralproperty": r"(?i)\b(sold|under offer|reserved)\b",
 }
+GROUPS = re.compile(r"(?<!\\)\((?!\?)")
 MONEY = "struct<amount:bigint,currency:string>"
 
 
+def captured(blob: Column, pattern: str) -> Column:
+    """What the first match of a pattern captures, in whichever of its groups."""
+    return F.coalesce(*(found(blob, pattern, i + 1) for i in range(len(GROUPS.findall(pattern)))))
+
+
 def money(text: Column, source: str) -> Column:
     """(amount, currency) of the first pattern of the portal that the text meets; null where none does."""
     blob, read = spaced(text), DIALECTS[source]
     chain = F.lit(None).cast(MONEY)
     for pattern, currency in reversed(PATTERNS[source]):
-        amount = read(found(blob, pattern)).cast("long")
+        amount = read(captured(blob, pattern)).cast("long")
         chain = F.when(matched(blob, pattern) & amount.isNotNull(), F.struct(amount.alias("amount"), F.lit(currency).alias("currency"))).otherwise(chain)
     if source == "ok_bulgaria":  # whichever sign comes first
         sign = found(blob, r"([€£])\s*[0-9.,\s]+")
@@ -67,7 +74,7 @@ def amounts(text: Column, source: str) -> Column:
     """Every currency that the text states, as a map to the first amount of each."""
     blob, read, own = spaced(text), DIALECTS[source], {}
     for pattern, currency in PATTERNS[source]:
-        amount = F.when(matched(blob, pattern), read(found(blob, pattern)).cast("long"))
+        amount = read(captured(blob, pattern)).cast("long")
         own[currency] = F.coalesce(own[currency], amount) if currency in own else amount
     entries = F.array(*(F.struct(F.lit(c).alias("key"), a.alias("value")) for c, a in own.items()))
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))

@@ -79,9 +79,8 @@ def first_match(text: Column, needles: list[tuple[str, str]]) -> Column:
 
 
 def latin_parts(text: Column, dropped: list[str]) -> Column:
-    """The comma-separated parts without Cyrillic letters and not among dropped (lower case), joined again."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: (p != "") & ~p.rlike(r"\p{IsCyrillic}") & ~F.lower(p).isin(dropped))
-    return blank_as_null(F.array_join(parts, ", "))
+    """The comma-separated parts without Cyrillic letters and not among dropped (lower case)."""
+    return F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p.rlike("[A-Za-z]") & ~p.rlike(r"\p{IsCyrillic}") & ~F.lower(p).isin(dropped))
 
 
 def photo_name(name: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hearthlake.plans import listing_queries, scalar_queries
+from hearthlake.plans import listing_queries, scalar_queries, source_queries
 
-QUERIES: dict = {**listing_queries.QUERIES, **scalar_queries.QUERIES}
-ORACLES: dict[str, str] = {**listing_queries.ORACLES, **scalar_queries.ORACLES}
+QUERIES: dict = {**listing_queries.QUERIES, **scalar_queries.QUERIES, **source_queries.QUERIES}
+ORACLES: dict[str, str] = {**listing_queries.ORACLES, **scalar_queries.ORACLES, **source_queries.ORACLES}
