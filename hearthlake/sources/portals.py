@@ -283,7 +283,7 @@ Portal(
     mubawab_columns, page={"count": "#numResults", "map": "#pageUrlMap@value", "current": "#currentPage@value"},
     total=lambda: numbers.digits(found(p("count"), r"(?i)([0-9\s.,]+)\s+results?\b")),
     pages=lambda: pages_of(numbers.digits(found(p("count"), r"(?i)([0-9\s.,]+)\s+results?\b")), 32, most(p("map"), r'"([0-9]+)"\s*:')),
-    keep=lambda: F.coalesce(f("id"), urls.listing_id(f("link"), "mubawab")).isNotNull() & ~matched(f("price"), r"(?i)^From\b") & ~matched(f("class"), r"(?i)\b(?:boost\w*|project\w*|promotion\w*|empty\w*)\b"),
+    keep=lambda: f("id").isNotNull() & ~matched(f("price"), r"(?i)^From\b") & ~matched(f("class"), r"\b(?:adBoostBox|emptyBox)\b") & ~matched(f("link"), "/p/"),
 )
 
 
@@ -422,7 +422,7 @@ Portal(
     greenacres_columns, page={"info": ".pagination-info", "h1": "h1", "title": "title"},
     total=lambda: F.coalesce(numbers.dot_thousands(found(numbers.spaced(p("info")), r"(?i)op\s+([0-9.\s]+)")), numbers.dot_thousands(found(numbers.spaced(F.coalesce(p("h1"), p("title"))), r"(?i)([0-9.\s]+)\s+(?:woningen|huizen|properties|annonces|biens)\b"))),
     pages=lambda: pages_of(F.coalesce(numbers.dot_thousands(found(numbers.spaced(p("info")), r"(?i)op\s+([0-9.\s]+)")), numbers.dot_thousands(found(numbers.spaced(F.coalesce(p("h1"), p("title"))), r"(?i)([0-9.\s]+)\s+(?:woningen|huizen|properties|annonces|biens)\b")), F.col("n").cast("long")), 24),
-    keep=lambda: ~matched(f("class"), r"\bskeleton\b") & ~matched(urls.decoded_href(f("token")), urls.PRIVATE),
+    keep=lambda: ~matched(f("class"), r"\bskeleton\b"),
 )
 
 
