@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hearthlake.functions.numbers import AMOUNT, DIALECTS, digits, found, matched, rounded, spaced
+from hearthlake.functions.numbers import AMOUNT, DIALECTS, digits, found, matched, once, rounded, spaced
 
 # Documented rates. Where a portal's rate is stated the other way round, amounts are divided.
 TIMES = {"akiyaportal": {"USD": 0.85}, "homege": {"USD": 0.85}, "bulgarianproperties": {"GBP": 1.163, "USD": 0.87}, "domaza": {"USD": 0.87}, "greenacres": {"USD": 0.87}, "ok_bulgaria": {"GBP": 1.166}}
@@ -53,21 +53,22 @@ def captured(blob: Column, pattern: str) -> Column:
 
 def money(text: Column, source: str) -> Column:
     """(amount, currency) of the first pattern of the portal that the text meets; null where none does."""
-    blob, read = spaced(text), DIALECTS[source]
-    chain = F.lit(None).cast(MONEY)
-    for pattern, currency in reversed(PATTERNS[source]):
-        amount = read(captured(blob, pattern)).cast("long")
-        chain = F.when(matched(blob, pattern) & amount.isNotNull(), F.struct(amount.alias("amount"), F.lit(currency).alias("currency"))).otherwise(chain)
-    if source == "ok_bulgaria":  # whichever sign comes first
-        sign = found(blob, r"([€£])\s*[0-9.,\s]+")
-        amount = digits(found(blob, r"[€£]\s*([0-9.,\s]+)"))
-        chain = F.when(amount.isNotNull(), F.struct(amount.alias("amount"), F.when(sign == "€", "EUR").otherwise("GBP").alias("currency")))
-    if source in NO_PRICE:
+    read = DIALECTS[source]
+
+    def rule(blob: Column) -> Column:
+        stated = F.array(*(F.struct(read(captured(blob, p)).cast("long").alias("amount"), F.lit(c).alias("currency")) for p, c in PATTERNS[source]))
+        if source == "ok_bulgaria":  # whichever sign comes first
+            sign = F.when(found(blob, r"([€£])\s*[0-9.,\s]+") == "€", "EUR").otherwise("GBP")
+            stated = F.array(F.struct(digits(found(blob, r"[€£]\s*([0-9.,\s]+)")).alias("amount"), sign.alias("currency")))
+        first = F.try_element_at(F.filter(stated, lambda m: m["amount"].isNotNull()), F.lit(1)).cast(MONEY)
+        if source not in NO_PRICE:
+            return first
         silent = matched(blob, NO_PRICE[source])
         if source == "abruzzoruralproperty":
             silent = silent & ~F.contains(blob, F.lit("€"))
-        chain = F.when(~silent, chain)
-    return chain
+        return F.when(~silent, first)
+
+    return once(spaced(text), rule)
 
 
 def amounts(text: Column, source: str) -> Column:
@@ -92,17 +93,24 @@ def to_euro(amount: Column, currency: Column, source: str) -> Column:
 
 def priced(paid: Column, source: str) -> Column:
     """(price, currency, origin): what is stored of an amount and where it comes from. One portal's prices stay as they are."""
-    amount, currency = paid["amount"], paid["currency"]
-    if source == "holprop":
-        return F.struct(amount.alias("price"), F.coalesce(currency, F.lit("EUR")).alias("currency"), F.when(currency.isNotNull(), F.concat(F.lit("portal_"), F.lower(currency))).alias("origin"))
-    origin = F.when(currency == "EUR", "portal_eur").otherwise(F.concat(F.lower(currency), F.lit("_converted")))
-    return F.struct(to_euro(amount, currency, source).alias("price"), F.lit("EUR").alias("currency"), origin.alias("origin"))
+
+    def rule(paid: Column) -> Column:
+        amount, currency = paid["amount"], paid["currency"]
+        if source == "holprop":
+            return F.struct(amount.alias("price"), F.coalesce(currency, F.lit("EUR")).alias("currency"), F.when(currency.isNotNull(), F.concat(F.lit("portal_"), F.lower(currency))).alias("origin"))
+        origin = F.when(currency == "EUR", "portal_eur").otherwise(F.concat(F.lower(currency), F.lit("_converted")))
+        return F.struct(to_euro(amount, currency, source).alias("price"), F.lit("EUR").alias("currency"), origin.alias("origin"))
+
+    return once(paid, rule)
 
 
 def best_priced(stated: Column, source: str, order: tuple[str, ...] = ("EUR", "GBP", "USD")) -> Column:
     """As priced, from a map of stated amounts: the portal's euros, else the first currency that is there."""
-    paid = reduce(lambda rest, c: F.when(stated[c].isNotNull(), F.struct(stated[c].alias("amount"), F.lit(c).alias("currency"))).otherwise(rest), reversed(order), F.lit(None).cast(MONEY))
-    return priced(paid, source)
+
+    def first(stated: Column) -> Column:
+        return reduce(lambda rest, c: F.when(stated[c].isNotNull(), F.struct(stated[c].alias("amount"), F.lit(c).alias("currency"))).otherwise(rest), reversed(order), F.lit(None).cast(MONEY))
+
+    return priced(once(stated, first), source)
 
 
 def price_before_drop(text: Column, price: Column, currency: Column) -> Column:

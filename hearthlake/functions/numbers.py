@@ -26,6 +26,11 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def once(value: Column, rule) -> Column:
+    """rule(value) with value worked out once, however often the rule names it."""
+    return F.transform(F.array(value), lambda x: rule(x))[0]
+
+
 def matched(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(pattern), F.lit(False))
 
@@ -41,16 +46,18 @@ def digits(text: Column) -> Column:
 
 def decimal_comma(text: Column) -> Column:
     """A comma without a point is a decimal comma, rounded; else all digits."""
-    raw = F.trim(spaced(text))
-    comma = F.contains(raw, F.lit(",")) & ~F.contains(raw, F.lit("."))
-    return F.when(comma, rounded(F.replace(F.replace(raw, F.lit(" "), F.lit("")), F.lit(","), F.lit(".")))).otherwise(digits(raw))
+    comma = lambda raw: F.contains(raw, F.lit(",")) & ~F.contains(raw, F.lit("."))
+    return once(F.trim(spaced(text)), lambda raw: F.when(comma(raw), rounded(F.replace(F.replace(raw, F.lit(" "), F.lit("")), F.lit(","), F.lit(".")))).otherwise(digits(raw)))
 
 
 def dot_thousands(text: Column) -> Column:
     """Points between groups of three are thousands; a lone comma is decimal; else all digits."""
-    compact = F.regexp_replace(F.replace(spaced(text), F.lit("&#x20AC;"), F.lit("")), "[€$£ ]", "")
-    comma = F.contains(compact, F.lit(",")) & ~F.contains(compact, F.lit("."))
-    return F.when(matched(compact, r"^[0-9]{1,3}(\.[0-9]{3})+$"), digits(compact)).when(comma, rounded(F.replace(compact, F.lit(","), F.lit(".")))).otherwise(digits(compact))
+
+    def rule(compact: Column) -> Column:
+        comma = F.contains(compact, F.lit(",")) & ~F.contains(compact, F.lit("."))
+        return F.when(matched(compact, r"^[0-9]{1,3}(\.[0-9]{3})+$"), digits(compact)).when(comma, rounded(F.replace(compact, F.lit(","), F.lit(".")))).otherwise(digits(compact))
+
+    return once(F.regexp_replace(F.replace(spaced(text), F.lit("&#x20AC;"), F.lit("")), "[€$£ ]", ""), rule)
 
 
 def comma_thousands(text: Column, join_spaces: bool = False) -> Column:
@@ -66,10 +73,13 @@ def first_token(text: Column) -> Column:
 
 def european(text: Column) -> Column:
     """Groups of three are thousands, whichever sign parts them; any other single sign is decimal."""
-    raw = found(spaced(text), r"([0-9]+(?:[.,][0-9]+)*)")
-    grouped = matched(raw, r"^[0-9]{1,3}(\.[0-9]{3})+$") | matched(raw, r"^[0-9]{1,3}(,[0-9]{3})+$")
-    both = F.contains(raw, F.lit(",")) & F.contains(raw, F.lit("."))
-    return F.when(grouped | both, digits(raw)).otherwise(rounded(F.replace(raw, F.lit(","), F.lit("."))))
+
+    def rule(raw: Column) -> Column:
+        grouped = matched(raw, r"^[0-9]{1,3}(\.[0-9]{3})+$") | matched(raw, r"^[0-9]{1,3}(,[0-9]{3})+$")
+        both = F.contains(raw, F.lit(",")) & F.contains(raw, F.lit("."))
+        return F.when(grouped | both, digits(raw)).otherwise(rounded(F.replace(raw, F.lit(","), F.lit("."))))
+
+    return once(found(spaced(text), r"([0-9]+(?:[.,][0-9]+)*)"), rule)
 
 
 def decimal(text: Column) -> Column:
@@ -101,13 +111,13 @@ def leading_area(text: Column) -> Column:
 def decimal_area(text: Column, zero_is_null: bool = False) -> Column:
     """105.3m² is 105; with zero_is_null nothing stands for zero."""
     value = F.replace(found(F.replace(spaced(text), F.lit(","), F.lit("")), rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*{SQUARE_METRES}"), F.lit(","), F.lit("")).try_cast("double")
-    return F.when(value > 0, rounded(value)) if zero_is_null else rounded(value)
+    return once(value, lambda v: F.when(v > 0, rounded(v))) if zero_is_null else rounded(value)
 
 
 def hectares(text: Column) -> Column:
     """Square metres of a number of hectares; null for zero."""
     value = decimal(found(spaced(text), r"(?i)([0-9]+(?:[.,][0-9]+)?)\s*hectares?\b"))
-    return F.when(value > 0, rounded(value * 10_000))
+    return once(value, lambda v: F.when(v > 0, rounded(v * 10_000)))
 
 
 def bedroom_words(text: Column) -> Column:
