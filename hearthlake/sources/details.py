@@ -275,14 +275,14 @@ Detail("greenacres", greenacres, {"id": "#AdvertId@value", "euro": ".advert-curr
 
 
 def franimo() -> dict[str, Column]:
-    kind = F.lower(fact("type", "soort", "type woning"))
-    living = numbers.leading_area(fact_like("^(?:woonoppervlak|bewoonbaar)"))
-    land = numbers.leading_area(fact_like("^(?:perceel|grond|terrein)"))
-    rooms, beds = numbers.digits(fact_like("^(?:aantal )?kamers$")), numbers.digits(fact_like("slaapkamers$"))
+    kind, land = F.lower(fact("type")), numbers.leading_area(fact("terrein"))
+    living = cleaning.living_of_land(kind, numbers.leading_area(fact("woning")))
+    rooms, beds = numbers.digits(fact("kamers")), numbers.digits(fact("slaapkamers"))
     return {
-        "external_id": F.coalesce(numbers.digits(fact("referentie", "franimo nummer", "nummer")).cast("string"), found(F.col("url"), r"([0-9]{4,})")), "type": fact("type", "soort", "type woning"), "living_m2": cleaning.plausible_living(kind, cleaning.living_of_land(kind, living), rooms, beds, land), "land_m2": land,
-        "rooms": rooms, "bedrooms": beds, "baths": numbers.digits(fact_like("badkamers$")), "year_built": numbers.digits(fact_like("bouwjaar")), "price": numbers.digits(fact_like("prijs")), "currency": F.lit("EUR"), "agent": fact("makelaar"), "agent_name": fact("naam"), "agent_address": fact("adres"),
-        "region": in_lines(f("crumbs"), r" regio ([^\n]+)"), "dept_nl": in_lines(f("crumbs"), r" departement ([^\n]+)"), "photos": photo_list(f("slides"), "https://www.franimo.nl"),
+        "external_id": F.coalesce(numbers.digits(fact("franimo nr")).cast("string"), found(F.col("url"), r"([0-9]{4,})")), "type": fact("type"), "place": fact("nabij"), "living_m2": cleaning.plausible_living(kind, living, rooms, beds, land), "land_m2": land,
+        "rooms": rooms, "bedrooms": beds, "baths": numbers.digits(fact("badkamers")), "year_built": numbers.digits(fact("bouwjaar")), "price": numbers.digits(fact("prijs")), "currency": F.lit("EUR"), "reference": fact("referentie"),
+        "agent": fact("makelaar"), "agent_name": fact("naam"), "agent_address": fact("adres"), "region": in_lines(f("crumbs"), r" regio ([^\n]+)"), "dept_fr": fact("departement"), "dept_nl": in_lines(f("crumbs"), r" departement ([^\n]+)"),
+        "photos": photo_list(f("slides"), "https://www.franimo.nl", "^(?!.*thumb[^/]*$)"),
     }
 
 

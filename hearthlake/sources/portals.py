@@ -182,8 +182,9 @@ Portal(
 # ---- abruzzopropertyitaly ------------------------------------------------------------------------
 # Words of a description and the kind they stand for, in the order in which they count.
 ABRUZZO_TYPES = [
-    ("townhouse", "townhouse"), ("town house", "townhouse"), ("semi-detached", "semi-detached"), ("detached", "detached"), ("villa", "villa"), ("farmhouse", "farmhouse"), ("country house", "country house"), ("apartment", "apartment"),
-    ("studio", "studio"), ("building land", "land"), ("plot", "land"), ("house", "house"),
+    ("country house", "country house"), ("farmhouse", "farmhouse"), ("townhouse", "townhouse"), ("semi detached", "semi detached"), ("bed & breakfast", "bed & breakfast"), ("agriturismo", "agriturismo"),
+    ("studio apartment", "studio"), ("studio", "studio"), ("apartment", "apartment"), ("restoration", "restoration"), ("villa", "villa"), ("ruins", "ruins"), ("ruin", "ruins"), ("borgo", "borgo"),
+    ("hotel", "hotel"), ("restaurant", "restaurant"), ("land", "land"), ("farm", "farm"), ("house", "house"),
 ]
 ICONS = r"(?i)(Studio|[0-9]+)\s*x\s+([0-9]+)\s*x\s+([0-9]+)\s*x\s+([0-9.]+)\s*SQM\s+([0-9.]+)\s*SQM"
 
@@ -234,12 +235,16 @@ Portal(
 )
 
 
+# Countries that an address may end with.
+BALKAN_COUNTRIES = ["montenegro", "serbia", "albania", "croatia", "bosnia", "bosnia and herzegovina", "north macedonia", "macedonia", "kosovo", "slovenia"]
+
+
 # ---- centrarium ----------------------------------------------------------------------------------
 def centrarium_columns() -> dict[str, Column]:
     linked = urls.listing_id(f("link"), "centrarium")
     ident = F.coalesce(linked, f("id"))
     param = lambda label: numbers.first_token(in_lines(f("params"), rf"(?i){label}[^\n]*?=([^\n]+)"))
-    parts = text.latin_parts(f("address"), ["montenegro", "crna gora", "черногория"])
+    parts = text.latin_parts(f("address"), BALKAN_COUNTRIES)
     named, rest = F.filter(parts, lambda x: x.rlike("(?i)region")), F.filter(parts, lambda x: ~x.rlike("(?i)region"))
     place = F.when(F.size(named) > 0, F.try_element_at(rest, F.lit(1))).otherwise(F.try_element_at(rest, F.lit(-1)))
     region = F.coalesce(F.try_element_at(named, F.lit(1)), F.try_element_at(rest, F.lit(1)))
