@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hearthlake.functions.geo import clean_coordinate
 from hearthlake.functions.text import blank_as_null
+from hearthlake.operators.ranks import ranked
 from hearthlake.schema import CARD_COLUMNS, DEFAULT_CURRENCY, DEFAULT_SOURCE, DETAIL_COLUMNS
 
 KEY = ["source", "external_id"]
@@ -91,19 +92,9 @@ def merge_bridge(bridge: DataFrame, seen: DataFrame) -> DataFrame:
     return bridge.unionByName(seen).groupBy("listing_id", "search").agg(F.max("last_seen").alias("last_seen"))
 
 
-def numbered(new_keys: DataFrame, last_id: int, order: list[str], key: list[str] = KEY) -> DataFrame:
-    """New listings with ids after last_id in order of first sighting.
-
-    The sort is by range; ids come from each partition's count, so no task sees all rows.
-    """
-    placed = new_keys.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()).persist()
-    part = F.shiftright("_place", 33)
-    total, starts = last_id + 1, []
-    for r in sorted(placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):
-        starts.append((r["p"], total))
-        total += r["n"]
-    offsets = placed.sparkSession.createDataFrame(starts or [(0, 0)], "_part long, _start long")
-    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("id", F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start", "_place")
+def numbered(new_keys: DataFrame, last_id: int, order: list[str]) -> DataFrame:
+    """New listings with ids after last_id in order of first sighting."""
+    return ranked(new_keys, [F.col(c) for c in order], "id", first=last_id + 1)
 
 
 def apply_details(listings: DataFrame, details: DataFrame, ts: Column) -> DataFrame:

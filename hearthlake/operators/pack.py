@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthlake.functions.text import path_head, path_tail, photo_name
+from hearthlake.operators.ranks import ranked
 
 # What the export leaves out, and the share of rows up to which a dictionary pays.
 LEFT_OUT = ("snippet", "eur_m2", "eur_m2_land", "price_drop", "days_known", "raw_fields", "photos")
@@ -26,10 +26,10 @@ def column_profile(view: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def dictionaries(view: DataFrame, columns: list[str]) -> DataFrame:
-    """column, value, code from 0 in order of the values; the window runs over distinct values only."""
+    """column, value, code from 0 in order of the values."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns)))
     distinct = view.select(pairs.alias("p")).select("p.column", "p.value").where("value is not null").distinct()
-    return distinct.withColumn("code", F.row_number().over(W.partitionBy("column").orderBy("value")) - 1)
+    return ranked(distinct, [F.col("value")], "code", within="column")
 
 
 def encoded(view: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def decoded(view: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
 def prefixes(rows: DataFrame, url: str, order: Column) -> DataFrame:
     """head, prefix (its number in order of first appearance)."""
     heads = rows.where(F.col(url).isNotNull()).groupBy(path_head(F.col(url)).alias("head")).agg(F.min(order).alias("first"))
-    return heads.select("head", (F.row_number().over(W.orderBy("first")) - 1).alias("prefix"))
+    return ranked(heads, [F.col("first")], "prefix").select("head", "prefix")
 
 
 def photo_index(listings: DataFrame) -> DataFrame:

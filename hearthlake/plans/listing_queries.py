@@ -371,7 +371,7 @@ def pack_profile(spark, sf_dir):
 
 @query(W_VIEW + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, dense_rank() OVER (ORDER BY {c}) - 1 AS code FROM (SELECT DISTINCT {c} FROM view WHERE {c} IS NOT NULL)" for c in ("source", "region", "agent")))
 def pack_dict(spark, sf_dir):
-    return pack.dictionaries(listing_view_of(spark, sf_dir), ["source", "region", "agent"]).withColumn("code", F.col("code").cast("long"))
+    return pack.dictionaries(listing_view_of(spark, sf_dir), ["source", "region", "agent"])
 
 
 @query(W_VIEW + "SELECT id, agent FROM view")
@@ -386,7 +386,7 @@ PAGE_HEAD = "regexp_replace(url, '/?[^/]*$', '') || '/'"
 
 @query(f"SELECT head, row_number() OVER (ORDER BY first) - 1 AS prefix FROM (SELECT {PAGE_HEAD} AS head, min(page_id) AS first FROM pages WHERE url IS NOT NULL GROUP BY 1)")
 def pack_prefix(spark, sf_dir):
-    return pack.prefixes(D.table(spark, sf_dir, "pages"), "url", F.col("page_id")).withColumn("prefix", F.col("prefix").cast("long"))
+    return pack.prefixes(D.table(spark, sf_dir, "pages"), "url", F.col("page_id"))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hearthlake.operators import bands, gone, merge, probe
 from hearthlake.operators.filters import ingest_skip_by_spec
+from hearthlake.operators.ranks import ranked
 
 ORDER = ["ts", "page", "pos"]
 T = [datetime(2024, 1, d) for d in range(1, 10)]
@@ -131,3 +132,13 @@ def test_early_stop_and_queue(spark):
     assert sorted((r["search"], r["page"]) for r in merge.early_stop(pages).collect()) == [("s", 1), ("s", 1), ("s", 2), ("t", 1)]
     stored = listing(spark, [(1, "a", None, 50, None, None, None, None, None), (2, "a", None, None, None, None, None, None, None), (3, "a", None, 10, None, None, None, None, None), (4, "a", None, 1, None, None, None, T[0], None)])
     assert [r["id"] for r in merge.detail_queue(stored, 9).collect()] == [3, 1, 2]
+
+
+def test_numbers_in_order_within_groups(spark):
+    rows = spark.createDataFrame([("a" if i % 5 else "b", i) for i in range(500)], "g string, v int").repartition(7)
+    found = ranked(rows, [F.col("v").desc()], "n", within="g").collect()
+    for g in ("a", "b"):
+        assert [r["v"] for r in sorted((r for r in found if r["g"] == g), key=lambda r: r["n"])] == [v for v in range(499, -1, -1) if ("a" if v % 5 else "b") == g]
+        assert sorted(r["n"] for r in found if r["g"] == g) == list(range(sum(r["g"] == g for r in found)))
+    assert sorted(r["n"] for r in ranked(rows, [F.col("v")], "n", first=10).collect()) == list(range(10, 510))
+    assert ranked(rows.limit(0), [F.col("v")], "n").count() == 0
