@@ -16,8 +16,8 @@ from hearthlake.llm.shared import mapped, received, sent
 
 #: The lexicon and the weights are learned on at most this many toxic and this many other labelled documents.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 2500
-#: Terms are beginnings of words, of so many letters; at most MOST_TERMS of them.
-SHORTEST, LONGEST, MOST_TERMS = 4, 12, 96
+#: Terms are beginnings of words, of so many letters; at most MOST_TERMS of them, picked from CANDIDATES.
+SHORTEST, LONGEST, CANDIDATES, MOST_TERMS = 4, 12, 20_000, 96
 #: A term of this many letters may be misspelled by one edit.
 FUZZY_FROM = 5
 #: Least log likelihood ratio of a term (none of a million chance beginnings would reach it) and least log odds.
@@ -28,6 +28,7 @@ WINDOW = 8
 QUOTED, MISSPELLED = 0.2, 0.8
 REMEMBERED = 200_000
 WORD = re.compile(r"[^\W_]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 # Marks that open and close a quotation, and words that report another's words (en, de, fr, es).
 OPENING, CLOSING = "\"“„«‹”", "\"”“»›"
 REPORTING = frozenset("said says called quote quoted wrote term word insult slur sagte nannte zitat wort schrieb dit appelle cite mot dijo llama cita palabra".split())
@@ -206,20 +207,54 @@ def labelled(docs: DataFrame, labels: DataFrame, learnable: Column, label: str)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label")
 
 
+def evidence(pos: float, neg: float, toxic: int, clean: int) -> float:
+    """Log likelihood ratio of a term against one that toxic and clean documents have alike; 0 where it marks the clean ones."""
+    n, share = pos + neg, toxic / (toxic + clean)
+    if not pos or pos / n <= share:
+        return 0.0
+    return pos * np.log(pos / n / share) + (neg * np.log(neg / n / (1 - share)) if neg else 0.0)
+
+
+def contexts(sample: DataFrame, terms: set[str]) -> dict[str, int]:
+    """By term, how many different words stand before it in toxic documents: copies of one document bring one only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for text in batch.column(0).to_pylist():
+                words = LETTERS.findall(text.lower())
+                for before, word in zip(["", *words], words, strict=False):
+                    found.update((word[:k], before) for k in range(SHORTEST, min(len(word), LONGEST) + 1) if word[:k] in terms)
+            rows = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string())], ["term", "before"])
+
+    pairs = mapped(sample.where("label = 1").select("text"), run, "term string, before string")
+    return {r["term"]: r["n"] for r in pairs.groupBy("term").agg(F.count_distinct("before").alias("n")).collect()}
+
+
 def lexicon(sample: DataFrame, toxic: int, clean: int) -> tuple[list[str], list[float]]:
-    """Beginnings of words that mark toxic documents, with their log odds; counted by Spark over the sample."""
+    """Beginnings of words that mark toxic documents, with their log odds; counted by Spark over the sample.
+
+    The documents that speak for a term count no more often than it has different words before it,
+    so that the rare words of a document with many copies are no evidence.
+    """
     words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))), lambda w: F.length(w) >= SHORTEST)
     starts = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST))), lambda k: F.substring(w, F.lit(1), k)))))
-    counts = sample.select("label", F.explode(starts).alias("term")).groupBy("term").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    pos, neg, n = F.col("pos"), F.col("n") - F.col("pos"), F.col("n")
-    odds = F.log(((pos + 0.5) / (toxic + 1)) / ((neg + 0.5) / (clean + 1)))
-    surprise = pos * F.log(pos * (toxic + clean) / (n * toxic)) + F.when(neg > 0, neg * F.log(neg * (toxic + clean) / (n * max(1, clean)))).otherwise(0.0)
-    found = counts.where("pos > 0").withColumn("odds", odds).withColumn("evidence", surprise).where((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("odds") >= LEAST_ODDS))
-    rows = found.orderBy(F.desc("evidence"), F.desc(F.length("term")), "term").limit(40 * MOST_TERMS).collect()
-    chosen: dict[str, float] = {}
+    counts = sample.select("label", F.explode(starts).alias("term")).groupBy("term").agg(F.sum("label").alias("pos"), (F.count("*") - F.sum("label")).alias("neg"))
+    pos, n = F.col("pos"), F.col("pos") + F.col("neg")
+    hopeful = counts.where((pos * F.log(F.lit((toxic + clean) / toxic)) >= LEAST_EVIDENCE) & (pos / n > toxic / (toxic + clean)))
+    rows = hopeful.orderBy(F.desc(pos * pos / n), F.desc(F.length("term")), "term").limit(CANDIDATES).collect()
+    seen = contexts(sample, {r["term"] for r in rows})
+    scored = []
     for r in rows:
-        if len(chosen) < MOST_TERMS and not any(r["term"].startswith(t) or t.startswith(r["term"]) for t in chosen):
-            chosen[r["term"]] = min(6.0, r["odds"])
+        support = min(r["pos"], seen.get(r["term"], 0))
+        odds = float(np.log((support + 0.5) / (toxic + 1) / ((r["neg"] + 0.5) / (clean + 1))))
+        if odds >= LEAST_ODDS and (found := evidence(support, r["neg"], toxic, clean)) >= LEAST_EVIDENCE:
+            scored.append((-found, -len(r["term"]), r["term"], min(6.0, odds)))
+    chosen: dict[str, float] = {}
+    for _, _, term, odds in sorted(scored):
+        if len(chosen) < MOST_TERMS and not any(term.startswith(t) or t.startswith(term) for t in chosen):
+            chosen[term] = odds
     return list(chosen), list(chosen.values())
 
 
