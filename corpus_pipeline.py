@@ -14,7 +14,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels outside fold 1 of 3, gives 0.5 or more."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out(1, 3))
     rejected = quality.score(docs, model).where("score < 0.5").select("doc_id").distinct()
-    return without(docs, Scratch(spark, "rejected").keep(rejected, "ids"), "doc_id")
+    return without(docs, Scratch(spark, "rejected").keep(rejected, "ids", docs.count()), "doc_id")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

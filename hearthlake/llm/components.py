@@ -16,16 +16,18 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     rounds. The labels of each round are a written table: lost executors redo one round only, and
     joins on a node with very many links see two shuffled sides, which adaptive execution splits.
     """
+    ends_count = 2 * links.count()
+    keep = lambda df, table: scratch.keep(df, table, rows=ends_count)
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other"))
-    both = scratch.keep(ends.union(ends.select(F.col("other"), F.col("node"))).where("node <> other").distinct(), "links")
-    labels = scratch.keep(both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")), "labels-0")
+    both = keep(ends.union(ends.select(F.col("other"), F.col("node"))).where("node <> other").distinct(), "links")
+    labels = keep(both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")), "labels-0")
     turn = 0
     while True:
         turn += 1
         heard = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", "root")
-        nearest = scratch.keep(heard.union(labels).groupBy("node").agg(F.min("root").alias("root")), f"near-{turn}")
+        nearest = keep(heard.union(labels).groupBy("node").agg(F.min("root").alias("root")), f"near-{turn}")
         jump = nearest.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
-        settled = scratch.keep(
+        settled = keep(
             nearest.join(jump, "root", "left").select("node", F.least("root", F.coalesce("beyond", "root")).alias("root"), F.col("root").alias("was")), f"jump-{turn}"
         )
         moved = settled.join(labels.withColumnRenamed("root", "before"), "node").where("root <> before").limit(1).count()

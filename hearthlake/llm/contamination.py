@@ -148,4 +148,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, all columns, whose identifier has no leak; rows without an identifier stay."""
     leaks = find_leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return without(docs, Scratch(docs.sparkSession, "leaks").keep(leaks, "ids"), id_col)
+    return without(docs, Scratch(docs.sparkSession, "leaks").keep(leaks, "ids", docs.count()), id_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.shared import Scratch, key_filter, parted
+from hearthlake.llm.shared import ROWS_A_FILE, Scratch, key_filter, parted
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -45,7 +45,9 @@ class DigestIndex:
 
     def compact(self) -> DataFrame:
         """digest, keep_id, n over every run so far."""
-        merged = self.entries().groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
+        entries = self.entries()
+        merged = entries.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
+        merged = merged.coalesce(max(1, -(-entries.count() // ROWS_A_FILE)))
         return self.scratch.keep(merged.sortWithinPartitions("digest"), f"level/{self.runs}", **self.options)
 
 
@@ -70,7 +72,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verified = scratch.keep(
         parted(text, "digest", bitmap, bits)[1].groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("norm"), "verified"
     )
-    clashing = scratch.keep(verified.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "clashing")
+    clashing = scratch.keep(verified.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "clashing", verified.count())
     entries, apart = index.entries(), None
     if not clashing.isEmpty():
         # Different texts share a digest: those rows are told apart by their text instead.

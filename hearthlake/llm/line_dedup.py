@@ -83,19 +83,20 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch, digest=digest) -> DataFra
     digest and bytes, and all but the first occurrence (smallest doc_id, then place) are dropped.
     """
     marks = scratch.keep(chunk_table(docs, False, digest), "marks")
-    hits = scratch.keep(marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "hits")
+    n = marks.count()
+    hits = scratch.keep(marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "hits", n)
     bitmap, bits = key_filter(hits, "digest")
     rows = parted(chunk_table(docs, True, digest), "digest", bitmap, bits)[1]
     verified = scratch.keep(rows.groupBy("digest", "body").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("n")).select("digest", "first", "n"), "verified")
-    clashing = scratch.keep(verified.groupBy("digest").agg(F.count("*").alias("bodies")).where("bodies > 1").select("digest"), "clashing")
-    firsts = scratch.keep(verified.where("n > 1").join(clashing, "digest", "left_anti").select("digest", "first"), "firsts")
+    clashing = scratch.keep(verified.groupBy("digest").agg(F.count("*").alias("bodies")).where("bodies > 1").select("digest"), "clashing", n)
+    firsts = scratch.keep(verified.where("n > 1").join(clashing, "digest", "left_anti").select("digest", "first"), "firsts", n)
     extra = marks.join(firsts, "digest").where(F.struct("doc_id", "chunk") != F.col("first")).select("doc_id", "chunk")
     if not clashing.isEmpty():
         # Different chunks share a digest: these are told apart by their bytes.
         apart = rows.join(clashing, "digest", "left_semi")
         first = apart.groupBy("digest", "body").agg(F.min(F.struct("doc_id", "chunk")).alias("first"))
         extra = extra.union(apart.join(first, ["digest", "body"]).where(F.struct("doc_id", "chunk") != F.col("first")).select("doc_id", "chunk"))
-    return scratch.keep(extra.groupBy("doc_id").agg(F.collect_set("chunk").alias("drop")), "drop")
+    return scratch.keep(extra.groupBy("doc_id").agg(F.collect_set("chunk").alias("drop")), "drop", n)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=digest, report: bool = False) -> DataFrame:

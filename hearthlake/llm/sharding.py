@@ -30,11 +30,11 @@ def strength(vote: Column) -> Column:
     return F.struct(vote["n"].alias("n"), F.xxhash64(F.col("grp"), vote["shard"]).alias("tie"), vote["shard"].alias("shard"))
 
 
-def wishes(linked: DataFrame, open_shards: list[int], scratch: Scratch, turn: int) -> DataFrame:
+def wishes(linked: DataFrame, open_shards: list[int], scratch: Scratch, turn: int, rows: int) -> DataFrame:
     """linked with want (the shard a row would move to, null if none) and gain (a power of two of the neighbours won)."""
     counts = linked.groupBy("grp", "shard").agg(F.count("*").alias("n"))
     # At most one entry for each shard.
-    votes = scratch.keep(counts.groupBy("grp").agg(F.collect_list(F.struct("shard", "n")).alias("votes")), f"votes-{turn}")
+    votes = scratch.keep(counts.groupBy("grp").agg(F.collect_list(F.struct("shard", "n")).alias("votes")), f"votes-{turn}", rows)
     own = F.array_max(F.transform(F.filter("votes", lambda v: v["shard"] == F.col("shard")), strength))
     best = linked.join(votes, "grp").withColumn("best", ranked_votes(open_shards)).withColumn("own", own)
     moves = F.col("best.shard").isNotNull() & (F.col("best.shard") != F.col("shard")) & (F.col("best") > F.col("own"))
@@ -64,10 +64,11 @@ def propagate(linked: DataFrame, shards: int, capacity: int, scratch: Scratch, r
     """
     spark = scratch.spark
     state = scratch.keep(linked.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)).cast("int")), "round-0")
+    n = state.count()
     for turn in range(1, rounds + 1):
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         free = {s: capacity - load.get(s, 0) for s in range(shards)}
-        asked = scratch.keep(wishes(state, [s for s in free if free[s] > 0], scratch, turn), f"wishes-{turn}")
+        asked = scratch.keep(wishes(state, [s for s in free if free[s] > 0], scratch, turn, n), f"wishes-{turn}", n)
         wanted = asked.where("want is not null").groupBy("want", "gain").agg(F.count("*").alias("n")).collect()
         shares = [x for x in quotas(wanted, free) if x[2]]
         if not shares:
@@ -75,7 +76,7 @@ def propagate(linked: DataFrame, shards: int, capacity: int, scratch: Scratch, r
         table = F.broadcast(spark.createDataFrame(shares, "want int, gain int, share int"))
         draw = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(GRAIN))
         moved = asked.join(table, ["want", "gain"], "left").withColumn("shard", F.when(draw < F.col("share"), F.col("want")).otherwise(F.col("shard")))
-        state = scratch.keep(moved.select(*state.columns), f"round-{turn}")
+        state = scratch.keep(moved.select(*state.columns), f"round-{turn}", n)
     return state
 
 
@@ -91,9 +92,9 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     scratch = Scratch(docs.sparkSession, "sharding")
     rows = scratch.keep(measured(docs, id_col, text_col), "measured")
     total = rows.count()
-    shared = scratch.keep(rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    shared = scratch.keep(rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "groups", total)
     tied = rows.join(shared, "grp", "left").select(*rows.columns, F.col("n").isNotNull().alias("tied"))
-    tied = scratch.keep(tied, "tied")
+    tied = scratch.keep(tied, "tied", total)
     linked = propagate(tied.where("tied").drop("tied"), shards, -(-total // shards), scratch)
     load = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     gaps = [max(0, total / shards - load.get(s, 0)) for s in range(shards)]

@@ -32,6 +32,8 @@ def received(broadcast: Broadcast):
     return cloudpickle.loads(broadcast.value)
 
 
+#: Rows that one task writes of a table known to be small: a file for each shuffle partition would cost more than its rows.
+ROWS_A_FILE = 250_000
 #: Bytes of rows that Spark hands to Python at a time.
 BATCH_BYTES = 4 << 20
 
@@ -58,8 +60,10 @@ class Scratch:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def keep(self, df: DataFrame, table: str, **options: str) -> DataFrame:
-        """Write df and return the written table."""
+    def keep(self, df: DataFrame, table: str, rows: int | None = None, **options: str) -> DataFrame:
+        """Write df and return the written table; where df has at most so many rows, in as few files as they fill."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
         df.write.options(**options).mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 

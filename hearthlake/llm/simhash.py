@@ -69,7 +69,7 @@ def signed(word: int) -> int:
     return word - (1 << BITS) if word >> (BITS - 1) else word
 
 
-def near_links(distinct: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int, scratch: Scratch, rows: int | None = None) -> DataFrame:
     """Links a, b between words fp of distinct: their components are those of all pairs within radius bits.
 
     Buckets of one member are set aside by counting first. The pairs of a bucket of up to DIRECT
@@ -82,9 +82,9 @@ def near_links(distinct: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
         raise ValueError("the radius must be 2, 4 or 6 bits")
     masks = covering_masks(radius)
     tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)))
-    rows = distinct.select("fp", F.explode(tables).alias("at")).select("fp", "at.t", "at.key")
-    buckets = scratch.keep(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = scratch.keep(rows.join(buckets, ["t", "key"]), "members")
+    masked = distinct.select("fp", F.explode(tables).alias("at")).select("fp", "at.t", "at.key")
+    buckets = scratch.keep(masked.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets", rows)
+    members = scratch.keep(masked.join(buckets, ["t", "key"]), "members", rows)
     few = members.where(F.col("n") <= DIRECT)
     left, right = few.select("t", "key", F.col("fp").alias("a")), few.select("t", "key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
@@ -113,13 +113,14 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str =
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.keep(fingerprints(docs, width, id_col, text_col), "marked")
-    words = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "words")
-    links = scratch.keep(near_links(words.select("fp"), radius, scratch), "near")
+    rows = marked.count()
+    words = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "words", rows)
+    links = scratch.keep(near_links(words.select("fp"), radius, scratch, rows), "near", rows)
     roots = components(links, scratch).withColumnRenamed("node", "fp")
     linked = roots.join(words, "fp")
     groups = linked.groupBy("root").agg(F.min("least").alias("lowest"))
-    lowest = scratch.keep(linked.join(groups, "root").select("fp", "lowest"), "lowest")
-    known = scratch.keep(words.join(lowest, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id")), "known")
+    lowest = scratch.keep(linked.join(groups, "root").select("fp", "lowest"), "lowest", rows)
+    known = scratch.keep(words.join(lowest, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id")), "known", rows)
     return marked.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -131,4 +132,4 @@ def one_of_each_group(docs: DataFrame, width: int = 5, radius: int = 4, id_col:
     """
     groups = near_groups(docs, width, radius, id_col, text_col)
     dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return without(docs, Scratch(docs.sparkSession, "simhash-dropped").keep(dropped, "ids"), id_col)
+    return without(docs, Scratch(docs.sparkSession, "simhash-dropped").keep(dropped, "ids", docs.count()), id_col)
