@@ -16,7 +16,7 @@ LISTING_ID = {
 # Where a page number stands in a list address (group 1), and what is added to the first page counts from.
 PAGE_NUMBER = {
     "lefigaro": r"[?&]page=([0-9]+)", "greenacres": r"[?&]p_n=([0-9]+)", "mubawab": r":p:([0-9]+)(?=:|$)", "homege": r"(?i)/index([0-9]+)\.html$", "centrarium": r"[?&]page=([0-9]+)",
-    "domaza": r"/_page/([0-9]+)/?", "holprop": r"/page/([0-9]+)/?$", "akiyaportal": r"[?&]page=([0-9]+)", "ok_bulgaria": r"[?&]page=([0-9]+)",
+    "domaza": r"/_page/([0-9]+)/?", "holprop": r"/page/([0-9]+)/?$", "akiyaportal": r"[?&]page=([0-9]+)", "ok_bulgaria": r"[?&]page=([0-9]+)", "abruzzopropertyitaly": r"[~,]page=([0-9]+)", "abruzzoruralproperty": r"[?&/]start=([0-9]+)",
 }
 #: Places of a listing in an office's private paths; never a listing.
 PRIVATE = r"(?i)/SignIn|/Authentication|/deleted-adverts|/Content/"
@@ -38,8 +38,13 @@ def listing_id(url: Column, source: str) -> Column:
 
 
 def page_number(url: Column, source: str) -> Column:
-    """1 where the address names no page."""
-    return F.greatest(F.lit(1), F.coalesce(found(url, PAGE_NUMBER[source]).try_cast("int"), F.lit(1)))
+    """1 where the address names no page. One portal counts from 0, another counts the listings before the page."""
+    number = found(url, PAGE_NUMBER[source]).try_cast("int")
+    if source == "abruzzopropertyitaly":
+        number = number + 1
+    if source == "abruzzoruralproperty":
+        number = (number / 6).cast("int") + 1
+    return F.greatest(F.lit(1), F.coalesce(number, F.lit(1)))
 
 
 def with_query(url: Column, name: str, value: Column, keep: bool = True) -> Column:
@@ -63,6 +68,10 @@ def with_page(url: Column, page: Column, source: str) -> Column:
         token = "_page" if source == "domaza" else "page"
         bare = F.regexp_replace(F.regexp_replace(url, rf"/{token}/[0-9]+/?", "/"), "/+$", "")
         return F.when(first, F.concat(bare, F.lit("/"))).otherwise(F.concat(bare, F.lit(f"/{token}/"), number, F.lit("/")))
+    if source == "abruzzopropertyitaly":  # filters after a tilde; pages count from 0
+        bare = F.regexp_replace(F.regexp_replace(url, r"([~,])page=[0-9]+,?", "$1"), "[~,]$", "")
+        sign = F.when(F.contains(bare, F.lit("~")), ",").otherwise("~")
+        return F.when(first, bare).otherwise(F.concat(bare, sign, F.lit("page="), (page - 1).cast("string")))
     if source == "abruzzoruralproperty":  # counts listings, six a page
         start = ((page - 1) * 6).cast("string")
         return F.when(first, with_query(url, "start", start, keep=False)).otherwise(with_query(url, "start", start))

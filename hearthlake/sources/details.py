@@ -230,7 +230,7 @@ def ok_bulgaria() -> dict[str, Column]:
     return {
         "external_id": found(F.col("url"), r"[?&]id=([^&#]+)"), "type": kind, "place": F.initcap(F.trim(found(facts, r"(?i)Village:\s*([^(\-]+)"))), "price": F.coalesce(euro, money.to_euro(pound, F.lit("GBP"), "ok_bulgaria")), "currency": F.lit("EUR"), "price_gbp": pound,
         "land_m2": numbers.area_or_number(found(facts, r"(?i)Land:\s*([0-9][0-9\s.,]*\s*(?:sq\.?\s*m\.?|sqm|m2|m²)?)")), "living_m2": F.when(~F.coalesce(is_land, F.lit(False)), numbers.area(clause)), "bedrooms": whole(found(kind, r"^([0-9]+)\s+bedroom")),
-        "reference": found(facts, r"(?i)ID:\s*(\S+)"), "description": f("text"), "photos": photo_list(f("gallery"), "https://www.ok-bulgaria.com"),
+        "reference": found(facts, r"(?i)ID:\s*(\S+)"), "description": f("text"), "photos": photo_list(f("gallery"), "https://www.cheap-bulgarian-house.co.uk"),
     }
 
 

@@ -113,14 +113,14 @@ def ok_bulgaria_columns() -> dict[str, Column]:
     ident = found(f("link"), r"[?&]id=([^&#]+)")
     stated = money.best_priced(F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(c).alias("key"), numbers.digits(found(numbers.spaced(f("prices")), rf"{s}\s*([0-9.,\s]+)")).alias("value")) for c, s in (("EUR", "€"), ("GBP", "£")))), lambda e: e["value"].isNotNull())), "ok_bulgaria", ("EUR", "GBP"))
     return {
-        "external_id": ident, "url": F.concat(F.lit("https://www.ok-bulgaria.com/houses_in_bulgaria_for_sale.php?id="), ident), "price": stated["price"], "currency": F.lit("EUR"),
+        "external_id": ident, "url": F.concat(F.lit("https://www.cheap-bulgarian-house.co.uk/houses_in_bulgaria_for_sale.php?id="), ident), "price": stated["price"], "currency": F.lit("EUR"),
         "land_m2": numbers.area_or_number(found(f("labelled"), r"(?i)Land:?\s*([^\n]+)")), "reference": found(f("prices"), r"(?i)ID#\s*(\S+)"), "snippet": f("snippet"), "thumb": f("thumb"),
         "promoted": matched(f("all"), r"(?:^|\s)NEW(?:\s|$)"),
     }
 
 
 Portal(
-    "ok_bulgaria", "https://www.ok-bulgaria.com", 20, "table.table_prop_item",
+    "ok_bulgaria", "https://www.cheap-bulgarian-house.co.uk", 20, "table.table_prop_item",
     {"link": "a[href*=houses_in_bulgaria_for_sale.php]@href", "prices": "*.prop_price, .prop_price1", "labelled": "*.prop_lbl, .prop_txt", "snippet": "span.prop_txt", "thumb": "a.thumbnail span img[src]@src", "all": ""},
     ok_bulgaria_columns, page={"last": ".pagination input[data-max-page]@data-max-page", "title": "title"},
     total=lambda: numbers.digits(found(p("title"), r"(?i)([0-9][0-9\s,]*)\s+Bulgarian Properties\b")), pages=lambda: F.greatest(F.lit(1), F.coalesce(whole(p("last")), F.lit(1))),
@@ -161,7 +161,7 @@ def holprop_columns() -> dict[str, Column]:
     beds = F.coalesce(whole(ld("$.numberOfRooms")), numbers.digits(f("beds")))
     region = F.coalesce(ld("$.address.addressRegion"), f("region"))
     return {
-        "external_id": ident, "url": F.concat(F.lit("https://www.holprop.com/s/sale/"), ident, F.lit("/")),
+        "external_id": ident, "url": F.concat(F.lit("https://www.holprop.com/s/sale/"), F.lower(ident), F.lit("/?ctype=EUR")),
         "type": F.coalesce(F.try_element_at(kinds, F.lit(1)), found(ld("$.category"), r"^(.*?)(?: in |$)"), text.node_text(F.split_part(f("line"), F.lit("•"), F.lit(1)))),
         "place": F.coalesce(ld("$.address.addressLocality"), f("place")), "region": region, "dept_nl": region, "lat": f("lat").try_cast("double"), "lon": f("lon").try_cast("double"), "price": price, "currency": F.lit("EUR"),
         "bedrooms": beds, "living_m2": F.coalesce(numbers.digits(ld("$.floorSize.value")), numbers.area(f("line"))), "reference": F.upper(ident), "thumb": here(F.coalesce(ld("$.image"), f("thumb")), "https://www.holprop.com"),
@@ -197,7 +197,7 @@ def abruzzopropertyitaly_columns() -> dict[str, Column]:
     size = lambda g: numbers.decimal_area(F.concat(found(f("icons"), ICONS, g), F.lit(" SQM")), zero_is_null=True)
     price = money.money(f("price"), "abruzzopropertyitaly")["amount"]
     return {
-        "external_id": ident, "url": F.concat(F.lit("https://www.abruzzopropertyitaly.com/property.php?pid="), ident), "type": F.when(F.lower(f("beds")) == "studio", "studio").otherwise(kind),
+        "external_id": ident, "url": F.concat(F.lit("https://www.abruzzopropertyitaly.com/property-search~action=detail,pid="), ident), "type": F.when(F.lower(f("beds")) == "studio", "studio").otherwise(kind),
         "place": comma_part(address, 1), "region": comma_part(address, 2), "dept_nl": comma_part(address, 3), "price": F.coalesce(price, money.money(f("all"), "abruzzopropertyitaly")["amount"]), "currency": F.lit("EUR"),
         "bedrooms": F.coalesce(numbers.digits(f("beds")), whole(found(f("icons"), ICONS, 1))), "baths": whole(found(f("icons"), ICONS, 2)), "living_m2": size(4), "land_m2": size(5),
         "reference": F.coalesce(found(f("price"), r"(?i)Ref:\s*([0-9]+)"), ident), "thumb": here(f("thumb"), "https://www.abruzzopropertyitaly.com"), "snippet": f("snippet"), "promoted": F.lit(False),
@@ -304,15 +304,15 @@ def homege_columns() -> dict[str, Column]:
     living, land, _ = plot_as_land(numbers.area(f("area"), numbers.comma_thousands, r"(?:m²|m2|m)\b"), F.lit(None).cast("long"))
     thumb = F.when(~matched(f("thumb"), r"blank|^data:"), f("thumb"))
     return {
-        "external_id": ident, "url": here(F.when(urls.listing_id(link, "homege").isNotNull(), link).otherwise(F.concat(F.lit("en/ad"), ident, F.lit(".html"))), "https://home.ge"), "type": kind,
+        "external_id": ident, "url": here(F.when(urls.listing_id(link, "homege").isNotNull(), link).otherwise(F.concat(F.lit("en/saxlebi-agarakebi/iyideba-saxlebi-agarakebi/listing-"), ident, F.lit(".html"))), "https://www.home.ge"), "type": kind,
         "place": F.coalesce(F.try_element_at(parts, F.lit(-1)), city), "region": F.coalesce(city, F.try_element_at(parts, F.lit(1))), "rooms": whole(found(title, r"(?i)([0-9]+)\s*Rooms?\b")), **paid("homege", f("price")),
-        "living_m2": living, "land_m2": land, "bedrooms": numbers.comma_thousands(f("beds")), "baths": numbers.comma_thousands(f("baths")), "thumb": here(F.coalesce(thumb, f("data_thumb")), "https://home.ge"),
+        "living_m2": living, "land_m2": land, "bedrooms": numbers.comma_thousands(f("beds")), "baths": numbers.comma_thousands(f("baths")), "thumb": here(F.coalesce(thumb, f("data_thumb")), "https://www.home.ge"),
         "promoted": matched(f("class"), r"\b(?:featured|topvip_status|supervip)\b"),
     }
 
 
 Portal(
-    "homege", "https://home.ge", 48, "article.item",
+    "homege", "https://www.home.ge", 48, "article.item",
     {"class": "@class", "id": ".compare-grid-icon@data-listing-id", "data_link": ".compare-grid-icon@data-listing-url", "data_title": ".compare-grid-icon@data-listing-title", "data_thumb": ".compare-grid-icon@data-listing-picture",
      "slider": ".listing-picture-slider[data-id]@data-id", "link": "li.title a[href], a.link-large[href]@href", "title": "li.title a[href], a.link-large[href]", "spans": "*li.fields span", "price": ".price-tag",
      "beds": "li.services .badrooms, li.services .bedrooms", "baths": "li.services .bathrooms", "area": "li.services .square_feet", "thumb": ".listing-picture-slider img[src]@src"},
@@ -364,7 +364,7 @@ def domaza_columns() -> dict[str, Column]:
     stated = money.amounts(F.coalesce(f("price"), f("price2"), f("price3")), "domaza")
     unit = r"(?:m2|m²|m\s*2|sq\.?\s*m|sqm)\b"
     return {
-        "external_id": ident, "url": here(link, "https://www.domaza.com"), "type": f("title"), "place": place, "region": region, "dept_nl": region, "country": F.try_element_at(crumbs, F.lit(1)), "lat": lat, "lon": lon,
+        "external_id": ident, "url": F.coalesce(F.regexp_replace(F.regexp_replace(here(link, "https://www.domaza.com"), r"[?#].*$|_hasSearch/[0-9]+/?$", ""), "/*$", "/"), F.concat(F.lit("https://www.domaza.com/property/print/id/"), ident, F.lit("/"))), "type": f("title"), "place": place, "region": region, "dept_nl": region, "country": F.try_element_at(crumbs, F.lit(1)), "lat": lat, "lon": lon,
         "price": money.best_priced(stated, "domaza")["price"], "currency": F.lit("EUR"), "bedrooms": numbers.digits(f("beds")), "baths": numbers.digits(f("baths")), "living_m2": F.coalesce(numbers.area(f("area"), unit=unit), numbers.area(f("price2"), unit=unit)),
         "reference": F.coalesce(found(f("ref"), r"(?i)\bRef\s*[-–]?\s*([A-Za-z0-9/-]+)"), ident), "agent_name": f("agency"), "thumb": here(F.when(~F.contains(f("thumb"), F.lit("offer_default")), f("thumb")), "https://www.domaza.com"), "snippet": f("title"), "promoted": F.lit(False),
     }
@@ -413,15 +413,15 @@ def greenacres_columns() -> dict[str, Column]:
     kind = text.first_match(F.concat_ws(" ", f("seo"), f("title"), link), [("appartement", "Appartement"), ("garage", "Garage"), ("/box", "Garage"), ("terrein", "Terrein"), ("terrain", "Terrein")])
     region = found(where, r"\(([^)]+)\)\s*$")
     return {
-        "external_id": ident, "url": here(F.coalesce(link, F.concat(F.lit("nl/properties/"), ident, F.lit(".htm"))), "https://www.green-acres.nl"), "type": F.coalesce(kind, F.lit("Huis")), "place": F.coalesce(found(where, r"^\s*([^()]+?)\s*\("), where),
+        "external_id": ident, "url": here(F.coalesce(link, F.concat(F.lit("nl/properties/huis/france/"), ident, F.lit(".htm"))), "https://www.green-acres.fr"), "type": F.coalesce(kind, F.lit("Huis")), "place": F.coalesce(found(where, r"^\s*([^()]+?)\s*\("), where),
         "region": region, "dept_fr": region, "dept_nl": region, **paid("greenacres", F.coalesce(f("price"), f("all"))), "living_m2": size(tag("Woonoppervlakte")), "land_m2": size(tag("(?:Terrein|Grond)")),
         "rooms": F.coalesce(numbers.dot_thousands(tag("Kamers?")), whole(found(f("all"), r"(?i)([0-9]+)\s*kamers?\b"))), "bedrooms": F.coalesce(numbers.dot_thousands(tag("Slaapkamers?")), whole(found(f("all"), r"(?i)([0-9]+)\s*slaapkamers?\b"))),
-        "thumb": here(f("thumb"), "https://www.green-acres.nl"), "snippet": F.coalesce(f("snippet"), f("title")), "agent": f("agent"), "promoted": F.lit(False),
+        "thumb": here(f("thumb"), "https://www.green-acres.fr"), "snippet": F.coalesce(f("snippet"), f("title")), "agent": f("agent"), "promoted": F.lit(False),
     }
 
 
 Portal(
-    "greenacres", "https://www.green-acres.nl", 24, ".announce-card",
+    "greenacres", "https://www.green-acres.fr", 24, ".announce-card",
     {"class": "@class", "id": "@data-advertid", "token": "@data-o", "title": "@title", "where": ".announce-localisation", "price": ".info-price", "seo": ".advert-seo-tag", "tags": "*.info-tag@title=", "snippet": ".description-details",
      "thumb": "img.announce-card-img[src]@src", "agent": ".company-name", "all": ""},
     greenacres_columns, page={"info": ".pagination-info", "h1": "h1", "title": "title"},

@@ -84,6 +84,8 @@ def test_addresses(value):
     assert page("https://m/en/st:pr:10", 2, "mubawab") == "https://m/en/st:pr:10:p:2" and page("https://m/en/st:pr:10:p:2", 1, "mubawab") == "https://m/en/st:pr:10"
     assert page("https://h/houses/", 3, "homege") == "https://h/houses/index3.html" and page("https://d/s/_page/2/", 4, "domaza") == "https://d/s/_page/4/" and page("https://d/s/_page/2/", 1, "domaza") == "https://d/s/"
     assert page("https://l/x?page=3&q=1", 4, "lefigaro") == "https://l/x?q=1&page=4" and page("https://l/x?page=3", 1, "lefigaro") == "https://l/x"
+    assert page("https://a/s~minprice=1", 3, "abruzzopropertyitaly") == "https://a/s~minprice=1,page=2" and page("https://a/s~page=2,x=1", 1, "abruzzopropertyitaly") == "https://a/s~x=1"
+    assert value(urls.page_number(F.lit("https://a/s~x=1,page=2"), "abruzzopropertyitaly")) == 3 and value(urls.page_number(F.lit("https://a/l?start=12"), "abruzzoruralproperty")) == 3
     assert page("https://a/list", 3, "abruzzoruralproperty") == "https://a/list?start=12" and page("https://o/?a=1", 1, "ok_bulgaria") == "https://o/?a=1&page=1"
     assert value(urls.page_number(F.lit("https://d/s/_page/7/"), "domaza")) == 7 and value(urls.page_number(F.lit("https://d/s"), "domaza")) == 1
     assert value(urls.listing_id(F.lit("https://b/AD91080BG_house.html"), "bulgarianproperties")) == "91080"
