@@ -82,6 +82,18 @@ def ddl_fields(ddl: str) -> str:
     return ",".join(parts)
 
 
+def with_search(specs: DataFrame, added: DataFrame) -> DataFrame:
+    """specs with the searches of added, which replace those of the same name."""
+    return specs.join(added.select("search"), "search", "left_anti").unionByName(added, allowMissingColumns=True)
+
+
+def searches_json(specs: DataFrame) -> DataFrame:
+    """One row, value: the searches as the JSON object that searches() reads. A list of searches is a configuration, small by nature."""
+    fields = [c for c in specs.columns if c != "search"]
+    entries = F.array_sort(F.collect_list(F.struct("search", F.struct(*fields).alias("spec"))))
+    return specs.agg(F.to_json(F.map_from_entries(entries)).alias("value"))
+
+
 def enabled(specs: DataFrame, source: str | None = None, names: list[str] | None = None) -> DataFrame:
     """The searches to run: those named, else the enabled ones, of one source if asked."""
     chosen = specs.where(F.col("search").isin(names)) if names else specs.where("enabled")

@@ -112,6 +112,10 @@ def test_search_lists_and_counts(spark, tmp_path):
     assert {r["search"]: (r["source"], r["enabled"]) for r in found.collect()} == {"a": ("franimo", True), "b": ("homege", False)}
     assert [r["bands"] for r in found.where("search = 'a'").collect()] == [[[0, 9], [10, 20]]]
     assert [r["search"] for r in files.enabled(found).collect()] == ["a"] and [r["search"] for r in files.enabled(found, "homege", ["b"]).collect()] == ["b"]
+    added = found.where("search = 'b'").withColumn("enabled", F.lit(True))
+    files.searches_json(files.with_search(found, added)).write.text(str(tmp_path / "again"))
+    again = files.searches(spark, str(tmp_path / "again"))
+    assert {r["search"]: r["enabled"] for r in again.collect()} == {"a": True, "b": True} and again.where("search = 'a'").first()["bands"] == [[0, 9], [10, 20]]
     (tmp_path / "meta.json").write_text(json.dumps({"total": 1, "searches": [{"search": "a", "n": 5}, {"search": "b", "n": "x"}, {"n": 3}, "odd", {"search": "c", "n": "7"}]}))
     assert sorted(map(tuple, files.published_counts(spark, str(tmp_path / "meta.json")).collect())) == [("a", 5), ("c", 7)]
 
