@@ -136,9 +136,9 @@ class Model:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, most: int = SAMPLE) -> DataFrame:
-    """doc_id, text, label of at most `most` learnable rows of labels, chosen by a hash of the identifier; the sample is broadcast, never the table."""
+    """doc_id, text, label of at most `most` learnable rows of labels, chosen by a hash of the identifier; of several labels the larger counts. The sample is broadcast, never the table."""
     chosen = labels.where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 

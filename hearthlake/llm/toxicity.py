@@ -195,8 +195,8 @@ class Reader:
 
 
 def learned(labels: DataFrame, learnable: Column, label: str) -> DataFrame:
-    """doc_id, label (0 or 1) of the rows to learn from, one for each identifier."""
-    return labels.where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col(label) > 0).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    """doc_id, label (0 or 1) of the rows to learn from, one for each identifier; of several labels the larger counts."""
+    return labels.where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, learnable: Column, label: str) -> DataFrame:
