@@ -49,7 +49,9 @@ def bands_of(listings: DataFrame, lo: int, hi: int, ceiling: int, page_size: int
 
 
 def band_counts(listings: DataFrame, bands: list[tuple[int, int]]) -> DataFrame:
-    """lo, hi, n of each band."""
-    table = listings.sparkSession.createDataFrame(bands, "lo long, hi long")
-    inside = listings.select("price").join(F.broadcast(table), F.col("price").between(F.col("lo"), F.col("hi")))
-    return table.join(inside.groupBy("lo", "hi").agg(F.count("*").alias("n")), ["lo", "hi"], "left").select("lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
+    """lo, hi, n of each band. The bands of a catalogue are few (2^depth at most) and in order, so a row's band is how many begin at or below its price."""
+    table = listings.sparkSession.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(bands)], "band int, lo long, hi long")
+    starts = F.array(*(F.lit(a).cast("long") for a, _ in bands))
+    inside = listings.select("price", F.size(F.filter(starts, lambda a: a <= F.col("price"))).alias("band")).where(F.col("price").between(bands[0][0], bands[-1][1]))
+    counts = inside.groupBy("band").agg(F.count("*").alias("n"))
+    return table.join(counts, "band", "left").select("lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
