@@ -18,7 +18,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Tags that an opening tag of the same kind closes.
 SELF_CLOSING = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 SCOPES = frozenset("table ul ol dl div section article body html select".split())
-SIMPLE = re.compile(r"([a-zA-Z0-9]+|\*)?((?:\.[\w-]+|#[\w-]+|\[[^\]]+\])*)$")
+SIMPLE = re.compile(r"([a-zA-Z0-9]+|\*)?((?:\.[\w-]+|#[\w-]+|\[[^\]]+\])*)(?::has\(([^)]*)\))?$")
 PART = re.compile(r"\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:([*^$]?=)\s*[\"']?([^\"'\]]*)[\"']?\s*)?\]")
 
 
@@ -92,7 +92,7 @@ def parse(html: str) -> Node:
 
 
 class Simple:
-    """One compound selector: tag, classes, id, attributes."""
+    """One compound selector: tag, classes, id, attributes, and :has(compound selector of something inside)."""
 
     def __init__(self, text: str):
         m = SIMPLE.match(text)
@@ -100,6 +100,7 @@ class Simple:
             raise ValueError(f"cannot read the selector {text!r}")
         self.tag = m[1] if m[1] not in (None, "*") else None
         self.tests = PART.findall(m[2])
+        self.inside = Simple(m[3]) if m[3] else None
 
     def meets(self, node: Node) -> bool:
         if self.tag is not None and node.tag != self.tag:
@@ -115,7 +116,7 @@ class Simple:
                 have = node.attrs.get(name)
                 if have is None or sign == "=" and have != value or sign == "*=" and value not in have or sign == "^=" and not have.startswith(value) or sign == "$=" and not have.endswith(value):
                     return False
-        return True
+        return self.inside is None or any(map(self.inside.meets, node.walk()))
 
 
 class Selector:

@@ -34,6 +34,8 @@ class Portal:
     total: Callable[[], Column] = lambda: F.lit(None).cast("long")
     pages: Callable[[], Column] = lambda: F.lit(1).cast("long")
     keep: Callable[[], Column] = lambda: F.lit(True)
+    #: Rows that the page states apart from its cards, over extracted pages; they count before the cards.
+    stated: Callable[[DataFrame], DataFrame] | None = None
 
     def __post_init__(self) -> None:
         PORTALS[self.name] = self
@@ -374,8 +376,9 @@ Portal(
     "domaza", "https://www.domaza.com", 20, ".single_property",
     {"id": "@data-prop", "id2": ".prop_id", "data_link": "@data-href", "link": "a.thumb-popup[href], a[href*=-p/]@href", "price": ".prop_price", "price2": ".property_price", "price3": ".price_hidden_data",
      "crumbs": "*.oftitle a[href*=properties_], .oftitle_location a[href*=properties_]", "hidden_place": ".location_hidden_data", "area": ".area_hidden_data", "title": ".prop_title", "labels": ".property_labels", "lat": ".prop_latitude", "lon": ".prop_longitude",
+     "beds": ".thumb-info li:has([class*=icon-bed]), .thumb-info li:has([src*=bed_icon]), li:has([src*=bed_icon])", "baths": ".thumb-info li:has([class*=icon-shower]), .thumb-info li:has([src*=shower_icon]), li:has([src*=shower_icon])",
      "agency": ".property_agency_name", "ref": ".oftitle .id, .id", "thumb": ".property_image_thumb img[src], img.img-responsive[src]@src"},
-    lambda: domaza_columns() | {"bedrooms": F.lit(None).cast("long"), "baths": F.lit(None).cast("long")}, page={"hrefs": "*a[href]@href"},
+    domaza_columns, page={"hrefs": "*a[href]@href"},
     pages=lambda: one_more(most(p("hrefs"), r"/_page/([0-9]+)/?"), 20),
 )
 
@@ -393,13 +396,32 @@ def lefigaro_columns() -> dict[str, Column]:
     }
 
 
+def lefigaro_items(pages: DataFrame) -> DataFrame:
+    """Listings of the page's ItemList; the cards give those that it leaves out."""
+    whole_page = extracted(pages, None, {}, {"ld": "script[type=application/ld+json]"})
+    listed = whole_page.select("url", F.posexplode(F.from_json(F.get_json_object(p("ld"), "$.itemListElement"), "array<string>")).alias("pos", "entry"))
+    of = lambda path: F.get_json_object("item", path)
+    rows = listed.withColumn("item", F.coalesce(F.get_json_object("entry", "$.item"), "entry"))
+    quantity = lambda name: numbers.decimal_comma(F.coalesce(of(f"$.{name}.value"), F.when(~F.startswith(of(f"$.{name}"), F.lit("{")), of(f"$.{name}"))))
+    name, kind = of("$.name"), F.lower(of("$['@type']"))
+    rental = matched(name, r"(?i)\b(?:location|louer)\b") & ~matched(name, "(?i)vente")
+    columns = {
+        "external_id": urls.listing_id(F.coalesce(of("$.url"), of("$['@id']")), "lefigaro"), "url": here(F.coalesce(of("$.url"), of("$['@id']")), "https://immobilier.lefigaro.fr"),
+        "type": F.when(kind.isin("house", "singlefamilyresidence"), "Maison").when(kind == "apartment", "Appartement").when(kind == "land", "Terrain").otherwise(F.coalesce(found(name, r"^(\S+)"), F.lit("Maison"))),
+        "place": F.coalesce(of("$.address.addressLocality"), found(name, r"\b([A-ZÀ-Ÿ][A-Za-zÀ-ÿ'’ -]+?)\s*\([0-9]{2,3}\)\s*$")), "region": of("$.address.addressRegion"), "price": F.coalesce(numbers.rounded(of("$.offers.price")), numbers.rounded(of("$.offers[0].price"))),
+        "currency": F.lit("EUR"), "living_m2": quantity("floorSize"), "land_m2": F.coalesce(quantity("landArea"), quantity("lotSize")), "rooms": numbers.decimal_comma(of("$.numberOfRooms")), "bedrooms": numbers.decimal_comma(of("$.numberOfBedrooms")),
+        "lat": of("$.geo.latitude").try_cast("double"), "lon": of("$.geo.longitude").try_cast("double"), "snippet": of("$.description"), "promoted": F.lit(False),
+    }
+    return rows.where(~F.coalesce(rental, F.lit(False))).select(F.col("url").alias("page_url"), (F.col("pos") - 10_000).alias("pos"), F.lit("lefigaro").alias("source"), *(c.alias(n) for n, c in columns.items()))
+
+
 Portal(
     "lefigaro", "https://immobilier.lefigaro.fr", 24, ".cartouche-liste, .cartouche-liste--polpo",
     {"links": "*a[href]@href", "title": "h2, h3, .cartouche-liste__title", "thumb": "img[data-src]@data-src", "thumb2": "img[src]@src", "all": ""},
     lefigaro_columns, page={"ld": "script[type=application/ld+json]", "h1": "h1", "title": "title", "body": "body"},
     total=lambda: F.coalesce(numbers.decimal_comma(F.get_json_object(p("ld"), "$.numberOfItems")), numbers.decimal_comma(found(numbers.spaced(F.coalesce(p("h1"), p("title"))), r"(?i)([0-9\s]+)\s+annonces?\b"))),
     pages=lambda: F.least(F.lit(100), pages_of(F.coalesce(numbers.decimal_comma(F.get_json_object(p("ld"), "$.numberOfItems")), numbers.decimal_comma(found(numbers.spaced(F.concat_ws(" ", p("h1"), p("title"), p("body"))), r"(?i)([0-9\s]+)\s+annonces?\b"))), 24)),
-    keep=lambda: found(f("links"), urls.LISTING_ID["lefigaro"]).isNotNull() & ~(matched(f("all"), r"(?i)\b(?:location|louer)\b") & ~matched(f("all"), "(?i)vente")),
+    stated=lefigaro_items, keep=lambda: found(f("links"), urls.LISTING_ID["lefigaro"]).isNotNull() & ~(matched(f("all"), r"(?i)\b(?:location|louer)\b") & ~matched(f("all"), "(?i)vente")),
 )
 
 
@@ -445,7 +467,10 @@ def list_rows(pages: DataFrame, source: str) -> DataFrame:
     portal = PORTALS[source]
     columns = portal.columns()
     rows = cards(pages, source).where(F.col("pos").isNotNull() & portal.keep())
-    rows = rows.select(F.col("url").alias("page_url"), "pos", F.lit(source).alias("source"), *(c.alias(n) for n, c in columns.items())).where(F.col("external_id").isNotNull())
+    rows = rows.select(F.col("url").alias("page_url"), "pos", F.lit(source).alias("source"), *(c.alias(n) for n, c in columns.items()))
+    if portal.stated:
+        rows = rows.unionByName(portal.stated(pages), allowMissingColumns=True)
+    rows = rows.where(F.col("external_id").isNotNull())
     first = F.row_number().over(W.partitionBy("page_url", "external_id").orderBy("pos"))
     return rows.withColumn("_nth", first).where("_nth = 1").drop("_nth")
 

@@ -28,6 +28,7 @@ def test_selectors():
     assert texts("#a li") == ["1", "2"] and texts("div.x.y > ul > li, a[href*=sale]") in (["1", "2", "A & B"], ["A & B"])
     assert Field("a@href").read(root) == "/s/sale/1" and Field("*li").read(root) == "1\n2" and Field("script").read(root) == 'var a = "<p>";'
     assert texts("a[href^=/s]") == ["A & B"] and texts("a[href$=9]") == [] and texts("b") == []
+    assert texts("div:has(a)") == ["A & B"] and texts("li:has(b)") == []
     with pytest.raises(ValueError, match="selector"):
         Selector("p::first")
 
@@ -61,6 +62,21 @@ def test_plot_sized_area_and_quarters(spark):
     assert (found["place"], found["region"], found["price"], found["old_price"]) == ("Quarter Asparuhovo", "Varna", 9000, 9500)
 
 
+def test_item_list_counts_before_cards(spark):
+    item = {"@type": "House", "url": "/annonces/annonce-111.html", "name": "Maison 4 pièces Boussac (23)", "offers": {"price": "37 500".replace(" ", "")}, "floorSize": {"value": "71"}, "address": {"addressRegion": "Creuse"}}
+    rental = {"item": {"@type": "House", "url": "/annonces/annonce-333.html", "name": "Location maison"}}
+    ld = json.dumps({"@type": "ItemList", "numberOfItems": 3, "itemListElement": [{"item": item}, rental]})
+    html = f'<script type="application/ld+json">{ld}</script><div class="cartouche-liste"><a href="/annonces/annonce-111.html">x</a> 9 €</div><div class="cartouche-liste"><a href="/annonces/annonce-222.html">x</a> 40 000 €</div>'
+    found = {r["external_id"]: (r["price"], r["living_m2"], r["place"], r["region"]) for r in row(spark, "lefigaro", html)}
+    assert found == {"111": (37500, 71, "Boussac", "Creuse"), "222": (40000, None, None, None)}
+
+
+def test_counts_beside_icons(spark):
+    html = '<div class="single_property" data-prop="5"><ul class="thumb-info"><li><i class="icon-bed"></i> 3</li><li><i class="icon-shower"></i> 2</li></ul></div>'
+    found = row(spark, "domaza", html)[0]
+    assert (found["bedrooms"], found["baths"]) == (3, 2)
+
+
 def page(spark, source, html, url):
     r = portals.list_pages(pages(spark, html, url), source).first()
     return r["total"], r["total_pages"], r["next_url"]
