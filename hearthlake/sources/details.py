@@ -274,7 +274,15 @@ Detail("greenacres", greenacres, {"id": "#AdvertId@value", "euro": ".advert-curr
                                   "labels": "*.tag__label", "text": ".main-description, .description-text, .description", "grade": ".ValueTag__ValueTagGrade", "agent": ".company-name"})
 
 
+def scale(rows: str, kind: str) -> tuple[Column, Column]:
+    """Letter and figure of an energy scale drawn as a table: those of the row that has a figure; none where the table is faded."""
+    row, known = r"(?m)([A-G])\s+([0-9]+)\s*$", ~matched(f(kind), r"\bfaded\b")
+    return F.when(known, found(f(rows), row)), F.when(known, found(f(rows), row, 2).try_cast("long"))
+
+
 def franimo() -> dict[str, Column]:
+    energy_label, energy_kwh = scale("energy", "energy_class")
+    gas_label, gas_co2 = scale("gas", "gas_class")
     kind, land = F.lower(fact("type")), numbers.leading_area(fact("terrein"))
     living = cleaning.living_of_land(kind, numbers.leading_area(fact("woning")))
     rooms, beds = numbers.digits(fact("kamers")), numbers.digits(fact("slaapkamers"))
@@ -283,10 +291,11 @@ def franimo() -> dict[str, Column]:
         "rooms": rooms, "bedrooms": beds, "baths": numbers.digits(fact("badkamers")), "year_built": numbers.digits(fact("bouwjaar")), "price": numbers.digits(fact("prijs")), "currency": F.lit("EUR"), "reference": fact("referentie"),
         "agent": fact("makelaar"), "agent_name": fact("naam"), "agent_address": fact("adres"), "region": in_lines(f("crumbs"), r" regio ([^\n]+)"), "dept_fr": fact("departement"), "dept_nl": in_lines(f("crumbs"), r" departement ([^\n]+)"),
         "photos": photo_list(f("slides"), "https://www.franimo.nl", "^(?!.*thumb[^/]*$)"),
+        "energy_label": energy_label, "energy_kwh": energy_kwh, "gas_label": gas_label, "gas_co2": gas_co2, "description": f("text"),
     }
 
 
-Detail("franimo", franimo, {"crumbs": "*a", "slides": "*.splide img[data-splide-lazy]@data-splide-lazy"}, [(".property-information table tr", "th", "td"), (".property-vendor table tr", "th", "td")])
+Detail("franimo", franimo, {"energy": "*.energy-emmission table.energy-table tr", "energy_class": ".energy-emmission table.energy-table@class", "gas": "*table.gas-emmission tr", "gas_class": "table.gas-emmission@class", "text": "[itemprop=description]", "crumbs": "*a", "slides": "*.splide img[data-splide-lazy]@data-splide-lazy"}, [(".property-information table tr", "th", "td"), (".property-vendor table tr", "th", "td")])
 
 
 def akiyaportal() -> dict[str, Column]:

@@ -99,9 +99,10 @@ def test_details(spark):
     r = details.detail_rows(pages(spark, html, "https://m/en/a/8158008/x"), "mubawab").first()
     assert (r["external_id"], r["price"], r["old_price"], r["living_m2"], r["land_m2"], r["rooms"], r["place"], r["lat"]) == ("8158008", 85000, 90000, 96, 96, 6, "Taza", 34.2)
     assert json.loads(r["raw_fields"]) == {"plot surface": "96 m²"}
-    html = '<table class="property-information"></table><div class="property-information"><table><tr><th>Type:</th><td>Terrein</td></tr><tr><th>Woning:</th><td>800 m2</td></tr><tr><th>Terrein:</th><td>800 m2</td></tr></table></div>'
+    html = '<table class="property-information"></table><div class="property-information"><table><tr><th>Type:</th><td>Terrein</td></tr><tr><th>Woning:</th><td>800 m2</td></tr><tr><th>Terrein:</th><td>800 m2</td></tr></table></div><div class="energy-emmission"><table class="energy-table"><tr><td>51 - 90 B</td><td></td></tr><tr><td>180 - 250 D</td><td>207</td></tr></table></div><table class="gas-emmission faded"><tr><td>A</td><td>9</td></tr></table>'
     r = details.detail_rows(pages(spark, html, "https://f/woning/12345"), "franimo").first()
     assert (r["type"], r["living_m2"], r["land_m2"]) == ("Terrein", None, 800)
+    assert (r["energy_label"], r["energy_kwh"], r["gas_label"], r["gas_co2"]) == ("D", 207, None, None)
     html = "<table class=buttons_details><tr><td><div><b>Type:</b> Land - agricultural</div> Land: 707 m2 Village: NIKOLAEVKA (pop. 9) € 1,500 £1,286 ID: K7</td></tr></table><h3>House 100 sqm</h3>"
     r = details.detail_rows(pages(spark, html, "https://o/h.php?id=29839"), "ok_bulgaria").first()
     assert (r["external_id"], r["price"], r["land_m2"], r["living_m2"], r["place"], r["reference"]) == ("29839", 1500, 707, None, "Nikolaevka", "K7")
