@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -11,44 +13,92 @@ from pyspark.sql import functions as F
 
 from hearthlake.llm.shared import Scratch, key_filter, mapped, parted, unused
 
-#: A chunk ends where the rolling hash over the last WINDOW line hashes is 0 modulo SPACING ...
-WINDOW, SPACING = 2, 2
+#: A chunk ends where the rolling hash over the last WINDOW line hashes is 0 modulo SPACING; over SENTENCES sentence
+#: hashes inside a paragraph, where passages have few units ...
+WINDOW, SENTENCES, SPACING = 2, 1, 2
 #: ... but holds this many lines at least and at most.
 LEAST_LINES, MOST_LINES = 2, 64
-#: Words from which one line is a chunk of its own, and words that a chunk needs to be compared with others.
-LONG_LINE, LEAST_WORDS = 50, 8
+#: Words from which a line is a paragraph, and words that a chunk needs to be compared with others.
+LONG_LINE, LEAST_WORDS = 50, 12
+#: What ends a sentence of a paragraph: marks of the end or of any break, closing quotes, and the space after them.
+SENTENCE_END = re.compile(rb"[.!?|#$%&*+=~^]+[\"')\]]* +")
 BASE, WORD = 0x9E3779B97F4A7C15, (1 << 64) - 1
-LEAVING = pow(BASE, WINDOW, 1 << 64)
 
 
-def chunks(lines: list[bytes]) -> list[tuple[int, int, bool]]:
-    """(first line, line after the last, whether compared) of the chunks of a document, in order; they cover all lines.
+class Chunk(NamedTuple):
+    """Bytes begin to end of a text, with the separator after them; level 1 is a part of the level-0 chunk before it."""
+
+    begin: int
+    end: int
+    compared: bool
+    level: int
+
+
+def cut(units: list[tuple[int, int]], data: bytes, level: int, window: int) -> list[Chunk]:
+    """Chunks over units (begin, end) that follow each other: boundaries where the rolling hash over unit hashes says so."""
+    found: list[Chunk] = []
+    first, words, rolling, recent = 0, 0, 0, [0] * window
+    leaving = pow(BASE, window, 1 << 64)
+    for i, (begin, end) in enumerate(units):
+        unit = data[begin:end].rstrip(b"\n ")
+        h = xxhash.xxh64_intdigest(unit)
+        rolling = (rolling * BASE + h - recent[i % window] * leaving) & WORD
+        recent[i % window] = h
+        words += unit.count(b" ") + 1 if unit else 0
+        n = i + 1 - first
+        if i + 1 == len(units) or n >= MOST_LINES or n >= LEAST_LINES and (rolling >> 32) % SPACING == 0:
+            found.append(Chunk(units[first][0], end, n > 1 and words >= LEAST_WORDS, level))
+            first, words = i + 1, 0
+    return found
+
+
+def sentences(begin: int, end: int, data: bytes) -> list[tuple[int, int]]:
+    """The sentences of a line, each with the space after it."""
+    ends = [m.end() + begin for m in SENTENCE_END.finditer(data[begin:end])]
+    bounds = [begin, *(e for e in ends if e < end), end]
+    return list(zip(bounds, bounds[1:], strict=False))
+
+
+def chunks(data: bytes) -> list[Chunk]:
+    """The chunks of a text in order; those of level 0 cover it.
 
     A boundary depends on the last WINDOW lines only, so lines put in before a passage move the
-    boundaries inside it by nothing. A line of LONG_LINE words or more has a boundary on both sides.
-    Only chunks of two lines or more, or of one long line, with LEAST_WORDS words are compared.
+    boundaries inside it by nothing. A line of LONG_LINE words or more is a paragraph: it has a
+    boundary on both sides and is a chunk by itself, and its sentences are cut as lines are, into
+    chunks of level 1, so that a passage inside a paragraph is found too. Compared are paragraphs, and
+    chunks of two units or more with LEAST_WORDS words.
     """
-    found, begin, rolling, recent = [], 0, 0, [0] * WINDOW
-    words = [line.count(b" ") + 1 if line else 0 for line in lines]
-
-    def close(end: int) -> None:
-        nonlocal begin
-        if end > begin:
-            n = sum(words[begin:end])
-            found.append((begin, end, n >= LEAST_WORDS and (end - begin > 1 or n >= LONG_LINE)))
-            begin = end
-
-    for i, line in enumerate(lines):
-        h = xxhash.xxh64_intdigest(line)
-        rolling = (rolling * BASE + h - recent[i % WINDOW] * LEAVING) & WORD
-        recent[i % WINDOW] = h
-        if words[i] >= LONG_LINE:
-            close(i)
-            close(i + 1)
-        elif i + 1 - begin >= MOST_LINES or i + 1 - begin >= LEAST_LINES and (rolling >> 32) % SPACING == 0:
-            close(i + 1)
-    close(len(lines))
-    return found
+    found: list[Chunk] = []
+    run: list[tuple[int, int]] = []
+    begin = 0
+    while begin <= len(data):
+        at = data.find(b"\n", begin)
+        end = len(data) if at < 0 else at + 1
+        if data.count(b" ", begin, end) + 1 >= LONG_LINE:
+            found += cut(run, data, 0, WINDOW)
+            run = []
+            found.append(Chunk(begin, end, True, 0))
+            parts = sentences(begin, end, data)
+            found += cut(parts, data, 1, SENTENCES) if len(parts) > 1 else []
+        elif end > begin:
+            run.append((begin, end))
+        begin = end if at >= 0 else len(data) + 1
+    return found + cut(run, data, 0, WINDOW)
+
+
+def without_chunks(data: bytes, found: list[Chunk], dropped: set[int]) -> bytes:
+    """data less the dropped chunks; a paragraph that goes takes its parts along."""
+    kept, at, gone_to = [], 0, 0
+    for k in sorted(dropped, key=lambda k: (found[k].begin, found[k].level)):
+        c = found[k]
+        if c.end <= gone_to:
+            continue
+        kept.append(data[at : max(at, c.begin)])
+        at = gone_to = c.end
+    rest = data[at:]
+    out = b"".join([*kept, rest])
+    # What stood before a removed end keeps no separator that the text did not end with.
+    return out if rest or not out else out.removesuffix(out[-1:] if out[-1:] in (b"\n", b" ") else b"")
 
 
 def digest(body: bytes) -> bytes:
@@ -62,10 +112,10 @@ def chunk_table(docs: DataFrame, bodies: bool, digest=digest) -> DataFrame:
         for batch in batches:
             at, place, digests, texts = [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                lines = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
-                for k, (begin, end, compared) in enumerate(chunks(lines)):
-                    if compared:
-                        body = b"\n".join(lines[begin:end])
+                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                for k, c in enumerate(chunks(data)):
+                    if c.compared:
+                        body = data[c.begin : c.end].rstrip(b"\n ")
                         at.append(i), place.append(k), digests.append(digest(body))
                         if bodies:
                             texts.append(body)
@@ -122,15 +172,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             texts, counts = [], []
             for text, dropped in zip(batch.column(at), batch.column(len(batch.columns) - 1), strict=True):
                 text, dropped = text.as_py(), set(dropped.as_py() or ())
-                found = None
+                found, data = [], b""
                 if report and text is not None or dropped:
-                    lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
-                    found = chunks(lines)
-                kept = text
-                if dropped and text is not None:
-                    kept = b"\n".join(line for k, (a, b, _) in enumerate(found) if k not in dropped for line in lines[a:b]).decode("utf-8", "surrogatepass")
+                    data = (text or "").encode("utf-8", "surrogatepass")
+                    found = chunks(data)
+                kept = without_chunks(data, found, dropped).decode("utf-8", "surrogatepass") if dropped and text is not None else text
                 texts.append(kept)
-                counts.append((len(found or ()), len(dropped), len(text or "") - len(kept or "")))
+                counts.append((len(found), len(dropped), len(text or "") - len(kept or "")))
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])]
             columns += [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)] if report else []
             yield pa.RecordBatch.from_arrays(columns, names)

@@ -25,13 +25,17 @@ def some_docs(seed=4):
 def brute(docs):
     first, out = {}, {}
     for d, text in sorted((x for x in docs if x[0] is not None), key=lambda x: x[0]):
-        lines = (text or "").encode().split(b"\n")
-        kept = []
-        for k, (a, b, compared) in enumerate(chunks(lines)):
-            body = b"\n".join(lines[a:b])
-            if not compared or first.setdefault(body, (d, k)) == (d, k):
-                kept += lines[a:b]
-        out[d] = b"\n".join(kept).decode() if text is not None else None
+        data = (text or "").encode()
+        found, kept, gone = chunks(data), bytearray(b"\x01" * len(data)), False
+        for k, c in enumerate(found):
+            body = data[c.begin : c.end].rstrip(b"\n ")
+            if c.compared and first.setdefault(body, (d, k)) != (d, k):
+                kept[c.begin : c.end] = bytes(c.end - c.begin)
+                gone = True
+        left = bytes(b for b, keep in zip(data, kept, strict=True) if keep)
+        if gone and left and not kept[-1] and left[-1:] in (b"\n", b" "):
+            left = left[:-1]
+        out[d] = left.decode() if text is not None else None
     return out
 
 
@@ -51,15 +55,25 @@ def test_passages_go_wherever_they_stand(spark):
 
 def test_boundaries_move_with_the_lines():
     draw = random.Random(1)
-    passage = [sentence(draw, 8).encode() for _ in range(40)]
-    cut = lambda lines: {b"\n".join(lines[a:b]) for a, b, _ in chunks(lines)}
+    passage = "\n".join(sentence(draw, 8) for _ in range(40)).encode()
+    cut = lambda data: {data[c.begin : c.end].rstrip() for c in chunks(data)}
     alone = cut(passage)
     for n in range(1, 6):
-        moved = cut([sentence(draw, 5).encode() for _ in range(n)] + passage)
+        moved = cut("\n".join(sentence(draw, 5) for _ in range(n)).encode() + b"\n" + passage)
         assert len(alone & moved) >= len(alone) - 2
-    for lines in ([b""], [b"a"], passage):
-        found = chunks(lines)
-        assert [a for a, *_ in found] == [0, *(b for _, b, _ in found[:-1])] and found[-1][1] == len(lines)
+    for data in (b"", b"a", b"\n\n", passage, b"x " * 80, b"One two. " * 30 + b"\nend"):
+        whole = [c for c in chunks(data) if c.level == 0]
+        assert b"".join(data[c.begin : c.end] for c in whole) == data
+
+
+def test_a_passage_at_the_end_of_a_paragraph_is_cut(spark):
+    draw = random.Random(3)
+    passage = " ".join(sentence(draw, 9).capitalize() + "." for _ in range(8))
+    docs = [(i, " ".join(sentence(draw, 10).capitalize() + "." for _ in range(6)) + " " + passage) for i in range(30)]
+    texts = {r["doc_id"]: r["text"] for r in without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert texts[0] == docs[0][1] and texts == brute(docs)
+    assert all(t[: t.index(passage)].strip() in texts[d] for d, t in docs)
+    assert sum(passage in t for t in texts.values()) <= 3  # one for each way in which its sentences pair up
 
 
 def test_edges_and_report(spark):
