@@ -34,29 +34,29 @@ class Chunk(NamedTuple):
     level: int
 
 
-def cut(units: list[tuple[int, int]], data: bytes, level: int, window: int) -> list[Chunk]:
-    """Chunks over units (begin, end) that follow each other: boundaries where the rolling hash over unit hashes says so."""
+def words(data: bytes, begin: int, end: int) -> int:
+    return data.count(b" ", begin, end) + data.count(b"\n", begin, end) + 1
+
+
+def cut(bounds: list[int], data: bytes, level: int, window: int) -> list[Chunk]:
+    """Chunks over the units between bounds: a boundary where the rolling hash over the last `window` unit hashes says so."""
     found: list[Chunk] = []
-    first, words, rolling, recent = 0, 0, 0, [0] * window
-    leaving = pow(BASE, window, 1 << 64)
-    for i, (begin, end) in enumerate(units):
-        unit = data[begin:end].rstrip(b"\n ")
-        h = xxhash.xxh64_intdigest(unit)
-        rolling = (rolling * BASE + h - recent[i % window] * leaving) & WORD
+    first, rolling, recent, leaving, last = 0, 0, [0] * window, pow(BASE, window, 1 << 64), len(bounds) - 1
+    for i in range(last):
+        h = xxhash.xxh64_intdigest(data[bounds[i] : bounds[i + 1]])
+        rolling = (rolling * BASE + h - recent[i % window] * leaving) & WORD if window > 1 else h
         recent[i % window] = h
-        words += unit.count(b" ") + 1 if unit else 0
         n = i + 1 - first
-        if i + 1 == len(units) or n >= MOST_LINES or n >= LEAST_LINES and (rolling >> 32) % SPACING == 0:
-            found.append(Chunk(units[first][0], end, n > 1 and words >= LEAST_WORDS, level))
-            first, words = i + 1, 0
+        if i + 1 == last or n >= LEAST_LINES and ((rolling >> 32) % SPACING == 0 or n >= MOST_LINES):
+            found.append(Chunk(bounds[first], bounds[i + 1], n > 1 and words(data, bounds[first], bounds[i + 1] - 1) >= LEAST_WORDS, level))
+            first = i + 1
     return found
 
 
-def sentences(begin: int, end: int, data: bytes) -> list[tuple[int, int]]:
-    """The sentences of a line, each with the space after it."""
-    ends = [m.end() + begin for m in SENTENCE_END.finditer(data[begin:end])]
-    bounds = [begin, *(e for e in ends if e < end), end]
-    return list(zip(bounds, bounds[1:], strict=False))
+def sentences(begin: int, end: int, data: bytes) -> list[int]:
+    """Where the sentences of a line begin and end, each with the space after it."""
+    ends = [m.end() for m in SENTENCE_END.finditer(data, begin, end)]
+    return [begin, *ends] if ends and ends[-1] == end else [begin, *ends, end]
 
 
 def chunks(data: bytes) -> list[Chunk]:
@@ -69,20 +69,18 @@ def chunks(data: bytes) -> list[Chunk]:
     chunks of two units or more with LEAST_WORDS words.
     """
     found: list[Chunk] = []
-    run: list[tuple[int, int]] = []
-    begin = 0
-    while begin <= len(data):
-        at = data.find(b"\n", begin)
-        end = len(data) if at < 0 else at + 1
+    run, begin = [0], 0
+    while begin < len(data):
+        end = data.find(b"\n", begin) + 1 or len(data)
         if data.count(b" ", begin, end) + 1 >= LONG_LINE:
             found += cut(run, data, 0, WINDOW)
-            run = []
             found.append(Chunk(begin, end, True, 0))
             parts = sentences(begin, end, data)
-            found += cut(parts, data, 1, SENTENCES) if len(parts) > 1 else []
-        elif end > begin:
-            run.append((begin, end))
-        begin = end if at >= 0 else len(data) + 1
+            found += cut(parts, data, 1, SENTENCES) if len(parts) > 2 else []
+            run = [end]
+        else:
+            run.append(end)
+        begin = end
     return found + cut(run, data, 0, WINDOW)
 
 
@@ -136,7 +134,10 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch, digest=digest) -> DataFra
     n = marks.count()
     hits = scratch.keep(marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "hits", n)
     bitmap, bits = key_filter(hits, "digest")
-    rows = parted(chunk_table(docs, True, digest), "digest", bitmap, bits)[1]
+    # Only documents with a repeated digest are cut a second time, for the bytes of their chunks.
+    hit_docs = scratch.keep(marks.join(hits, "digest", "left_semi").select("doc_id").distinct(), "hit-docs", n)
+    affected = parted(docs, "doc_id", *key_filter(hit_docs, "doc_id"))[1]
+    rows = parted(chunk_table(affected, True, digest), "digest", bitmap, bits)[1]
     verified = scratch.keep(rows.groupBy("digest", "body").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("n")).select("digest", "first", "n"), "verified")
     clashing = scratch.keep(verified.groupBy("digest").agg(F.count("*").alias("bodies")).where("bodies > 1").select("digest"), "clashing", n)
     firsts = scratch.keep(verified.where("n > 1").join(clashing, "digest", "left_anti").select("digest", "first"), "firsts", n)
