@@ -23,7 +23,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by five-word SimHash."""
+    """One document of each group of near copies: SimHash and MinHash propose, the exact resemblance of five-word shingles decides."""
     return simhash.one_of_each_group(docs)
 
 

@@ -21,11 +21,11 @@ DIRECT = 128
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1).view("<u8")
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The signed 64-bit SimHash of a text's word shingles; 0 where it has no word."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The 64-bit hashes of a text's word shingles in order, of its words where these are no more than a shingle's; none where it has no word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     line = b" ".join(words)
     if len(words) <= width:
         shingles = [line]
@@ -33,13 +33,24 @@ def fingerprint(text: str | None, width: int) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         shingles = [line[a:b] for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    n = len(shingles)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8", n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8", len(shingles))
+
+
+def word_of(hashes: np.ndarray) -> int:
+    """The signed 64-bit SimHash of shingle hashes; 0 where there are none."""
+    n = len(hashes)
+    if not n:
+        return 0
     lanes = np.add.reduceat(LANES[hashes.view(np.uint8).reshape(n, 8)], np.arange(0, n, 255), axis=0)
     counts = np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, BITS).sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, width: int) -> int:
+    """The signed 64-bit SimHash of a text's word shingles; 0 where it has no word."""
+    return word_of(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp for every row; no row is moved."""
 
@@ -124,12 +135,12 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str =
     return marked.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, width: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those whose near group has a row with a smaller identifier.
+def one_of_each_group(docs: DataFrame, width: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, without those whose group of near copies has a row with a smaller identifier.
 
-    Five-word shingles; 60 of 64 equal bits stand for a resemblance of well over 0.8. Rows without
-    an identifier are kept: they can't be told from each other.
+    Groups are chains of pairs whose word shingles have a Jaccard resemblance of `least` or more;
+    see resemblance.py. Rows without an identifier are kept: they can't be told from each other.
     """
-    groups = near_groups(docs, width, radius, id_col, text_col)
-    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return without(docs, Scratch(docs.sparkSession, "simhash-dropped").keep(dropped, "ids", docs.count()), id_col)
+    from hearthlake.llm.resemblance import later_copies
+
+    return without(docs, later_copies(docs, width, radius, least, id_col, text_col), id_col)
