@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,16 +24,22 @@ LEAST_LINES, MOST_LINES = 2, 64
 LONG_LINE, LEAST_WORDS = 50, 12
 #: What ends a sentence of a paragraph: marks of the end or of any break, closing quotes, and the space after them.
 SENTENCE_END = re.compile(rb"[.!?|#$%&*+=~^]+[\"')\]]* +")
+#: What ends a clause, the unit of runs: any mark and closing quotes with the space after them, or the end of a line.
+CLAUSE_END = re.compile(rb"[.!?|#$%&*+=~^,;:\n](?:(?<=\n)[ \n]*|(?<!\n)[.!?|#$%&*+=~^,;:]*[\"')\]]*[ \n]+)")
+#: Words that a run of clauses has at least. A passage of over 50 words loses a part of a clause at both ends where it
+#: begins and ends inside clauses; what is left of it is found from so many words on.
+RUN_WORDS = 32
 BASE, WORD = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 class Chunk(NamedTuple):
-    """Bytes begin to end of a text, with the separator after them; level 1 is a part of the level-0 chunk before it."""
+    """Bytes begin to end of a text, with the separator after them; level 1 is a part of the level-0 chunk before it, level 2 a run, with its anchor."""
 
     begin: int
     end: int
     compared: bool
     level: int
+    anchor: int = 0
 
 
 def words(data: bytes, begin: int, end: int) -> int:
@@ -59,15 +67,107 @@ def sentences(begin: int, end: int, data: bytes) -> list[int]:
     return [begin, *ends] if ends and ends[-1] == end else [begin, *ends, end]
 
 
+def clause_bounds(data: bytes) -> np.ndarray:
+    """Where the clauses of a text begin and end, each with the space after it."""
+    ends = [m.end() for m in CLAUSE_END.finditer(data)]
+    return np.array([0, *ends] if ends and ends[-1] == len(data) else [0, *ends, len(data)], np.int64)
+
+
+def run_places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of the clauses, and of each run its first clause and the clause after its last."""
+    bounds = clause_bounds(data)
+    inked = np.frombuffer(data, np.uint8) > 32
+    begins = inked.copy()
+    begins[1:] &= ~inked[:-1]
+    before = np.concatenate(([0], np.cumsum(begins)))[bounds]  # words before each boundary
+    n = len(bounds)
+    to = np.searchsorted(before, before + RUN_WORDS)
+    since = np.searchsorted(before, before - RUN_WORDS, side="right") - 1
+    at = np.arange(n)
+    both = np.unique(np.concatenate(((at * n + to)[to < n], (since * n + at)[since >= 0])))
+    return bounds, both // n, both % n
+
+
+def unit_hashes(data: bytes, bounds: np.ndarray) -> np.ndarray:
+    """The hash of each clause without the space after it."""
+    return np.fromiter((xxhash.xxh64_intdigest(data[a:b].rstrip(b"\n ")) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), np.uint64, len(bounds) - 1)
+
+
+def least_pairs(alone: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """The anchor of each run: the least hash of two clauses in a row inside it, of its one clause where there is one. Equal bytes have equal anchors."""
+    if not len(first):
+        return np.empty(0, np.int64)
+    least = np.minimum.reduceat(np.append(in_a_row(alone), [np.uint64(0)] * 2), np.column_stack((first, past - 1)).ravel())[::2]
+    return np.where(past - 1 > first, least, alone[first]).view(np.int64)
+
+
+def in_a_row(alone: np.ndarray) -> np.ndarray:
+    return alone[:-1] * np.uint64(BASE) + alone[1:]
+
+
+def anchor_of(body: bytes) -> int:
+    """The anchor of a chunk's bytes, the same as that of a run of these bytes."""
+    alone = unit_hashes(body, clause_bounds(body))
+    return int((in_a_row(alone) if len(alone) > 1 else alone).min().view(np.int64))
+
+
+def anchors(data: bytes) -> dict[int, int]:
+    """The anchors of a text's compared chunks, each with the number of places where it stands, or more."""
+    if not data:
+        return {}
+    bounds, first, past = run_places(data)
+    alone = unit_hashes(data, bounds)
+    found = dict.fromkeys(np.unique(least_pairs(alone, first, past)).tolist(), 1)
+    lined = units_cut(data)
+    for level in (0, 1):
+        for anchor, n in Counter(anchor_of(data[c.begin : c.end].rstrip(b"\n ")) for c in lined if c.compared and c.level == level).items():
+            found[anchor] = max(found.get(anchor, 1), n)
+    values, counts = np.unique(np.concatenate((alone, in_a_row(alone))).view(np.int64), return_counts=True)
+    for anchor, n in zip(values[counts > 1].tolist(), counts[counts > 1].tolist(), strict=True):
+        if anchor in found:
+            found[anchor] = max(found[anchor], n)
+    return found
+
+
+def runs(data: bytes, taken: set[tuple[int, int]]) -> list[Chunk]:
+    """Runs of whole clauses: the shortest of RUN_WORDS words or more from each clause on, and the shortest up to each.
+
+    Together those inside a passage cover all its whole clauses, wherever it stands and however its
+    clauses are split: the first run begins with the passage, the last one ends with it, and each clause
+    between begins one or lies in the last. Runs that overlap an equal one before them (texts that repeat
+    at short intervals) and those whose bytes, begin to end of the last word, are taken are left out.
+    """
+    bounds, first, past = run_places(data)
+    found, free = [], {}
+    for begin, end, anchor in zip(bounds[first].tolist(), bounds[past].tolist(), least_pairs(unit_hashes(data, bounds), first, past).tolist(), strict=True):
+        body = data[begin:end].rstrip(b"\n ")
+        if begin >= free.get(body, 0):
+            free[body] = begin + len(body)
+            if (begin, begin + len(body)) not in taken:
+                found.append(Chunk(begin, end, True, 2, anchor))
+    return found
+
+
 def chunks(data: bytes) -> list[Chunk]:
-    """The chunks of a text in order; those of level 0 cover it.
+    """The chunks of a text by where they begin; those of level 0 cover it.
 
     A boundary depends on the last WINDOW lines only, so lines put in before a passage move the
     boundaries inside it by nothing. A line of LONG_LINE words or more is a paragraph: it has a
     boundary on both sides and is a chunk by itself, and its sentences are cut as lines are, into
     chunks of level 1, so that a passage inside a paragraph is found too. Compared are paragraphs, and
-    chunks of two units or more with LEAST_WORDS words.
+    chunks of two units or more with LEAST_WORDS words, and runs (level 2), which find the passages that
+    no boundary falls into.
     """
+    if not data:
+        return []
+    found = units_cut(data)
+    found += runs(data, {(c.begin, c.begin + len(data[c.begin : c.end].rstrip(b"\n "))) for c in found if c.compared})
+    # In this order every chunk's first occurrence stands before it, so no two cut each other.
+    return sorted(found, key=lambda c: (c.begin, c.level))
+
+
+def units_cut(data: bytes) -> list[Chunk]:
+    """The chunks of levels 0 and 1."""
     found: list[Chunk] = []
     run, begin = [0], 0
     while begin < len(data):
@@ -75,8 +175,9 @@ def chunks(data: bytes) -> list[Chunk]:
         if data.count(b" ", begin, end) + 1 >= LONG_LINE:
             found += cut(run, data, 0, WINDOW)
             found.append(Chunk(begin, end, True, 0))
-            parts = sentences(begin, end, data)
-            found += cut(parts, data, 1, SENTENCES) if len(parts) > 2 else []
+            parts = cut(sentences(begin, end, data), data, 1, SENTENCES)
+            # One part would be the paragraph again, and be cut out of it as its copy.
+            found += parts if len(parts) > 1 else []
             run = [end]
         else:
             run.append(end)
@@ -85,7 +186,7 @@ def chunks(data: bytes) -> list[Chunk]:
 
 
 def without_chunks(data: bytes, found: list[Chunk], dropped: set[int]) -> bytes:
-    """data less the dropped chunks; a paragraph that goes takes its parts along."""
+    """data less the dropped chunks, which may overlap; a paragraph that goes takes its parts along."""
     kept, at, gone_to = [], 0, 0
     for k in sorted(dropped, key=lambda k: (found[k].begin, found[k].level)):
         c = found[k]
@@ -104,33 +205,58 @@ def digest(body: bytes) -> bytes:
 
 
 def chunk_table(docs: DataFrame, bodies: bool, digest=digest) -> DataFrame:
-    """doc_id, chunk (its place), digest[, body] of every compared chunk of docs (doc_id, text)."""
+    """doc_id, chunk (its place), digest, anchor[, body] of every compared chunk of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, place, digests, texts = [], [], [], []
+            at, place, digests, texts, held = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 for k, c in enumerate(chunks(data)):
                     if c.compared:
                         body = data[c.begin : c.end].rstrip(b"\n ")
-                        at.append(i), place.append(k), digests.append(digest(body))
+                        at.append(i), place.append(k), digests.append(digest(body)), held.append(c.anchor if c.level == 2 else anchor_of(body))
                         if bodies:
                             texts.append(body)
-            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(place, pa.int32()), pa.array(digests, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts, pa.binary())] if bodies else [])], ["doc_id", "chunk", "digest", *(["body"] if bodies else [])])
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(place, pa.int32()), pa.array(digests, pa.binary()), pa.array(held, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts, pa.binary())] if bodies else [])], ["doc_id", "chunk", "digest", "anchor", *(["body"] if bodies else [])])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return mapped(docs, run, f"doc_id {kind}, chunk int, digest binary, anchor long" + ", body binary" * bodies)
+
+
+def anchor_table(docs: DataFrame) -> DataFrame:
+    """doc_id, anchor, n (places, or more) of docs (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, held, places = [], [], []
+            for i, text in enumerate(batch.column(1)):
+                found = anchors((text.as_py() or "").encode("utf-8", "surrogatepass"))
+                at += [i] * len(found)
+                held += found
+                places += found.values()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(held, pa.int64()), pa.array(places, pa.int64())], ["doc_id", "anchor", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return mapped(docs, run, f"doc_id {kind}, chunk int, digest binary" + ", body binary" * bodies)
+    return mapped(docs, run, f"doc_id {kind}, anchor long, n long")
 
 
 def repeated_chunks(docs: DataFrame, scratch: Scratch, digest=digest) -> DataFrame:
     """doc_id, drop (places of the chunks to remove), for the documents of docs (doc_id, text) that lose any.
 
-    Digests that occur more than once pass a bounded filter; the chunks behind them are grouped by
+    Equal chunks have equal anchors, of which there are few: only chunks whose anchor stands in several
+    places, and only documents that hold such a one, go on. Digests that occur more than once pass a bounded filter; the chunks behind them are grouped by
     digest and bytes, and all but the first occurrence (smallest doc_id, then place) are dropped.
     """
-    marks = scratch.keep(chunk_table(docs, False, digest), "marks")
+    held = scratch.keep(anchor_table(docs), "anchors")
+    places = held.count()
+    common = scratch.keep(held.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "common", places)
+    common_map, common_bits = key_filter(common, "anchor")
+    holders = scratch.keep(parted(held, "anchor", common_map, common_bits)[1].select("doc_id").distinct(), "holders", places)
+    docs = parted(docs, "doc_id", *key_filter(holders, "doc_id"))[1]
+    again = lambda bodies: parted(chunk_table(docs, bodies, digest), "anchor", common_map, common_bits)[1]
+    marks = scratch.keep(again(False).select("doc_id", "chunk", "digest"), "marks")
     n = marks.count()
     hits = scratch.keep(marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "hits", n)
     bitmap, bits = key_filter(hits, "digest")

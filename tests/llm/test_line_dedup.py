@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from hearthlake.llm.line_dedup import chunks, digest, without_repeats
+from hearthlake.llm.line_dedup import anchor_of, anchors, chunks, digest, without_repeats
 from tests.llm.helpers import EDGES, clashing_docs, no_docs
 
 
@@ -84,3 +84,62 @@ def test_edges_and_report(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=repr) == sorted(((d, t) for d, t, *_ in EDGES), key=repr)
     assert without_repeats(no_docs(spark)).count() == 0
     assert found.where(F.col("removed") > 0).count() == 0
+
+
+def clauses(draw, n, least=8, most=16):
+    """About n words in sentences, some with a comma."""
+    out = []
+    while len(out) < n:
+        some = sentence(draw, min(draw.randint(least, most), n - len(out))).split()
+        if len(some) > 8:
+            some[4] += ","
+        some[-1] += "."
+        out += some
+    return out
+
+
+def test_passages_of_51_to_90_words_go_at_random_places(spark):
+    draw, docs, passages = random.Random(11), [], []
+    for i in range(100):
+        passage = clauses(draw, draw.randint(51, 90))
+        passages.append(passage)
+        for k in range(2):
+            own = clauses(draw, draw.randint(60, 150))
+            at = draw.randint(0, len(own))  # inside a sentence, too
+            docs.append((i + 1000 * k, " ".join([*own[:at], *passage, *own[at:]])))
+    texts = {r["doc_id"]: r["text"] for r in without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert texts == brute(docs)
+    given = dict(docs)
+    gone = [len(given[i + 1000].split()) - len(texts[i + 1000].split()) for i in range(100)]
+    assert all(texts[i] == given[i] for i in range(100))
+    assert all(n <= len(p) for n, p in zip(gone, passages, strict=True))
+    assert sum(n > 0 for n in gone) >= 95 and sum(gone) >= 0.85 * sum(map(len, passages))
+
+
+def test_passages_of_two_to_four_short_lines_go(spark):
+    draw, docs = random.Random(12), []
+    for i in range(60):
+        passage = [sentence(draw, draw.randint(26, 48)) for _ in range(2 + i % 3)]
+        docs += [(i + 1000 * k, "\n".join([sentence(draw, 20), *passage, sentence(draw, 9)])) for k in range(2)]
+    texts = {r["doc_id"]: r["text"] for r in without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    given = dict(docs)
+    assert all(texts[i] == given[i] and len(texts[i + 1000].split()) == 29 for i in range(60))
+
+
+def test_a_paragraph_is_no_copy_of_its_only_part(spark):
+    draw = random.Random(13)
+    docs = [(i, " ".join(sentence(draw, 30) + "." for _ in range(2))) for i in range(20)]
+    texts = {r["doc_id"]: r["text"] for r in without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert texts == dict(docs)
+
+
+def test_equal_chunks_have_equal_anchors():
+    for _, text in some_docs(15):
+        data = (text + " And, so; on. " * 9 + "\n" + text.replace(" ", ", ")).encode()
+        held, seen = anchors(data), {}
+        for c in chunks(data):
+            if c.compared:
+                body = data[c.begin : c.end].rstrip(b"\n ")
+                assert c.level < 2 or c.anchor == anchor_of(body)
+                seen[body] = seen.get(body, 0) + 1
+        assert all(held[anchor_of(b)] >= min(n, 2) for b, n in seen.items())
