@@ -1,314 +1,291 @@
-"""Line dedup by content-defined chunks of lines."""
+"""Line dedup by content-defined chunks: rolling hashes over line hashes bound them, bytes confirm them."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.shared import Scratch, key_filter, mapped, parted, unused
-
-#: A chunk ends where the rolling hash over the last WINDOW line hashes is 0 modulo SPACING; over SENTENCES sentence
-#: hashes inside a paragraph, where passages have few units ...
-WINDOW, SENTENCES, SPACING = 2, 1, 2
-#: ... but holds this many lines at least and at most.
-LEAST_LINES, MOST_LINES = 2, 64
-#: Words from which a line is a paragraph, and words that a chunk needs to be compared with others.
-LONG_LINE, LEAST_WORDS = 50, 12
-#: What ends a sentence of a paragraph: marks of the end or of any break, closing quotes, and the space after them.
-SENTENCE_END = re.compile(rb"[.!?|#$%&*+=~^]+[\"')\]]* +")
-#: What ends a clause, the unit of runs: any mark and closing quotes with the space after them, or the end of a line.
-CLAUSE_END = re.compile(rb"[.!?|#$%&*+=~^,;:\n](?:(?<=\n)[ \n]*|(?<!\n)[.!?|#$%&*+=~^,;:]*[\"')\]]*[ \n]+)")
-#: Words that a run of clauses has at least. A passage of over 50 words loses a part of a clause at both ends where it
-#: begins and ends inside clauses; what is left of it is found from so many words on.
-RUN_WORDS = 32
-BASE, WORD = 0x9E3779B97F4A7C15, (1 << 64) - 1
-
-
-class Chunk(NamedTuple):
-    """Bytes begin to end of a text, with the separator after them; level 1 is a part of the level-0 chunk before it, level 2 a run, with its anchor."""
-
-    begin: int
-    end: int
-    compared: bool
-    level: int
-    anchor: int = 0
-
-
-def words(data: bytes, begin: int, end: int) -> int:
-    return data.count(b" ", begin, end) + data.count(b"\n", begin, end) + 1
-
-
-def cut(bounds: list[int], data: bytes, level: int, window: int) -> list[Chunk]:
-    """Chunks over the units between bounds: a boundary where the rolling hash over the last `window` unit hashes says so."""
-    found: list[Chunk] = []
-    first, rolling, recent, leaving, last = 0, 0, [0] * window, pow(BASE, window, 1 << 64), len(bounds) - 1
-    for i in range(last):
-        h = xxhash.xxh64_intdigest(data[bounds[i] : bounds[i + 1]])
-        rolling = (rolling * BASE + h - recent[i % window] * leaving) & WORD if window > 1 else h
-        recent[i % window] = h
-        n = i + 1 - first
-        if i + 1 == last or n >= LEAST_LINES and ((rolling >> 32) % SPACING == 0 or n >= MOST_LINES):
-            found.append(Chunk(bounds[first], bounds[i + 1], n > 1 and words(data, bounds[first], bounds[i + 1] - 1) >= LEAST_WORDS, level))
-            first = i + 1
-    return found
-
-
-def sentences(begin: int, end: int, data: bytes) -> list[int]:
-    """Where the sentences of a line begin and end, each with the space after it."""
-    ends = [m.end() for m in SENTENCE_END.finditer(data, begin, end)]
-    return [begin, *ends] if ends and ends[-1] == end else [begin, *ends, end]
-
-
-def clause_bounds(data: bytes) -> np.ndarray:
-    """Where the clauses of a text begin and end, each with the space after it."""
-    ends = [m.end() for m in CLAUSE_END.finditer(data)]
-    return np.array([0, *ends] if ends and ends[-1] == len(data) else [0, *ends, len(data)], np.int64)
-
-
-def run_places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds of the clauses, and of each run its first clause and the clause after its last."""
-    bounds = clause_bounds(data)
-    inked = np.frombuffer(data, np.uint8) > 32
-    begins = inked.copy()
-    begins[1:] &= ~inked[:-1]
-    before = np.concatenate(([0], np.cumsum(begins)))[bounds]  # words before each boundary
-    n = len(bounds)
-    to = np.searchsorted(before, before + RUN_WORDS)
-    since = np.searchsorted(before, before - RUN_WORDS, side="right") - 1
-    at = np.arange(n)
-    both = np.unique(np.concatenate(((at * n + to)[to < n], (since * n + at)[since >= 0])))
-    return bounds, both // n, both % n
-
-
-def unit_hashes(data: bytes, bounds: np.ndarray) -> np.ndarray:
-    """The hash of each clause without the space after it."""
-    return np.fromiter((xxhash.xxh64_intdigest(data[a:b].rstrip(b"\n ")) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), np.uint64, len(bounds) - 1)
-
-
-def least_pairs(alone: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
-    """The anchor of each run: the least hash of two clauses in a row inside it, of its one clause where there is one. Equal bytes have equal anchors."""
-    if not len(first):
-        return np.empty(0, np.int64)
-    least = np.minimum.reduceat(np.append(in_a_row(alone), [np.uint64(0)] * 2), np.column_stack((first, past - 1)).ravel())[::2]
-    return np.where(past - 1 > first, least, alone[first]).view(np.int64)
-
-
-def in_a_row(alone: np.ndarray) -> np.ndarray:
-    return alone[:-1] * np.uint64(BASE) + alone[1:]
-
-
-def anchor_of(body: bytes) -> int:
-    """The anchor of a chunk's bytes, the same as that of a run of these bytes."""
-    alone = unit_hashes(body, clause_bounds(body))
-    return int((in_a_row(alone) if len(alone) > 1 else alone).min().view(np.int64))
-
-
-def anchors(data: bytes) -> dict[int, int]:
-    """The anchors of a text's compared chunks, each with the number of places where it stands, or more."""
-    if not data:
-        return {}
-    bounds, first, past = run_places(data)
-    alone = unit_hashes(data, bounds)
-    found = dict.fromkeys(np.unique(least_pairs(alone, first, past)).tolist(), 1)
-    lined = units_cut(data)
-    for level in (0, 1):
-        for anchor, n in Counter(anchor_of(data[c.begin : c.end].rstrip(b"\n ")) for c in lined if c.compared and c.level == level).items():
-            found[anchor] = max(found.get(anchor, 1), n)
-    values, counts = np.unique(np.concatenate((alone, in_a_row(alone))).view(np.int64), return_counts=True)
-    for anchor, n in zip(values[counts > 1].tolist(), counts[counts > 1].tolist(), strict=True):
-        if anchor in found:
-            found[anchor] = max(found[anchor], n)
-    return found
-
-
-def runs(data: bytes, taken: set[tuple[int, int]]) -> list[Chunk]:
-    """Runs of whole clauses: the shortest of RUN_WORDS words or more from each clause on, and the shortest up to each.
-
-    Together those inside a passage cover all its whole clauses, wherever it stands and however its
-    clauses are split: the first run begins with the passage, the last one ends with it, and each clause
-    between begins one or lies in the last. Runs that overlap an equal one before them (texts that repeat
-    at short intervals) and those whose bytes, begin to end of the last word, are taken are left out.
-    """
-    bounds, first, past = run_places(data)
-    found, free = [], {}
-    for begin, end, anchor in zip(bounds[first].tolist(), bounds[past].tolist(), least_pairs(unit_hashes(data, bounds), first, past).tolist(), strict=True):
-        body = data[begin:end].rstrip(b"\n ")
-        if begin >= free.get(body, 0):
-            free[body] = begin + len(body)
-            if (begin, begin + len(body)) not in taken:
-                found.append(Chunk(begin, end, True, 2, anchor))
-    return found
-
-
-def chunks(data: bytes) -> list[Chunk]:
-    """The chunks of a text by where they begin; those of level 0 cover it.
-
-    A boundary depends on the last WINDOW lines only, so lines put in before a passage move the
-    boundaries inside it by nothing. A line of LONG_LINE words or more is a paragraph: it has a
-    boundary on both sides and is a chunk by itself, and its sentences are cut as lines are, into
-    chunks of level 1, so that a passage inside a paragraph is found too. Compared are paragraphs, and
-    chunks of two units or more with LEAST_WORDS words, and runs (level 2), which find the passages that
-    no boundary falls into.
-    """
-    if not data:
-        return []
-    found = units_cut(data)
-    found += runs(data, {(c.begin, c.begin + len(data[c.begin : c.end].rstrip(b"\n "))) for c in found if c.compared})
-    # In this order every chunk's first occurrence stands before it, so no two cut each other.
-    return sorted(found, key=lambda c: (c.begin, c.level))
-
-
-def units_cut(data: bytes) -> list[Chunk]:
-    """The chunks of levels 0 and 1."""
-    found: list[Chunk] = []
-    run, begin = [0], 0
-    while begin < len(data):
-        end = data.find(b"\n", begin) + 1 or len(data)
-        if data.count(b" ", begin, end) + 1 >= LONG_LINE:
-            found += cut(run, data, 0, WINDOW)
-            found.append(Chunk(begin, end, True, 0))
-            parts = cut(sentences(begin, end, data), data, 1, SENTENCES)
-            # One part would be the paragraph again, and be cut out of it as its copy.
-            found += parts if len(parts) > 1 else []
-            run = [end]
-        else:
-            run.append(end)
-        begin = end
-    return found + cut(run, data, 0, WINDOW)
-
-
-def without_chunks(data: bytes, found: list[Chunk], dropped: set[int]) -> bytes:
-    """data less the dropped chunks, which may overlap; a paragraph that goes takes its parts along."""
-    kept, at, gone_to = [], 0, 0
-    for k in sorted(dropped, key=lambda k: (found[k].begin, found[k].level)):
-        c = found[k]
-        if c.end <= gone_to:
-            continue
-        kept.append(data[at : max(at, c.begin)])
-        at = gone_to = c.end
-    rest = data[at:]
-    out = b"".join([*kept, rest])
-    # What stood before a removed end keeps no separator that the text did not end with.
-    return out if rest or not out else out.removesuffix(out[-1:] if out[-1:] in (b"\n", b" ") else b"")
-
-
-def digest(body: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(body)
-
-
-def chunk_table(docs: DataFrame, bodies: bool, digest=digest) -> DataFrame:
-    """doc_id, chunk (its place), digest, anchor[, body] of every compared chunk of docs (doc_id, text)."""
+from hearthlake.llm.shared import Scratch, bitmap_of, holds, joined_by_key, key_filter, mapped, parted, received, sent, unused
+
+#: Bytes from which a line is a paragraph and is split, and bytes that a chunk needs if it doesn't hold two whole lines.
+PARAGRAPH = CHUNK = 160
+#: A paragraph is split after marks, and after one in so many words, chosen by their last bytes.
+SPACING = 8
+#: Bytes hashed at a time, and bytes of texts taken together.
+BLOCK = 1 << 18
+BASE = 0x9E3779B97F4A7C15
+WORD = 1 << 64
+# Marks that end a sentence, and what may close it.
+MARKS, CLOSING = b".!?|#$%&*+=~^", b"\"')]"
+
+
+def byte_set(members: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(members)] = True
+    return table
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+class Units(NamedTuple):
+    """The lines and parts of paragraphs of several texts in a row."""
+
+    text: np.ndarray  #: which text
+    begin: np.ndarray  #: where the unit begins in the joint bytes
+    end: np.ndarray  #: where its last visible byte ends
+    whole: np.ndarray  #: 1 for a whole line
+    rolling: np.ndarray  #: rolling hash over this unit's hash and the next one's
+    paired: np.ndarray  #: whether a unit of the same text follows
+
+
+class Cutter:
+    """Texts to units; the tables of a polynomial hash are made in each task."""
+
+    def __init__(self, bits: int = 64) -> None:
+        self.mask = np.uint64((1 << bits) - 1)
+        self.values = np.random.default_rng(3).integers(1, 1 << 63, 256, np.uint64)
+        self.inverse = pow(BASE, -1, WORD)
+        self.up, self.down = (np.cumprod(np.array([1] + [b] * (BLOCK - 1), np.uint64)) for b in (BASE, self.inverse))
+        self.marks, self.closing = byte_set(MARKS), byte_set(CLOSING)
+
+    def prefix(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The hash of the bytes before each place; places ascend."""
+        out, carry = np.zeros(len(places), np.uint64), 0
+        for at in range(0, len(data), BLOCK):
+            part = data[at : at + BLOCK]
+            sums = np.cumsum(self.values[part] * self.up[: len(part)])
+            factor = pow(BASE, at, WORD)
+            low, high = np.searchsorted(places, [at, at + len(part)], side="right")
+            out[low:high] = sums[places[low:high] - at - 1] * np.uint64(factor) + np.uint64(carry)
+            carry = (carry + factor * int(sums[-1])) % WORD
+        return out
+
+    def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of the bytes from each begin to its end, wherever they stand."""
+        blocks = np.array([pow(self.inverse, int(k) * BLOCK, WORD) for k in range(len(data) // BLOCK + 1)], np.uint64)
+        return mixed((self.prefix(data, end) - self.prefix(data, begin)) * self.down[begin % BLOCK] * blocks[begin // BLOCK])
+
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of texts begin and end: at white space, at the ends of texts and after marks of unspaced scripts."""
+        ink = data > 32
+        cut = ~ink
+        starts = np.ones(len(data) + 1, bool)
+        starts[1:] = cut
+        starts[offsets] = True
+        wide = (data[:-2] == 0xE3) & (data[1:-1] == 0x80) & (data[2:] >= 0x81) & (data[2:] <= 0x82)
+        wide |= (data[:-2] == 0xEF) & (data[1:-1] == 0xBC) & np.isin(data[2:], (0x81, 0x8C, 0x9B, 0x9F))
+        starts[np.flatnonzero(wide) + 3] = True
+        begin = np.flatnonzero(ink & starts[:-1])
+        ends = np.append(cut, True)
+        ends |= starts
+        end = np.flatnonzero(ends[1:] & ink) + 1
+        return begin, end
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> Units:
+        """The units of the texts between offsets of data.
+
+        A line is a unit, without the white space around it; lines without visible bytes are none. A line
+        of PARAGRAPH bytes or more is split after every mark that ends a word and after the words that
+        their last four bytes choose, so its units depend on nothing outside them.
+        """
+        begin, end = self.words(data, offsets)
+        if not len(begin):
+            none = np.empty(0, np.int64)
+            return Units(none, none, none, none, none.view(np.uint64), none.astype(bool))
+        line = np.searchsorted(np.flatnonzero(data == 10), begin)
+        text = np.searchsorted(offsets, begin, side="right") - 1
+        fresh = np.ones(len(begin), bool)
+        fresh[1:] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
+        first = np.flatnonzero(fresh)
+        past = np.append(first[1:], len(begin))
+        long = np.repeat(end[past - 1] - begin[first] >= PARAGRAPH, past - first)
+        last = data[end - 1]
+        tail = np.zeros(len(begin), np.uint64)
+        for k in range(1, 5):
+            at = end - k
+            tail = (tail << np.uint64(8)) | np.where(at >= begin, data[np.maximum(at, 0)], 0).astype(np.uint64)
+        spread = (tail * np.uint64(BASE)) >> np.uint64(40)
+        marked = self.marks[last] | self.closing[last] & self.marks[data[np.maximum(end - 2, 0)]] & (end - 2 >= begin)
+        marked |= (spread % np.uint64(SPACING) == 0) | (last >= 0x81) & (np.append(begin[1:], -1) == end)
+        head = fresh.copy()
+        head[1:] |= long[1:] & marked[:-1]
+        at = np.flatnonzero(head)
+        to = np.append(at[1:], len(begin)) - 1
+        b, e, owner = begin[at], end[to], text[at]
+        h = self.hashes(data, b, e)
+        paired = np.append(owner[1:] == owner[:-1], False)
+        rolling = mixed(h * np.uint64(BASE) + np.append(h[1:], np.uint64(0)))
+        return Units(owner, b, e, (~long[at]).astype(np.int64), rolling & self.mask, paired)
+
+
+def long_enough(units: Units, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last pair of each chunk: a longest run of common pairs over two whole lines or CHUNK bytes."""
+    edges = np.diff(np.concatenate(([0], (common & units.paired).view(np.int8), [0])))
+    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
+    lines = np.concatenate(([0], np.cumsum(units.whole)))
+    enough = (units.end[last + 1] - units.begin[first] >= CHUNK) | (lines[last + 2] - lines[first] >= 2)
+    return first[enough], last[enough]
+
+
+def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, joint bytes, offsets) of texts in a row, of about BLOCK bytes or one text; null counts as empty."""
+    data, ends = joint(column)
+    at = 0
+    while at < len(column):
+        past = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, side="right")) - 1)
+        yield at, data[ends[at] : ends[past]], ends[at : past + 1] - ends[at]
+        at = past
+
+
+def joint(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and the offsets of its rows."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    held = column.buffers()[2]
+    return np.frombuffer(held, np.uint8) if held is not None and held.size else np.empty(0, np.uint8), offsets
+
+
+def pair_counts(docs: DataFrame, bits: int) -> DataFrame:
+    """rolling, n: the rolling hashes of the texts and how often they stand there, added up for each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(bits)
         for batch in batches:
-            at, place, digests, texts, held = [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                for k, c in enumerate(chunks(data)):
-                    if c.compared:
-                        body = data[c.begin : c.end].rstrip(b"\n ")
-                        at.append(i), place.append(k), digests.append(digest(body)), held.append(c.anchor if c.level == 2 else anchor_of(body))
-                        if bodies:
-                            texts.append(body)
-            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(place, pa.int32()), pa.array(digests, pa.binary()), pa.array(held, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts, pa.binary())] if bodies else [])], ["doc_id", "chunk", "digest", "anchor", *(["body"] if bodies else [])])
+            for _, data, offsets in slices(batch.column(0)):
+                units = cutter.units(data, offsets)
+                values, counts = np.unique(units.rolling[units.paired], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["rolling", "n"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return mapped(docs, run, f"doc_id {kind}, chunk int, digest binary, anchor long" + ", body binary" * bodies)
+    return mapped(docs.select("text"), run, "rolling long, n long")
 
 
-def anchor_table(docs: DataFrame) -> DataFrame:
-    """doc_id, anchor, n (places, or more) of docs (doc_id, text)."""
+def pairs_that_may_recur(docs: DataFrame, common: Broadcast, bits: int) -> DataFrame:
+    """doc_id, mark, place, body of the pairs of units that the filter lets through; body is the pair with what stands between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, bitmap = Cutter(bits), received(common)
         for batch in batches:
-            at, held, places = [], [], []
-            for i, text in enumerate(batch.column(1)):
-                found = anchors((text.as_py() or "").encode("utf-8", "surrogatepass"))
-                at += [i] * len(found)
-                held += found
-                places += found.values()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(held, pa.int64()), pa.array(places, pa.int64())], ["doc_id", "anchor", "n"])
+            for row, data, offsets in slices(batch.column(2)):
+                units = cutter.units(data, offsets)
+                at = np.flatnonzero(units.paired & holds(bitmap, units.rolling))
+                raw, owner = data.tobytes(), units.text[at]
+                bodies = [raw[a:b] for a, b in zip(units.begin[at].tolist(), units.end[at + 1].tolist(), strict=True)]
+                rows, place = pa.array(row + owner), at - np.searchsorted(units.text, owner)
+                columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place, pa.int32()), pa.array(bodies, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "place", "body"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return mapped(docs, run, f"doc_id {kind}, anchor long, n long")
+    return mapped(docs.select("doc_id", "mark", "text"), run, f"doc_id {kind}, mark long, place int, body binary")
+
+
+#: What becomes of a repeated pair: it is the first one and stays, goes, or overlaps the first one, so that only its second unit goes.
+STAYS, GOES, SECOND_GOES = 0, 1, 2
 
 
-def repeated_chunks(docs: DataFrame, scratch: Scratch, digest=digest) -> DataFrame:
-    """doc_id, drop (places of the chunks to remove), for the documents of docs (doc_id, text) that lose any.
+def repeated_pairs(docs: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
+    """doc_id, mark, pairs (4 x place + fate of every pair that recurs), for the rows of docs (doc_id, mark, text) that may lose any.
 
-    Equal chunks have equal anchors, of which there are few: only chunks whose anchor stands in several
-    places, and only documents that hold such a one, go on. Digests that occur more than once pass a bounded filter; the chunks behind them are grouped by
-    digest and bytes, and all but the first occurrence (smallest doc_id, then place) are dropped.
+    Rolling hashes that occur more than once make a bounded filter; the pairs behind it are grouped
+    by their bytes, and all but the first occurrence (smallest doc_id, mark, place) go.
     """
-    held = scratch.keep(anchor_table(docs), "anchors")
-    places = held.count()
-    common = scratch.keep(held.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "common", places)
-    common_map, common_bits = key_filter(common, "anchor")
-    holders = scratch.keep(parted(held, "anchor", common_map, common_bits)[1].select("doc_id").distinct(), "holders", places)
-    docs = parted(docs, "doc_id", *key_filter(holders, "doc_id"))[1]
-    again = lambda bodies: parted(chunk_table(docs, bodies, digest), "anchor", common_map, common_bits)[1]
-    marks = scratch.keep(again(False).select("doc_id", "chunk", "digest"), "marks")
-    n = marks.count()
-    hits = scratch.keep(marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "hits", n)
-    bitmap, bits = key_filter(hits, "digest")
-    # Only documents with a repeated digest are cut a second time, for the bytes of their chunks.
-    hit_docs = scratch.keep(marks.join(hits, "digest", "left_semi").select("doc_id").distinct(), "hit-docs", n)
-    affected = parted(docs, "doc_id", *key_filter(hit_docs, "doc_id"))[1]
-    rows = parted(chunk_table(affected, True, digest), "digest", bitmap, bits)[1]
-    verified = scratch.keep(rows.groupBy("digest", "body").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("n")).select("digest", "first", "n"), "verified")
-    clashing = scratch.keep(verified.groupBy("digest").agg(F.count("*").alias("bodies")).where("bodies > 1").select("digest"), "clashing", n)
-    firsts = scratch.keep(verified.where("n > 1").join(clashing, "digest", "left_anti").select("digest", "first"), "firsts", n)
-    extra = marks.join(firsts, "digest").where(F.struct("doc_id", "chunk") != F.col("first")).select("doc_id", "chunk")
-    if not clashing.isEmpty():
-        # Different chunks share a digest: these are told apart by their bytes.
-        apart = rows.join(clashing, "digest", "left_semi")
-        first = apart.groupBy("digest", "body").agg(F.min(F.struct("doc_id", "chunk")).alias("first"))
-        extra = extra.union(apart.join(first, ["digest", "body"]).where(F.struct("doc_id", "chunk") != F.col("first")).select("doc_id", "chunk"))
-    return scratch.keep(extra.groupBy("doc_id").agg(F.collect_set("chunk").alias("drop")), "drop", n)
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=digest, report: bool = False) -> DataFrame:
-    """docs, all columns, with repeated chunks cut out of the texts; with report also chunks, removed, removed_chars.
-
-    Of each chunk that occurs in several places the first occurrence stays. Null texts stay null and
-    empty ones empty; a text all of whose chunks repeat earlier ones becomes empty. Rows without an
-    identifier pass unchanged and are not compared; rows that share one are cut alike. An empty table
-    gives no rows. Names chunks, removed and removed_chars are taken by the report.
+    counts = pair_counts(docs, bits).groupBy("rolling").agg(F.sum("n").alias("n"))
+    common = scratch.keep(counts.where("n > 1").select("rolling"), "common")
+    found = pairs_that_may_recur(docs, sent(docs.sparkSession, bitmap_of(common, "rolling")), bits)
+    found = scratch.keep(found.withColumn("digest", F.unhex(F.sha2("body", 256))), "found", compression="zstd")
+    first = F.min(F.struct("doc_id", "mark", "place")).alias("first")
+    repeated = scratch.keep(found.groupBy("digest", "body").agg(first, F.count("*").alias("n")).where("n > 1").drop("body"), "repeated")
+    joined = joined_by_key(found.drop("body"), repeated, "digest", "n", scratch)
+    beside = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.mark") == F.col("mark")) & (F.col("first.place") == F.col("place") - 1)
+    fate = F.when(F.struct("doc_id", "mark", "place") == F.col("first"), STAYS).when(beside, SECOND_GOES).otherwise(GOES)
+    pairs = joined.select("doc_id", "mark", (F.col("place").cast("long") * 4 + fate).alias("pair"), fate.alias("fate"))
+    by_row = pairs.groupBy("doc_id", "mark").agg(F.collect_set("pair").alias("pairs"), F.max("fate").alias("most"))
+    return scratch.keep(by_row.where(F.col("most") > STAYS).drop("most"), "drop")
+
+
+def spans(units: Units, pairs: list[int], length: int) -> list[tuple[int, int]]:
+    """The bytes of one text that go: from each unit that goes to the next one that stays."""
+    fates = np.full(len(units.begin), -1, np.int64)
+    for pair in pairs:
+        fates[pair >> 2] = pair & 3
+    gone = np.zeros(len(units.begin) + 1, bool)
+    for first, last in zip(*long_enough(units, fates >= 0), strict=True):
+        for k in range(first, last + 1):
+            gone[k] |= fates[k] == GOES
+            gone[k + 1] |= fates[k] in (GOES, SECOND_GOES)
+    edges = np.diff(np.concatenate(([0], gone[:-1].view(np.int8), [0])))
+    begin = np.append(units.begin, length)
+    return list(zip(begin[np.flatnonzero(edges == 1)].tolist(), begin[np.flatnonzero(edges == -1)].tolist(), strict=True))
+
+
+def without_spans(data: bytes, gone: list[tuple[int, int]]) -> bytes:
+    """data less the spans; what stood before a removed end keeps no white space."""
+    kept, at = [], 0
+    for begin, end in gone:
+        kept.append(data[at:begin])
+        at = end
+    out = b"".join([*kept, data[at:]])
+    return out.rstrip(b" \t\r\n") if gone and gone[-1][1] == len(data) else out
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False, bits: int = 64) -> DataFrame:
+    """docs, all columns, with repeated chunks cut out of the texts; with report also removed (chunks) and removed_chars.
+
+    A rolling hash is taken over the hashes of every two lines in a row. A chunk is a longest run of
+    lines all of whose rolling hashes recur in the table: its bounds follow from the lines inside it
+    and move with them, wherever a passage is put. A chunk needs two whole lines or CHUNK bytes; lines of
+    PARAGRAPH bytes or more are split and cut likewise, so that a passage inside a paragraph is found.
+    Every two lines in a row are compared byte for byte with those of equal hash before they go, and
+    the first occurrence (smallest doc_id, then place) stays. So every line that goes still stands
+    at an earlier place.
+
+    Rows are told apart by identifier and text: rows that share an identifier with different texts
+    are different rows, repeated rows of one text are one and keep what its first occurrence keeps.
+    Null texts stay null and empty ones empty; a text that repeats earlier ones whole becomes empty.
+    Rows without an identifier pass unchanged and are not compared. An empty table gives no rows.
+    Columns of any name pass through; report columns take underscores where their names are used.
+    Of the rolling hashes `bits` bits are used; with few of them nearly all clash, and the result is the same.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    dropped = unused("_drop", docs.columns)
-    drop = repeated_chunks(rows, scratch, digest).withColumnsRenamed({"doc_id": id_col, "drop": dropped})
-    # Only documents that may lose a chunk are shuffled; the others stay where they are.
-    outside, inside = parted(docs, id_col, *key_filter(drop, id_col))
-    joined = outside.withColumn(dropped, F.lit(None).cast("array<int>")).unionByName(inside.join(drop.hint("merge"), id_col, "left").select(*docs.columns, dropped))
+    mark, pairs = unused("_mark", docs.columns), unused("_pairs", docs.columns)
+    marked = docs.withColumn(mark, F.xxhash64(text_col))
+    rows = marked.select(F.col(id_col).alias("doc_id"), F.col(mark).alias("mark"), F.col(text_col).alias("text")).where("doc_id is not null and text <> ''")
+    drop = repeated_pairs(rows, scratch, bits).withColumnsRenamed({"doc_id": id_col, "mark": mark, "pairs": pairs})
+    # Only documents that lose a chunk are shuffled; the others stay where they are.
+    outside, inside = parted(marked, mark, *key_filter(drop, mark))
+    joined = outside.withColumn(pairs, F.lit(None).cast("array<long>")).unionByName(inside.join(drop.hint("merge"), [id_col, mark], "left").select(*marked.columns, pairs)).drop(mark)
     at = docs.columns.index(text_col)
-    names = [*docs.columns, *(["chunks", "removed", "removed_chars"] if report else [])]
+    names = list(docs.columns)
+    if report:
+        names += [unused(n, docs.columns) for n in ("removed", "removed_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter()
         for batch in batches:
-            texts, counts = [], []
-            for text, dropped in zip(batch.column(at), batch.column(len(batch.columns) - 1), strict=True):
-                text, dropped = text.as_py(), set(dropped.as_py() or ())
-                found, data = [], b""
-                if report and text is not None or dropped:
-                    data = (text or "").encode("utf-8", "surrogatepass")
-                    found = chunks(data)
-                kept = without_chunks(data, found, dropped).decode("utf-8", "surrogatepass") if dropped and text is not None else text
-                texts.append(kept)
-                counts.append((len(found), len(dropped), len(text or "") - len(kept or "")))
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])]
-            columns += [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)] if report else []
+            texts, counts = batch.column(at), []
+            if report or batch.column(len(batch.columns) - 1).null_count < batch.num_rows:
+                out = []
+                for text, found in zip(texts.to_pylist(), batch.column(len(batch.columns) - 1).to_pylist(), strict=True):
+                    gone, kept = [], text
+                    if found:
+                        data = text.encode("utf-8", "surrogatepass")
+                        gone = spans(cutter.units(np.frombuffer(data, np.uint8), np.array([0, len(data)])), found, len(data))
+                        kept = without_spans(data, gone).decode("utf-8", "surrogatepass")
+                    out.append(kept)
+                    counts.append((len(gone), len(text or "") - len(kept or "")))
+                texts = pa.array(out, pa.string())
+            columns = [texts if i == at else c for i, c in enumerate(batch.columns[:-1])]
+            columns += [pa.array([c[i] for c in counts], pa.int64()) for i in range(2)] if report else []
             yield pa.RecordBatch.from_arrays(columns, names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return mapped(joined, run, fields + ", chunks long, removed long, removed_chars long" * report)
+    return mapped(joined, run, fields + "".join(f", `{n}` long" for n in names[len(docs.columns) :]))

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,6 +111,46 @@ def key_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
     return pages.groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")), bits
 
 
+def bitmap_of(keys: DataFrame, key: str) -> np.ndarray:
+    """A filter over a column of well-mixed 64-bit hashes, for tasks in Python: two bits for each, at most MOST_BITS in all."""
+    bits, wanted = LEAST_BITS, min(MOST_BITS, 16 * keys.count())
+    while bits < wanted:
+        bits *= 2
+    place = F.explode(F.array(F.col(key), F.shiftrightunsigned(key, 32))).alias("place")
+    at = keys.select(place).select(F.col("place").bitwiseAND(F.lit(bits - 1)).alias("at"))
+    pages = at.select((F.col("at") / PAGE_BITS).cast("long").alias("page"), (F.col("at") % PAGE_BITS).alias("bit"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in pages.groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")).collect():
+        out[r["page"] * PAGE_BITS // 8 :][: PAGE_BITS // 8] = np.frombuffer(r["bitmap"], np.uint8)
+    return out
+
+
+def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash (unsigned) may be in the filter of bitmap_of."""
+    found = np.ones(len(hashes), bool)
+    for shift in (0, 32):
+        at = (hashes >> np.uint64(shift)) & np.uint64(8 * len(bitmap) - 1)
+        found &= (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return found
+
+
+#: A key that more than one in so many rows share is hot; there are fewer such keys than this.
+HOT = 4096
+
+
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str, n: str, scratch: Scratch) -> DataFrame:
+    """rows with the columns of table (one row for each key; column n: how many of rows have it), rows without a match left out.
+
+    Rows of hot keys meet a broadcast of fewer than HOT rows where they are; only the others are
+    shuffled by the key, at most one in HOT of all to a key.
+    """
+    least = table.agg(F.sum(n)).first()[0]
+    hot = scratch.keep(table.where(F.col(n) > (least or 0) // HOT + 1000), f"hot-{key}")
+    few, many = table.join(F.broadcast(hot.select(key)), key, "left_anti"), F.broadcast(hot)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(many, key).unionByName(cold.join(few, key))
+
+
 def unused(name: str, columns: list[str]) -> str:
     """name, with underscores until no column has it."""
     while name.lower() in (c.lower() for c in columns):
