@@ -76,7 +76,7 @@ def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
-    return found.select("doc_id", "chunks", "removed", "removed_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return found.select("doc_id", "removed", "removed_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 QUERIES = {
