@@ -15,8 +15,10 @@ from hearthlake.llm.shared import Scratch, bitmap_of, holds, joined_by_key, key_
 
 #: Bytes from which a line is a paragraph and is split, and bytes that a chunk needs if it doesn't hold two whole lines.
 PARAGRAPH = CHUNK = 160
-#: A paragraph is split after marks, and after one in so many words, chosen by their last bytes.
-SPACING = 8
+#: A paragraph is split into sentences, and those of so many bytes after one in so many words, chosen by their last bytes.
+SENTENCE, SPACING = 64, 8
+#: A block of repeated pairs ends where a rolling hash is 0 modulo this: equal passages have equal blocks inside, and blocks are compared first.
+BOUNDARY = 8
 #: Bytes hashed at a time, and bytes of texts taken together.
 BLOCK = 1 << 18
 BASE = 0x9E3779B97F4A7C15
@@ -37,6 +39,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def bytes_of(head: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each word the bytes of the group that it belongs to; head marks the first word of each group."""
+    first = np.flatnonzero(head)
+    past = np.append(first[1:], len(head))
+    return np.repeat(end[past - 1] - begin[first], past - first)
+
+
 class Units(NamedTuple):
     """The lines and parts of paragraphs of several texts in a row."""
 
@@ -95,8 +104,9 @@ class Cutter:
         """The units of the texts between offsets of data.
 
         A line is a unit, without the white space around it; lines without visible bytes are none. A line
-        of PARAGRAPH bytes or more is split after every mark that ends a word and after the words that
-        their last four bytes choose, so its units depend on nothing outside them.
+        of PARAGRAPH bytes or more is split after every mark that ends a word, and a sentence of SENTENCE
+        bytes or more after the words that their last four bytes choose. So units inside a passage follow
+        from its own text, wherever it stands.
         """
         begin, end = self.words(data, offsets)
         if not len(begin):
@@ -104,21 +114,20 @@ class Cutter:
             return Units(none, none, none, none, none.view(np.uint64), none.astype(bool))
         line = np.searchsorted(np.flatnonzero(data == 10), begin)
         text = np.searchsorted(offsets, begin, side="right") - 1
-        fresh = np.ones(len(begin), bool)
-        fresh[1:] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
-        first = np.flatnonzero(fresh)
-        past = np.append(first[1:], len(begin))
-        long = np.repeat(end[past - 1] - begin[first] >= PARAGRAPH, past - first)
+        fresh = np.append(True, (line[1:] != line[:-1]) | (text[1:] != text[:-1]))
+        long = bytes_of(fresh, begin, end) >= PARAGRAPH
         last = data[end - 1]
-        tail = np.zeros(len(begin), np.uint64)
-        for k in range(1, 5):
-            at = end - k
-            tail = (tail << np.uint64(8)) | np.where(at >= begin, data[np.maximum(at, 0)], 0).astype(np.uint64)
-        spread = (tail * np.uint64(BASE)) >> np.uint64(40)
         marked = self.marks[last] | self.closing[last] & self.marks[data[np.maximum(end - 2, 0)]] & (end - 2 >= begin)
-        marked |= (spread % np.uint64(SPACING) == 0) | (last >= 0x81) & (np.append(begin[1:], -1) == end)
-        head = fresh.copy()
-        head[1:] |= long[1:] & marked[:-1]
+        marked |= (last >= 0x81) & (np.append(begin[1:], -1) == end)
+        head = fresh | long & np.append(True, marked[:-1])
+        # Of the long sentences of paragraphs, every word that its last bytes choose ends a unit, too.
+        wordy = np.flatnonzero(long & (bytes_of(head, begin, end) >= SENTENCE))
+        tail = np.zeros(len(wordy), np.uint64)
+        for k in range(1, 5):
+            at = end[wordy] - k
+            tail = (tail << np.uint64(8)) | np.where(at >= begin[wordy], data[np.maximum(at, 0)], 0).astype(np.uint64)
+        chosen = wordy[((tail * np.uint64(BASE)) >> np.uint64(40)) % np.uint64(SPACING) == 0] + 1
+        head[chosen[chosen < len(head)]] = True
         at = np.flatnonzero(head)
         to = np.append(at[1:], len(begin)) - 1
         b, e, owner = begin[at], end[to], text[at]
@@ -169,72 +178,139 @@ def pair_counts(docs: DataFrame, bits: int) -> DataFrame:
     return mapped(docs.select("text"), run, "rolling long, n long")
 
 
-def pairs_that_may_recur(docs: DataFrame, common: Broadcast, bits: int) -> DataFrame:
-    """doc_id, mark, place, body of the pairs of units that the filter lets through; body is the pair with what stands between."""
+def blocks_that_may_recur(docs: DataFrame, common: Broadcast, bits: int) -> DataFrame:
+    """doc_id, mark, place, rolling, body, begins, ends: the pairs that the filter lets through, in blocks.
+
+    Runs of such pairs are cut where a rolling hash is 0 modulo BOUNDARY. body has the bytes of a block of n
+    pairs from its first unit to its last one, begins and ends say where its n + 1 units stand in it, place
+    is its first pair's number in the text, rolling the hash of that pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, bitmap = Cutter(bits), received(common)
         for batch in batches:
             for row, data, offsets in slices(batch.column(2)):
                 units = cutter.units(data, offsets)
-                at = np.flatnonzero(units.paired & holds(bitmap, units.rolling))
-                raw, owner = data.tobytes(), units.text[at]
-                bodies = [raw[a:b] for a, b in zip(units.begin[at].tolist(), units.end[at + 1].tolist(), strict=True)]
-                rows, place = pa.array(row + owner), at - np.searchsorted(units.text, owner)
-                columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place, pa.int32()), pa.array(bodies, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "place", "body"])
+                found = units.paired & holds(bitmap, units.rolling)
+                head = found & (~np.append(False, found[:-1]) | (units.rolling % np.uint64(BOUNDARY) == 0))
+                at, pairs = np.flatnonzero(found), np.flatnonzero(head[found])
+                first, n = at[pairs], np.diff(np.append(pairs, len(at)))
+                raw, owner = data.tobytes(), units.text[first]
+                bodies = [raw[a:b] for a, b in zip(units.begin[first].tolist(), units.end[first + n].tolist(), strict=True)]
+                past = np.cumsum(n + 1)
+                inside = np.repeat(first - past + n + 1, n + 1) + np.arange(past[-1] if len(past) else 0)
+                bounds = pa.array(np.append(0, past), pa.int32())
+                shift = np.repeat(units.begin[first], n + 1)
+                begins, ends = (pa.ListArray.from_arrays(bounds, pa.array(x[inside] - shift, pa.int32())) for x in (units.begin, units.end))
+                rows, place = pa.array(row + owner), first - np.searchsorted(units.text, owner)
+                columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place, pa.int32()), pa.array(units.rolling[first].view(np.int64)), pa.array(bodies, pa.binary()), begins, ends]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "place", "rolling", "body", "begins", "ends"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return mapped(docs.select("doc_id", "mark", "text"), run, f"doc_id {kind}, mark long, place int, body binary")
+    return mapped(docs.select("doc_id", "mark", "text"), run, f"doc_id {kind}, mark long, place int, rolling long, body binary, begins array<int>, ends array<int>")
 
 
 #: What becomes of a repeated pair: it is the first one and stays, goes, or overlaps the first one, so that only its second unit goes.
 STAYS, GOES, SECOND_GOES = 0, 1, 2
+OWN = ["doc_id", "mark", "place"]
+
+
+def entry(n, fate):
+    """n pairs from place on, and their fate, as one number."""
+    return (F.shiftleft(F.col("place").cast("long"), 33) + F.shiftleft(n.cast("long"), 2) + fate).alias("entry")
 
 
 def repeated_pairs(docs: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
-    """doc_id, mark, pairs (4 x place + fate of every pair that recurs), for the rows of docs (doc_id, mark, text) that may lose any.
+    """doc_id, mark, entries (the fate of every pair that recurs), for the rows of docs (doc_id, mark, text) that may lose any.
 
-    Rolling hashes that occur more than once make a bounded filter; the pairs behind it are grouped
-    by their bytes, and all but the first occurrence (smallest doc_id, mark, place) go.
+    Rolling hashes that occur more than once make a bounded filter. The blocks of pairs behind it are
+    grouped by their bytes; the pairs of all but the first of equal blocks go. The pairs of the first
+    ones, and of blocks that are alone, are grouped by their bytes, and all but the first occurrence
+    (smallest doc_id, mark, place) go. Bytes are compared in these groupings; the joins after them go by
+    128 bits of hashes.
     """
     counts = pair_counts(docs, bits).groupBy("rolling").agg(F.sum("n").alias("n"))
     common = scratch.keep(counts.where("n > 1").select("rolling"), "common")
-    found = pairs_that_may_recur(docs, sent(docs.sparkSession, bitmap_of(common, "rolling")), bits)
-    found = scratch.keep(found.withColumn("digest", F.unhex(F.sha2("body", 256))), "found", compression="zstd")
-    first = F.min(F.struct("doc_id", "mark", "place")).alias("first")
-    repeated = scratch.keep(found.groupBy("digest", "body").agg(first, F.count("*").alias("n")).where("n > 1").drop("body"), "repeated")
-    joined = joined_by_key(found.drop("body"), repeated, "digest", "n", scratch)
+    found = blocks_that_may_recur(docs, sent(docs.sparkSession, bitmap_of(common, "rolling")), bits)
+    found = scratch.keep(found.withColumn("digest", F.struct("rolling", F.xxhash64("body", "ends").alias("other"))).drop("rolling"), "found", compression="zstd")
+    first = F.min(F.struct(*OWN)).alias("first")
+    several = F.size("ends") > 2
+    blocks = found.where(several).groupBy("digest", "body", "begins", "ends").agg(first, F.count("*").alias("n"))
+    blocks = scratch.keep(blocks, "blocks", compression="zstd")
+    again = joined_by_key(found.where(several).select(*OWN, "digest", F.size("ends").alias("units")), blocks.where("n > 1").select("digest", "first", "n"), "digest", "n", scratch)
+    later = again.where(F.struct(*OWN) != F.col("first")).select("doc_id", "mark", entry(F.col("units") - 1, F.lit(GOES)), F.lit(GOES).alias("fate"))
+
+    each = blocks.select("first.doc_id", "first.mark", F.col("first.place").alias("start"), "n", "body", "begins", "ends", F.explode(F.sequence(F.lit(0), F.size("ends") - 2)).alias("k"))
+    begin, end = F.element_at("begins", F.col("k") + 1), F.element_at("ends", F.col("k") + 2)
+    each = each.select("doc_id", "mark", (F.col("start") + F.col("k")).alias("place"), "n", F.substring("body", begin + 1, end - begin).alias("body"))
+    pairs = each.unionByName(found.where(~several).select(*OWN, F.lit(1).cast("long").alias("n"), "body"))
+    pairs = scratch.keep(pairs.withColumn("digest", F.struct(F.xxhash64("body").alias("one"), F.xxhash64(F.lit(1), "body").alias("other"))), "pairs", compression="zstd")
+    repeated = pairs.groupBy("digest", "body").agg(first, F.count("*").alias("rows"), F.sum("n").alias("n")).where("n > 1").select("digest", "first", "rows")
+    repeated = scratch.keep(repeated, "repeated")
+    joined = joined_by_key(pairs.select(*OWN, "digest"), repeated, "digest", "rows", scratch)
     beside = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.mark") == F.col("mark")) & (F.col("first.place") == F.col("place") - 1)
-    fate = F.when(F.struct("doc_id", "mark", "place") == F.col("first"), STAYS).when(beside, SECOND_GOES).otherwise(GOES)
-    pairs = joined.select("doc_id", "mark", (F.col("place").cast("long") * 4 + fate).alias("pair"), fate.alias("fate"))
-    by_row = pairs.groupBy("doc_id", "mark").agg(F.collect_set("pair").alias("pairs"), F.max("fate").alias("most"))
+    fate = F.when(F.struct(*OWN) == F.col("first"), STAYS).when(beside, SECOND_GOES).otherwise(GOES)
+    entries = joined.select("doc_id", "mark", entry(F.lit(1), fate), fate.alias("fate")).unionByName(later)
+    by_row = entries.groupBy("doc_id", "mark").agg(F.collect_set("entry").alias("entries"), F.max("fate").alias("most"))
     return scratch.keep(by_row.where(F.col("most") > STAYS).drop("most"), "drop")
 
 
-def spans(units: Units, pairs: list[int], length: int) -> list[tuple[int, int]]:
-    """The bytes of one text that go: from each unit that goes to the next one that stays."""
+def fates_of(units: Units, entries: pa.ListArray) -> np.ndarray:
+    """The fate of every pair of units that recurs, -1 of any other; the i-th list of entries is about the i-th text."""
     fates = np.full(len(units.begin), -1, np.int64)
-    for pair in pairs:
-        fates[pair >> 2] = pair & 3
-    gone = np.zeros(len(units.begin) + 1, bool)
-    for first, last in zip(*long_enough(units, fates >= 0), strict=True):
-        for k in range(first, last + 1):
-            gone[k] |= fates[k] == GOES
-            gone[k + 1] |= fates[k] in (GOES, SECOND_GOES)
-    edges = np.diff(np.concatenate(([0], gone[:-1].view(np.int8), [0])))
-    begin = np.append(units.begin, length)
-    return list(zip(begin[np.flatnonzero(edges == 1)].tolist(), begin[np.flatnonzero(edges == -1)].tolist(), strict=True))
-
-
-def without_spans(data: bytes, gone: list[tuple[int, int]]) -> bytes:
-    """data less the spans; what stood before a removed end keeps no white space."""
-    kept, at = [], 0
-    for begin, end in gone:
-        kept.append(data[at:begin])
-        at = end
-    out = b"".join([*kept, data[at:]])
-    return out.rstrip(b" \t\r\n") if gone and gone[-1][1] == len(data) else out
+    flat = entries.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.diff(entries.offsets.to_numpy())
+    first = np.repeat(np.searchsorted(units.text, np.arange(len(entries))), sizes) + (flat >> 33)
+    n = (flat >> 2) & ((1 << 31) - 1)
+    inside = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    fates[inside] = np.repeat(flat & 3, n)
+    return fates
+
+
+def gone_units(units: Units, fates: np.ndarray) -> np.ndarray:
+    """Which units go: those of a pair that goes, inside a chunk that is long enough."""
+    first, last = long_enough(units, fates >= 0)
+    inside = np.zeros(len(fates) + 1, np.int64)
+    np.add.at(inside, first, 1)
+    np.add.at(inside, last + 1, -1)
+    inside = np.cumsum(inside)[:-1] > 0
+    gone = inside & (fates == GOES)
+    gone[1:] |= (inside & (fates >= GOES))[:-1]
+    return gone
+
+
+def cut_texts(cutter: Cutter, texts: pa.Array, entries: pa.Array) -> tuple[list[str | None], list[int]]:
+    """The texts without what goes, and the number of chunks cut from each; texts without entries stay as they are.
+
+    From a unit that goes everything goes up to the next one that stays; what stood before a removed end
+    keeps no white space.
+    """
+    out, removed = texts.to_pylist(), [0] * len(texts)
+    hit = np.flatnonzero(np.asarray(entries.is_valid()))
+    some, lists = texts.take(pa.array(hit)), entries.take(pa.array(hit))
+    for row, data, offsets in slices(some):
+        n = len(offsets) - 1
+        units = cutter.units(data, offsets)
+        gone = gone_units(units, fates_of(units, lists.slice(row, n)))
+        # A span ends with the next unit of its text that stays, or with the text.
+        edge = np.diff(np.concatenate(([False], gone)).view(np.int8)) == 1
+        begins = np.flatnonzero(edge | gone & np.append(True, units.text[1:] != units.text[:-1]))
+        stays = np.append(np.flatnonzero(~gone), len(gone))
+        after = stays[np.searchsorted(stays, begins)]
+        until = np.append(units.begin, len(data))[after]
+        until = np.minimum(until, offsets[units.text[begins] + 1])
+        raw, spans = data.tobytes(), {}
+        for text, begin, end in zip(units.text[begins].tolist(), units.begin[begins].tolist(), until.tolist(), strict=True):
+            spans.setdefault(text, []).append((begin, end))
+        for text, cut in spans.items():
+            at, kept = int(offsets[text]), []
+            for begin, end in cut:
+                kept.append(raw[at:begin])
+                at = end
+            left = b"".join([*kept, raw[at : offsets[text + 1]]])
+            left = left.rstrip(b" \t\r\n") if at == offsets[text + 1] else left
+            out[hit[row + text]], removed[hit[row + text]] = left.decode("utf-8", "surrogatepass"), len(cut)
+    return out, removed
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False, bits: int = 64) -> DataFrame:
@@ -256,13 +332,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Of the rolling hashes `bits` bits are used; with few of them nearly all clash, and the result is the same.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    mark, pairs = unused("_mark", docs.columns), unused("_pairs", docs.columns)
+    mark, entries = unused("_mark", docs.columns), unused("_entries", docs.columns)
     marked = docs.withColumn(mark, F.xxhash64(text_col))
     rows = marked.select(F.col(id_col).alias("doc_id"), F.col(mark).alias("mark"), F.col(text_col).alias("text")).where("doc_id is not null and text <> ''")
-    drop = repeated_pairs(rows, scratch, bits).withColumnsRenamed({"doc_id": id_col, "mark": mark, "pairs": pairs})
+    drop = repeated_pairs(rows, scratch, bits).withColumnsRenamed({"doc_id": id_col, "mark": mark, "entries": entries})
     # Only documents that lose a chunk are shuffled; the others stay where they are.
     outside, inside = parted(marked, mark, *key_filter(drop, mark))
-    joined = outside.withColumn(pairs, F.lit(None).cast("array<long>")).unionByName(inside.join(drop.hint("merge"), [id_col, mark], "left").select(*marked.columns, pairs)).drop(mark)
+    joined = outside.withColumn(entries, F.lit(None).cast("array<long>")).unionByName(inside.join(drop.hint("merge"), [id_col, mark], "left").select(*marked.columns, entries)).drop(mark)
     at = docs.columns.index(text_col)
     names = list(docs.columns)
     if report:
@@ -271,20 +347,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter()
         for batch in batches:
-            texts, counts = batch.column(at), []
-            if report or batch.column(len(batch.columns) - 1).null_count < batch.num_rows:
-                out = []
-                for text, found in zip(texts.to_pylist(), batch.column(len(batch.columns) - 1).to_pylist(), strict=True):
-                    gone, kept = [], text
-                    if found:
-                        data = text.encode("utf-8", "surrogatepass")
-                        gone = spans(cutter.units(np.frombuffer(data, np.uint8), np.array([0, len(data)])), found, len(data))
-                        kept = without_spans(data, gone).decode("utf-8", "surrogatepass")
-                    out.append(kept)
-                    counts.append((len(gone), len(text or "") - len(kept or "")))
-                texts = pa.array(out, pa.string())
-            columns = [texts if i == at else c for i, c in enumerate(batch.columns[:-1])]
-            columns += [pa.array([c[i] for c in counts], pa.int64()) for i in range(2)] if report else []
+            texts, found = batch.column(at), batch.column(len(batch.columns) - 1)
+            columns = list(batch.columns[:-1])
+            if report or found.null_count < len(found):
+                kept, removed = cut_texts(cutter, texts, found)
+                columns[at] = pa.array(kept, pa.string())
+                if report:
+                    lost = (len(a or "") - len(b or "") for a, b in zip(texts.to_pylist(), kept, strict=True))
+                    columns += [pa.array(removed, pa.int64()), pa.array(lost, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

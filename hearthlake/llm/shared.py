@@ -144,11 +144,11 @@ def joined_by_key(rows: DataFrame, table: DataFrame, key: str, n: str, scratch:
     Rows of hot keys meet a broadcast of fewer than HOT rows where they are; only the others are
     shuffled by the key, at most one in HOT of all to a key.
     """
-    least = table.agg(F.sum(n)).first()[0]
-    hot = scratch.keep(table.where(F.col(n) > (least or 0) // HOT + 1000), f"hot-{key}")
+    total = table.agg(F.sum(n)).first()[0]
+    hot = scratch.keep(table.where(F.col(n) > (total or 0) // HOT + 1000), f"hot-{uuid.uuid4().hex}")
     few, many = table.join(F.broadcast(hot.select(key)), key, "left_anti"), F.broadcast(hot)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(many, key).unionByName(cold.join(few, key))
+    return rows.join(many, key).unionByName(cold.join(few.hint("shuffle_hash"), key))
 
 
 def unused(name: str, columns: list[str]) -> str:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from hearthlake.llm.line_dedup import BASE, CHUNK, CLOSING, MARKS, PARAGRAPH, SPACING, WORD, Cutter, slices, without_repeats
+from hearthlake.llm.line_dedup import BASE, CHUNK, CLOSING, MARKS, PARAGRAPH, SENTENCE, SPACING, WORD, Cutter, slices, without_repeats
 from tests.llm.helpers import EDGES, clashing_docs, no_docs
 
 
@@ -28,13 +28,22 @@ def units_by_hand(data):
             if high - low < PARAGRAPH:
                 found.append((at + low, at + high, True))
             else:
+                sentences, own = [], []
                 for a, b in words:
+                    own.append((a, b))
                     word = line[a:b]
-                    marked = word[-1:] in [bytes([m]) for m in MARKS] or word[-1] in CLOSING and len(word) > 1 and word[-2] in MARKS
-                    tail = int.from_bytes(word[:-5:-1], "big") << 8 * max(0, 4 - len(word))
-                    chosen = (tail * BASE % WORD >> 40) % SPACING == 0
-                    found.append((at + low, at + b, False)) if marked or chosen or b == high else None
-                    low = next((x for x, _ in words if x >= b), b) if marked or chosen or b == high else low
+                    if word[-1] in MARKS or word[-1] in CLOSING and len(word) > 1 and word[-2] in MARKS or b == high:
+                        sentences.append(own)
+                        own = []
+                for own in sentences:
+                    begin = own[0][0]
+                    for k, (a, b) in enumerate(own):
+                        word = line[a:b]
+                        tail = int.from_bytes(word[:-5:-1], "big") << 8 * max(0, 4 - len(word))
+                        chosen = own[-1][1] - own[0][0] >= SENTENCE and (tail * BASE % WORD >> 40) % SPACING == 0
+                        if chosen or k + 1 == len(own):
+                            found.append((at + begin, at + b, False))
+                            begin = own[k + 1][0] if k + 1 < len(own) else b
         at += len(line) + 1
     return found
 
@@ -237,7 +246,7 @@ def test_edges_and_report(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=repr) == sorted(((d, t) for d, t, *_ in EDGES), key=repr)
     assert without_repeats(no_docs(spark), report=True).count() == 0
     assert found.where("removed > 0").count() == 0
-    taken = docs.selectExpr("*", "1 AS removed", "2 AS Removed_Chars", "3 AS _pairs", "4 AS _mark")
+    taken = docs.selectExpr("*", "1 AS removed", "2 AS Removed_Chars", "3 AS _entries", "4 AS _mark")
     named = without_repeats(taken, report=True)
     assert named.columns == [*taken.columns, "removed_", "removed_chars_"] and named.count() == docs.count()
 
