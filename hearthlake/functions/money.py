@@ -121,3 +121,28 @@ def price_before_drop(text: Column, price: Column, currency: Column) -> Column:
     return F.when(dirham & (currency == "MAD"), price + drop).when((unit == "EUR") & (currency == "EUR"), price + drop).when(dirham & (currency == "EUR"), price + to_euro(drop, F.lit("MAD"), "mubawab"))
 
 
+
+
+FX_SOURCE = "documented fixed rate, not a live feed"
+
+
+def provenance(stated: Column, source: str, order: tuple[str, ...] = ("EUR", "GBP", "USD", "JPY", "GEL", "MAD")) -> Column:
+    """Map of what the raw fields keep of a price: price_<currency> of every stated amount, price_source and, where converted, price_eur, fx_rate and fx_source.
+
+    stated maps currencies to amounts. The portal's euros count first, else the first currency of the order
+    that is there. One portal's amounts are never converted; one calls its dollars its own price.
+    """
+    rates = TIMES.get(source, {}) | {c: 1 / r for c, r in DIVIDED_BY.get(source, {}).items()}
+    first = F.try_element_at(F.filter(F.array(*map(F.lit, order)), lambda c: stated[c].isNotNull()), F.lit(1))
+    converted = (first != "EUR") & F.lit(source != "holprop")
+    kept = {f"price_{c.lower()}": stated[c].cast("string") for c in order}
+    kept["price_eur"] = F.coalesce(kept["price_eur"], F.when(converted, to_euro(stated[first], first, source).cast("string")))
+    own = "portal_usd" if source == "akiyaportal" else None
+    kept["price_source"] = F.when(first == "USD", own).otherwise(None) if own else F.lit(None)
+    kept["price_source"] = F.coalesce(kept["price_source"], F.when(converted, F.concat(F.lower(first), F.lit("_converted"))), F.concat(F.lit("portal_"), F.lower(first)))
+    rate = F.lit(None).cast("double")
+    for c, r in rates.items():
+        rate = F.when(converted & (first == c), r).otherwise(rate)
+    kept["fx_rate"] = rate.cast("string")
+    kept["fx_source"] = F.when(rate.isNotNull(), FX_SOURCE)
+    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, kept)), F.array(*(v.cast("string") for v in kept.values()))), lambda k, v: v.isNotNull())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +15,21 @@ SOURCE_NAMES = {
     "abruzzoruralproperty": "Abruzzo Rural", "centrarium": "Centrarium", "mubawab": "Mubawab", "homege": "home.ge", "bulgarianproperties": "Bulgarian Properties",
     "domaza": "Domaza", "lefigaro": "Le Figaro", "greenacres": "Green-Acres",
 }
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿăâîșțšžčćđőű"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaistszccdou"
+
+
+def plain_letters() -> tuple[str, str]:
+    """Every character of the first plane that is one letter and its marks, and that letter: canonical decomposition, as a rule."""
+    pairs = []
+    for code in range(0xC0, 0x10000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and all(unicodedata.combining(c) for c in parts[1:]) and not unicodedata.combining(parts[0]):
+            pairs.append((chr(code), parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = plain_letters()
+#: White space of the first 128 characters, which both engines treat alike.
+BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def blank_as_null(value: Column) -> Column:
@@ -47,6 +62,11 @@ def search_terms(query: str) -> list[str]:
     return query.strip().lower().split()
 
 
+def terms(query: Column) -> Column:
+    """The words of a text, lower-cased: the rule of search_terms as a column."""
+    return F.filter(F.split(F.lower(query), BLANKS), lambda x: x != "")
+
+
 def haystack(*fields: Column) -> Column:
     """The fields that are not blank, space-joined and lower-cased."""
     return F.lower(F.concat_ws(" ", *map(blank_as_null, fields)))
@@ -60,9 +80,14 @@ def contains_all(hay: Column, terms: list[str]) -> Column:
 
 
 def fold(name: Column) -> Column:
-    """A name for matching: lower case, no accents, no part in parentheses."""
-    lowered = F.lower(name)
-    return F.trim(F.regexp_replace(F.translate(lowered, ACCENTED, PLAIN), r"\s*\([^)]*\)", ""))
+    """A name for matching: no accents or other combining marks, no part in parentheses, lower case."""
+    plain = F.regexp_replace(F.translate(name, ACCENTED, PLAIN), r"[\x{0300}-\x{036F}]", "")
+    return F.lower(F.trim(F.regexp_replace(plain, r"\s*\(.*\)\s*", "")))
+
+
+def without_pitch(description: Column) -> Column:
+    """A description without the portal's sales pitch at its end; null where nothing is left."""
+    return node_text(F.regexp_replace(description, r"(?i)\s*Start a free trial[^.]*\.\s*$", ""))
 
 
 def label(value: Column) -> Column:
@@ -103,3 +128,11 @@ def relative(url: Column, prefix: str) -> Column:
 
 def absolute(url: Column, base: str) -> Column:
     return F.when(F.coalesce(url, F.lit("")) == "", "").when(F.startswith(url, F.lit("http")), url).otherwise(F.concat(F.lit(base), url))
+
+
+def pretty_type(raw: Column, aliases: dict[str, str], fallback: str, joiner: str = "") -> Column:
+    """The name of a kind of property: an alias of its lower-cased words joined by `joiner`, else the text with one capital."""
+    trimmed = F.trim(raw)
+    key = F.regexp_replace(F.lower(trimmed), r"\s+", joiner)
+    capital = F.concat(F.upper(F.substring(trimmed, 1, 1)), F.lower(F.substring(trimmed, F.lit(2), F.length(trimmed))))
+    return F.when(F.coalesce(raw, F.lit("")) == "", fallback).otherwise(F.coalesce(F.try_element_at(literal_map(aliases), key), capital))

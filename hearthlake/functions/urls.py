@@ -108,3 +108,70 @@ def search_path(types: list[int], lat: float | None = None, lon: float | None =
     area = "" if lat is None else f"&areaid=0&longitude={lon}&latitude={lat}&zoom=7&kmrange_custom={km}&savedproperties=false&kmrange=0&rooms=0"
     kinds = "".join(f"&propertytypes%5B%5D={t}" for t in types)
     return f"/woning/?pricefrom={lo}&priceto={hi}&zonestype=or{area}{kinds}&submitted=true&orderby=price%20asc"
+
+
+# Departments by the slug that the portals' addresses end with.
+DEPARTMENTS = {
+    "creuse": ("Creuse", "23"), "nievre": ("Nièvre", "58"), "haute-vienne": ("Haute-Vienne", "87"), "allier": ("Allier", "03"), "cantal": ("Cantal", "15"), "indre": ("Indre", "36"),
+    "cher": ("Cher", "18"), "dordogne": ("Dordogne", "24"), "gers": ("Gers", "32"), "herault": ("Hérault", "34"), "lot": ("Lot", "46"), "aude": ("Aude", "11"), "val-d-oise": ("Val-d'Oise", "95"),
+}
+#: Those of them that one portal's addresses are known by; other slugs there become a name of their own words.
+LEFIGARO_DEPARTMENTS = ("creuse", "nievre", "haute-vienne", "allier", "cantal", "indre", "cher")
+
+
+def department(url: Column, source: str) -> Column:
+    """Struct of name and code of the department that a result or detail address names; both null where it names none."""
+    path = F.lower(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("")))
+    nothing = F.lit(None).cast("string")
+    if source == "lefigaro":
+        slug = F.split_part(found(path, r"immobilier-vente-[^-]+-([a-z0-9+-]+)\.html"), F.lit("+"), F.lit(1))
+        known, other = LEFIGARO_DEPARTMENTS, F.initcap(F.replace(slug, F.lit("-"), F.lit(" ")))
+    else:
+        slug = found(F.concat(F.lit("/"), F.regexp_replace(path, "^/+|/+$", "")), r".+/([^/]+)$")
+        known, other = tuple(DEPARTMENTS), nothing
+    name, code = other, nothing
+    for key in known:
+        name = F.when(slug == key, DEPARTMENTS[key][0]).otherwise(name)
+        code = F.when(slug == key, DEPARTMENTS[key][1]).otherwise(code)
+    return F.struct(name.alias("name"), code.alias("code"))
+
+
+# The words of one portal's search tokens that take a value.
+TOKENS = ("hab_house", "hab_appartement", "hab_castle", "lg", "cn", "mx_p", "mn_p", "city_id", "prc_max")
+GREEN_BASE = "https://www.green-acres.fr/nl/AdvertListingActions/AdvertsListing"
+
+
+def greenacres_tokens(url: Column) -> Column:
+    """Map of the search tokens of an address: `searchQuery=lg-nl-cn-fr-hab_house-on`, its own parameters, and what its path says."""
+    given = query_map(url)
+    blob = F.coalesce(F.nullif(given["searchQuery"], F.lit("")), F.nullif(given["searchquery"], F.lit("")), given["UrlConditions"], F.lit(""))
+    listed = [F.nullif(F.regexp_extract(F.concat(F.lit("-"), blob, F.lit("-")), rf"(?i)-{t}-+([^-]+)(?=-)", 1), F.lit("")) for t in TOKENS]
+    values = {t: F.coalesce(F.nullif(given[t], F.lit("")), v) for t, v in zip(TOKENS, listed, strict=True)}
+    values["order"] = F.nullif(given["order"], F.lit(""))
+    path = F.lower(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("")))
+    values["city_id"] = F.coalesce(values["city_id"], F.when(F.contains(path, F.lit("creuse")), "dp_23"))
+    values["hab_house"] = F.when(F.contains(path, F.lit("/huis")) | (values["hab_house"] == "on"), "true").otherwise(values["hab_house"])
+    pairs = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values()))
+    return F.map_filter(pairs, lambda k, v: v.isNotNull())
+
+
+def listing_api_url(url: Column, page: Column | int = 1, order: str = "price_i", base: str = GREEN_BASE) -> Column:
+    """The address of the JSON listing that stands behind a search page; of such an address itself another page."""
+    number = F.greatest(F.lit(1), F.lit(page) if isinstance(page, int) else page)
+    token = greenacres_tokens(url)
+    amount = lambda name: F.coalesce(F.nullif(F.regexp_replace(token[name], "[^0-9]", ""), F.lit("")), token[name])
+    parts = [
+        F.lit("advertType=Property"), F.concat(F.lit("p_n="), number.cast("string")), F.concat(F.lit("order="), F.url_encode(F.coalesce(token["order"], F.lit(order)))), F.concat(F.lit("cn="), F.coalesce(token["cn"], F.lit("fr"))),
+        F.concat(F.lit("lg="), F.coalesce(token["lg"], F.lit("nl"))), F.lit("type=properties"), F.when(token["hab_house"].isin("on", "true", "1"), "hab_house=true"),
+        F.concat(F.lit("mx_p="), amount("mx_p")), F.concat(F.lit("mn_p="), amount("mn_p")), F.concat(F.lit("city_id="), token["city_id"]),
+    ]
+    built = F.concat(F.lit(base + "?"), F.concat_ws("&", *parts))
+    return F.when(F.contains(url, F.lit("AdvertListingActions/AdvertsListing")), with_query(url, "p_n", number)).otherwise(built)
+
+
+def seed_url(path: Column, source: Column, bases: dict[str, str]) -> Column:
+    """The first page's address of a search: the portal's base and the path; for one portal the JSON listing behind it."""
+    base = F.try_element_at(F.create_map(*(F.lit(x) for pair in bases.items() for x in pair)), source)
+    joined = F.concat(F.regexp_replace(base, "/+$", ""), F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path)))
+    url = F.when(path.rlike("^https?://"), path).otherwise(joined)
+    return F.when(source == "greenacres", listing_api_url(url)).otherwise(url)

@@ -55,3 +55,17 @@ def band_counts(listings: DataFrame, bands: list[tuple[int, int]]) -> DataFrame:
     inside = listings.select("price", F.size(F.filter(starts, lambda a: a <= F.col("price"))).alias("band")).where(F.col("price").between(bands[0][0], bands[-1][1]))
     counts = inside.groupBy("band").agg(F.count("*").alias("n"))
     return table.join(counts, "band", "left").select("lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def planned_bands(total_pages: int | None, prices: tuple[int, int], pages_for: Callable[[int, int], int | None], ceiling: int) -> list[tuple[int, int] | None]:
+    """The bands to crawl a search by; [None] for the search as it is: it fits, could not be measured, or has no upper price to split at."""
+    if total_pages is None or total_pages <= ceiling or not prices[1]:
+        return [None]
+    return list(split_bands(pages_for, prices[0], prices[1], ceiling))
+
+
+def union_of_bands(sightings: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The sightings of several bands of one search, each listing once: bands meet at their bounds, and the first sighting counts."""
+    at = F.struct(*map(F.col, order))
+    rest = [c for c in sightings.columns if c not in key]
+    return sightings.groupBy(*key).agg(F.min_by(F.struct(*rest), at).alias("first")).select(*key, "first.*").select(*sightings.columns)

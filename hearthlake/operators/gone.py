@@ -10,9 +10,9 @@ LEAST_SEEN, SMALL_LOSS = 0.6, 5
 
 
 def completeness(bridge: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per search of runs (search, ts): seen, missing, believed. One aggregation over the bridge; runs has a row a search."""
+    """Per search of runs (search, ts): seen, missing, believed. One aggregation over the bridge; runs has a row a search, broadcast where the planner finds it small."""
     at_run = F.col("last_seen") == F.col("ts")
-    counts = bridge.join(F.broadcast(runs), "search").groupBy("search", "ts").agg(F.count_if(at_run).alias("seen"), F.count_if(~at_run).alias("missing"))
+    counts = bridge.join(runs, "search").groupBy("search", "ts").agg(F.count_if(at_run).alias("seen"), F.count_if(~at_run).alias("missing"))
     believed = (F.col("seen") > 0) & ((F.col("missing") <= SMALL_LOSS) | (F.col("seen") >= LEAST_SEEN * (F.col("seen") + F.col("missing"))))
     return counts.withColumn("believed", believed)
 
@@ -49,6 +49,6 @@ def prune_counts(listings: DataFrame, least: int, most: int, drop_priceless: boo
 
 
 def prune_report(listings: DataFrame, bridge: DataFrame, least: int, most: int, drop_priceless: bool = False) -> DataFrame:
-    """search, n: how many listings of each search pruning would remove."""
+    """search, n: how many listings of each search pruning would remove, most first; ties by name."""
     gone = listings.where(doomed(F.col("price"), least, most, drop_priceless)).select(F.col("id").alias("listing_id"))
-    return bridge.join(gone, "listing_id").groupBy("search").agg(F.count("*").alias("n"))
+    return bridge.join(gone, "listing_id").groupBy("search").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "search")

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hearthlake.functions.geo import clean_coordinate
+from hearthlake.functions.geo import clean_coordinate, country_for
 from hearthlake.functions.text import blank_as_null
 from hearthlake.operators.ranks import ranked
-from hearthlake.schema import CARD_COLUMNS, DEFAULT_CURRENCY, DEFAULT_SOURCE, DETAIL_COLUMNS
+from hearthlake.schema import CARD_COLUMNS, DEFAULT_CURRENCY, DEFAULT_SOURCE, DETAIL_COLUMNS, LISTING
 
 KEY = ["source", "external_id"]
 #: Sources whose detail page always states the living area, so that a missing one clears the stored value.
@@ -66,16 +66,27 @@ def merged_snapshot(sightings: DataFrame, order: list[str], columns: list[str] |
     null, since a sighting brings a listing back. The aggregation is associative: partial results are
     made before the shuffle, and sightings may be merged batch by batch.
     """
-    columns = columns if columns is not None else [c for c in CARD_COLUMNS if c in sightings.columns]
+    columns = columns if columns is not None else [c for c in [*CARD_COLUMNS, "country", "currency", "promoted"] if c in sightings.columns]
     at = F.struct(*map(F.col, order))
     return sightings.groupBy(*key).agg(
         *(latest(c, at) for c in columns), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.lit(None).cast("timestamp_ntz").alias("gone_at")
     )
 
 
+def raw_country(rows: DataFrame) -> Column:
+    """The country that a row's raw fields name; null where they are no JSON or name none."""
+    return F.get_json_object("raw_fields", "$.country") if "raw_fields" in rows.columns else F.lit(None).cast("string")
+
+
 def card_values(cards: DataFrame) -> DataFrame:
-    """cards as they are written: coordinates in range only, beds as bedrooms, promoted and currency always set."""
+    """cards as they are written: coordinates in range only, beds as bedrooms, promoted, currency and country always set.
+
+    The country is the first that resolves to a code: raw fields, the card, the portal's home; null leaves the stored one.
+    """
     found = cards
+    if "source" in cards.columns:
+        stated = F.col("country") if "country" in cards.columns else F.lit(None).cast("string")
+        found = found.withColumn("country", country_for(raw_country(cards), stated, F.col("source")))
     if "lat" in cards.columns:
         found = found.withColumn("lat", clean_coordinate(F.col("lat"), 90)).withColumn("lon", clean_coordinate(F.col("lon"), 180))
     if "beds" in cards.columns:
@@ -87,6 +98,34 @@ def card_values(cards: DataFrame) -> DataFrame:
     return found
 
 
+def backfilled(listings: DataFrame) -> DataFrame:
+    """Stored rows from before some columns: blank sources, external ids, currencies and countries are filled in.
+
+    A country comes from the raw fields or the portal's home; one that is there stays as it is.
+    """
+    source = F.coalesce(blank_as_null(F.col("source")), F.lit(DEFAULT_SOURCE))
+    return listings.withColumns(
+        {
+            "source": source,
+            "external_id": F.coalesce(blank_as_null(F.col("external_id")), F.col("id").cast("string")),
+            "currency": F.coalesce(blank_as_null(F.col("currency")), F.lit(DEFAULT_CURRENCY)),
+            "country": F.coalesce(blank_as_null(F.col("country")), country_for(raw_country(listings), F.lit(None).cast("string"), source), F.col("country")),
+        }
+    )
+
+
+def migrated(listings: DataFrame, layout: str = LISTING) -> DataFrame:
+    """An older store with every column of the layout: those it lacks are null, then blanks are filled in; columns beyond the layout stay."""
+    missing = [part.split(" ", 1) for part in layout.split(", ") if part.split(" ", 1)[0] not in listings.columns]
+    return backfilled(listings.withColumns({name: F.lit(None).cast(kind) for name, kind in missing}))
+
+
+def logged_runs(log: DataFrame, runs: DataFrame, last_id: int) -> DataFrame:
+    """The run log with a row for each run of runs, numbered after last_id by when it began; ties by search."""
+    added = ranked(runs, [F.col("started_at"), F.col("search")], "id", first=last_id + 1)
+    return log.unionByName(added, allowMissingColumns=True)
+
+
 def merge_bridge(bridge: DataFrame, seen: DataFrame) -> DataFrame:
     """listing_id, search, last_seen after the sightings of seen (same columns)."""
     return bridge.unionByName(seen).groupBy("listing_id", "search").agg(F.max("last_seen").alias("last_seen"))
@@ -131,6 +170,12 @@ def detail_queue(listings: DataFrame, limit: int) -> DataFrame:
     return listings.where(F.col("detail_fetched").isNull()).select("id", "price").orderBy(F.col("price").asc_nulls_last(), "id").limit(limit)
 
 
+def crawl_queue(listings: DataFrame, seen: DataFrame, limit: int) -> DataFrame:
+    """The next of the listings of seen (id, pos) to read in detail, in the order in which the crawl first met them."""
+    met = seen.groupBy("id").agg(F.min("pos").alias("pos"))
+    return met.join(needs_detail(listings, met), "id").orderBy("pos", "id").limit(limit)
+
+
 def early_stop(pages: DataFrame) -> DataFrame:
     """Cards of a cheapest-first list up to its first page that has cards of which none is kept (search, page, kept)."""
     dry = pages.groupBy("search", "page").agg(F.count_if("kept").alias("n_kept")).where("n_kept = 0").groupBy("search").agg(F.min("page").alias("last_page"))

@@ -34,15 +34,26 @@ def is_drift(ours: Column, live: Column, percent: float = GAP_PERCENT, least: in
     return F.coalesce((gap >= least) | ((ours > 0) & (gap * 100 >= ours * percent)), F.lit(False))
 
 
+def fetch_blocked(error: Column) -> Column:
+    """Whether the text of a failed request says that the portal turned it away."""
+    return F.coalesce(F.lower(error).rlike("403|forbidden|cloudflare|blocked"), F.lit(False))
+
+
 def probe(seeds: DataFrame, percent: float = GAP_PERCENT, least: int = LEAST_GAP) -> DataFrame:
     """seeds (search, source, ours, html, total, result_count, pages, cards, page_size, has_skip, catalogue_currency) as report rows.
 
-    One row a seed: search, source, ours, live, delta, note, drift. A blocked or empty answer has no live count.
+    One row a seed: search, source, ours, live, delta, note, drift, detail. A blocked or empty answer has no
+    live count. seeds may have error (the text of a request or a parser that failed) and page_blocked
+    (what the parser says of the page); both end in the note blocked or error, the text in detail.
     """
+    error = F.col("error") if "error" in seeds.columns else F.lit(None).cast("string")
+    turned_away = F.coalesce(F.col("page_blocked"), F.lit(False)) if "page_blocked" in seeds.columns else F.lit(False)
     answer = F.trim(F.coalesce("html", F.lit("")))
-    blocked, empty = looks_blocked(F.col("html")), F.length(answer) < SHORTEST_PAGE
+    blocked = F.when(error.isNotNull(), fetch_blocked(error)).otherwise(looks_blocked(F.col("html")) | turned_away)
+    empty = F.length(answer) < SHORTEST_PAGE
+    failed = error.isNotNull() | empty
     count, kind = live_count(F.col("total"), F.col("result_count"), F.col("pages"), F.col("cards"), F.col("page_size"))
-    found = seeds.withColumn("live", F.when(~blocked & ~empty, count)).withColumn("drift", is_drift(F.col("ours"), F.col("live"), percent, least))
+    found = seeds.withColumn("live", F.when(~blocked & ~failed, count)).withColumn("drift", is_drift(F.col("ours"), F.col("live"), percent, least))
     wide = (kind == "exact") & F.col("has_skip") & (F.col("ours") > 0) & (F.col("live") > F.col("ours") * 2)
     note = F.concat_ws(
         "; ",
@@ -50,8 +61,8 @@ def probe(seeds: DataFrame, percent: float = GAP_PERCENT, least: int = LEAST_GAP
         F.when(F.col("catalogue_currency") == "USD", "USD catalogue"),
         F.when(F.col("ours").isNull(), "no published count"),
     )
-    full = F.when(blocked, "blocked").when(empty, "error").otherwise(F.concat(note, F.when(F.col("drift"), " drift").otherwise("")))
-    return found.select("search", "source", "ours", "live", (F.col("live") - F.col("ours")).alias("delta"), full.alias("note"), "drift")
+    full = F.when(blocked, "blocked").when(failed, "error").otherwise(F.concat(note, F.when(F.col("drift"), " drift").otherwise("")))
+    return found.select("search", "source", "ours", "live", (F.col("live") - F.col("ours")).alias("delta"), full.alias("note"), "drift", F.coalesce(error, F.when(~blocked & empty, "empty response"), F.lit("")).alias("detail"))
 
 
 def drift_summary(report: DataFrame) -> DataFrame:

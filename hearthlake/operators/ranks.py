@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthlake.session import written
+
 PLACE_BITS = 33
 
 
@@ -12,10 +14,11 @@ def ranked(rows: DataFrame, keys: list, name: str, within: str | None = None, fi
     """rows with a gapless number from `first` in the order of keys, for each value of `within` if given.
 
     The sort is by range. Each row keeps its place inside its partition; one count for each partition
-    (and value of within, which must be few) turns places into numbers.
+    (and value of within, which must be few) turns places into numbers. The placed rows are written to
+    the shared folder once, so that a lost executor cannot sort ties anew.
     """
     by = [F.col(within)] if within else []
-    placed = rows.orderBy(*by, *keys).withColumn("_place", F.monotonically_increasing_id()).persist()
+    placed = written(rows.orderBy(*by, *keys).withColumn("_place", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_place", PLACE_BITS)
     own = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     group = F.col(within) if within else F.lit("")

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.functions.text import blank_as_null
+from hearthlake.functions.text import blank_as_null, fold
 from hearthlake.schema import DEFAULT_CURRENCY, DEFAULT_SOURCE
 
 #: Columns that lists never show; they are read on demand, by id.
@@ -70,9 +70,37 @@ def by_id(view: DataFrame, listing_id: int) -> DataFrame:
     return view.where(F.col("id") == listing_id)
 
 
+def with_photos(rows: DataFrame, photos: DataFrame) -> DataFrame:
+    """rows with the photos (id, photos) of each; an empty list where there are none."""
+    return rows.drop("photos").join(photos.select("id", "photos"), "id", "left").withColumn("photos", F.coalesce("photos", F.array().cast("array<string>")))
+
+
+def with_outlines(rows: DataFrame, countries: DataFrame, departments: DataFrame) -> DataFrame:
+    """rows with the outline of their country and, in France, of their department.
+
+    countries (code, outline) and departments (name, outline) are the few outlines that a map ships; the
+    planner broadcasts them. A department matches by its folded French name, else by its Dutch one.
+    """
+    folded = departments.select(fold(F.col("name")).alias("_name"), F.col("outline").alias("_outline")).groupBy("_name").agg(F.max("_outline").alias("_outline"))
+    found = rows.join(countries.select(F.col("code").alias("country"), "outline"), "country", "left")
+    for name in ("dept_fr", "dept_nl"):
+        key = F.when(F.col("country") == "FR", blank_as_null(fold(F.col(name))))
+        found = found.withColumn("_key", key).join(folded.select(F.col("_name").alias("_key"), F.col("_outline").alias(f"_{name}")), "_key", "left").drop("_key")
+    return found.withColumn("department", F.coalesce("_dept_fr", "_dept_nl")).select(*rows.columns, "outline", "department")
+
+
+def minute(moment: Column) -> Column:
+    """A moment as its date and time up to the minute."""
+    return F.date_format(moment, "yyyy-MM-dd HH:mm")
+
+
+#: The collation of sorted texts: case and accents count after letters.
+LOCALE = "nl"
+
+
 def blanks_last(column: str, ascending: bool = True) -> Column:
-    """Sort key: direction holds for values, blanks come last either way."""
-    value = F.expr(f"nullif(`{column}`, '')") if column in TEXT_COLUMNS else F.col(column)
+    """Sort key: direction holds for values, blanks come last either way; texts sort by the rules of LOCALE."""
+    value = F.collate(F.expr(f"nullif(`{column}`, '')"), LOCALE) if column in TEXT_COLUMNS else F.col(column)
     return value.asc_nulls_last() if ascending else value.desc_nulls_last()
 
 

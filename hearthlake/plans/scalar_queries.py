@@ -174,11 +174,10 @@ def dept_fold_join(spark, sf_dir):
     return customers.join(F.broadcast(nations), "name").groupBy("id").agg(F.count("*").alias("n"))  # nation: 25 rows by definition
 
 
-@query("SELECT doc_id, len(list_filter(string_split_regex(lower(trim(text[:2000])), '\\s+'), lambda x: x <> ''))::BIGINT AS n_terms, contains(lower(text), 'the') AND contains(lower(text), 'and') AS has_terms FROM documents")
+@query(r"SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS n_terms, contains(lower(text), 'the') AND contains(lower(text), 'and') AS has_terms FROM documents")
 def text_terms(spark, sf_dir):
-    body = F.lower(F.col("text"))
-    terms = F.filter(F.split(F.trim(F.lower(F.substring("text", 1, 2000))), r"\s+"), lambda x: x != "")
-    return D.table(spark, sf_dir, "documents").select("doc_id", F.size(terms).cast("long").alias("n_terms"), text.contains_all(body, ["the", "and"]).alias("has_terms"))
+    docs = D.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.size(text.terms(F.col("text"))).cast("long").alias("n_terms"), text.contains_all(F.lower(F.col("text")), text.search_terms("The AND")).alias("has_terms"))
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

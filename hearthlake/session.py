@@ -1,6 +1,9 @@
-"""One place where a local session is configured; a cluster brings its own."""
+"""Sessions: how a local one is configured, and the folder that all executors of a session see."""
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -16,3 +19,26 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, driver_memo
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where it is unset and all runs on one machine, a folder of our own.
+
+    An error on a cluster without the setting: its executors would each write to a disk of their own.
+    """
+    context = spark.sparkContext
+    given = context.getConf().get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="hearthlake-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from hearthlake.functions import cleaning, money, numbers, text, urls
 from hearthlake.functions.geo import clean_coordinate, not_at_zero
 from hearthlake.functions.numbers import AMOUNT, SQUARE_METRES, found, matched
-from hearthlake.sources.html import extracted
-from hearthlake.sources.portals import f, here, in_lines, whole
+from hearthlake.sources.html import RECORD, extracted
+from hearthlake.sources.portals import LEFIGARO_TYPES, f, here, in_lines, kinds_of, unwrapped, whole
 
 DETAILS: dict[str, Detail] = {}
 #: Read on every detail page beside what a portal names.
 COMMON = {
-    "ld": "script[type=application/ld+json]", "h1": "h1", "title": "title", "body": "body", "scripts": "*script", "images": "*img[src]@src", "map_links": "*a[href*=mlat=], a[href*=maps]@href", "osm": "*iframe[src*=maps]@src",
+    "ld": "**script[type=application/ld+json]", "h1": "h1", "title": "title", "body": "body", "scripts": "*script", "images": "*img[src]@src", "map_links": "*a[href*=mlat=], a[href*=maps]@href", "osm": "*iframe[src*=maps]@src",
 }
 
 
@@ -27,6 +27,9 @@ class Detail:
     columns: Callable[[], dict[str, Column]]
     fields: dict[str, str] = field(default_factory=dict)
     pairs: list[tuple[str, str, str]] = field(default_factory=list)
+    #: Kinds of the JSON-LD block that describes the listing, lower case, and whether any other block will do.
+    kinds: tuple[str, ...] = ("product", "offer", "realestatelisting")
+    any_kind: bool = True
 
     def __post_init__(self) -> None:
         DETAILS[self.name] = self
@@ -42,9 +45,20 @@ def fact_like(pattern: str) -> Column:
     return F.try_element_at(F.map_values(F.map_filter("facts", lambda k, v: k.rlike(pattern))), F.lit(1))
 
 
+def ld_block(kinds: tuple[str, ...], any_kind: bool) -> Column:
+    """The page's first JSON-LD block of one of these kinds, else its first block at all; lists and graphs are opened."""
+    listed = lambda text: F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+    graph = lambda b: F.get_json_object(b, "$['@graph']")
+    opened = lambda b: F.when(F.startswith(F.ltrim(b), F.lit("[")), listed(b)).when(graph(b).isNotNull(), listed(graph(b))).otherwise(F.array(b))
+    blocks = F.flatten(F.transform(F.split(F.coalesce(f("ld"), F.lit("")), RECORD), opened))
+    wanted = F.filter(blocks, lambda b: F.lower(F.get_json_object(b, "$['@type']")).rlike(rf'(^|")({"|".join(kinds)})("|$)'))
+    first = F.try_element_at(wanted, F.lit(1))
+    return F.coalesce(first, F.try_element_at(blocks, F.lit(1))) if any_kind else first
+
+
 def ld(path: str) -> Column:
-    """A value of the page's first JSON-LD block, which may stand in a list or a graph."""
-    return F.coalesce(*(F.get_json_object(f("ld"), f"{root}.{path}") for root in ("$", "$[0]", "$['@graph'][0]")))
+    """A value of the page's JSON-LD block."""
+    return F.get_json_object("node", f"$.{path}")
 
 
 def offered(path: str) -> Column:
@@ -69,10 +83,30 @@ def photo_list(lines: Column, base: str, wanted: str = r".") -> Column:
     return F.array_distinct(F.transform(links, lambda u: here(F.regexp_replace(u, r"\?.*$", ""), base)))
 
 
+def one_size(lines: Column, size: str, base: str) -> Column:
+    """The first address of each picture, whatever the size that its address ends with."""
+    links = F.filter(F.split(F.coalesce(lines, F.lit("")), "\n"), lambda u: u != "")
+    keys = F.transform(links, lambda u: F.regexp_replace(u, size, ""))
+    first = F.filter(links, lambda u, i: F.array_position(keys, F.regexp_replace(u, size, "")) == i + 1)
+    return F.transform(first, lambda u: here(u, base))
+
+
 def chosen(amount: Column, currency: Column) -> Column:
     return F.when(amount.isNotNull() & currency.isNotNull(), F.struct(amount.alias("amount"), currency.alias("currency")))
 
 
+def stated_by(amount: Column, currency: Column) -> Column:
+    """A single amount as a map from its currency; empty where there is none."""
+    whole_map = F.create_map(F.coalesce(currency, F.lit("")), amount.cast("long"))
+    return F.map_filter(whole_map, lambda k, v: v.isNotNull() & (k != ""))
+
+
+def stated_in(**by_currency: Column) -> Column:
+    """Amounts by currency as a map of those that are there."""
+    pairs = F.create_map(*(x for c, v in by_currency.items() for x in (F.lit(c), v.cast("long"))))
+    return F.map_filter(pairs, lambda k, v: v.isNotNull())
+
+
 def energy(pattern: str = r"(?i)\b(?:classe[-\s]?[eé]nergie|DPE|energieklasse|energieprestatie|verbruik)\s*[:\s]*([A-G])\b") -> Column:
     return F.upper(found(body(), pattern))
 
@@ -86,6 +120,7 @@ def mubawab() -> dict[str, Column]:
     land = F.coalesce(numbers.area(fact_like("^(plot|land)( ?(surface|area))?$")), numbers.digits(found(numbers.spaced(description), rf"(?i)(?:plot|land(?:\s+area)?|lot(?:\s+area)?)\s*(?:of|is|:)?\s*{AMOUNT}\s*(?:m²|m2)")))
     lat, lon = clean_coordinate(F.coalesce(f("lat"), f("lat2")), 90), clean_coordinate(F.coalesce(f("lon"), f("lon2")), 180)
     return {
+        "_stated": stated_by(paid["amount"], paid["currency"]),
         "external_id": F.coalesce(urls.listing_id(F.col("url"), "mubawab"), urls.listing_id(ld("url"), "mubawab")), "type": F.coalesce(fact("type of property"), F.lit("House")), "place": F.coalesce(f("grey"), place), "region": F.coalesce(place, f("grey")),
         "price": stored["price"], "currency": F.lit("EUR"), "old_price": money.to_euro(before, paid["currency"], "mubawab"), "living_m2": F.coalesce(numbers.rounded(offered("floorSize.value")), numbers.area(in_lines(f("features"), r"(?i)([0-9][0-9\s.,]*\s*m[²2])"))),
         "land_m2": land, "rooms": whole(offered("numberOfRooms")), "bedrooms": whole(offered("numberOfBedrooms")), "baths": whole(offered("numberOfBathroomsTotal")), "lat": lat, "lon": lon, "description": description, "photos": photo_list(f("gallery"), "https://www.mubawab.ma"),
@@ -96,6 +131,19 @@ Detail("mubawab", mubawab, {"price": "h3.orangeTit", "main": ".mainInfoProp", "f
        [(".adMainFeature", ".adMainFeatureContentLabel", ".adMainFeatureContentValue")])
 
 
+# Labels of one portal's fittings.
+FITTINGS = ("water", "drainage", "electricity", "gas", "fireplace", "sauna", "pool", "loggia", "furniture appliances", "condition", "status", "storeroom")
+
+
+def fittings() -> Column:
+    """The fittings that a page states: those it says yes to by name, others with their value."""
+    def named(label: str) -> Column:
+        value, name = fact(label), label.title()
+        return F.when(F.lower(value).isin("no", "none", "-"), None).when(F.lower(value) == "yes", name).otherwise(F.concat(F.lit(name + ": "), value))
+
+    return text.blank_as_null(F.concat_ws(", ", *map(named, FITTINGS)))
+
+
 def homege() -> dict[str, Column]:
     currency = F.upper(ld("offers.priceCurrency"))
     currency = F.when(currency.isin("USD", "US$"), "USD").when(currency.isin("EUR", "EU"), "EUR").when(currency == "GEL", "GEL")
@@ -103,9 +151,10 @@ def homege() -> dict[str, Column]:
     living, land, _ = cleaning.plot_as_land(numbers.area(fact("area"), numbers.comma_thousands, r"(?:m²|m2|m)\b"), numbers.area(fact("yard area"), numbers.comma_thousands, r"(?:m²|m2|m)\b"))
     lat, lon = coordinates(r"(?i)latLng['\"]?\s*:\s*['\"]\s*(-?[0-9]+(?:\.[0-9]+)?)\s*,\s*(-?[0-9]+(?:\.[0-9]+)?)")
     return {
+        "_stated": stated_by(paid["amount"], paid["currency"]),
         "external_id": F.coalesce(urls.listing_id(F.col("url"), "homege"), urls.listing_id(ld("url"), "homege"), ld("sku"), ld("mpn")), "type": F.coalesce(ld("brand.name"), fact("type of property"), F.lit("House For Sale")), "place": F.trim(fact("district / village")), "region": F.trim(fact("city/region")),
         "price": money.priced(paid, "homege")["price"], "currency": F.lit("EUR"), "living_m2": living, "land_m2": land, "rooms": whole(found(fact("rooms"), r"(?i)([0-9]+)\s*Rooms?\b")), "bedrooms": numbers.comma_thousands(fact("bedrooms")), "baths": numbers.comma_thousands(fact("bathrooms")),
-        "lat": lat, "lon": lon, "description": F.concat_ws("\n", fact("title"), F.coalesce(fact("description"), ld("description"))), "reference": fact("reference number"), "agent": text.node_text(f("seller")), "photos": photo_list(f("images"), "https://www.home.ge", "listings|digitaloceanspaces"),
+        "lat": lat, "lon": lon, "description": F.concat_ws("\n", fact("title"), F.coalesce(fact("description"), ld("description"))), "reference": fact("reference number"), "agent": text.node_text(f("seller")), "features": fittings(), "photos": photo_list(f("images"), "https://www.home.ge", "listings|digitaloceanspaces"),
     }
 
 
@@ -127,13 +176,14 @@ def bulgarianproperties() -> dict[str, Column]:
     lat, lon = coordinates(r"(?i)maps\?q=(-?[0-9]+(?:\.[0-9]+)?),(-?[0-9]+(?:\.[0-9]+)?)")
     zero = not_at_zero(lat, lon, 0.1, both=True)
     return {
+        "_stated": stated_in(EUR=eur, GBP=gbp, USD=usd),
         "external_id": F.concat(F.lit("AD"), number, F.lit("BG")), "type": kind, "place": fact("village", "town", "location"), "price": price, "currency": F.lit("EUR"), "price_gbp": gbp, "price_usd": usd, "living_m2": living, "land_m2": land,
         "lat": zero[0], "lon": zero[1], "description": F.coalesce(f("text"), ld("description")), "reference": F.concat(F.lit("AD"), number, F.lit("BG")),
     }
 
 
 Detail("bulgarianproperties", bulgarianproperties, {"prop_id": "[data-preference-prop-id]@data-preference-prop-id", "price": ".component-single-property-price .regular-price, .component-single-property-price .new-price, #newprice", "text": ".component-single-property-description", "switches": "*[onclick*=ch_currency]@onclick"},
-       [(".characteristic", ".label", ".value")])
+       [(".characteristic", ".label", ".value")], kinds=("product", "offer", "realestatelisting", "singlefamilyresidence"), any_kind=False)
 
 
 def centrarium() -> dict[str, Column]:
@@ -149,11 +199,13 @@ def centrarium() -> dict[str, Column]:
     }
 
 
-Detail("centrarium", centrarium, {"price": ".vw-price, .vw-header-price, [class*=price]"}, [(".vw-dynprops-item", ".vw-dynprops-item-attr", ".vw-dynprops-item-val")])
+Detail("centrarium", centrarium, {"price": ".vw-price, .vw-header-price, [class*=price]"}, [(".vw-dynprops-item", ".vw-dynprops-item-attr", ".vw-dynprops-item-val")], kinds=("product", "offer", "residence"))
 
 
 def abruzzoruralproperty() -> dict[str, Column]:
-    written = F.coalesce(f("text"), body())
+    summaries = F.array_join(F.filter(F.split(F.coalesce(f("metas"), F.lit("")), "\n"), lambda t: ~F.contains(t, F.lit("Abruzzo Rural Property"))), " ")
+    # What belongs to this listing: neither navigation nor the cards of others.
+    written = F.concat_ws(" ", summaries, f("described"), f("row"), f("details"))
     spoken = numbers.european(found(numbers.spaced(written), rf"(?i)Total\s+(?:cadastral\s+space|liveable\s+surface):\s*([0-9][0-9.,]*)\s*{SQUARE_METRES}"))
     plot = numbers.european(found(numbers.spaced(written), rf"(?i)([0-9][0-9.,]*)\s*{SQUARE_METRES}\s+(?:of\s+)?(?:[\w'-]+\s+){{0,4}}(?:land|garden|grounds?)\b"))
     land = F.when(~matched(fact("total land"), r"(?i)\bno land\b"), F.coalesce(numbers.european(fact("total land")), plot, numbers.hectares(written)))
@@ -164,7 +216,7 @@ def abruzzoruralproperty() -> dict[str, Column]:
     }
 
 
-Detail("abruzzoruralproperty", abruzzoruralproperty, {"text": ".fw-property-description, [itemprop=description], .fw-description", "price": "span.price, .fw-price, [itemprop=price]"},
+Detail("abruzzoruralproperty", abruzzoruralproperty, {"metas": "*meta[name=description], meta[property=og:description]@content", "described": "[itemprop=description]", "row": "article.fw-property-detail-row", "details": ".fw-property-details", "text": ".fw-property-description, [itemprop=description], .fw-description", "price": "span.price, .fw-price, [itemprop=price]"},
        [(".fw-property-detail-row", ".text-bold", "[itemprop=value]"), (".fw-property-detail-row-odd", ".text-bold", "[itemprop=value]")])
 
 
@@ -193,6 +245,7 @@ def domaza() -> dict[str, Column]:
     described = F.coalesce(f("text"), body())
     deal = F.lower(F.concat_ws(" ", f("labels"), f("hidden_title")))
     return {
+        "_stated": stated,
         "external_id": F.coalesce(urls.listing_id(F.col("url"), "domaza"), found(body(), r"(?i)\bID\s+([0-9]+)\b")), "type": F.coalesce(f("kind"), F.try_element_at(bits, F.lit(1))), "place": F.try_element_at(bits, F.lit(2)), "region": F.try_element_at(bits, F.lit(3)), "country": F.try_element_at(bits, F.lit(4)),
         "price": money.best_priced(stated, "domaza")["price"], "currency": F.lit("EUR"), "living_m2": F.coalesce(numbers.area(fact_like("floor area|total area|living area|^area"), unit=r"(?:m2|m²|m\s*2|sq\.?\s*m|sqm)\b"), numbers.area(f("hidden_area"))),
         "land_m2": F.coalesce(numbers.area(fact_like("plot|land|yard"), unit=r"(?:m2|m²|m\s*2)"), numbers.digits(found(numbers.spaced(described), rf"(?i)(?:building plot|plot|yard|land)\s+(?:of\s+|around the house is\s+)?{AMOUNT}\s*(?:m2|m²)"))),
@@ -212,6 +265,7 @@ def holprop() -> dict[str, Column]:
     marked = F.when(F.upper(F.coalesce(f("currency"), F.lit("EUR"))) == "EUR", numbers.digits(f("meta_price")))
     ident = urls.listing_id(F.col("url"), "holprop")
     return {
+        "_stated": stated,
         "external_id": ident, "type": of("Type"), "place": F.coalesce(f("place"), of("City")), "region": F.coalesce(f("region"), of("Region")), "price": F.coalesce(marked, stated["EUR"]), "currency": F.lit("EUR"), "price_gbp": stated["GBP"], "price_usd": stated["USD"],
         "bedrooms": numbers.digits(of("Bedrooms?")), "baths": numbers.digits(of("Bathrooms?")), "living_m2": numbers.area(of("Floor area|Size")), "land_m2": numbers.area(of("Land area|Plot")), "reference": F.upper(ident), "description": F.coalesce(f("text"), f("h1")),
     }
@@ -220,16 +274,27 @@ def holprop() -> dict[str, Column]:
 Detail("holprop", holprop, {"facts_text": ".lefdetails", "address": "span.address", "place": "[itemprop=addressLocality]", "region": "[itemprop=addressRegion]", "meta_price": "[itemprop=price]@content", "currency": "[itemprop=priceCurrency]@content", "price": ".advert-price", "gray": ".txt_gray_price", "text": "[itemprop=description]"})
 
 
+# What a headline calls a dwelling, and what it calls anything else.
+DWELLING = r"(?i)([0-9][0-9\s.,]*)\s*(?:sq\.?\s*m\.?|sqm|m2|m²)\s+(?:[a-z-]+\s+){0,2}(?:living|house|home|villa|bungalow|cottage|apartment|property)\b"
+NO_DWELLING = r"(?i)\b(?:barn|plot|land|forest|garage|shed|outbuilding|annex|ruins?|stable|orchard|meadow|yard)\b"
+
+
+def dwelling_area(headline: Column) -> Column:
+    """The first area in a comma-separated headline that its clause gives to a dwelling and to nothing else."""
+    clauses = F.filter(F.split(headline, "[,;]"), lambda c: ~c.rlike(NO_DWELLING) & c.rlike(DWELLING))
+    return numbers.digits(found(F.try_element_at(clauses, F.lit(1)), DWELLING))
+
+
 def ok_bulgaria() -> dict[str, Column]:
     facts = numbers.spaced(F.coalesce(f("facts_text"), body()))
     kind = found(facts, r"(?i)Type:\s*(.*?)\s*(?=Land:|Village:|Province|Price|ID:|$)")
     headline = F.concat_ws(", ", f("h3"), f("title"))
-    clause = F.try_element_at(F.filter(F.split(headline, "[,;]"), lambda c: c.rlike(r"(?i)[0-9]\s*(?:sq\.?\s*m|sqm|m2|m²)") & ~c.rlike(r"(?i)land|garden|plot|yard|regulated|barn|outbuilding")), F.lit(1))
     is_land = matched(kind, r"(?i)^(?:land|regulated|plot|agricultural)")
     euro, pound = numbers.digits(found(facts, r"€\s*([0-9.,\s]+)")), numbers.digits(found(facts, r"£\s*([0-9.,\s]+)"))
     return {
+        "_stated": stated_in(EUR=euro, GBP=pound),
         "external_id": found(F.col("url"), r"[?&]id=([^&#]+)"), "type": kind, "place": F.initcap(F.trim(found(facts, r"(?i)Village:\s*([^(\-]+)"))), "price": F.coalesce(euro, money.to_euro(pound, F.lit("GBP"), "ok_bulgaria")), "currency": F.lit("EUR"), "price_gbp": pound,
-        "land_m2": numbers.area_or_number(found(facts, r"(?i)Land:\s*([0-9][0-9\s.,]*\s*(?:sq\.?\s*m\.?|sqm|m2|m²)?)")), "living_m2": F.when(~F.coalesce(is_land, F.lit(False)), numbers.area(clause)), "bedrooms": whole(found(kind, r"^([0-9]+)\s+bedroom")),
+        "land_m2": numbers.area_or_number(found(facts, r"(?i)Land:\s*([0-9][0-9\s.,]*\s*(?:sq\.?\s*m\.?|sqm|m2|m²)?)")), "living_m2": F.when(~F.coalesce(is_land, F.lit(False)), dwelling_area(headline)), "bedrooms": whole(found(kind, r"^([0-9]+)\s+bedroom")),
         "reference": found(facts, r"(?i)ID:\s*(\S+)"), "description": f("text"), "photos": photo_list(f("gallery"), "https://www.cheap-bulgarian-house.co.uk"),
     }
 
@@ -244,13 +309,13 @@ def lefigaro() -> dict[str, Column]:
     price = F.coalesce(numbers.rounded(ld("offers.price")), numbers.rounded(ld("offers[0].price")), numbers.rounded(ld("price")), money.money(f("h1"), "lefigaro")["amount"], money.money(f("price"), "lefigaro")["amount"], money.money(body(), "lefigaro")["amount"])
     name = F.coalesce(offered("name"), f("h1"))
     return {
-        "external_id": F.coalesce(urls.listing_id(F.col("url"), "lefigaro"), urls.listing_id(ld("url"), "lefigaro")), "type": found(name, r"(?i)\b(Maison|Propriété|Appartement|Terrain|Immeuble|Ferme|Longère|Château|Villa)\b"), "place": offered("address.addressLocality"), "region": offered("address.addressRegion"), "price": price, "currency": F.lit("EUR"),
+        "external_id": F.coalesce(urls.listing_id(F.col("url"), "lefigaro"), urls.listing_id(ld("url"), "lefigaro")), "type": F.coalesce(kinds_of(offered("['@type']")), text.pretty_type(found(name, r"(?i)\b(Maison|Propriété|Appartement|Terrain|Immeuble|Ferme|Longère|Château|Villa)\b"), LEFIGARO_TYPES, "Maison")), "place": offered("address.addressLocality"), "region": offered("address.addressRegion"), "price": price, "currency": F.lit("EUR"),
         "living_m2": quantity("floorSize"), "land_m2": land, "rooms": numbers.decimal_comma(offered("numberOfRooms")), "bedrooms": numbers.decimal_comma(offered("numberOfBedrooms")), "baths": numbers.decimal_comma(F.coalesce(offered("numberOfBathroomsTotal"), offered("numberOfBathrooms"))),
         "energy_label": energy(), "gas_label": F.upper(found(body(), r"(?i)\bGES\s*[:\s]*([A-G])\b")), "energy_kwh": numbers.decimal_comma(found(body(), r"(?i)([0-9][0-9\s.,]*)\s*kWh")), "lat": clean_coordinate(ld("geo.latitude"), 90), "lon": clean_coordinate(ld("geo.longitude"), 180), "description": described,
     }
 
 
-Detail("lefigaro", lefigaro, {"price": ".price, [class*=price]", "text": "[class*=description], article p"}, [("li", "span", "strong"), ("tr", "th", "td")])
+Detail("lefigaro", lefigaro, {"price": ".price, [class*=price]", "text": "[class*=description], article p"}, [("li", "span", "strong"), ("tr", "th", "td")], kinds=("realestatelisting", "product", "house", "singlefamilyresidence", "residence", "offer"))
 
 
 def greenacres() -> dict[str, Column]:
@@ -264,6 +329,7 @@ def greenacres() -> dict[str, Column]:
     kind = F.when(F.contains(F.col("url"), F.lit("/appartement/")), "Appartement").when(F.contains(F.col("url"), F.lit("/huis/")), "Huis").when(F.contains(F.lower(name), F.lit("appartement")), "Appartement").when(garage, "Garage").otherwise("Huis")
     grade = F.upper(F.trim(f("grade")))
     return {
+        "_stated": stated_by(paid["amount"], paid["currency"]),
         "external_id": F.coalesce(f("id"), urls.listing_id(F.col("url"), "greenacres")), "type": kind, "place": found(f("where"), r"^\s*([^()]+?)\s*\("), "region": found(f("where"), r"\(([^)]+)\)"), "price": money.priced(paid, "greenacres")["price"], "currency": F.lit("EUR"), "living_m2": living, "land_m2": land,
         "bedrooms": whole(found(f("labels"), r"(?i)([0-9]+)\s*slaapkamers?\b")), "baths": whole(found(f("labels"), r"(?i)([0-9]+)\s*badkamers?\b")), "energy_label": F.coalesce(F.when(grade.rlike("^[A-G]$"), grade), energy()), "energy_kwh": numbers.dot_thousands(found(body(), r"(?i)([0-9][0-9\s.,]*)\s*kWh")),
         "gas_co2": numbers.dot_thousands(found(body(), r"(?i)([0-9][0-9\s.,]*)\s*kg\s*CO")), "agent": f("agent"), "description": f("text"),
@@ -290,12 +356,12 @@ def franimo() -> dict[str, Column]:
         "external_id": F.coalesce(numbers.digits(fact("franimo nr")).cast("string"), found(F.col("url"), r"([0-9]{4,})")), "type": fact("type"), "place": fact("nabij"), "living_m2": cleaning.plausible_living(kind, living, rooms, beds, land), "land_m2": land,
         "rooms": rooms, "bedrooms": beds, "baths": numbers.digits(fact("badkamers")), "year_built": numbers.digits(fact("bouwjaar")), "price": numbers.digits(fact("prijs")), "currency": F.lit("EUR"), "reference": fact("referentie"),
         "agent": fact("makelaar"), "agent_name": fact("naam"), "agent_address": fact("adres"), "region": in_lines(f("crumbs"), r" regio ([^\n]+)"), "dept_fr": fact("departement"), "dept_nl": in_lines(f("crumbs"), r" departement ([^\n]+)"),
-        "photos": photo_list(f("slides"), "https://www.franimo.nl", "^(?!.*thumb[^/]*$)"),
+        "photos": photo_list(f("slides"), "https://www.franimo.nl", "^(?!.*thumb[^/]*$)"), "features": F.replace(f("feature_lines"), F.lit("\n"), F.lit(", ")),
         "energy_label": energy_label, "energy_kwh": energy_kwh, "gas_label": gas_label, "gas_co2": gas_co2, "description": f("text"),
     }
 
 
-Detail("franimo", franimo, {"energy": "*.energy-emmission table.energy-table tr", "energy_class": ".energy-emmission table.energy-table@class", "gas": "*table.gas-emmission tr", "gas_class": "table.gas-emmission@class", "text": "[itemprop=description]", "crumbs": "*a", "slides": "*.splide img[data-splide-lazy]@data-splide-lazy"}, [(".property-information table tr", "th", "td"), (".property-vendor table tr", "th", "td")])
+Detail("franimo", franimo, {"energy": "*.energy-emmission table.energy-table tr", "energy_class": ".energy-emmission table.energy-table@class", "gas": "*table.gas-emmission tr", "gas_class": "table.gas-emmission@class", "text": "[itemprop=description]", "crumbs": "*a", "feature_lines": "*[itemprop=description] ~ p until .property-information", "slides": "*.splide img[data-splide-lazy]@data-splide-lazy"}, [(".property-information table tr", "th", "td"), (".property-vendor table tr", "th", "td")])
 
 
 def akiyaportal() -> dict[str, Column]:
@@ -304,17 +370,29 @@ def akiyaportal() -> dict[str, Column]:
     plan = F.coalesce(fact_like("layout|building area|floor"), f("h1"))
     ident = F.coalesce(f("id"), urls.listing_id(F.col("url"), "akiyaportal"))
     return {
+        "_stated": stated_by(paid["amount"], paid["currency"]), "photos": one_size(f("gallery"), r"/[0-9]+\.webp$", "https://akiyaportal.com"),
         "external_id": ident, "type": F.coalesce(fact("property type", "type"), F.lit("Used single-family home")), "region": F.coalesce(fact("prefecture"), ld("address.addressRegion")), "place": F.split_part(ld("address.addressLocality"), F.lit(","), F.lit(1)), "price": money.priced(paid, "akiyaportal")["price"], "currency": F.lit("EUR"),
-        "living_m2": numbers.decimal_area(fact_like("building area|floor area|living")), "land_m2": numbers.decimal_area(fact_like("land")), "bedrooms": numbers.layout_bedrooms(plan), "year_built": numbers.year(fact_like("built|year")), "description": F.trim(F.regexp_replace(ld("description"), r"(?is)\s*(?:interested in|contact us|book a).*$", "")), "reference": ident,
+        "living_m2": numbers.decimal_area(fact_like("building area|floor area|living")), "land_m2": numbers.decimal_area(fact_like("land")), "bedrooms": numbers.layout_bedrooms(plan), "year_built": numbers.year(fact_like("built|year")), "description": text.without_pitch(ld("description")), "reference": ident,
     }
 
 
-Detail("akiyaportal", akiyaportal, {"id": "[data-listing-id]@data-listing-id"}, [("div.flex.justify-between", "span.label, span.text-gray-600, span", "span.font-medium, span.font-semibold")])
+Detail("akiyaportal", akiyaportal, {"id": "[data-listing-id]@data-listing-id", "gallery": "*a[href*=listing-images]@href until h2 with similar"}, [("div.flex.justify-between", "span.label, span.text-gray-600, span", "span.font-medium, span.font-semibold")], kinds=("realestatelisting",), any_kind=False)
+
+
+def raw_facts(rows: DataFrame, columns: dict[str, Column], source: str) -> Column:
+    """Every label and value of the page, and where its price comes from, as JSON."""
+    if "_stated" not in columns:
+        return F.to_json("facts")
+    origin = money.provenance(columns["_stated"], source)
+    plain = F.map_filter("facts", lambda k, v: ~k.rlike("^(price_[a-z]+|fx_[a-z]+)$"))
+    return F.to_json(F.map_concat(plain, F.coalesce(origin, F.create_map().cast("map<string,string>"))))
 
 
 def detail_rows(pages: DataFrame, source: str) -> DataFrame:
     """One row for each detail page (url, html): url, source, the portal's columns, raw_fields with every label and value as JSON."""
     detail = DETAILS[source]
-    rows = extracted(pages, None, COMMON | detail.fields, pairs=detail.pairs)
-    return rows.select("url", F.lit(source).alias("source"), *(c.alias(n) for n, c in detail.columns().items()), F.to_json("facts").alias("raw_fields"))
-
+    pages = unwrapped(pages) if source == "greenacres" else pages
+    rows = extracted(pages, None, COMMON | detail.fields, pairs=detail.pairs).withColumn("node", ld_block(detail.kinds, detail.any_kind))
+    columns = detail.columns()
+    named = [c.alias(n) for n, c in columns.items() if n != "_stated"]
+    return rows.select("url", F.lit(source).alias("source"), *named, raw_facts(rows, columns, source).alias("raw_fields"))

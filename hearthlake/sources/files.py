@@ -16,7 +16,7 @@ from hearthlake.schema import DEFAULT_SOURCE, SEARCH
 
 
 def decoded(content: bytes | None, declared: str = "utf-8") -> str | None:
-    """Bytes of a page as text: UTF-8, with a few broken characters if need be, else the declared charset."""
+    """Bytes of a page as text: UTF-8, with a few broken characters if need be, else the declared charset with marks for what it can't read."""
     if content is None:
         return None
     try:
@@ -26,8 +26,8 @@ def decoded(content: bytes | None, declared: str = "utf-8") -> str | None:
         if text.count("�") <= max(2, len(text) // 100):
             return text
         try:
-            return content.decode(declared)
-        except (LookupError, UnicodeDecodeError):
+            return content.decode(declared, "replace")
+        except LookupError:
             return text
 
 
@@ -174,6 +174,11 @@ def sqlite_table(spark: SparkSession, path: str, table: str, partitions: int = 4
     return spark.read.format("sqlite").option("table", table).option("partitions", str(partitions)).load(path)
 
 
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Rows added to a table of files, such as the run log; what is there stays."""
+    rows.write.mode("append").parquet(path)
+
+
 def outlines(spark: SparkSession, path: str) -> DataFrame:
     """name, code, rings (each an array of [lon, lat]) of a GeoJSON collection: the exterior rings of polygons and multipolygons."""
     feature = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"

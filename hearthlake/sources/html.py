@@ -120,35 +120,38 @@ class Simple:
 
 
 class Selector:
-    """Alternatives of compound selectors joined by spaces (inside) or > (directly inside)."""
+    """Alternatives of compound selectors joined by spaces (inside), > (directly inside) or ~ (after, inside the same element)."""
 
     def __init__(self, text: str):
         self.chains = []
         for alternative in re.split(r",(?![^\[]*\])", text):
-            words = re.findall(r">|(?:[^\s>\[]|\[[^\]]*\])+", alternative)
-            chain, direct = [], False
+            words = re.findall(r"[>~](?=\s|$)|(?:[^\s>\[]|\[[^\]]*\])+", alternative)
+            chain, sign = [], ""
             for word in words:
-                if word == ">":
-                    direct = True
+                if word in (">", "~"):
+                    sign = word
                 else:
-                    chain.append((Simple(word), direct))
-                    direct = False
+                    chain.append((Simple(word), sign))
+                    sign = ""
             self.chains.append(chain)
 
     def meets(self, node: Node, top: Node) -> bool:
         return any(self.climbs(node, chain, len(chain) - 1, top) for chain in self.chains)
 
     def climbs(self, node: Node, chain: list, at: int, top: Node) -> bool:
-        simple, direct = chain[at]
+        simple, sign = chain[at]
         if not simple.meets(node):
             return False
         if at == 0:
-            return not direct or node.parent is top
+            return sign != ">" or node.parent is top
+        if sign == "~":
+            beside = [c for c in node.parent.children if isinstance(c, Node)] if node.parent else [node]
+            return any(self.climbs(c, chain, at - 1, top) for c in beside[: next(i for i, c in enumerate(beside) if c is node)])
         parent = node.parent
         while parent is not None and parent is not top:
             if self.climbs(parent, chain, at - 1, top):
                 return True
-            if direct:
+            if sign == ">":
                 return False
             parent = parent.parent
         return False
@@ -160,20 +163,38 @@ class Selector:
         return next(self.all(top), None)
 
 
+#: Stands between the matches of a ** field.
+RECORD = "\x1e"
+
+
 class Field:
-    """`selector`, `selector@attribute`, `@attribute` of the element itself; `@attribute=` gives attribute=text; * before it gives all matches, one a line."""
+    """`selector`, `selector@attribute`, `@attribute` of the element itself; `@attribute=` gives attribute=text; * before it gives all matches, one a line.
+
+    ** before it joins all matches by RECORD instead. ` until selector` after it ends the search at the
+    first such element in document order, ` until selector with word` at the first whose text has the word.
+    """
 
     def __init__(self, text: str):
-        self.every = text.startswith("*")
+        text, _, stop = text.partition(" until ")
+        stop, _, self.word = stop.partition(" with ")
+        self.stop = Selector(stop) if stop else None
+        self.every, self.between = text.startswith("*"), RECORD if text.startswith("**") else "\n"
         path, _, attribute = text.lstrip("*").partition("@")
         self.attribute, self.both = attribute.removesuffix("="), attribute.endswith("=")
         self.selector = Selector(path) if path.strip() else None
 
     def read(self, top: Node) -> str | None:
-        found = [top] if self.selector is None else self.selector.all(top)
+        found = [top] if self.selector is None else self.selector.all(top) if self.stop is None else self.before(top)
         values = (self.value(n) for n in found)
         kept = (v for v in values if v is not None)
-        return ("\n".join(kept) or None) if self.every else next(kept, None)
+        return (self.between.join(kept) or None) if self.every else next(kept, None)
+
+    def before(self, top: Node) -> Iterator[Node]:
+        for node in top.walk():
+            if self.stop.meets(node, top) and self.word in (node.text() or "").lower():
+                return
+            if self.selector.meets(node, top):
+                yield node
 
     def value(self, node: Node) -> str | None:
         if self.both:

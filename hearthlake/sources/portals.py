@@ -396,6 +396,21 @@ def lefigaro_columns() -> dict[str, Column]:
     }
 
 
+# The kinds of one portal's structured data and titles, and the kinds that name a listing.
+LEFIGARO_TYPES = {
+    "house": "Maison", "singlefamilyresidence": "Maison", "residence": "Maison", "accommodation": "Maison", "maison": "Maison", "propriete": "Propriété", "propriété": "Propriété",
+    "apartment": "Appartement", "appartement": "Appartement", "land": "Terrain", "terrain": "Terrain",
+}
+LEFIGARO_NAMED = ("house", "singlefamilyresidence", "apartment", "land", "residence")
+
+
+def kinds_of(stated: Column) -> Column:
+    """The name of the first kind in an @type value (a word or a list of them) that names a listing; null without one."""
+    listed = F.from_json(F.when(F.startswith(stated, F.lit("[")), stated).otherwise(F.concat(F.lit('["'), stated, F.lit('"]'))), "array<string>")
+    known = F.try_element_at(F.filter(F.transform(listed, F.lower), lambda k: k.isin(*LEFIGARO_NAMED)), F.lit(1))
+    return F.when(known.isNotNull(), text.pretty_type(known, LEFIGARO_TYPES, "Maison"))
+
+
 def lefigaro_items(pages: DataFrame) -> DataFrame:
     """Listings of the page's ItemList; the cards give those that it leaves out."""
     whole_page = extracted(pages, None, {}, {"ld": "script[type=application/ld+json]"})
@@ -403,11 +418,11 @@ def lefigaro_items(pages: DataFrame) -> DataFrame:
     of = lambda path: F.get_json_object("item", path)
     rows = listed.withColumn("item", F.coalesce(F.get_json_object("entry", "$.item"), "entry"))
     quantity = lambda name: numbers.decimal_comma(F.coalesce(of(f"$.{name}.value"), F.when(~F.startswith(of(f"$.{name}"), F.lit("{")), of(f"$.{name}"))))
-    name, kind = of("$.name"), F.lower(of("$['@type']"))
+    name = of("$.name")
     rental = matched(name, r"(?i)\b(?:location|louer)\b") & ~matched(name, "(?i)vente")
     columns = {
         "external_id": urls.listing_id(F.coalesce(of("$.url"), of("$['@id']")), "lefigaro"), "url": here(F.coalesce(of("$.url"), of("$['@id']")), "https://immobilier.lefigaro.fr"),
-        "type": F.when(kind.isin("house", "singlefamilyresidence"), "Maison").when(kind == "apartment", "Appartement").when(kind == "land", "Terrain").otherwise(F.coalesce(found(name, r"^(\S+)"), F.lit("Maison"))),
+        "type": F.coalesce(kinds_of(of("$['@type']")), text.pretty_type(found(name, r"^(\S+)"), LEFIGARO_TYPES, "Maison")),
         "place": F.coalesce(of("$.address.addressLocality"), found(name, r"\b([A-ZÀ-Ÿ][A-Za-zÀ-ÿ'’ -]+?)\s*\([0-9]{2,3}\)\s*$")), "region": of("$.address.addressRegion"), "price": F.coalesce(numbers.rounded(of("$.offers.price")), numbers.rounded(of("$.offers[0].price"))),
         "currency": F.lit("EUR"), "living_m2": quantity("floorSize"), "land_m2": F.coalesce(quantity("landArea"), quantity("lotSize")), "rooms": numbers.decimal_comma(of("$.numberOfRooms")), "bedrooms": numbers.decimal_comma(of("$.numberOfBedrooms")),
         "lat": of("$.geo.latitude").try_cast("double"), "lon": of("$.geo.longitude").try_cast("double"), "snippet": of("$.description"), "promoted": F.lit(False),
@@ -432,7 +447,9 @@ def greenacres_columns() -> dict[str, Column]:
     tag = lambda label: in_lines(f("tags"), rf"(?i)(?:^|\n){label}=([^\n]+)")
     size = lambda t: F.coalesce(numbers.area(t, numbers.dot_thousands, r"(?:m²|m2|m&#xB2;)"), numbers.dot_thousands(t))
     where = f("where")
-    kind = text.first_match(F.concat_ws(" ", f("seo"), f("title"), link), [("appartement", "Appartement"), ("garage", "Garage"), ("/box", "Garage"), ("terrein", "Terrein"), ("terrain", "Terrein")])
+    needles = [("appartement", "Appartement"), ("garage", "Garage"), ("/box", "Garage"), ("terrein", "Terrein"), ("terrain", "Terrein")]
+    # Text by text: what the first of them says counts, whatever the later ones hold.
+    kind = F.coalesce(*(text.first_match(t, needles) for t in (f("seo"), f("title"), link)))
     region = found(where, r"\(([^)]+)\)\s*$")
     return {
         "external_id": ident, "url": here(F.coalesce(link, F.concat(F.lit("nl/properties/huis/france/"), ident, F.lit(".htm"))), "https://www.green-acres.fr"), "type": F.coalesce(kind, F.lit("Huis")), "place": F.coalesce(found(where, r"^\s*([^()]+?)\s*\("), where),
@@ -446,15 +463,24 @@ Portal(
     "greenacres", "https://www.green-acres.fr", 24, ".announce-card",
     {"class": "@class", "id": "@data-advertid", "token": "@data-o", "title": "@title", "where": ".announce-localisation", "price": ".info-price", "seo": ".advert-seo-tag", "tags": "*.info-tag@title=", "snippet": ".description-details",
      "thumb": "img.announce-card-img[src]@src", "agent": ".company-name", "all": ""},
-    greenacres_columns, page={"info": ".pagination-info", "h1": "h1", "title": "title"},
-    total=lambda: F.coalesce(numbers.dot_thousands(found(numbers.spaced(p("info")), r"(?i)op\s+([0-9.\s]+)")), numbers.dot_thousands(found(numbers.spaced(F.coalesce(p("h1"), p("title"))), r"(?i)([0-9.\s]+)\s+(?:woningen|huizen|properties|annonces|biens)\b"))),
-    pages=lambda: pages_of(F.coalesce(numbers.dot_thousands(found(numbers.spaced(p("info")), r"(?i)op\s+([0-9.\s]+)")), numbers.dot_thousands(found(numbers.spaced(F.coalesce(p("h1"), p("title"))), r"(?i)([0-9.\s]+)\s+(?:woningen|huizen|properties|annonces|biens)\b")), F.col("n").cast("long")), 24),
+    greenacres_columns, page={"count": "meta[name=adverts-count]@content", "info": ".pagination-info", "h1": "h1", "title": "title"},
+    total=lambda: F.coalesce(whole(p("count")), numbers.dot_thousands(found(numbers.spaced(p("info")), r"(?i)op\s+([0-9.\s]+)")), numbers.dot_thousands(found(numbers.spaced(F.coalesce(p("h1"), p("title"))), r"(?i)([0-9.\s]+)\s+(?:woningen|huizen|properties|annonces|biens)\b"))),
+    pages=lambda: pages_of(F.coalesce(whole(p("count")), numbers.dot_thousands(found(numbers.spaced(p("info")), r"(?i)op\s+([0-9.\s]+)")), numbers.dot_thousands(found(numbers.spaced(F.coalesce(p("h1"), p("title"))), r"(?i)([0-9.\s]+)\s+(?:woningen|huizen|properties|annonces|biens)\b")), F.col("n").cast("long")), 24),
     keep=lambda: ~matched(f("class"), r"\bskeleton\b"),
 )
 
 
+def unwrapped(pages: DataFrame) -> DataFrame:
+    """pages whose JSON envelopes (html, advertsCount) are opened: the markup, with the count as a meta element before it."""
+    boxed = F.startswith(F.ltrim("html"), F.lit("{")) & F.get_json_object("html", "$.html").isNotNull()
+    count = F.get_json_object("html", "$.advertsCount").try_cast("long")
+    meta = F.coalesce(F.concat(F.lit('<meta name="adverts-count" content="'), count, F.lit('">')), F.lit(""))
+    return pages.withColumn("html", F.when(boxed, F.concat(meta, F.get_json_object("html", "$.html"))).otherwise(F.col("html")))
+
+
 def cards(pages: DataFrame, source: str) -> DataFrame:
     portal = PORTALS[source]
+    pages = unwrapped(pages) if source == "greenacres" else pages
     return extracted(pages, portal.card, portal.fields, portal.page)
 
 
