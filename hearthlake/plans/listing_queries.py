@@ -421,7 +421,7 @@ def seeds_of(spark, sf_dir) -> DataFrame:
         CASE WHEN total >= 0 THEN total WHEN pages <= 1 THEN cards ELSE (pages - 1) * page_size + cards END AS count, CASE WHEN total >= 0 OR pages <= 1 THEN 'exact' ELSE 'estimate' END AS kind FROM seeds),
     live AS (SELECT *, CASE WHEN NOT blocked AND NOT empty THEN count END AS live FROM scored),
     drift AS (SELECT *, coalesce(abs(live - ours) >= 50 OR (ours > 0 AND abs(live - ours) * 100 >= ours * 5), false) AS drift FROM live)
-    SELECT search, source, ours, live, live - ours AS delta, drift, CASE WHEN blocked THEN 'blocked' WHEN empty THEN 'error' ELSE
+    SELECT search, source, ours, live, live - ours AS delta, drift, CASE WHEN NOT blocked AND empty THEN 'empty response' ELSE '' END AS detail, CASE WHEN blocked THEN 'blocked' WHEN empty THEN 'error' ELSE
         concat_ws('; ', CASE WHEN kind = 'exact' AND has_skip AND ours > 0 AND live > ours * 2 THEN 'exact; list wider than skip' ELSE kind END,
             CASE WHEN catalogue_currency = 'USD' THEN 'USD catalogue' END, CASE WHEN ours IS NULL THEN 'no published count' END) || CASE WHEN drift THEN ' drift' ELSE '' END END AS note FROM drift"""
 )

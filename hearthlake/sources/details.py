@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake.functions import cleaning, money, numbers, text, urls
-from hearthlake.functions.geo import clean_coordinate, not_at_zero
+from hearthlake.functions.geo import clean_coordinate, literal_map, not_at_zero
 from hearthlake.functions.numbers import AMOUNT, SQUARE_METRES, found, matched
 from hearthlake.sources.html import RECORD, extracted
 from hearthlake.sources.portals import LEFIGARO_TYPES, f, here, in_lines, kinds_of, unwrapped, whole
@@ -58,7 +58,7 @@ def ld_block(kinds: tuple[str, ...], any_kind: bool) -> Column:
 
 def ld(path: str) -> Column:
     """A value of the page's JSON-LD block."""
-    return F.get_json_object("node", f"$.{path}")
+    return F.get_json_object("node", f"${path}" if path.startswith("[") else f"$.{path}")
 
 
 def offered(path: str) -> Column:
@@ -308,8 +308,10 @@ def lefigaro() -> dict[str, Column]:
     land = F.coalesce(quantity("landArea", "lotSize"), numbers.area(fact_like("^(?:terrain|surface (?:du )?terrain|parcelle|jardin)$"), numbers.decimal_comma, "(?:m²|m2)"), numbers.decimal_comma(found(numbers.spaced(described), rf"(?i)(?:terrain|parcelle|jardin)\s*(?:de|attenant(?:e)?\s+de)?\s*(?:plus\s+de\s*)?{AMOUNT}\s*(?:m²|m2)")))
     price = F.coalesce(numbers.rounded(ld("offers.price")), numbers.rounded(ld("offers[0].price")), numbers.rounded(ld("price")), money.money(f("h1"), "lefigaro")["amount"], money.money(f("price"), "lefigaro")["amount"], money.money(body(), "lefigaro")["amount"])
     name = F.coalesce(offered("name"), f("h1"))
+    first = F.try_element_at(literal_map(LEFIGARO_TYPES), F.lower(found(name, r"^(\S+)")))
+    region = F.coalesce(offered("address.addressRegion"), F.when(~F.contains(F.col("url"), F.lit("annonce-")), urls.department(F.col("url"), "lefigaro")["name"]))
     return {
-        "external_id": F.coalesce(urls.listing_id(F.col("url"), "lefigaro"), urls.listing_id(ld("url"), "lefigaro")), "type": F.coalesce(kinds_of(offered("['@type']")), text.pretty_type(found(name, r"(?i)\b(Maison|Propriété|Appartement|Terrain|Immeuble|Ferme|Longère|Château|Villa)\b"), LEFIGARO_TYPES, "Maison")), "place": offered("address.addressLocality"), "region": offered("address.addressRegion"), "price": price, "currency": F.lit("EUR"),
+        "external_id": F.coalesce(urls.listing_id(F.col("url"), "lefigaro"), urls.listing_id(ld("url"), "lefigaro")), "type": F.coalesce(first, kinds_of(ld("['itemOffered']['@type']")), kinds_of(ld("['@type']")), F.lit("Maison")), "place": offered("address.addressLocality"), "region": region, "dept_fr": region, "price": price, "currency": F.lit("EUR"),
         "living_m2": quantity("floorSize"), "land_m2": land, "rooms": numbers.decimal_comma(offered("numberOfRooms")), "bedrooms": numbers.decimal_comma(offered("numberOfBedrooms")), "baths": numbers.decimal_comma(F.coalesce(offered("numberOfBathroomsTotal"), offered("numberOfBathrooms"))),
         "energy_label": energy(), "gas_label": F.upper(found(body(), r"(?i)\bGES\s*[:\s]*([A-G])\b")), "energy_kwh": numbers.decimal_comma(found(body(), r"(?i)([0-9][0-9\s.,]*)\s*kWh")), "lat": clean_coordinate(ld("geo.latitude"), 90), "lon": clean_coordinate(ld("geo.longitude"), 180), "description": described,
     }
@@ -367,12 +369,12 @@ Detail("franimo", franimo, {"energy": "*.energy-emmission table.energy-table tr"
 def akiyaportal() -> dict[str, Column]:
     currency = F.upper(F.coalesce(ld("priceCurrency"), F.lit("USD")))
     paid = F.coalesce(chosen(numbers.rounded(ld("price")), F.when(currency.isin("JPY", "YEN"), "JPY").when(currency == "USD", "USD")), money.money(F.concat_ws(" ", f("h1"), f("title")), "akiyaportal"))
-    plan = F.coalesce(fact_like("layout|building area|floor"), f("h1"))
+    bedrooms = F.coalesce(*(numbers.layout_bedrooms(t) for t in (fact_like("layout"), fact_like("building area|floor"), f("h1"))))
     ident = F.coalesce(f("id"), urls.listing_id(F.col("url"), "akiyaportal"))
     return {
         "_stated": stated_by(paid["amount"], paid["currency"]), "photos": one_size(f("gallery"), r"/[0-9]+\.webp$", "https://akiyaportal.com"),
         "external_id": ident, "type": F.coalesce(fact("property type", "type"), F.lit("Used single-family home")), "region": F.coalesce(fact("prefecture"), ld("address.addressRegion")), "place": F.split_part(ld("address.addressLocality"), F.lit(","), F.lit(1)), "price": money.priced(paid, "akiyaportal")["price"], "currency": F.lit("EUR"),
-        "living_m2": numbers.decimal_area(fact_like("building area|floor area|living")), "land_m2": numbers.decimal_area(fact_like("land")), "bedrooms": numbers.layout_bedrooms(plan), "year_built": numbers.year(fact_like("built|year")), "description": text.without_pitch(ld("description")), "reference": ident,
+        "living_m2": numbers.decimal_area(fact_like("building area|floor area|living")), "land_m2": numbers.decimal_area(fact_like("land")), "bedrooms": bedrooms, "year_built": numbers.year(fact_like("built|year")), "description": text.without_pitch(ld("description")), "reference": ident,
     }
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hearthlake.functions import money, numbers, text, urls
 from hearthlake.functions.cleaning import plot_as_land
-from hearthlake.functions.geo import not_at_zero
+from hearthlake.functions.geo import literal_map, not_at_zero
 from hearthlake.functions.numbers import found, matched
 from hearthlake.sources.html import extracted
 
@@ -111,11 +111,26 @@ Portal(
 
 
 # ---- ok_bulgaria ---------------------------------------------------------------------------------
+# Kinds of property by the slug of a card's link, and by the number in its address.
+OK_BULGARIA_SLUGS = {
+    "one_bedroom": "1 bedroom", "two_bedrooms": "2 bedrooms", "three_bedrooms": "3 bedrooms", "four_bedrooms": "4 bedrooms", "five_bedrooms": "5 bedrooms",
+    "land_agrucultural": "land - agricultural", "land_agricultural": "land - agricultural", "land_for_building": "land for building", "commerce": "commerce", "hotel": "hotel", "renovation": "renovation",
+}
+OK_BULGARIA_NUMBERS = {"11": "2 bedrooms", "12": "3 bedrooms", "14": "commerce", "16": "land for building", "17": "land - agricultural"}
+
+
+def ok_bulgaria_kind() -> Column:
+    """By the slug of the card's first link, words for underscores where it is unknown; else by the number in its address."""
+    slug = F.lower(found(f("kind_link"), r"(?i)^([a-z0-9_]+)_id[0-9]+"))
+    by_slug = F.coalesce(F.try_element_at(literal_map(OK_BULGARIA_SLUGS), slug), F.replace(slug, F.lit("_"), F.lit(" ")))
+    return F.when(slug.isNotNull(), by_slug).otherwise(F.try_element_at(literal_map(OK_BULGARIA_NUMBERS), found(f("link"), r"[?&]tid=([0-9]+)")))
+
+
 def ok_bulgaria_columns() -> dict[str, Column]:
     ident = found(f("link"), r"[?&]id=([^&#]+)")
     stated = money.best_priced(F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(c).alias("key"), numbers.digits(found(numbers.spaced(f("prices")), rf"{s}\s*([0-9.,\s]+)")).alias("value")) for c, s in (("EUR", "€"), ("GBP", "£")))), lambda e: e["value"].isNotNull())), "ok_bulgaria", ("EUR", "GBP"))
     return {
-        "external_id": ident, "url": F.concat(F.lit("https://www.cheap-bulgarian-house.co.uk/houses_in_bulgaria_for_sale.php?id="), ident), "price": stated["price"], "currency": F.lit("EUR"),
+        "external_id": ident, "url": F.concat(F.lit("https://www.cheap-bulgarian-house.co.uk/houses_in_bulgaria_for_sale.php?id="), ident), "type": ok_bulgaria_kind(), "price": stated["price"], "currency": F.lit("EUR"),
         "land_m2": numbers.area_or_number(found(f("labelled"), r"(?i)Land:?\s*([^\n]+)")), "reference": found(f("prices"), r"(?i)ID#\s*(\S+)"), "snippet": f("snippet"), "thumb": f("thumb"),
         "promoted": matched(f("all"), r"(?:^|\s)NEW(?:\s|$)"),
     }
@@ -123,7 +138,7 @@ def ok_bulgaria_columns() -> dict[str, Column]:
 
 Portal(
     "ok_bulgaria", "https://www.cheap-bulgarian-house.co.uk", 20, "table.table_prop_item",
-    {"link": "a[href*=houses_in_bulgaria_for_sale.php]@href", "prices": "*.prop_price, .prop_price1", "labelled": "*.prop_lbl, .prop_txt", "snippet": "span.prop_txt", "thumb": "a.thumbnail span img[src]@src", "all": ""},
+    {"link": "a[href*=houses_in_bulgaria_for_sale.php]@href", "kind_link": ".prop_item a[href]@href", "prices": "*.prop_price, .prop_price1", "labelled": "*.prop_lbl, .prop_txt", "snippet": "span.prop_txt", "thumb": "a.thumbnail span img[src]@src", "all": ""},
     ok_bulgaria_columns, page={"last": ".pagination input[data-max-page]@data-max-page", "title": "title"},
     total=lambda: numbers.digits(found(p("title"), r"(?i)([0-9][0-9\s,]*)\s+Bulgarian Properties\b")), pages=lambda: F.greatest(F.lit(1), F.coalesce(whole(p("last")), F.lit(1))),
     keep=lambda: f("link").isNotNull(),
@@ -390,7 +405,7 @@ def lefigaro_columns() -> dict[str, Column]:
     plot = found(line, rf"(?i)(?:terrain|parcelle|jardin)\s*(?:de|attenant(?:e)?\s+de)?\s*{numbers.AMOUNT}\s*(?:m²|m2)")
     return {
         "external_id": ident, "url": F.concat(F.lit("https://immobilier.lefigaro.fr/annonces/annonce-"), ident, F.lit(".html")), "type": F.coalesce(found(line, r"\b(Maison|Propriété|Appartement|Terrain|Immeuble|Ferme|Longère)\b"), F.lit("Maison")),
-        "place": found(line, r"\b([A-ZÀ-Ÿ][A-Za-zÀ-ÿ'’ -]+?)\s*\([0-9]{2,3}\)"), "price": money.money(line, "lefigaro")["amount"], "currency": F.lit("EUR"), "living_m2": numbers.decimal_comma(F.try_element_at(sizes, F.lit(1))),
+        "place": found(line, r"\b([A-ZÀ-Ÿ][A-Za-zÀ-ÿ'’ -]+?)\s*\([0-9]{2,3}\)"), "region": urls.department(F.col("url"), "lefigaro")["name"], "price": money.money(line, "lefigaro")["amount"], "currency": F.lit("EUR"), "living_m2": numbers.decimal_comma(F.try_element_at(sizes, F.lit(1))),
         "land_m2": F.coalesce(numbers.decimal_comma(plot), F.when(matched(line, "(?i)terrain") & (F.size(sizes) > 1), numbers.decimal_comma(F.try_element_at(sizes, F.lit(-1))))), "rooms": whole(found(line, r"(?i)([0-9]+)\s*pi[eè]ces?\b")),
         "bedrooms": whole(found(line, r"(?i)([0-9]+)\s*chambres?\b")), "thumb": here(F.coalesce(f("thumb"), f("thumb2")), "https://immobilier.lefigaro.fr"), "snippet": f("title"), "promoted": F.lit(False),
     }
@@ -423,7 +438,7 @@ def lefigaro_items(pages: DataFrame) -> DataFrame:
     columns = {
         "external_id": urls.listing_id(F.coalesce(of("$.url"), of("$['@id']")), "lefigaro"), "url": here(F.coalesce(of("$.url"), of("$['@id']")), "https://immobilier.lefigaro.fr"),
         "type": F.coalesce(kinds_of(of("$['@type']")), text.pretty_type(found(name, r"^(\S+)"), LEFIGARO_TYPES, "Maison")),
-        "place": F.coalesce(of("$.address.addressLocality"), found(name, r"\b([A-ZÀ-Ÿ][A-Za-zÀ-ÿ'’ -]+?)\s*\([0-9]{2,3}\)\s*$")), "region": of("$.address.addressRegion"), "price": F.coalesce(numbers.rounded(of("$.offers.price")), numbers.rounded(of("$.offers[0].price"))),
+        "place": F.coalesce(of("$.address.addressLocality"), found(name, r"\b([A-ZÀ-Ÿ][A-Za-zÀ-ÿ'’ -]+?)\s*\([0-9]{2,3}\)\s*$")), "region": F.coalesce(of("$.address.addressRegion"), urls.department(F.col("url"), "lefigaro")["name"]), "price": F.coalesce(numbers.rounded(of("$.offers.price")), numbers.rounded(of("$.offers[0].price"))),
         "currency": F.lit("EUR"), "living_m2": quantity("floorSize"), "land_m2": F.coalesce(quantity("landArea"), quantity("lotSize")), "rooms": numbers.decimal_comma(of("$.numberOfRooms")), "bedrooms": numbers.decimal_comma(of("$.numberOfBedrooms")),
         "lat": of("$.geo.latitude").try_cast("double"), "lon": of("$.geo.longitude").try_cast("double"), "snippet": of("$.description"), "promoted": F.lit(False),
     }
@@ -450,7 +465,7 @@ def greenacres_columns() -> dict[str, Column]:
     needles = [("appartement", "Appartement"), ("garage", "Garage"), ("/box", "Garage"), ("terrein", "Terrein"), ("terrain", "Terrein")]
     # Text by text: what the first of them says counts, whatever the later ones hold.
     kind = F.coalesce(*(text.first_match(t, needles) for t in (f("seo"), f("title"), link)))
-    region = found(where, r"\(([^)]+)\)\s*$")
+    region = F.coalesce(found(where, r"\(([^)]+)\)\s*$"), urls.department(F.col("url"), "greenacres")["name"])
     return {
         "external_id": ident, "url": here(F.coalesce(link, F.concat(F.lit("nl/properties/huis/france/"), ident, F.lit(".htm"))), "https://www.green-acres.fr"), "type": F.coalesce(kind, F.lit("Huis")), "place": F.coalesce(found(where, r"^\s*([^()]+?)\s*\("), where),
         "region": region, "dept_fr": region, "dept_nl": region, **paid("greenacres", F.coalesce(f("price"), f("all"))), "living_m2": size(tag("Woonoppervlakte")), "land_m2": size(tag("(?:Terrein|Grond)")),
