@@ -212,7 +212,7 @@ def blocks_that_may_recur(docs: DataFrame, common: Broadcast, bits: int) -> Data
 
 #: What becomes of a repeated pair: it is the first one and stays, goes, or overlaps the first one, so that only its second unit goes.
 STAYS, GOES, SECOND_GOES = 0, 1, 2
-OWN = ["doc_id", "mark", "place"]
+OWN, KEY = ["doc_id", "mark", "place"], ["rolling", "other"]
 
 
 def entry(n, fate):
@@ -232,27 +232,30 @@ def repeated_pairs(docs: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
     counts = pair_counts(docs, bits).groupBy("rolling").agg(F.sum("n").alias("n"))
     common = scratch.keep(counts.where("n > 1").select("rolling"), "common")
     found = blocks_that_may_recur(docs, sent(docs.sparkSession, bitmap_of(common, "rolling")), bits)
-    found = scratch.keep(found.withColumn("digest", F.struct("rolling", F.xxhash64("body", "ends").alias("other"))).drop("rolling"), "found", compression="zstd")
+    # Plain numbers as first keys: sorts by them compare numbers, and bytes only where those are equal.
+    found = scratch.keep(found.withColumn("other", F.xxhash64("body", "ends")), "found", compression="zstd")
     first = F.min(F.struct(*OWN)).alias("first")
     several = F.size("ends") > 2
-    blocks = found.where(several).groupBy("digest", "body", "begins", "ends").agg(first, F.count("*").alias("n"))
+    blocks = found.where(several).groupBy("rolling", "other", "body", "begins", "ends").agg(first, F.count("*").alias("n"))
     blocks = scratch.keep(blocks, "blocks", compression="zstd")
-    again = joined_by_key(found.where(several).select(*OWN, "digest", F.size("ends").alias("units")), blocks.where("n > 1").select("digest", "first", "n"), "digest", "n", scratch)
+    again = joined_by_key(found.where(several).select(*OWN, *KEY, F.size("ends").alias("units")), blocks.where("n > 1").select(*KEY, "first", "n"), KEY, "n", scratch)
     later = again.where(F.struct(*OWN) != F.col("first")).select("doc_id", "mark", entry(F.col("units") - 1, F.lit(GOES)), F.lit(GOES).alias("fate"))
 
     each = blocks.select("first.doc_id", "first.mark", F.col("first.place").alias("start"), "n", "body", "begins", "ends", F.explode(F.sequence(F.lit(0), F.size("ends") - 2)).alias("k"))
     begin, end = F.element_at("begins", F.col("k") + 1), F.element_at("ends", F.col("k") + 2)
     each = each.select("doc_id", "mark", (F.col("start") + F.col("k")).alias("place"), "n", F.substring("body", begin + 1, end - begin).alias("body"))
     pairs = each.unionByName(found.where(~several).select(*OWN, F.lit(1).cast("long").alias("n"), "body"))
-    pairs = scratch.keep(pairs.withColumn("digest", F.struct(F.xxhash64("body").alias("one"), F.xxhash64(F.lit(1), "body").alias("other"))), "pairs", compression="zstd")
-    repeated = pairs.groupBy("digest", "body").agg(first, F.count("*").alias("rows"), F.sum("n").alias("n")).where("n > 1").select("digest", "first", "rows")
+    pairs = scratch.keep(pairs.withColumn("rolling", F.xxhash64("body")).withColumn("other", F.xxhash64(F.lit(1), "body")), "pairs", compression="zstd")
+    repeated = pairs.groupBy(*KEY, "body").agg(first, F.count("*").alias("rows"), F.sum("n").alias("n")).where("n > 1").select(*KEY, "first", "rows")
     repeated = scratch.keep(repeated, "repeated")
-    joined = joined_by_key(pairs.select(*OWN, "digest"), repeated, "digest", "rows", scratch)
+    joined = joined_by_key(pairs.select(*OWN, *KEY), repeated, KEY, "rows", scratch)
     beside = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.mark") == F.col("mark")) & (F.col("first.place") == F.col("place") - 1)
     fate = F.when(F.struct(*OWN) == F.col("first"), STAYS).when(beside, SECOND_GOES).otherwise(GOES)
     entries = joined.select("doc_id", "mark", entry(F.lit(1), fate), fate.alias("fate")).unionByName(later)
     by_row = entries.groupBy("doc_id", "mark").agg(F.collect_set("entry").alias("entries"), F.max("fate").alias("most"))
-    return scratch.keep(by_row.where(F.col("most") > STAYS).drop("most"), "drop")
+    drop = scratch.keep(by_row.where(F.col("most") > STAYS).drop("most"), "drop")
+    scratch.only("drop")
+    return drop
 
 
 def fates_of(units: Units, entries: pa.ListArray) -> np.ndarray:

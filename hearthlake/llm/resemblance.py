@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake.llm.components import components
-from hearthlake.llm.shared import Scratch, key_filter, mapped, parted
+from hearthlake.llm.shared import Scratch, joined_by_key, key_filter, mapped, parted
 from hearthlake.llm.simhash import near_links, shingle_hashes, word_of
 
 #: A pair of resemblance J shares a band with probability 1 - (1 - J ** ROWS) ** BANDS: 0.9983 at 0.8, 0.9999 at 0.85.
@@ -106,7 +106,7 @@ def later_copies(docs: DataFrame, width: int, radius: int, least: float, id_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     marked = scratch.keep(marked_texts(rows, width), "marked")
     count = marked.count()
-    words = scratch.keep(marked.groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands")), "words", count)
+    words = scratch.keep(marked.groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands"), F.count("*").alias("copies")), "words", count)
     placed = words.select("key", "n", F.posexplode("bands").alias("t", "band"))
     sizes = scratch.keep(placed.groupBy("t", "band").agg(F.count("*").alias("c")).where("c > 1"), "sizes", count)
     members = scratch.keep(placed.join(sizes, ["t", "band"]), "members", count)
@@ -141,8 +141,10 @@ def later_copies(docs: DataFrame, width: int, radius: int, least: float, id_col:
         low, high = high, 2 * high + PIVOTS
 
     linked = roots.join(words.select("key", "least"), "key")
-    groups = linked.groupBy("root").agg(F.min("least").alias("lowest"))
-    lowest = scratch.keep(linked.join(groups, "root").select("key", "lowest"), "lowest", count)
-    known = scratch.keep(words.join(lowest, "key", "left").select("key", F.coalesce("lowest", "least").alias("lowest")), "known", count)
-    later = marked.join(known, "key").where("doc_id <> lowest").select(F.col("doc_id").alias(id_col)).distinct()
-    return scratch.keep(later, "ids", count)
+    groups = linked.groupBy("root").agg(F.min("least").alias("lowest"), F.count("*").alias("size"))
+    lowest = scratch.keep(joined_by_key(linked, groups, ["root"], "size", scratch).select("key", "lowest"), "lowest", count)
+    known = scratch.keep(words.join(lowest, "key", "left").select("key", "copies", F.coalesce("lowest", "least").alias("lowest")), "known", count)
+    later = joined_by_key(marked.select("key", "doc_id"), known, ["key"], "copies", scratch).where("doc_id <> lowest").select(F.col("doc_id").alias(id_col)).distinct()
+    ids = scratch.keep(later, "ids", count)
+    scratch.only("ids")
+    return ids

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,16 +10,7 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests on one machine) a folder of our own."""
-    context = spark.sparkContext
-    given = context.getConf().get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="hearthlake-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+from hearthlake.session import shared_dir
 
 
 def sent(spark: SparkSession, value) -> Broadcast:
@@ -57,6 +47,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -66,6 +57,7 @@ class Scratch:
         if rows is not None:
             df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
         df.write.options(**options).mode("overwrite").parquet(self.path(table))
+        self.tables.append(table)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, table: str) -> None:
@@ -75,6 +67,13 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def only(self, *tables: str) -> None:
+        """Delete every table but those that the result still reads."""
+        for table in set(self.tables) - set(tables):
+            self.drop(table)
+        self.tables = list(tables)
+
+
 def global_rank(df: DataFrame, keys: list, scratch: Scratch, table: str, rank: str = "rank") -> DataFrame:
     """df with a gapless rank from 0 in the order of keys, without a single-partition sort.
 
@@ -134,20 +133,20 @@ def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-#: A key that more than one in so many rows share is hot; there are fewer such keys than this.
-HOT = 4096
+#: A key that more than one in so many rows share, and more than FEW rows, is hot; there are at most as many such keys.
+HOT, FEW = 4096, 64
 
 
-def joined_by_key(rows: DataFrame, table: DataFrame, key: str, n: str, scratch: Scratch) -> DataFrame:
+def joined_by_key(rows: DataFrame, table: DataFrame, key: list[str], n: str, scratch: Scratch) -> DataFrame:
     """rows with the columns of table (one row for each key; column n: how many of rows have it), rows without a match left out.
 
-    Rows of hot keys meet a broadcast of fewer than HOT rows where they are; only the others are
-    shuffled by the key, at most one in HOT of all to a key.
+    Rows of hot keys meet a broadcast of at most HOT rows where they are; only the others are
+    shuffled by the key, at most FEW and one in HOT of all to a key.
     """
     total = table.agg(F.sum(n)).first()[0]
-    hot = scratch.keep(table.where(F.col(n) > (total or 0) // HOT + 1000), f"hot-{uuid.uuid4().hex}")
-    few, many = table.join(F.broadcast(hot.select(key)), key, "left_anti"), F.broadcast(hot)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    hot = scratch.keep(table.where(F.col(n) > (total or 0) // HOT + FEW), f"hot-{uuid.uuid4().hex}")
+    few, many = table.join(F.broadcast(hot.select(*key)), key, "left_anti"), F.broadcast(hot)
+    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
     return rows.join(many, key).unionByName(cold.join(few.hint("shuffle_hash"), key))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake.llm.components import components
-from hearthlake.llm.shared import Scratch, mapped, without
+from hearthlake.llm.shared import Scratch, joined_by_key, mapped, without
 
 BITS, SEED = 64, 42
 #: Members of one bucket up to which its pairs are compared directly; larger buckets are linked exactly through flipped keys.
@@ -125,14 +125,14 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str =
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.keep(fingerprints(docs, width, id_col, text_col), "marked")
     rows = marked.count()
-    words = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "words", rows)
+    words = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "words", rows)
     links = scratch.keep(near_links(words.select("fp"), radius, scratch, rows), "near", rows)
     roots = components(links, scratch).withColumnRenamed("node", "fp")
     linked = roots.join(words, "fp")
-    groups = linked.groupBy("root").agg(F.min("least").alias("lowest"))
-    lowest = scratch.keep(linked.join(groups, "root").select("fp", "lowest"), "lowest", rows)
-    known = scratch.keep(words.join(lowest, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id")), "known", rows)
-    return marked.join(known, "fp").select("doc_id", "fp", "component_id")
+    groups = linked.groupBy("root").agg(F.min("least").alias("lowest"), F.count("*").alias("n"))
+    lowest = scratch.keep(joined_by_key(linked, groups, ["root"], "n", scratch).select("fp", "lowest"), "lowest", rows)
+    known = scratch.keep(words.join(lowest, "fp", "left").select("fp", "copies", F.coalesce("lowest", "least").alias("component_id")), "known", rows)
+    return joined_by_key(marked, known, ["fp"], "copies", scratch).select("doc_id", "fp", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
