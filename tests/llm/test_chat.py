@@ -40,3 +40,48 @@ def test_conversations_with_nulls_ties_and_clashes(spark):
         assert (got["n_turns"], got["turns_sha256"], got["loss_chars"], got["loss_sha256"]) == (len(own), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     none = content.where(F.lit(False))
     assert chat.read_back(chat.format_turns(none)).count() == 0
+
+
+PART = st.one_of(
+    st.sampled_from(["a <", "/s>[INST", "] x", "<", "|image:0|>", "[", "INST]", "\\", "é", "", None]).map(lambda t: {"type": "text", "text": t}),
+    st.sampled_from(["image", "audio", "document"]).map(lambda k: {"type": k, "uri": f"x.{k}", "width": 28, "height": 28, "seconds": 1.0, "pages": 1}),
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PART, max_size=10), st.sampled_from(["user", "assistant", "system"]))
+def test_parts_read_back_as_they_were(parts, role):
+    segment, _, _, seen = chat.format_turn(role, parts)
+    _, body = chat.read_turn(segment)
+    raw = segment[segment.index(">") + 1 : segment.rindex("<")] if role != "user" else segment[7:-8]
+    want = []
+    for p in parts:
+        text = p["text"] or "" if p["type"] == "text" else None
+        if text is None:
+            want.append((p["type"], p["uri"]))
+        elif want and want[-1][0] == "text":
+            want[-1] = ("text", want[-1][1] + text)
+        elif text:
+            want.append(("text", text))
+    assert chat.read_parts(raw, seen.attachments) == want
+    assert len(chat.PLACEHOLDER.findall(segment)) == len(seen.attachments) == sum(p["type"] != "text" for p in parts)
+    assert not any(mark in raw for mark in ("[INST]", "[/INST]", "<s>", "</s>"))
+
+
+def test_odd_parts_have_a_defined_result():
+    nan, inf = float("nan"), float("inf")
+    parts = [None, {"type": "video", "uri": "v", "pages": 1}, {"type": "audio", "uri": None, "seconds": nan}, {"type": "audio", "uri": "b", "seconds": inf}, {"type": "image", "uri": "i", "width": -5, "height": None}, {"type": None, "text": None}]
+    segment, _, _, seen = chat.format_turn("user", parts)
+    assert segment == "[INST] <|document:0|><|audio:1|><|audio:2|><|image:3|> [/INST]"
+    assert seen.attachments == ["v", "", "b", "i"] and seen.tokens == 512
+
+
+def test_attachments_of_whole_conversations(spark):
+    image, text = {"type": "image", "uri": "a.png", "width": 28, "height": 14}, {"type": "text", "text": "<|image:9|> see "}
+    audio = {"type": "audio", "uri": "b.wav", "seconds": 2.0}
+    turns = [(1, 0, "user", [text, image, None]), (1, 1, "assistant", [audio, text]), (2, 0, "user", None)]
+    content = spark.createDataFrame(turns, f"conv_id long, turn long, role string, content {chat.PARTS}")
+    formatted = chat.format_turns(content)
+    rows = {(r["conv_id"], r["n"]): r for r in formatted.collect()}
+    assert rows[1, 0]["attachments"] == ["a.png"] and rows[1, 0]["attachment_tokens"] == 2 and rows[1, 1]["attachment_tokens"] == 50
+    assert {r["conv_id"]: (r["n_turns"], r["n_attachments"]) for r in chat.read_back(chat.format_turns(content)).collect()} == {1: (2, 2), 2: (1, 0)}
