@@ -34,5 +34,9 @@ def test_texts_that_share_a_digest_part_again(spark):
 def test_runs_of_several_batches_compact_to_the_smallest_id(spark):
     index = DigestIndex(Scratch(spark, "test"))
     for batch in ([(5, "a"), (6, "b")], [(2, "a"), (9, "c")], [(7, "b")]):
-        index.flush(spark.createDataFrame(batch, "doc_id long, text string"), "doc_id", "text")
-    assert rows(index.compact(), "keep_id", "n") == [(2, 2), (6, 2), (9, 1)]
+        index.append(spark.createDataFrame(batch, "doc_id long, text string"), "doc_id", "text", memtables=1)
+    assert [len(level) for level in index.levels] == [3] and rows(index.entries(), "doc_id") == [(2,), (5,), (6,), (7,), (9,)]
+    assert rows(index.compact(), "keep_id", "n") == [(2, 2), (6, 2), (9, 1)] and [len(level) for level in index.levels] == [3, 2, 1]
+    index = DigestIndex(Scratch(spark, "test"))
+    index.append(spark.createDataFrame([(i, f"t{i % 50}") for i in range(400)], "doc_id long, text string"), "doc_id", "text")
+    assert len(index.levels[0]) == 4 and rows(index.compact(), "keep_id", "n") == [(i, 8) for i in sorted(range(50), key=lambda i: repr((i, 8)))]
