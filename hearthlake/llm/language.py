@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.shared import mapped, received, sent
+from hearthlake.llm.shared import Scratch, mapped, received, sent
 
-#: Learned from at most this many documents, and at most this many words of each, spread evenly over the text.
-SAMPLE, WORDS = 2000, 64
+#: Learned from at most this many documents, whole texts, and from no more of them than have FITTED words together.
+SAMPLE, FITTED = 2000, 2_000_000
 HIDDEN, STEPS, BATCH, RATE, SEED = 16, 350, 768, 0.01, 11
 #: The network starts anew at each run of letters, and after this many bytes of one.
 RUN = 24
@@ -166,31 +166,43 @@ class Reader:
         return out
 
 
+SAMPLED = pa.schema([("at", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.string())])
+
+
 def train(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """A network from the learnable documents that have a text and a language; None if there is none.
 
-    SAMPLE documents are chosen by a hash of the identifier; at most WORDS runs of letters of each reach the driver.
+    At most SAMPLE documents are taken in the order of a hash of identifier and text, and of them as many
+    as have FITTED runs of letters together; of these every run counts. Rows without an identifier
+    take part like others, repeated rows are one.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(learnable & F.col("lang").isNotNull())
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
+    scratch = Scratch(docs.sparkSession, "language-sample")
+    at = F.xxhash64(F.col(id_col), F.col(text_col))
+    rows = docs.select(at.alias("at"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(learnable, F.lit(False)).alias("learn"))
+    rows = rows.where("learn and lang is not null and text is not null")
+    last = rows.select("at").orderBy("at").limit(SAMPLE).agg(F.max("at")).first()[0]
+    if last is None:
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = runs(text)
-                if words:
-                    spread = np.unique(np.linspace(0, len(words) - 1, WORDS).astype(int))
-                    out.append({"lang": lang, "words": " ".join(words[i][: 4 * RUN] for i in spread)})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("lang", pa.string()), ("words", pa.string())]))
-
-    sample = mapped(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang"), run, "lang string, words string").collect()
-    if not sample:
+            found = [(at, lang, runs(text)) for at, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+            yield pa.RecordBatch.from_pylist([{"at": at, "lang": lang, "n": len(words), "words": " ".join(words)} for at, lang, words in found if words], SAMPLED)
+
+    sample = scratch.keep(mapped(rows.where(F.col("at") <= last).select("at", "text", "lang").dropDuplicates(["at"]), run, "at long, lang string, n long, words string"), "sample")
+    taken, last = 0, None
+    for r in sample.select("at", "n").orderBy("at").collect():
+        taken += r["n"]
+        if last is not None and taken > FITTED:
+            break
+        last = r["at"]
+    if last is None:
         return None
-    sample.sort()
-    languages = sorted({r["lang"] for r in sample})
+    found = sorted(sample.where(F.col("at") <= last).select("lang", "words").collect())
+    scratch.only()
+    languages = sorted({r["lang"] for r in found})
     place = {x: i for i, x in enumerate(languages)}
-    words = [(w.encode("utf-8", "surrogatepass"), place[r["lang"]]) for r in sample for w in r["words"].split()]
+    words = [(w.encode("utf-8", "surrogatepass"), place[r["lang"]]) for r in found for w in r["words"].split()]
     return Network(languages).fit([w for w, _ in words], np.array([k for _, k in words]))
 
 
@@ -198,7 +210,9 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     """doc_id, lang_pred, score for every row of docs, from the whole text.
 
     score is the mean probability of the language over all positions. Texts that are null or have no
-    letter, and all texts where nothing was learned, are `und` with score 0.
+    letter, and all texts where nothing was learned, are `und` with score 0. Every row gets its own row,
+    repeated ones and those without an identifier too; an empty table gives none; other columns are not
+    read, whatever their names.
     """
     shared = sent(docs.sparkSession, network)
 

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.shared import mapped, received, sent
+from hearthlake.llm.shared import Scratch, mapped, received, sent
 
 #: Bytes of a passage; the last one of a text may be longer by half or shorter.
 PASSAGE = 480
-#: The model is fitted on at most this many labelled documents, and on at most BAG passages of each, spread evenly over the text.
-SAMPLE, BAG = 3000, 48
+#: The model is fitted on at most this many labelled documents, whole texts, and on no more of them than have FITTED passages together.
+SAMPLE, FITTED = 3000, 100_000
 PAIRS, HIDDEN, ATTENTION, STEPS, EPOCHS, RATE, DECAY, SEED = 64, 24, 12, 1000, 25, 0.01, 1e-4, 7
 
 
@@ -142,31 +142,47 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, m
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+BAGS = pa.schema([("at", pa.int64()), ("label", pa.int32()), ("n", pa.int64()), ("bag", pa.binary())])
+
+
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "quality") -> Model | None:
-    """A model from labelled documents; passages are encoded where the documents are, and at most SAMPLE x BAG of them reach the driver.
+    """A model from labelled documents, every passage of each; passages are encoded where the documents are.
 
-    None where no learnable row has a label.
+    At most SAMPLE documents are taken in the order of a hash of their identifier, and of them as many
+    as have FITTED passages together, so a few very long texts cannot fill the driver. None where no
+    learnable row has a label; null texts count as empty, of several labels of a document the larger.
     """
+    scratch = Scratch(docs.sparkSession, "quality-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, mark in zip(batch.column(1), batch.column(2), strict=True):
-                bag = passages(text.as_py())
-                bag = bag[np.unique(np.linspace(0, len(bag) - 1, BAG).astype(int))]
-                out.append({"label": mark.as_py(), "bag": bag.tobytes()})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("label", pa.int32()), ("bag", pa.binary())]))
-
-    rows = mapped(sampled(docs, labels, label, learnable).select("doc_id", "text", "label"), run, "label int, bag binary").collect()
-    if not rows:
+            for at in range(batch.num_rows):
+                bag = passages(batch.column(1)[at].as_py())
+                yield pa.RecordBatch.from_pylist([{"at": batch.column(0)[at].as_py(), "label": batch.column(2)[at].as_py(), "n": len(bag), "bag": bag.tobytes()}], BAGS)
+
+    rows = sampled(docs, labels, label, learnable).select(F.xxhash64("doc_id", "text").alias("at"), "text", "label").dropDuplicates(["at"])
+    bags = scratch.keep(mapped(rows, run, "at long, label int, n long, bag binary"), "bags")
+    taken, last = 0, None
+    for r in bags.select("at", "n").orderBy("at").limit(SAMPLE).collect():
+        taken += r["n"]
+        if last is not None and taken > FITTED:
+            break
+        last = r["at"]
+    if last is None:
         return None
-    rows.sort(key=lambda r: bytes(r["bag"]))  # the order in which tasks end must not matter
-    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows]
-    return Model().fit(bags, np.array([r["label"] > 0 for r in rows], np.float32))
+    rows = bags.where(F.col("at") <= last).collect()
+    rows.sort(key=lambda r: (r["at"], bytes(r["bag"])))  # the order in which tasks end must not matter
+    scratch.only()
+    found = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows]
+    return Model().fit(found, np.array([r["label"] > 0 for r in rows], np.float32))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score of every row of docs: the whole text, every passage. 0.5 without a model; null texts score as empty ones."""
+    """doc_id, score of every row of docs: the whole text, every passage. 0.5 without a model; null texts score as empty ones.
+
+    Every row gets its own row, repeated ones and those without an identifier too; an empty table gives
+    none; other columns are not read, whatever their names.
+    """
     shared = sent(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,3 +193,17 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     kind = docs.schema[id_col].dataType.simpleString()
     return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, score double")
+
+
+def at_least(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores `least` or more; each row by its own text, in one scan without a shuffle."""
+    shared, at = sent(docs.sparkSession, model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = received(shared)
+        for batch in batches:
+            texts = batch.column(at)
+            scores = [fitted.scores([passages(t.as_py()) for t in texts[k : k + 64]]) if fitted else np.full(len(texts[k : k + 64]), 0.5) for k in range(0, batch.num_rows, 64)]
+            yield batch.filter(pa.array(np.concatenate(scores) >= least)) if scores else batch
+
+    return mapped(docs, run, docs.schema)

@@ -12,20 +12,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.shared import mapped, received, sent
+from hearthlake.llm.shared import Scratch, mapped, received, sent
 
 #: The lexicon and the weights are learned on at most this many toxic and this many other labelled documents.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 2500
-#: Terms are beginnings of words, of so many letters; at most MOST_TERMS of them, picked from CANDIDATES.
-SHORTEST, LONGEST, CANDIDATES, MOST_TERMS = 4, 12, 20_000, 96
+#: Terms are beginnings of words, of so many letters; every one that passes the tests below is kept.
+SHORTEST, LONGEST = 4, 12
 #: A term of this many letters may be misspelled by one edit.
 FUZZY_FROM = 5
 #: Least log likelihood ratio of a term (none of a million chance beginnings would reach it) and least log odds.
 LEAST_EVIDENCE, LEAST_ODDS = 18.0, 1.5
 #: Words on each side of a hit that count as its context.
 WINDOW = 8
-#: What a quoted or reported hit, and a misspelled one, keep of the term's weight.
-QUOTED, MISSPELLED = 0.2, 0.8
+#: What a misspelled hit keeps of the term's weight; what a quoted or reported one keeps is learned.
+MISSPELLED = 0.8
 REMEMBERED = 200_000
 WORD = re.compile(r"[^\W_]+")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -125,21 +125,21 @@ class Automaton:
         return result
 
 
+FEATURES = ["direct", "quoted", "window", "density", "misspelled"]
+
+
 @dataclass
 class Model:
     terms: list[str] = field(default_factory=list)
     budgets: list[int] = field(default_factory=list)
     strengths: list[float] = field(default_factory=list)
-    weights: list[float] = field(default_factory=lambda: [0.0] * 5)
+    weights: list[float] = field(default_factory=lambda: [0.0] * len(FEATURES))
     base: float = 0.0
 
     def automaton(self) -> Automaton:
         return Automaton.build(self.terms, self.budgets)
 
 
-FEATURES = ["total", "window", "density", "misspelled"]
-
-
 class Reader:
     """Texts to hits and features; the automaton runs over words not met before."""
 
@@ -174,18 +174,23 @@ class Reader:
         return out
 
     def features(self, text: str, n_words: int) -> list[float]:
-        """Over the whole text: sum of hit strengths, strongest window, strength for each word, misspelled hits."""
+        """Over the whole text: strengths of direct and of quoted hits, strongest window of direct ones, their strength for each word, misspelled hits.
+
+        Quoted hits have a feature of their own, so the labels decide how much less than abuse they count.
+        """
         found = self.hits(text)
-        scores = [self.model.strengths[hit // 2] * (QUOTED if quoted else 1) * (MISSPELLED if hit % 2 else 1) for _, hit, quoted, _, _ in found]
+        scores = [self.model.strengths[hit // 2] * (MISSPELLED if hit % 2 else 1) for _, hit, *_ in found]
+        direct = [(place, score) for (place, _, quoted, _, _), score in zip(found, scores, strict=True) if not quoted]
+        total = sum(score for _, score in direct)
         best = begin = 0.0
         low = 0
-        for k, (place, *_) in enumerate(found):
-            begin += scores[k]
-            while found[low][0] < place - WINDOW:
-                begin -= scores[low]
+        for place, score in direct:
+            begin += score
+            while direct[low][0] < place - WINDOW:
+                begin -= direct[low][1]
                 low += 1
             best = max(best, begin)
-        return [float(np.log1p(sum(scores))), float(np.log1p(best)), float(np.log1p(1000 * sum(scores) / max(1, n_words)) / 5), float(np.log1p(sum(hit % 2 for _, hit, *_ in found)))]
+        return [float(np.log1p(x)) for x in (total, sum(scores) - total, best)] + [float(np.log1p(1000 * total / max(1, n_words)) / 5), float(np.log1p(sum(hit % 2 for _, hit, *_ in found)))]
 
     def read(self, texts: list[str | None]) -> list[list[float]]:
         lowered = [(t or "").lower() for t in texts]
@@ -204,7 +209,8 @@ def labelled(docs: DataFrame, labels: DataFrame, learnable: Column, label: str)
     rows = learned(labels, learnable, label)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = rows.where("label = 1").orderBy(*order).limit(TOXIC_SAMPLE).union(rows.where("label = 0").orderBy(*order).limit(CLEAN_SAMPLE))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    return found.withColumn("at", F.xxhash64("doc_id", "text")).dropDuplicates(["at"]).select("text", "label")
 
 
 def evidence(pos: float, neg: float, toxic: int, clean: int) -> float:
@@ -243,7 +249,7 @@ def lexicon(sample: DataFrame, toxic: int, clean: int) -> tuple[list[str], list[
     counts = sample.select("label", F.explode(starts).alias("term")).groupBy("term").agg(F.sum("label").alias("pos"), (F.count("*") - F.sum("label")).alias("neg"))
     pos, n = F.col("pos"), F.col("pos") + F.col("neg")
     hopeful = counts.where((pos * F.log(F.lit((toxic + clean) / toxic)) >= LEAST_EVIDENCE) & (pos / n > toxic / (toxic + clean)))
-    rows = hopeful.orderBy(F.desc(pos * pos / n), F.desc(F.length("term")), "term").limit(CANDIDATES).collect()
+    rows = hopeful.collect()  # beginnings of the words of a bounded sample
     seen = contexts(sample, {r["term"] for r in rows})
     scored = []
     for r in rows:
@@ -253,7 +259,7 @@ def lexicon(sample: DataFrame, toxic: int, clean: int) -> tuple[list[str], list[
             scored.append((-found, -len(r["term"]), r["term"], min(6.0, odds)))
     chosen: dict[str, float] = {}
     for _, _, term, odds in sorted(scored):
-        if len(chosen) < MOST_TERMS and not any(term.startswith(t) or t.startswith(term) for t in chosen):
+        if not any(term.startswith(t) or t.startswith(term) for t in chosen):
             chosen[term] = odds
     return list(chosen), list(chosen.values())
 
@@ -297,7 +303,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "t
 
     A term loses its budget where its misspellings turn up in clean documents of the sample.
     """
-    sample = labelled(docs, labels, learnable, label)
+    scratch = Scratch(docs.sparkSession, "toxicity-sample")
+    sample = scratch.keep(labelled(docs, labels, learnable, label), "sample")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic + clean:
@@ -312,11 +319,16 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "t
         rows = read_sample(sample, model)
     share = learned(labels, learnable, label).agg(F.avg("label")).first()[0]
     model.weights, model.base = fit_weights(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float), min(0.98, max(0.02, share)))
+    scratch.only()
     return model
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, hits for every row of docs, from the whole text; null scores as empty, 0.5 without a model."""
+    """doc_id, score, any_term (whether a term was met) for every row of docs, from the whole text; null scores as empty, 0.5 without a model.
+
+    Every row gets its own row, repeated ones and those without an identifier too; an empty table gives
+    none; other columns are not read, whatever their names.
+    """
     shared = sent(docs.sparkSession, (model, model.automaton()) if model else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +339,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 if reader:
                     x = np.array(reader.read(part.column(1).to_pylist()))
                     scores = 1 / (1 + np.exp(-np.clip(x @ np.array(reader.model.weights) + reader.model.base, -30, 30)))
-                    hit = x[:, 0] > 0
+                    hit = x[:, :2].sum(1) > 0
                 else:
                     scores, hit = np.full(part.num_rows, 0.5), np.zeros(part.num_rows, bool)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(hit)], ["doc_id", "score", "any_term"])

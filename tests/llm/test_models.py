@@ -96,7 +96,24 @@ def test_quoted_terms_weigh_less():
     model = toxicity.Model(["idiot"], [1], [5.0], [1.0] * len(toxicity.FEATURES), 0.0)
     reader = toxicity.Reader(model, model.automaton())
     abuse, quoted, clean, fuzzy = reader.read(["you are an idiot really", 'he said the word "idiot" was used', "nothing here", "you idoot"])
-    assert abuse[1] > quoted[1] > 0 and sum(clean) == 0 and abuse[0] > fuzzy[0] > 0 and fuzzy[3] > 0
+    assert abuse[0] > 0 == abuse[1] and quoted[1] > 0 == quoted[0] and sum(clean) == 0 and abuse[0] > fuzzy[0] > 0 and fuzzy[4] > 0
+
+
+def test_the_weight_of_quotations_is_learned(spark):
+    """Where documents with a quoted term are labelled clean, quotations score low; where they are toxic, high."""
+    draw = random.Random(4)
+    plain = lambda: " ".join(draw.choices("alder birch cedar maple willow poplar rowan hazel".split(), k=12))
+    odd = lambda: "".join(draw.choices("bdfgklmnprst", k=6))
+    kind = lambda i: "abuse" if i % 3 == 0 else "quoted" if i % 9 == 1 else "plain"
+    written = {"abuse": lambda: f"{plain()} you {odd()} gorblimey {plain()}", "quoted": lambda: f'{plain()} he said "gorblimey" then {plain()}', "plain": plain}
+    docs = [(i, written[kind(i)]()) for i in range(900)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for quoted_label in (0, 1):
+        labels = spark.createDataFrame([(i, {"abuse": 1, "quoted": quoted_label, "plain": 0}[kind(i)]) for i in range(900)], "doc_id long, toxic int")
+        model = toxicity.train(frame, labels, F.col("doc_id") < 600)
+        found = {r["doc_id"]: r["score"] for r in toxicity.score(frame, model).collect() if r["doc_id"] >= 600}
+        want = {"abuse": True, "quoted": bool(quoted_label), "plain": False}
+        assert all((s >= 0.5) == want[kind(i)] for i, s in found.items())
 
 
 def fitted(spark):
