@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from hearthlake.llm.shared import Scratch, global_rank
 
-#: Rounds of moves at most; groups of copies settle in two or three.
-ROUNDS = 6
 #: Resolution of the share of movers that a quota admits.
 GRAIN = 1 << 20
 
@@ -54,18 +52,25 @@ def quotas(asked: list, free: dict[int, int]) -> list[tuple[int, int, int]]:
     return shares
 
 
-def propagate(linked: DataFrame, shards: int, capacity: int, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def cut_rows(placed: DataFrame) -> int:
+    """How many rows stand apart from the largest part of their group (grp, shard): the links that shards cut, counted at their rows."""
+    parts = placed.groupBy("grp", "shard").agg(F.count("*").alias("n"))
+    return parts.groupBy("grp").agg((F.sum("n") - F.max("n")).alias("cut")).agg(F.coalesce(F.sum("cut"), F.lit(0)).alias("cut")).first()["cut"]
+
+
+def propagate(linked: DataFrame, shards: int, capacity: int, scratch: Scratch) -> DataFrame:
     """linked (doc_id, size, text_crc32, grp) with shard, after rounds of moves towards neighbours under capacity.
 
-    Each round joins the rows to their group's votes, counts the wishes by target and gain (at most
+    Rounds go on as long as they lower the number of cut rows. Each round joins the rows to their group's votes, counts the wishes by target and gain (at most
     shards x 40 figures reach the driver), and admits the share that the target's free rows allow,
     chosen by a hash of the identifier. A full shard is closed: what is left of a group larger than
     a shard gathers in the next one.
     """
     spark = scratch.spark
     state = scratch.keep(linked.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)).cast("int")), "round-0")
-    n = state.count()
-    for turn in range(1, rounds + 1):
+    n, best, turn = state.count(), cut_rows(state), 0
+    while best:
+        turn += 1
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         free = {s: capacity - load.get(s, 0) for s in range(shards)}
         asked = scratch.keep(wishes(state, [s for s in free if free[s] > 0], scratch, turn, n), f"wishes-{turn}", n)
@@ -76,7 +81,11 @@ def propagate(linked: DataFrame, shards: int, capacity: int, scratch: Scratch, r
         table = F.broadcast(spark.createDataFrame(shares, "want int, gain int, share int"))
         draw = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(GRAIN))
         moved = asked.join(table, ["want", "gain"], "left").withColumn("shard", F.when(draw < F.col("share"), F.col("want")).otherwise(F.col("shard")))
-        state = scratch.keep(moved.select(*state.columns), f"round-{turn}", n)
+        after = scratch.keep(moved.select(*state.columns), f"round-{turn}", n)
+        cut = cut_rows(after)
+        if cut >= best:
+            break
+        state, best = after, cut
     return state
 
 
