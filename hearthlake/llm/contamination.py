@@ -8,13 +8,14 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hearthlake.llm.shared import Scratch, mapped, received, sent, without
 
 #: Errors allowed for each character of a test item.
 ERROR_RATE = 0.08
-#: Bytes of test items that one pass over the documents carries; a larger benchmark takes several passes.
-BLOCK = 1 << 20
+#: Bytes of test items that one pass over the documents carries (some 60 bytes of a task's memory for each); a larger benchmark takes several passes.
+BLOCK = 4 << 20
 
 
 def normalised(text: str | None) -> str:
@@ -117,13 +118,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     too short for an error must occur as it is; null and empty items match nothing, null and empty
     documents hold nothing. Items are taken in blocks of at most about BLOCK bytes, each block
     against all documents in one scan without a shuffle. Repeated items give a row each, repeated
-    documents too; an empty table on either side gives no rows.
+    documents too; identifiers of items may be of any plain type; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // BLOCK))
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, item_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(items.schema["item_id"].dataType)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = None
     for block in range(blocks):
@@ -138,9 +139,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
                     for k, d, e in block_matcher.matches(normalised(text.as_py())):
                         at.append(i), item.append(k), distance.append(d), end.append(e)
                 ids = batch.column(0).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), pa.array(distance, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "distance", "end_char"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(item, item_type), pa.array(distance, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "distance", "end_char"])
 
-        leaks = mapped(rows, run, f"doc_id {kind}, item_id long, distance long, end_char long")
+        leaks = mapped(rows, run, f"doc_id {kind}, item_id {items.schema['item_id'].dataType.simpleString()}, distance long, end_char long")
         found = leaks if found is None else found.unionByName(leaks)
     return found
 
