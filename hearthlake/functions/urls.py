@@ -175,3 +175,23 @@ def seed_url(path: Column, source: Column, bases: dict[str, str]) -> Column:
     joined = F.concat(F.regexp_replace(base, "/+$", ""), F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path)))
     url = F.when(path.rlike("^https?://"), path).otherwise(joined)
     return F.when(source == "greenacres", listing_api_url(url)).otherwise(url)
+
+
+def joined(reference: Column, base: Column) -> Column:
+    """The whole address of a reference on the page at base, as RFC 3986 resolves it: paths with dots, query-only and scheme-less ones too."""
+    site = found(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)")
+    path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    asked = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    own = F.regexp_extract(reference, r"^([^?#]*)", 1)
+    rest = F.substring(reference, F.length(own) + 1, F.length(reference))
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    full = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own))
+    steps = F.filter(F.split(F.regexp_replace(full, "^/", ""), "/"), lambda x: x != ".")
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda out, x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.lit(0), F.size(out) - 1))).otherwise(F.concat(out, F.array(x))))
+    resolved_path = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(matched(full, r"(?:^|/)\.\.?$") & (F.size(kept) > 0), "/").otherwise(""))
+    here = F.when(own == "", F.concat(path, F.when(F.startswith(rest, F.lit("?")), rest).otherwise(F.concat(asked, rest)))).otherwise(F.concat(resolved_path, rest))
+    return (
+        F.when(reference.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), reference)
+        .when(F.startswith(reference, F.lit("//")), F.concat(F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), reference))
+        .otherwise(F.concat(site, here))
+    )

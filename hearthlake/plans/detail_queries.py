@@ -29,15 +29,17 @@ PAGES: dict[str, tuple[str, str, dict[str, str]]] = {
     "homege": (
         "https://www.home.ge/en/x-{id}.html",
         ORGANISATION + LD.format('{"@type":"Product","brand":{"name":"House For Sale"},"offers":{"price":"{p}","priceCurrency":"USD"}}')
-        + '<div class="listing-fields">' + "".join(f'<div class="table-cell"><div class="name">{k}</div><div class="value">{v}</div></div>' for k, v in (("Area", "{m2} m"), ("Yard area", "{land} m"), ("Rooms", "3 Rooms"), ("Water", "Yes"), ("Gas", "No"), ("Condition", "Old"), ("District / Village", "{place}")))
+        + '<div class="listing-fields">' + "".join(f'<div class="table-cell"><div class="name">{k}</div><div class="value">{v}</div></div>' for k, v in (("Area", "{m2} m"), ("Yard area", "{land} m"), ("Rooms", "3 Rooms"), ("Water", "Yes"), ("Gas", "No"), ("Condition", "Old"), ("Title", "Agricultural land, daily rent"), ("District / Village", "{place}")))
         + "</div>",
-        {"external_id": "id::VARCHAR", "price": TIMES.format(0.85), "living_m2": "m2", "land_m2": "land", "rooms": "3::BIGINT", "type": "'House For Sale'", "features": "'Water, Condition: Old'", "price_source": "'usd_converted'"},
+        {"external_id": "id::VARCHAR", "price": TIMES.format(0.85), "living_m2": "m2", "land_m2": "land", "rooms": "3::BIGINT", "type": "'House For Sale'", "features": "'Water, Condition: Old'", "agricultural_land": "'true'", "maybe_rental": "'true'", "price_source": "'usd_converted'"},
     ),
     "bulgarianproperties": (
         "https://www.bulgarianproperties.com/x/AD{id}BG_y.html",
-        ORGANISATION + LD.format('[{"@type":"BreadcrumbList"},{"@type":["Product","Offer"],"offers":{"price":"{p}","priceCurrency":"GBP"}}]')
+        ORGANISATION + LD.format('[{"@type":"BreadcrumbList"},{"@type":["Product","Offer"],"image":["https://x.test/property-images/big/{id}.jpg",{"url":"https://x.test/a.jpg"}],"offers":{"price":"{p}","priceCurrency":"GBP"}}]')
+        + '<span class="property-label">Reserved</span><div class="property-gallery"><img src="https://x.test/property-images/medium1/{id}.jpg"><img src="/property-images/big/{id}b.jpg"><img src="/logo.png"></div>'
         + "".join(f'<div class="characteristic"><span class="label">{k}</span><span class="value">{v}</span></div>' for k, v in (("Type of property:", "House, Villa"), ("Area:", "{m2} m2"), ("Garden:", "{land} m2"), ("Village:", "{place}"))),
-        {"external_id": "'AD' || id || 'BG'", "price": TIMES.format(1.163), "living_m2": "m2", "land_m2": "land", "type": "'House'", "place": "place", "price_source": "'gbp_converted'"},
+        {"external_id": "'AD' || id || 'BG'", "price": TIMES.format(1.163), "living_m2": "m2", "land_m2": "land", "type": "'House'", "place": "place", "price_source": "'gbp_converted'", "reserved": "'true'", "maybe_rental": "NULL::VARCHAR",
+         "photos": "'https://x.test/property-images/big/' || id || '.jpg https://x.test/a.jpg https://www.bulgarianproperties.com/property-images/big/' || id || 'b.jpg'"},
     ),
     "centrarium": (
         "https://centrarium.com/en/houses/x-{id}.html",
@@ -119,7 +121,7 @@ def register(source: str) -> None:
     stated = PAGES[source][2]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        derived = {"photos": F.array_join("photos", " "), "price_source": F.get_json_object("raw_fields", "$.price_source")}
+        derived = {"photos": F.array_join("photos", " "), **{k: F.get_json_object("raw_fields", f"$.{k}") for k in ("price_source", "reserved", "maybe_rental", "agricultural_land")}}
         return detail_rows(detail_pages(spark, sf_dir, source), source).select(*(derived.get(c, F.col(c)).alias(c) for c in stated))
 
     QUERIES[f"details_{source}"] = run

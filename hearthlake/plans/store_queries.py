@@ -257,3 +257,15 @@ def text_rules(spark, sf_dir):
     packed = pack.as_json_rows(rows.select(F.col("c_custkey").alias("id"), "c_mktsegment"))
     found = rows.select(F.col("c_custkey").alias("id"), bedroom_words(words).alias("bedrooms"), text.label(F.lit("  Plot  size : ")).alias("label"), not_at_zero(lat, lat)[0].alias("lat"))
     return found.join(packed, "id")
+
+
+JOINS = {
+    "/a/b": "https://p.test/a/b", "x.php?i=1#t": "https://p.test/d/e/x.php?i=1#t", "../x": "https://p.test/d/x", "../../../x/": "https://p.test/x/", "./": "https://p.test/d/e/", "..": "https://p.test/d/", "?p=2": "https://p.test/d/e/f.html?p=2",
+    "#top": "https://p.test/d/e/f.html?q=1#top", "//cdn.test/y": "https://cdn.test/y", "http://z.test": "http://z.test", "": "https://p.test/d/e/f.html?q=1", "mailto:a@b.c": "mailto:a@b.c",
+}
+
+
+@query(f"SELECT c_custkey AS id, list_extract([{', '.join(f"'{v}'" for v in JOINS.values())}], CAST(c_custkey % {len(JOINS)} + 1 AS INT)) AS url FROM customer")
+def joined_urls(spark, sf_dir):
+    reference = F.element_at(F.array(*map(F.lit, JOINS)), (F.col("c_custkey") % len(JOINS) + 1).cast("int"))
+    return D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), urls.joined(reference, F.lit("https://p.test/d/e/f.html?q=1")).alias("url"))

@@ -17,7 +17,14 @@ from hearthlake.sources.portals import LEFIGARO_TYPES, f, here, in_lines, kinds_
 DETAILS: dict[str, Detail] = {}
 #: Read on every detail page beside what a portal names.
 COMMON = {
-    "ld": "**script[type=application/ld+json]", "h1": "h1", "title": "title", "body": "body", "scripts": "*script", "images": "*img[src]@src", "map_links": "*a[href*=mlat=], a[href*=maps]@href", "osm": "*iframe[src*=maps]@src",
+    "ld": "**script[type=application/ld+json]",
+    "h1": "h1",
+    "title": "title",
+    "body": "body",
+    "scripts": "*script",
+    "images": "*img[src]@src",
+    "map_links": "*a[href*=mlat=], a[href*=maps]@href",
+    "osm": "*iframe[src*=maps]@src",
 }
 
 
@@ -49,7 +56,10 @@ def ld_block(kinds: tuple[str, ...], any_kind: bool) -> Column:
     """The page's first JSON-LD block of one of these kinds, else its first block at all; lists and graphs are opened."""
     listed = lambda text: F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
     graph = lambda b: F.get_json_object(b, "$['@graph']")
-    opened = lambda b: F.when(F.startswith(F.ltrim(b), F.lit("[")), listed(b)).when(graph(b).isNotNull(), listed(graph(b))).otherwise(F.array(b))
+    opened = lambda b: F.when(F.startswith(F.ltrim(b), F.lit("[")), listed(b)).when(
+        graph(b).isNotNull(),
+        listed(graph(b)),
+    ).otherwise(F.array(b))
     blocks = F.flatten(F.transform(F.split(F.coalesce(f("ld"), F.lit("")), RECORD), opened))
     wanted = F.filter(blocks, lambda b: F.lower(F.get_json_object(b, "$['@type']")).rlike(rf'(^|")({"|".join(kinds)})("|$)'))
     first = F.try_element_at(wanted, F.lit(1))
@@ -61,6 +71,14 @@ def ld(path: str) -> Column:
     return F.get_json_object("node", f"${path}" if path.startswith("[") else f"$.{path}")
 
 
+def ld_images() -> Column:
+    """The pictures that the JSON-LD block names, one a line: addresses, or objects with one."""
+    stated = ld("image")
+    listed = F.coalesce(F.from_json(F.when(F.startswith(stated, F.lit("[")), stated), "array<string>"), F.array(stated))
+    each = F.transform(listed, lambda x: F.when(F.startswith(x, F.lit("{")), F.get_json_object(x, "$.url")).otherwise(x))
+    return F.array_join(F.filter(each, lambda x: F.startswith(x, F.lit("http"))), "\n")
+
+
 def offered(path: str) -> Column:
     return F.coalesce(ld(f"itemOffered.{path}"), ld(path))
 
@@ -84,13 +102,32 @@ def photo_list(lines: Column, base: str, wanted: str = r".") -> Column:
 
 
 def one_size(lines: Column, size: str, base: str) -> Column:
-    """The first address of each picture, whatever the size that its address ends with."""
+    """The first address of each picture, whatever the size that its address names."""
     links = F.filter(F.split(F.coalesce(lines, F.lit("")), "\n"), lambda u: u != "")
-    keys = F.transform(links, lambda u: F.regexp_replace(u, size, ""))
-    first = F.filter(links, lambda u, i: F.array_position(keys, F.regexp_replace(u, size, "")) == i + 1)
+    key = lambda u: F.regexp_replace(u, size, "/big/")
+    keys = F.transform(links, key)
+    first = F.filter(links, lambda u, i: F.array_position(keys, key(u)) == i + 1)
     return F.transform(first, lambda u: here(u, base))
 
 
+# What portals write of rentals, land that foreigners may not own, and plots that go with a house.
+RENTAL = {
+    "bulgarianproperties": r"(?i)\b(?:/month|per month|for rent|to let|pcm)\b",
+    "greenacres": r"(?i)\b(?:te huur|huur|location|louer)\b",
+    "homege": r"(?i)\b(?:for rent|house for rent|daily rent|lease)\b",
+    "lefigaro": r"(?i)\b(?:location|louer)\b",
+    "mubawab": r"(?i)(?:\bfor rent\b|\bà louer\b)",
+}
+FARM_LAND, HOUSEHOLD_PLOT = r"(?i)\b(?:agricultural(?:\s+land)?|ag[\s-]?land)\b|სასოფლო", "საკარმიდამო"
+
+
+def flags(source: str, *texts: Column, **more: Column) -> Column:
+    """Map of the marks that a page's texts earn, each as `true`: maybe_rental by the portal's words, and others that are given."""
+    marks = more | {"maybe_rental": matched(F.concat_ws(" ", *texts), RENTAL[source])}
+    pairs = F.create_map(*(x for name, mark in marks.items() for x in (F.lit(name), F.coalesce(mark, F.lit(False)))))
+    return F.transform_values(F.map_filter(pairs, lambda k, v: v), lambda k, v: F.lit("true"))
+
+
 def chosen(amount: Column, currency: Column) -> Column:
     return F.when(amount.isNotNull() & currency.isNotNull(), F.struct(amount.alias("amount"), currency.alias("currency")))
 
@@ -117,17 +154,45 @@ def mubawab() -> dict[str, Column]:
     stored = money.priced(paid, "mubawab")
     before = money.price_before_drop(f("main"), paid["amount"], paid["currency"])
     place, description = offered("address.addressLocality"), F.coalesce(f("text"), ld("description"))
-    land = F.coalesce(numbers.area(fact_like("^(plot|land)( ?(surface|area))?$")), numbers.digits(found(numbers.spaced(description), rf"(?i)(?:plot|land(?:\s+area)?|lot(?:\s+area)?)\s*(?:of|is|:)?\s*{AMOUNT}\s*(?:m²|m2)")))
+    land = F.coalesce(
+        numbers.area(fact_like("^(plot|land)( ?(surface|area))?$")),
+        numbers.digits(found(numbers.spaced(description), rf"(?i)(?:plot|land(?:\s+area)?|lot(?:\s+area)?)\s*(?:of|is|:)?\s*{AMOUNT}\s*(?:m²|m2)")),
+    )
     lat, lon = clean_coordinate(F.coalesce(f("lat"), f("lat2")), 90), clean_coordinate(F.coalesce(f("lon"), f("lon2")), 180)
     return {
+        "_flags": flags("mubawab", description, ld("name"), fact("type of property")),
         "_stated": stated_by(paid["amount"], paid["currency"]),
-        "external_id": F.coalesce(urls.listing_id(F.col("url"), "mubawab"), urls.listing_id(ld("url"), "mubawab")), "type": F.coalesce(fact("type of property"), F.lit("House")), "place": F.coalesce(f("grey"), place), "region": F.coalesce(place, f("grey")),
-        "price": stored["price"], "currency": F.lit("EUR"), "old_price": money.to_euro(before, paid["currency"], "mubawab"), "living_m2": F.coalesce(numbers.rounded(offered("floorSize.value")), numbers.area(in_lines(f("features"), r"(?i)([0-9][0-9\s.,]*\s*m[²2])"))),
-        "land_m2": land, "rooms": whole(offered("numberOfRooms")), "bedrooms": whole(offered("numberOfBedrooms")), "baths": whole(offered("numberOfBathroomsTotal")), "lat": lat, "lon": lon, "description": description, "photos": photo_list(f("gallery"), "https://www.mubawab.ma"),
-    }
-
-
-Detail("mubawab", mubawab, {"price": "h3.orangeTit", "main": ".mainInfoProp", "features": "*.mainInfoProp .adDetailFeature", "grey": "h3.greyTit", "text": ".blockProp p", "lat": ".prop-map-holder@lat", "lon": ".prop-map-holder@lon", "lat2": "#latField@value", "lon2": "#lngField@value", "gallery": "*.gallery img, img.sliderImage@src"},
+        "external_id": F.coalesce(urls.listing_id(F.col("url"), "mubawab"), urls.listing_id(ld("url"), "mubawab")),
+        "type": F.coalesce(fact("type of property"), F.lit("House")),
+        "place": F.coalesce(f("grey"), place),
+        "region": F.coalesce(place, f("grey")),
+        "price": stored["price"],
+        "currency": F.lit("EUR"),
+        "old_price": money.to_euro(before, paid["currency"], "mubawab"),
+        "living_m2": F.coalesce(numbers.rounded(offered("floorSize.value")), numbers.area(in_lines(f("features"), r"(?i)([0-9][0-9\s.,]*\s*m[²2])"))),
+        "land_m2": land,
+        "rooms": whole(offered("numberOfRooms")),
+        "bedrooms": whole(offered("numberOfBedrooms")),
+        "baths": whole(offered("numberOfBathroomsTotal")),
+        "lat": lat,
+        "lon": lon,
+        "description": description,
+        "photos": photo_list(f("gallery"), "https://www.mubawab.ma"),
+    }
+
+
+Detail("mubawab", mubawab, {
+    "price": "h3.orangeTit",
+    "main": ".mainInfoProp",
+    "features": "*.mainInfoProp .adDetailFeature",
+    "grey": "h3.greyTit",
+    "text": ".blockProp p",
+    "lat": ".prop-map-holder@lat",
+    "lon": ".prop-map-holder@lon",
+    "lat2": "#latField@value",
+    "lon2": "#lngField@value",
+    "gallery": "*.gallery img, img.sliderImage@src",
+},
        [(".adMainFeature", ".adMainFeatureContentLabel", ".adMainFeatureContentValue")])
 
 
@@ -148,24 +213,53 @@ def homege() -> dict[str, Column]:
     currency = F.upper(ld("offers.priceCurrency"))
     currency = F.when(currency.isin("USD", "US$"), "USD").when(currency.isin("EUR", "EU"), "EUR").when(currency == "GEL", "GEL")
     paid = F.coalesce(chosen(numbers.comma_thousands(ld("offers.price")), currency), money.money(f("price"), "homege"))
-    living, land, _ = cleaning.plot_as_land(numbers.area(fact("area"), numbers.comma_thousands, r"(?:m²|m2|m)\b"), numbers.area(fact("yard area"), numbers.comma_thousands, r"(?:m²|m2|m)\b"))
+    living, land, _ = cleaning.plot_as_land(
+        numbers.area(fact("area"), numbers.comma_thousands, r"(?:m²|m2|m)\b"),
+        numbers.area(fact("yard area"), numbers.comma_thousands, r"(?:m²|m2|m)\b"),
+    )
     lat, lon = coordinates(r"(?i)latLng['\"]?\s*:\s*['\"]\s*(-?[0-9]+(?:\.[0-9]+)?)\s*,\s*(-?[0-9]+(?:\.[0-9]+)?)")
+    blob = F.concat_ws(" ", fact("title"), fact("description"), ld("description"), ld("name"), ld("brand.name"))
+    farm = matched(blob, FARM_LAND) | F.contains(F.lower(F.coalesce(fact("land_type_data"), F.lit(""))), F.lit("agricultural"))
     return {
+        "_flags": flags("homege", blob, agricultural_land=farm, household_plot=~farm & F.contains(blob, F.lit(HOUSEHOLD_PLOT))),
         "_stated": stated_by(paid["amount"], paid["currency"]),
-        "external_id": F.coalesce(urls.listing_id(F.col("url"), "homege"), urls.listing_id(ld("url"), "homege"), ld("sku"), ld("mpn")), "type": F.coalesce(ld("brand.name"), fact("type of property"), F.lit("House For Sale")), "place": F.trim(fact("district / village")), "region": F.trim(fact("city/region")),
-        "price": money.priced(paid, "homege")["price"], "currency": F.lit("EUR"), "living_m2": living, "land_m2": land, "rooms": whole(found(fact("rooms"), r"(?i)([0-9]+)\s*Rooms?\b")), "bedrooms": numbers.comma_thousands(fact("bedrooms")), "baths": numbers.comma_thousands(fact("bathrooms")),
-        "lat": lat, "lon": lon, "description": F.concat_ws("\n", fact("title"), F.coalesce(fact("description"), ld("description"))), "reference": fact("reference number"), "agent": text.node_text(f("seller")), "features": fittings(), "photos": photo_list(f("images"), "https://www.home.ge", "listings|digitaloceanspaces"),
-    }
+        "external_id": F.coalesce(urls.listing_id(F.col("url"), "homege"), urls.listing_id(ld("url"), "homege"), ld("sku"), ld("mpn")),
+        "type": F.coalesce(ld("brand.name"), fact("type of property"), F.lit("House For Sale")),
+        "place": F.trim(fact("district / village")),
+        "region": F.trim(fact("city/region")),
+        "price": money.priced(paid, "homege")["price"],
+        "currency": F.lit("EUR"),
+        "living_m2": living,
+        "land_m2": land,
+        "rooms": whole(found(fact("rooms"), r"(?i)([0-9]+)\s*Rooms?\b")),
+        "bedrooms": numbers.comma_thousands(fact("bedrooms")),
+        "baths": numbers.comma_thousands(fact("bathrooms")),
+        "lat": lat,
+        "lon": lon,
+        "description": F.concat_ws("\n", fact("title"), F.coalesce(fact("description"), ld("description"))),
+        "reference": fact("reference number"),
+        "agent": text.node_text(f("seller")),
+        "features": fittings(),
+        "photos": photo_list(f("images"), "https://www.home.ge", "listings|digitaloceanspaces"),
+    }
 
 
 Detail("homege", homege, {"price": ".price-tag, #df_field_price", "seller": ".seller-info"}, [(".listing-fields .table-cell", ".name", ".value")])
 
 
 def bulgarianproperties() -> dict[str, Column]:
-    number = F.coalesce(urls.listing_id(F.col("url"), "bulgarianproperties"), urls.listing_id(ld("offers.url"), "bulgarianproperties"), f("prop_id"), found(f("body"), r"(?i)\bAD([0-9]+)BG\b"))
+    number = F.coalesce(
+        urls.listing_id(F.col("url"), "bulgarianproperties"),
+        urls.listing_id(ld("offers.url"), "bulgarianproperties"),
+        f("prop_id"),
+        found(f("body"), r"(?i)\bAD([0-9]+)BG\b"),
+    )
     stated = numbers.comma_thousands(ld("offers.price"), join_spaces=True)
     currency = F.upper(F.coalesce(ld("offers.priceCurrency"), F.lit("EUR")))
-    switch = lambda sign: numbers.comma_thousands(found(f("switches"), rf"(?i)ch_currency\(\s*['\"][^'\"]*?(?:{sign})\s*{AMOUNT}"), join_spaces=True)
+    switch = lambda sign: numbers.comma_thousands(
+        found(f("switches"), rf"(?i)ch_currency\(\s*['\"][^'\"]*?(?:{sign})\s*{AMOUNT}"),
+        join_spaces=True,
+    )
     shown = money.money(f("price"), "bulgarianproperties")
     of = lambda code, sign: F.coalesce(F.when(currency == code, stated), switch(sign), F.when(shown["currency"] == code, shown["amount"]))
     eur, gbp, usd = of("EUR", "€|&euro;"), of("GBP", "£|&pound;"), of("USD", r"\$|USD")
@@ -176,30 +270,75 @@ def bulgarianproperties() -> dict[str, Column]:
     lat, lon = coordinates(r"(?i)maps\?q=(-?[0-9]+(?:\.[0-9]+)?),(-?[0-9]+(?:\.[0-9]+)?)")
     zero = not_at_zero(lat, lon, 0.1, both=True)
     return {
+        "_flags": flags(
+            "bulgarianproperties", f("h1"), kind, f("text"), f("labels"),
+            reserved=matched(f("labels"), "(?i)reserved|sold"), best_bargain=matched(f("labels"), "(?i)best bargain"),
+        ),
         "_stated": stated_in(EUR=eur, GBP=gbp, USD=usd),
-        "external_id": F.concat(F.lit("AD"), number, F.lit("BG")), "type": kind, "place": fact("village", "town", "location"), "price": price, "currency": F.lit("EUR"), "price_gbp": gbp, "price_usd": usd, "living_m2": living, "land_m2": land,
-        "lat": zero[0], "lon": zero[1], "description": F.coalesce(f("text"), ld("description")), "reference": F.concat(F.lit("AD"), number, F.lit("BG")),
-    }
-
-
-Detail("bulgarianproperties", bulgarianproperties, {"prop_id": "[data-preference-prop-id]@data-preference-prop-id", "price": ".component-single-property-price .regular-price, .component-single-property-price .new-price, #newprice", "text": ".component-single-property-description", "switches": "*[onclick*=ch_currency]@onclick"},
+        "external_id": F.concat(F.lit("AD"), number, F.lit("BG")),
+        "type": kind,
+        "place": fact("village", "town", "location"),
+        "price": price,
+        "currency": F.lit("EUR"),
+        "price_gbp": gbp,
+        "price_usd": usd,
+        "living_m2": living,
+        "land_m2": land,
+        "lat": zero[0],
+        "lon": zero[1],
+        "description": F.coalesce(f("text"), ld("description")),
+        "reference": F.concat(F.lit("AD"), number, F.lit("BG")),
+        "photos": one_size(
+            F.concat_ws("\n", ld_images(), F.array_join(F.filter(F.split(f("gallery"), "\n"), lambda u: F.contains(u, F.lit("property-images"))), "\n")),
+            r"/medium[0-9]*/",
+            "https://www.bulgarianproperties.com",
+        ),
+    }
+
+
+Detail("bulgarianproperties", bulgarianproperties, {
+    "prop_id": "[data-preference-prop-id]@data-preference-prop-id",
+    "price": ".component-single-property-price .regular-price, .component-single-property-price .new-price, #newprice",
+    "text": ".component-single-property-description",
+    "switches": "*[onclick*=ch_currency]@onclick",
+    "labels": "*.component-single-property-labels, .property-label, .label-reserved",
+    "gallery": "*.component-single-property-head-gallery img[src], .component-single-property-content-gallery img[src], .property-gallery img[src]@src",
+},
        [(".characteristic", ".label", ".value")], kinds=("product", "offer", "realestatelisting", "singlefamilyresidence"), any_kind=False)
 
 
 def centrarium() -> dict[str, Column]:
     ident = F.coalesce(urls.listing_id(F.col("url"), "centrarium"), found(f("body"), r"(?i)object\s*(?:id|№|number)\s*:?\s*([0-9]+)"))
     living, plot = numbers.first_token(fact_like(r"(?:total )?area$|living area|house area")), numbers.first_token(fact_like(r"plot|land|parcel"))
-    phrase = numbers.first_token(found(body(), rf"(?i)(?:on\s+a\s+plot\s+of|the\s+plot(?:\s+of\s+land)?\s+is|plot\s+is|land\s+plot\s+of|plot\s+of(?:\s+land)?(?:\s+of)?)\s*{AMOUNT}\s*{SQUARE_METRES}"))
+    phrase = numbers.first_token(found(
+        body(),
+        rf"(?i)(?:on\s+a\s+plot\s+of|the\s+plot(?:\s+of\s+land)?\s+is|plot\s+is|plot\s+of\s+land(?:\s+for\b.{{0,80}})?\s+(?:with\s+an\s+)?area\s+of|land\s+plot\s+of|plot\s+of(?:\s+land)?(?:\s+of)?)\s*{AMOUNT}\s*{SQUARE_METRES}",
+    ))
     lat, lon = coordinates(r'"addr_lat"\s*:\s*(-?[0-9.]+)\s*,\s*"addr_lon"\s*:\s*(-?[0-9.]+)', r"mlat=(-?[0-9.]+)[^\n]*?mlon=(-?[0-9.]+)")
-    price = F.coalesce(F.when(F.upper(ld("offers.priceCurrency")) == "EUR", numbers.rounded(ld("offers.price"))), money.money(f("price"), "centrarium")["amount"])
+    price = F.coalesce(
+        F.when(F.upper(ld("offers.priceCurrency")) == "EUR", numbers.rounded(ld("offers.price"))),
+        money.money(f("price"), "centrarium")["amount"],
+    )
     rooms = numbers.first_token(fact_like(r"^(?:number of )?rooms?$|\brooms\b"))
     return {
-        "external_id": ident, "type": F.coalesce(F.initcap(found(f("h1"), r"(?i)\b(House|Villa|Cottage|Townhouse|Town house|Chalet|Maisonette)\b")), F.lit("House")), "price": price, "currency": F.lit("EUR"), "living_m2": living,
-        "land_m2": cleaning.land_unless_echoed(living, F.coalesce(plot, phrase)), "rooms": rooms, "bedrooms": F.coalesce(numbers.first_token(fact_like("bedroom")), rooms), "baths": numbers.first_token(fact_like("bath")), "lat": lat, "lon": lon, "reference": ident,
-    }
-
-
-Detail("centrarium", centrarium, {"price": ".vw-price, .vw-header-price, [class*=price]"}, [(".vw-dynprops-item", ".vw-dynprops-item-attr", ".vw-dynprops-item-val")], kinds=("product", "offer", "residence"))
+        "external_id": ident,
+        "type": F.coalesce(F.initcap(found(f("h1"), r"(?i)\b(House|Villa|Cottage|Townhouse|Town house|Chalet|Maisonette)\b")), F.lit("House")),
+        "price": price,
+        "currency": F.lit("EUR"),
+        "living_m2": living,
+        "land_m2": cleaning.land_unless_echoed(living, F.coalesce(plot, phrase)),
+        "rooms": rooms,
+        "bedrooms": F.coalesce(numbers.first_token(fact_like("bedroom")), rooms),
+        "baths": numbers.first_token(fact_like("bath")),
+        "lat": lat,
+        "lon": lon,
+        "reference": ident,
+    }
+
+
+Detail("centrarium", centrarium, {
+    "price": ".vw-price, .vw-header-price, [class*=price]",
+}, [(".vw-dynprops-item", ".vw-dynprops-item-attr", ".vw-dynprops-item-val")], kinds=("product", "offer", "residence"))
 
 
 def abruzzoruralproperty() -> dict[str, Column]:
@@ -207,16 +346,34 @@ def abruzzoruralproperty() -> dict[str, Column]:
     # What belongs to this listing: neither navigation nor the cards of others.
     written = F.concat_ws(" ", summaries, f("described"), f("row"), f("details"))
     spoken = numbers.european(found(numbers.spaced(written), rf"(?i)Total\s+(?:cadastral\s+space|liveable\s+surface):\s*([0-9][0-9.,]*)\s*{SQUARE_METRES}"))
-    plot = numbers.european(found(numbers.spaced(written), rf"(?i)([0-9][0-9.,]*)\s*{SQUARE_METRES}\s+(?:of\s+)?(?:[\w'-]+\s+){{0,4}}(?:land|garden|grounds?)\b"))
+    plot = numbers.european(found(
+        numbers.spaced(written),
+        rf"(?i)([0-9][0-9.,]*)\s*{SQUARE_METRES}\s+(?:of\s+)?(?:[\w'-]+\s+){{0,4}}(?:land|garden|grounds?)\b",
+    ))
     land = F.when(~matched(fact("total land"), r"(?i)\bno land\b"), F.coalesce(numbers.european(fact("total land")), plot, numbers.hectares(written)))
     return {
-        "external_id": urls.listing_id(F.col("url"), "abruzzoruralproperty"), "type": fact("property type", "category"), "place": fact("city"), "price": F.coalesce(money.money(fact("price"), "abruzzoruralproperty")["amount"], money.money(f("price"), "abruzzoruralproperty")["amount"]), "currency": F.lit("EUR"),
-        "living_m2": F.coalesce(numbers.european(fact("total cadastral space", "cadastral space", "cadastral area", "total liveable surface")), spoken), "land_m2": land, "bedrooms": F.coalesce(numbers.european(fact("bedrooms")), numbers.bedroom_words(written)),
-        "reference": fact("reference number"), "energy_label": F.upper(found(fact("energy class", "energy rating", "energy efficiency"), r"(?i)^\s*([A-G])\b")), "description": f("text"),
-    }
-
-
-Detail("abruzzoruralproperty", abruzzoruralproperty, {"metas": "*meta[name=description], meta[property=og:description]@content", "described": "[itemprop=description]", "row": "article.fw-property-detail-row", "details": ".fw-property-details", "text": ".fw-property-description, [itemprop=description], .fw-description", "price": "span.price, .fw-price, [itemprop=price]"},
+        "external_id": urls.listing_id(F.col("url"), "abruzzoruralproperty"),
+        "type": fact("property type", "category"),
+        "place": fact("city"),
+        "price": F.coalesce(money.money(fact("price"), "abruzzoruralproperty")["amount"], money.money(f("price"), "abruzzoruralproperty")["amount"]),
+        "currency": F.lit("EUR"),
+        "living_m2": F.coalesce(numbers.european(fact("total cadastral space", "cadastral space", "cadastral area", "total liveable surface")), spoken),
+        "land_m2": land,
+        "bedrooms": F.coalesce(numbers.european(fact("bedrooms")), numbers.bedroom_words(written)),
+        "reference": fact("reference number"),
+        "energy_label": F.upper(found(fact("energy class", "energy rating", "energy efficiency"), r"(?i)^\s*([A-G])\b")),
+        "description": f("text"),
+    }
+
+
+Detail("abruzzoruralproperty", abruzzoruralproperty, {
+    "metas": "*meta[name=description], meta[property=og:description]@content",
+    "described": "[itemprop=description]",
+    "row": "article.fw-property-detail-row",
+    "details": ".fw-property-details",
+    "text": ".fw-property-description, [itemprop=description], .fw-description",
+    "price": "span.price, .fw-price, [itemprop=price]",
+},
        [(".fw-property-detail-row", ".text-bold", "[itemprop=value]"), (".fw-property-detail-row-odd", ".text-bold", "[itemprop=value]")])
 
 
@@ -224,19 +381,43 @@ def abruzzopropertyitaly() -> dict[str, Column]:
     icons = F.coalesce(f("icons"), F.lit(""))
     sizes = F.regexp_extract_all(icons, F.lit(r"(?i)([0-9][0-9.,]*)\s*SQM"))
     size = lambda i: numbers.decimal_area(F.concat(F.try_element_at(sizes, F.lit(i)), F.lit(" sqm")), zero_is_null=True)
-    ident = F.coalesce(urls.listing_id(F.col("url"), "abruzzopropertyitaly"), urls.listing_id(f("address"), "abruzzopropertyitaly"), found(F.coalesce(f("address"), f("body")), r"(?i)Ref:\s*([0-9]+)"))
+    ident = F.coalesce(
+        urls.listing_id(F.col("url"), "abruzzopropertyitaly"),
+        urls.listing_id(f("address"), "abruzzopropertyitaly"),
+        found(F.coalesce(f("address"), f("body")), r"(?i)Ref:\s*([0-9]+)"),
+    )
     place = F.split(F.coalesce(f("place"), f("h1")), r"\s*,\s*")
     kind = in_lines(icons, r"^\s*([A-Za-z][A-Za-z -]+)(?:\n|$)")
     lat, lon = coordinates(r"google\.maps\.LatLng\(\s*(-?[0-9.]+)\s*,\s*(-?[0-9.]+)\s*\)")
     land_only = F.lower(kind) == "land"
     return {
-        "external_id": ident, "type": kind, "place": F.try_element_at(place, F.lit(1)), "region": F.try_element_at(place, F.lit(2)), "dept_nl": F.try_element_at(place, F.lit(3)), "price": money.money(f("address"), "abruzzopropertyitaly")["amount"], "currency": F.lit("EUR"),
-        "bedrooms": numbers.digits(found(icons, r"(?i)([0-9]+)\s*bedroom")), "baths": numbers.digits(found(icons, r"(?i)([0-9]+)\s*bathroom")), "living_m2": F.when(land_only & (F.size(sizes) < 2), None).otherwise(size(1)),
-        "land_m2": F.when(land_only & (F.size(sizes) < 2), size(1)).otherwise(size(2)), "lat": lat, "lon": lon, "pcm_label": matched(f("address"), r"\bPCM\b"), "description": f("text"), "features": f("features"), "reference": ident,
-    }
-
-
-Detail("abruzzopropertyitaly", abruzzopropertyitaly, {"address": ".details-address1", "place": "h1.detail-price", "icons": "*.details-icons > div", "text": ".details-description", "features": ".details-features"})
+        "external_id": ident,
+        "type": kind,
+        "place": F.try_element_at(place, F.lit(1)),
+        "region": F.try_element_at(place, F.lit(2)),
+        "dept_nl": F.try_element_at(place, F.lit(3)),
+        "price": money.money(f("address"), "abruzzopropertyitaly")["amount"],
+        "currency": F.lit("EUR"),
+        "bedrooms": numbers.digits(found(icons, r"(?i)([0-9]+)\s*bedroom")),
+        "baths": numbers.digits(found(icons, r"(?i)([0-9]+)\s*bathroom")),
+        "living_m2": F.when(land_only & (F.size(sizes) < 2), None).otherwise(size(1)),
+        "land_m2": F.when(land_only & (F.size(sizes) < 2), size(1)).otherwise(size(2)),
+        "lat": lat,
+        "lon": lon,
+        "pcm_label": matched(f("address"), r"\bPCM\b"),
+        "description": f("text"),
+        "features": f("features"),
+        "reference": ident,
+    }
+
+
+Detail("abruzzopropertyitaly", abruzzopropertyitaly, {
+    "address": ".details-address1",
+    "place": "h1.detail-price",
+    "icons": "*.details-icons > div",
+    "text": ".details-description",
+    "features": ".details-features",
+})
 
 
 def domaza() -> dict[str, Column]:
@@ -246,14 +427,39 @@ def domaza() -> dict[str, Column]:
     deal = F.lower(F.concat_ws(" ", f("labels"), f("hidden_title")))
     return {
         "_stated": stated,
-        "external_id": F.coalesce(urls.listing_id(F.col("url"), "domaza"), found(body(), r"(?i)\bID\s+([0-9]+)\b")), "type": F.coalesce(f("kind"), F.try_element_at(bits, F.lit(1))), "place": F.try_element_at(bits, F.lit(2)), "region": F.try_element_at(bits, F.lit(3)), "country": F.try_element_at(bits, F.lit(4)),
-        "price": money.best_priced(stated, "domaza")["price"], "currency": F.lit("EUR"), "living_m2": F.coalesce(numbers.area(fact_like("floor area|total area|living area|^area"), unit=r"(?:m2|m²|m\s*2|sq\.?\s*m|sqm)\b"), numbers.area(f("hidden_area"))),
-        "land_m2": F.coalesce(numbers.area(fact_like("plot|land|yard"), unit=r"(?:m2|m²|m\s*2)"), numbers.digits(found(numbers.spaced(described), rf"(?i)(?:building plot|plot|yard|land)\s+(?:of\s+|around the house is\s+)?{AMOUNT}\s*(?:m2|m²)"))),
-        "deal": F.when(deal.rlike(r"\brent\b"), "rent").when(deal.rlike(r"\bsale\b"), "sale"), "description": f("text"),
-    }
-
-
-Detail("domaza", domaza, {"kind": ".property_title", "price": ".prop_price", "price2": ".property_price", "meta_price": "meta[itemprop=price]@content", "labels": ".property_labels", "hidden_title": ".title_hidden_data", "hidden_area": ".area_hidden_data", "text": ".property_description, [itemprop=description]"},
+        "external_id": F.coalesce(urls.listing_id(F.col("url"), "domaza"), found(body(), r"(?i)\bID\s+([0-9]+)\b")),
+        "type": F.coalesce(f("kind"), F.try_element_at(bits, F.lit(1))),
+        "place": F.try_element_at(bits, F.lit(2)),
+        "region": F.try_element_at(bits, F.lit(3)),
+        "country": F.try_element_at(bits, F.lit(4)),
+        "price": money.best_priced(stated, "domaza")["price"],
+        "currency": F.lit("EUR"),
+        "living_m2": F.coalesce(
+            numbers.area(fact_like("floor area|total area|living area|^area"), unit=r"(?:m2|m²|m\s*2|sq\.?\s*m|sqm)\b"),
+            numbers.area(f("hidden_area")),
+        ),
+        "land_m2": F.coalesce(
+            numbers.area(fact_like("plot|land|yard"), unit=r"(?:m2|m²|m\s*2)"),
+            numbers.digits(found(
+                numbers.spaced(described),
+                rf"(?i)(?:building plot|plot|yard|land)\s+(?:of\s+|around the house is\s+)?{AMOUNT}\s*(?:m2|m²)",
+            )),
+        ),
+        "deal": F.when(deal.rlike(r"\brent\b"), "rent").when(deal.rlike(r"\bsale\b"), "sale"),
+        "description": f("text"),
+    }
+
+
+Detail("domaza", domaza, {
+    "kind": ".property_title",
+    "price": ".prop_price",
+    "price2": ".property_price",
+    "meta_price": "meta[itemprop=price]@content",
+    "labels": ".property_labels",
+    "hidden_title": ".title_hidden_data",
+    "hidden_area": ".area_hidden_data",
+    "text": ".property_description, [itemprop=description]",
+},
        [(".property_important_data .data_row", ".single_data_label", ".single_data_value")])
 
 
@@ -266,12 +472,34 @@ def holprop() -> dict[str, Column]:
     ident = urls.listing_id(F.col("url"), "holprop")
     return {
         "_stated": stated,
-        "external_id": ident, "type": of("Type"), "place": F.coalesce(f("place"), of("City")), "region": F.coalesce(f("region"), of("Region")), "price": F.coalesce(marked, stated["EUR"]), "currency": F.lit("EUR"), "price_gbp": stated["GBP"], "price_usd": stated["USD"],
-        "bedrooms": numbers.digits(of("Bedrooms?")), "baths": numbers.digits(of("Bathrooms?")), "living_m2": numbers.area(of("Floor area|Size")), "land_m2": numbers.area(of("Land area|Plot")), "reference": F.upper(ident), "description": F.coalesce(f("text"), f("h1")),
-    }
-
-
-Detail("holprop", holprop, {"facts_text": ".lefdetails", "address": "span.address", "place": "[itemprop=addressLocality]", "region": "[itemprop=addressRegion]", "meta_price": "[itemprop=price]@content", "currency": "[itemprop=priceCurrency]@content", "price": ".advert-price", "gray": ".txt_gray_price", "text": "[itemprop=description]"})
+        "external_id": ident,
+        "type": of("Type"),
+        "place": F.coalesce(f("place"), of("City")),
+        "region": F.coalesce(f("region"), of("Region")),
+        "price": F.coalesce(marked, stated["EUR"]),
+        "currency": F.lit("EUR"),
+        "price_gbp": stated["GBP"],
+        "price_usd": stated["USD"],
+        "bedrooms": numbers.digits(of("Bedrooms?")),
+        "baths": numbers.digits(of("Bathrooms?")),
+        "living_m2": numbers.area(of("Floor area|Size")),
+        "land_m2": numbers.area(of("Land area|Plot")),
+        "reference": F.upper(ident),
+        "description": F.coalesce(f("text"), f("h1")),
+    }
+
+
+Detail("holprop", holprop, {
+    "facts_text": ".lefdetails",
+    "address": "span.address",
+    "place": "[itemprop=addressLocality]",
+    "region": "[itemprop=addressRegion]",
+    "meta_price": "[itemprop=price]@content",
+    "currency": "[itemprop=priceCurrency]@content",
+    "price": ".advert-price",
+    "gray": ".txt_gray_price",
+    "text": "[itemprop=description]",
+})
 
 
 # What a headline calls a dwelling, and what it calls anything else.
@@ -293,53 +521,140 @@ def ok_bulgaria() -> dict[str, Column]:
     euro, pound = numbers.digits(found(facts, r"€\s*([0-9.,\s]+)")), numbers.digits(found(facts, r"£\s*([0-9.,\s]+)"))
     return {
         "_stated": stated_in(EUR=euro, GBP=pound),
-        "external_id": found(F.col("url"), r"[?&]id=([^&#]+)"), "type": kind, "place": F.initcap(F.trim(found(facts, r"(?i)Village:\s*([^(\-]+)"))), "price": F.coalesce(euro, money.to_euro(pound, F.lit("GBP"), "ok_bulgaria")), "currency": F.lit("EUR"), "price_gbp": pound,
-        "land_m2": numbers.area_or_number(found(facts, r"(?i)Land:\s*([0-9][0-9\s.,]*\s*(?:sq\.?\s*m\.?|sqm|m2|m²)?)")), "living_m2": F.when(~F.coalesce(is_land, F.lit(False)), dwelling_area(headline)), "bedrooms": whole(found(kind, r"^([0-9]+)\s+bedroom")),
-        "reference": found(facts, r"(?i)ID:\s*(\S+)"), "description": f("text"), "photos": photo_list(f("gallery"), "https://www.cheap-bulgarian-house.co.uk"),
-    }
-
-
-Detail("ok_bulgaria", ok_bulgaria, {"facts_text": "table.buttons_details", "h3": "h3", "text": ".details_holder .p_text", "gallery": "*#galleria a[href]@href"})
+        "external_id": found(F.col("url"), r"[?&]id=([^&#]+)"),
+        "type": kind,
+        "place": F.initcap(F.trim(found(facts, r"(?i)Village:\s*([^(\-]+)"))),
+        "price": F.coalesce(euro, money.to_euro(pound, F.lit("GBP"), "ok_bulgaria")),
+        "currency": F.lit("EUR"),
+        "price_gbp": pound,
+        "land_m2": numbers.area_or_number(found(facts, r"(?i)Land:\s*([0-9][0-9\s.,]*\s*(?:sq\.?\s*m\.?|sqm|m2|m²)?)")),
+        "living_m2": F.when(~F.coalesce(is_land, F.lit(False)), dwelling_area(headline)),
+        "bedrooms": whole(found(kind, r"^([0-9]+)\s+bedroom")),
+        "reference": found(facts, r"(?i)ID:\s*(\S+)"),
+        "description": f("text"),
+        "photos": photo_list(f("gallery"), "https://www.cheap-bulgarian-house.co.uk"),
+    }
+
+
+Detail("ok_bulgaria", ok_bulgaria, {
+    "facts_text": "table.buttons_details",
+    "h3": "h3",
+    "text": ".details_holder .p_text",
+    "gallery": "*#galleria a[href]@href",
+})
 
 
 def lefigaro() -> dict[str, Column]:
-    quantity = lambda *paths: F.coalesce(*(numbers.decimal_comma(F.coalesce(offered(f"{p}.value"), F.when(~F.startswith(offered(p), F.lit("{")), offered(p)))) for p in paths))
+    quantity = lambda *paths: F.coalesce(*(numbers.decimal_comma(F.coalesce(
+        offered(f"{p}.value"),
+        F.when(~F.startswith(offered(p), F.lit("{")), offered(p)),
+    )) for p in paths))
     described = F.coalesce(offered("description"), f("text"))
-    land = F.coalesce(quantity("landArea", "lotSize"), numbers.area(fact_like("^(?:terrain|surface (?:du )?terrain|parcelle|jardin)$"), numbers.decimal_comma, "(?:m²|m2)"), numbers.decimal_comma(found(numbers.spaced(described), rf"(?i)(?:terrain|parcelle|jardin)\s*(?:de|attenant(?:e)?\s+de)?\s*(?:plus\s+de\s*)?{AMOUNT}\s*(?:m²|m2)")))
-    price = F.coalesce(numbers.rounded(ld("offers.price")), numbers.rounded(ld("offers[0].price")), numbers.rounded(ld("price")), money.money(f("h1"), "lefigaro")["amount"], money.money(f("price"), "lefigaro")["amount"], money.money(body(), "lefigaro")["amount"])
+    land = F.coalesce(
+        quantity("landArea", "lotSize"),
+        numbers.area(fact_like("^(?:terrain|surface (?:du )?terrain|parcelle|jardin)$"), numbers.decimal_comma, "(?:m²|m2)"),
+        numbers.decimal_comma(found(
+            numbers.spaced(described),
+            rf"(?i)(?:terrain|parcelle|jardin)\s*(?:de|attenant(?:e)?\s+de)?\s*(?:plus\s+de\s*)?{AMOUNT}\s*(?:m²|m2)",
+        )),
+    )
+    price = F.coalesce(
+        numbers.rounded(ld("offers.price")),
+        numbers.rounded(ld("offers[0].price")),
+        numbers.rounded(ld("price")),
+        money.money(f("h1"), "lefigaro")["amount"],
+        money.money(f("price"), "lefigaro")["amount"],
+        money.money(body(), "lefigaro")["amount"],
+    )
     name = F.coalesce(offered("name"), f("h1"))
     first = F.try_element_at(literal_map(LEFIGARO_TYPES), F.lower(found(name, r"^(\S+)")))
-    region = F.coalesce(offered("address.addressRegion"), F.when(~F.contains(F.col("url"), F.lit("annonce-")), urls.department(F.col("url"), "lefigaro")["name"]))
+    region = F.coalesce(
+        offered("address.addressRegion"),
+        F.when(~F.contains(F.col("url"), F.lit("annonce-")), urls.department(F.col("url"), "lefigaro")["name"]),
+    )
     return {
-        "external_id": F.coalesce(urls.listing_id(F.col("url"), "lefigaro"), urls.listing_id(ld("url"), "lefigaro")), "type": F.coalesce(first, kinds_of(ld("['itemOffered']['@type']")), kinds_of(ld("['@type']")), F.lit("Maison")), "place": offered("address.addressLocality"), "region": region, "dept_fr": region, "price": price, "currency": F.lit("EUR"),
-        "living_m2": quantity("floorSize"), "land_m2": land, "rooms": numbers.decimal_comma(offered("numberOfRooms")), "bedrooms": numbers.decimal_comma(offered("numberOfBedrooms")), "baths": numbers.decimal_comma(F.coalesce(offered("numberOfBathroomsTotal"), offered("numberOfBathrooms"))),
-        "energy_label": energy(), "gas_label": F.upper(found(body(), r"(?i)\bGES\s*[:\s]*([A-G])\b")), "energy_kwh": numbers.decimal_comma(found(body(), r"(?i)([0-9][0-9\s.,]*)\s*kWh")), "lat": clean_coordinate(ld("geo.latitude"), 90), "lon": clean_coordinate(ld("geo.longitude"), 180), "description": described,
-    }
-
-
-Detail("lefigaro", lefigaro, {"price": ".price, [class*=price]", "text": "[class*=description], article p"}, [("li", "span", "strong"), ("tr", "th", "td")], kinds=("realestatelisting", "product", "house", "singlefamilyresidence", "residence", "offer"))
+        "_flags": flags("lefigaro", name, described),
+        "external_id": F.coalesce(urls.listing_id(F.col("url"), "lefigaro"), urls.listing_id(ld("url"), "lefigaro")),
+        "type": F.coalesce(first, kinds_of(ld("['itemOffered']['@type']")), kinds_of(ld("['@type']")), F.lit("Maison")),
+        "place": offered("address.addressLocality"),
+        "region": region,
+        "dept_fr": region,
+        "price": price,
+        "currency": F.lit("EUR"),
+        "living_m2": quantity("floorSize"),
+        "land_m2": land,
+        "rooms": numbers.decimal_comma(offered("numberOfRooms")),
+        "bedrooms": numbers.decimal_comma(offered("numberOfBedrooms")),
+        "baths": numbers.decimal_comma(F.coalesce(offered("numberOfBathroomsTotal"), offered("numberOfBathrooms"))),
+        "energy_label": energy(),
+        "gas_label": F.upper(found(body(), r"(?i)\bGES\s*[:\s]*([A-G])\b")),
+        "energy_kwh": numbers.decimal_comma(found(body(), r"(?i)([0-9][0-9\s.,]*)\s*kWh")),
+        "lat": clean_coordinate(ld("geo.latitude"), 90),
+        "lon": clean_coordinate(ld("geo.longitude"), 180),
+        "description": described,
+    }
+
+
+Detail("lefigaro", lefigaro, {
+    "price": ".price, [class*=price]",
+    "text": "[class*=description], article p",
+}, [("li", "span", "strong"), ("tr", "th", "td")], kinds=("realestatelisting", "product", "house", "singlefamilyresidence", "residence", "offer"))
 
 
 def greenacres() -> dict[str, Column]:
     size = lambda t: F.coalesce(numbers.area(t, numbers.dot_thousands, r"(?:m²|m2)"), numbers.dot_thousands(t))
     living = F.coalesce(size(f("living")), size(f("living2")))
     sizes = F.transform(F.filter(F.split(F.coalesce(f("labels"), F.lit("")), "\n"), lambda t: t.rlike(r"[0-9]\s*m[²2]")), size)
-    land = F.coalesce(size(f("land")), F.try_element_at(F.filter(sizes, lambda x: x != living), F.lit(1)), numbers.dot_thousands(found(numbers.spaced(f("text")), r"(?i)([0-9.\s]+)\s*m[²2]\s*terrein")))
+    land = F.coalesce(
+        size(f("land")),
+        F.try_element_at(F.filter(sizes, lambda x: x != living), F.lit(1)),
+        numbers.dot_thousands(found(numbers.spaced(f("text")), r"(?i)([0-9.\s]+)\s*m[²2]\s*terrein")),
+    )
     paid = F.coalesce(money.money(f("euro"), "greenacres"), money.money(f("price"), "greenacres"), money.money(body(), "greenacres"))
     name, blob = F.coalesce(f("h1"), f("title")), F.concat_ws(" ", f("h1"), F.col("url"), f("text"))
     garage = matched(blob, r"(?i)\b(?:garage|box|parking|parkeerplaats)\b") & (F.coalesce(living, F.lit(0)) < 30)
-    kind = F.when(F.contains(F.col("url"), F.lit("/appartement/")), "Appartement").when(F.contains(F.col("url"), F.lit("/huis/")), "Huis").when(F.contains(F.lower(name), F.lit("appartement")), "Appartement").when(garage, "Garage").otherwise("Huis")
+    kind = F.when(F.contains(F.col("url"), F.lit("/appartement/")), "Appartement").when(F.contains(F.col("url"), F.lit("/huis/")), "Huis").when(
+        F.contains(F.lower(name), F.lit("appartement")),
+        "Appartement",
+    ).when(
+        garage,
+        "Garage",
+    ).otherwise("Huis")
     grade = F.upper(F.trim(f("grade")))
     return {
+        "_flags": flags("greenacres", name, f("text")),
         "_stated": stated_by(paid["amount"], paid["currency"]),
-        "external_id": F.coalesce(f("id"), urls.listing_id(F.col("url"), "greenacres")), "type": kind, "place": found(f("where"), r"^\s*([^()]+?)\s*\("), "region": found(f("where"), r"\(([^)]+)\)"), "price": money.priced(paid, "greenacres")["price"], "currency": F.lit("EUR"), "living_m2": living, "land_m2": land,
-        "bedrooms": whole(found(f("labels"), r"(?i)([0-9]+)\s*slaapkamers?\b")), "baths": whole(found(f("labels"), r"(?i)([0-9]+)\s*badkamers?\b")), "energy_label": F.coalesce(F.when(grade.rlike("^[A-G]$"), grade), energy()), "energy_kwh": numbers.dot_thousands(found(body(), r"(?i)([0-9][0-9\s.,]*)\s*kWh")),
-        "gas_co2": numbers.dot_thousands(found(body(), r"(?i)([0-9][0-9\s.,]*)\s*kg\s*CO")), "agent": f("agent"), "description": f("text"),
-    }
-
-
-Detail("greenacres", greenacres, {"id": "#AdvertId@value", "euro": ".advert-currency-price", "price": ".price-detail, .sticky-price", "where": ".announce-localisation, .location-text", "living": ".info-tag[title=Woonoppervlakte]", "living2": ".info-tag[title*=oppervlak]", "land": ".info-tag[title=Terrein], .info-tag[title=Grond]",
-                                  "labels": "*.tag__label", "text": ".main-description, .description-text, .description", "grade": ".ValueTag__ValueTagGrade", "agent": ".company-name"})
+        "external_id": F.coalesce(f("id"), urls.listing_id(F.col("url"), "greenacres")),
+        "type": kind,
+        "place": found(f("where"), r"^\s*([^()]+?)\s*\("),
+        "region": found(f("where"), r"\(([^)]+)\)"),
+        "price": money.priced(paid, "greenacres")["price"],
+        "currency": F.lit("EUR"),
+        "living_m2": living,
+        "land_m2": land,
+        "bedrooms": whole(found(f("labels"), r"(?i)([0-9]+)\s*slaapkamers?\b")),
+        "baths": whole(found(f("labels"), r"(?i)([0-9]+)\s*badkamers?\b")),
+        "energy_label": F.coalesce(F.when(grade.rlike("^[A-G]$"), grade), energy()),
+        "energy_kwh": numbers.dot_thousands(found(body(), r"(?i)([0-9][0-9\s.,]*)\s*kWh")),
+        "gas_co2": numbers.dot_thousands(found(body(), r"(?i)([0-9][0-9\s.,]*)\s*kg\s*CO")),
+        "agent": f("agent"),
+        "description": f("text"),
+    }
+
+
+Detail("greenacres", greenacres, {
+    "id": "#AdvertId@value",
+    "euro": ".advert-currency-price",
+    "price": ".price-detail, .sticky-price",
+    "where": ".announce-localisation, .location-text",
+    "living": ".info-tag[title=Woonoppervlakte]",
+    "living2": ".info-tag[title*=oppervlak]",
+    "land": ".info-tag[title=Terrein], .info-tag[title=Grond]",
+    "labels": "*.tag__label",
+    "text": ".main-description, .description-text, .description",
+    "grade": ".ValueTag__ValueTagGrade",
+    "agent": ".company-name",
+})
 
 
 def scale(rows: str, kind: str) -> tuple[Column, Column]:
@@ -355,39 +670,86 @@ def franimo() -> dict[str, Column]:
     living = cleaning.living_of_land(kind, numbers.leading_area(fact("woning")))
     rooms, beds = numbers.digits(fact("kamers")), numbers.digits(fact("slaapkamers"))
     return {
-        "external_id": F.coalesce(numbers.digits(fact("franimo nr")).cast("string"), found(F.col("url"), r"([0-9]{4,})")), "type": fact("type"), "place": fact("nabij"), "living_m2": cleaning.plausible_living(kind, living, rooms, beds, land), "land_m2": land,
-        "rooms": rooms, "bedrooms": beds, "baths": numbers.digits(fact("badkamers")), "year_built": numbers.digits(fact("bouwjaar")), "price": numbers.digits(fact("prijs")), "currency": F.lit("EUR"), "reference": fact("referentie"),
-        "agent": fact("makelaar"), "agent_name": fact("naam"), "agent_address": fact("adres"), "region": in_lines(f("crumbs"), r" regio ([^\n]+)"), "dept_fr": fact("departement"), "dept_nl": in_lines(f("crumbs"), r" departement ([^\n]+)"),
-        "photos": photo_list(f("slides"), "https://www.franimo.nl", "^(?!.*thumb[^/]*$)"), "features": F.replace(f("feature_lines"), F.lit("\n"), F.lit(", ")),
-        "energy_label": energy_label, "energy_kwh": energy_kwh, "gas_label": gas_label, "gas_co2": gas_co2, "description": f("text"),
-    }
-
-
-Detail("franimo", franimo, {"energy": "*.energy-emmission table.energy-table tr", "energy_class": ".energy-emmission table.energy-table@class", "gas": "*table.gas-emmission tr", "gas_class": "table.gas-emmission@class", "text": "[itemprop=description]", "crumbs": "*a", "feature_lines": "*[itemprop=description] ~ p until .property-information", "slides": "*.splide img[data-splide-lazy]@data-splide-lazy"}, [(".property-information table tr", "th", "td"), (".property-vendor table tr", "th", "td")])
+        "external_id": F.coalesce(numbers.digits(fact("franimo nr")).cast("string"), found(F.col("url"), r"([0-9]{4,})")),
+        "type": fact("type"),
+        "place": fact("nabij"),
+        "living_m2": cleaning.plausible_living(kind, living, rooms, beds, land),
+        "land_m2": land,
+        "rooms": rooms,
+        "bedrooms": beds,
+        "baths": numbers.digits(fact("badkamers")),
+        "year_built": numbers.digits(fact("bouwjaar")),
+        "price": numbers.digits(fact("prijs")),
+        "currency": F.lit("EUR"),
+        "reference": fact("referentie"),
+        "agent": fact("makelaar"),
+        "agent_name": fact("naam"),
+        "agent_address": fact("adres"),
+        "region": in_lines(f("crumbs"), r" regio ([^\n]+)"),
+        "dept_fr": fact("departement"),
+        "dept_nl": in_lines(f("crumbs"), r" departement ([^\n]+)"),
+        "photos": photo_list(f("slides"), "https://www.franimo.nl", "^(?!.*thumb[^/]*$)"),
+        "features": F.replace(f("feature_lines"), F.lit("\n"), F.lit(", ")),
+        "energy_label": energy_label,
+        "energy_kwh": energy_kwh,
+        "gas_label": gas_label,
+        "gas_co2": gas_co2,
+        "description": f("text"),
+    }
+
+
+Detail("franimo", franimo, {
+    "energy": "*.energy-emmission table.energy-table tr",
+    "energy_class": ".energy-emmission table.energy-table@class",
+    "gas": "*table.gas-emmission tr",
+    "gas_class": "table.gas-emmission@class",
+    "text": "[itemprop=description]",
+    "crumbs": "*a",
+    "feature_lines": "*[itemprop=description] ~ p until .property-information",
+    "slides": "*.splide img[data-splide-lazy]@data-splide-lazy",
+}, [(".property-information table tr", "th", "td"), (".property-vendor table tr", "th", "td")])
 
 
 def akiyaportal() -> dict[str, Column]:
     currency = F.upper(F.coalesce(ld("priceCurrency"), F.lit("USD")))
-    paid = F.coalesce(chosen(numbers.rounded(ld("price")), F.when(currency.isin("JPY", "YEN"), "JPY").when(currency == "USD", "USD")), money.money(F.concat_ws(" ", f("h1"), f("title")), "akiyaportal"))
+    paid = F.coalesce(
+        chosen(numbers.rounded(ld("price")), F.when(currency.isin("JPY", "YEN"), "JPY").when(currency == "USD", "USD")),
+        money.money(F.concat_ws(" ", f("h1"), f("title")), "akiyaportal"),
+    )
     bedrooms = F.coalesce(*(numbers.layout_bedrooms(t) for t in (fact_like("layout"), fact_like("building area|floor"), f("h1"))))
     ident = F.coalesce(f("id"), urls.listing_id(F.col("url"), "akiyaportal"))
     return {
-        "_stated": stated_by(paid["amount"], paid["currency"]), "photos": one_size(f("gallery"), r"/[0-9]+\.webp$", "https://akiyaportal.com"),
-        "external_id": ident, "type": F.coalesce(fact("property type", "type"), F.lit("Used single-family home")), "region": F.coalesce(fact("prefecture"), ld("address.addressRegion")), "place": F.split_part(ld("address.addressLocality"), F.lit(","), F.lit(1)), "price": money.priced(paid, "akiyaportal")["price"], "currency": F.lit("EUR"),
-        "living_m2": numbers.decimal_area(fact_like("building area|floor area|living")), "land_m2": numbers.decimal_area(fact_like("land")), "bedrooms": bedrooms, "year_built": numbers.year(fact_like("built|year")), "description": text.without_pitch(ld("description")), "reference": ident,
-    }
-
-
-Detail("akiyaportal", akiyaportal, {"id": "[data-listing-id]@data-listing-id", "gallery": "*a[href*=listing-images]@href until h2 with similar"}, [("div.flex.justify-between", "span.label, span.text-gray-600, span", "span.font-medium, span.font-semibold")], kinds=("realestatelisting",), any_kind=False)
+        "_stated": stated_by(paid["amount"], paid["currency"]),
+        "photos": one_size(f("gallery"), r"/[0-9]+\.webp$", "https://akiyaportal.com"),
+        "external_id": ident,
+        "type": F.coalesce(fact("property type", "type"), F.lit("Used single-family home")),
+        "region": F.coalesce(fact("prefecture"), ld("address.addressRegion")),
+        "place": F.split_part(ld("address.addressLocality"), F.lit(","), F.lit(1)),
+        "price": money.priced(paid, "akiyaportal")["price"],
+        "currency": F.lit("EUR"),
+        "living_m2": numbers.decimal_area(fact_like("building area|floor area|living")),
+        "land_m2": numbers.decimal_area(fact_like("land")),
+        "bedrooms": bedrooms,
+        "year_built": numbers.year(fact_like("built|year")),
+        "description": text.without_pitch(ld("description")),
+        "reference": ident,
+    }
+
+
+Detail("akiyaportal", akiyaportal, {
+    "id": "[data-listing-id]@data-listing-id",
+    "gallery": "*a[href*=listing-images]@href until h2 with similar",
+}, [("div.flex.justify-between", "span.label, span.text-gray-600, span", "span.font-medium, span.font-semibold")], kinds=("realestatelisting",), any_kind=False)
 
 
 def raw_facts(rows: DataFrame, columns: dict[str, Column], source: str) -> Column:
-    """Every label and value of the page, and where its price comes from, as JSON."""
-    if "_stated" not in columns:
+    """Every label and value of the page, where its price comes from, and its marks, as JSON."""
+    own = [money.provenance(columns["_stated"], source)] if "_stated" in columns else []
+    own += [columns["_flags"]] if "_flags" in columns else []
+    if not own:
         return F.to_json("facts")
-    origin = money.provenance(columns["_stated"], source)
-    plain = F.map_filter("facts", lambda k, v: ~k.rlike("^(price_[a-z]+|fx_[a-z]+)$"))
-    return F.to_json(F.map_concat(plain, F.coalesce(origin, F.create_map().cast("map<string,string>"))))
+    plain = F.map_filter("facts", lambda k, v: ~k.rlike("^(price_[a-z]+|fx_[a-z]+|maybe_rental|reserved|best_bargain|agricultural_land|household_plot)$"))
+    return F.to_json(F.map_concat(plain, *(F.coalesce(m, F.create_map().cast("map<string,string>")) for m in own)))
 
 
 def detail_rows(pages: DataFrame, source: str) -> DataFrame:
@@ -396,5 +758,5 @@ def detail_rows(pages: DataFrame, source: str) -> DataFrame:
     pages = unwrapped(pages) if source == "greenacres" else pages
     rows = extracted(pages, None, COMMON | detail.fields, pairs=detail.pairs).withColumn("node", ld_block(detail.kinds, detail.any_kind))
     columns = detail.columns()
-    named = [c.alias(n) for n, c in columns.items() if n != "_stated"]
+    named = [c.alias(n) for n, c in columns.items() if n not in ("_stated", "_flags")]
     return rows.select("url", F.lit(source).alias("source"), *named, raw_facts(rows, columns, source).alias("raw_fields"))
