@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,22 +68,24 @@ class Cutter:
         self.up, self.down = (np.cumprod(np.array([1] + [b] * (BLOCK - 1), np.uint64)) for b in (BASE, self.inverse))
         self.marks, self.closing = byte_set(MARKS), byte_set(CLOSING)
 
-    def prefix(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """The hash of the bytes before each place; places ascend."""
-        out, carry = np.zeros(len(places), np.uint64), 0
+    def prefixes(self, data: np.ndarray, *several: np.ndarray) -> list[np.ndarray]:
+        """For each array of ascending places the hash of the bytes before every place."""
+        out, carry = [np.zeros(len(places), np.uint64) for places in several], 0
         for at in range(0, len(data), BLOCK):
             part = data[at : at + BLOCK]
             sums = np.cumsum(self.values[part] * self.up[: len(part)])
             factor = pow(BASE, at, WORD)
-            low, high = np.searchsorted(places, [at, at + len(part)], side="right")
-            out[low:high] = sums[places[low:high] - at - 1] * np.uint64(factor) + np.uint64(carry)
+            for places, found in zip(several, out, strict=True):
+                low, high = np.searchsorted(places, [at, at + len(part)], side="right")
+                found[low:high] = sums[places[low:high] - at - 1] * np.uint64(factor) + np.uint64(carry)
             carry = (carry + factor * int(sums[-1])) % WORD
         return out
 
     def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The hash of the bytes from each begin to its end, wherever they stand."""
         blocks = np.array([pow(self.inverse, int(k) * BLOCK, WORD) for k in range(len(data) // BLOCK + 1)], np.uint64)
-        return mixed((self.prefix(data, end) - self.prefix(data, begin)) * self.down[begin % BLOCK] * blocks[begin // BLOCK])
+        before, up_to = self.prefixes(data, begin, end)
+        return mixed((up_to - before) * self.down[begin % BLOCK] * blocks[begin // BLOCK])
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the words of texts begin and end: at white space, at the ends of texts and after marks of unspaced scripts."""
@@ -282,14 +285,14 @@ def gone_units(units: Units, fates: np.ndarray) -> np.ndarray:
     return gone
 
 
-def cut_texts(cutter: Cutter, texts: pa.Array, entries: pa.Array) -> tuple[list[str | None], list[int]]:
+def cut_texts(cutter: Cutter, texts: pa.Array, entries: pa.Array) -> tuple[pa.Array, pa.Array]:
     """The texts without what goes, and the number of chunks cut from each; texts without entries stay as they are.
 
     From a unit that goes everything goes up to the next one that stays; what stood before a removed end
     keeps no white space.
     """
-    out, removed = texts.to_pylist(), [0] * len(texts)
     hit = np.flatnonzero(np.asarray(entries.is_valid()))
+    out, removed = [None] * len(hit), np.zeros(len(texts), np.int64)
     some, lists = texts.take(pa.array(hit)), entries.take(pa.array(hit))
     for row, data, offsets in slices(some):
         n = len(offsets) - 1
@@ -312,8 +315,11 @@ def cut_texts(cutter: Cutter, texts: pa.Array, entries: pa.Array) -> tuple[list[
                 at = end
             left = b"".join([*kept, raw[at : offsets[text + 1]]])
             left = left.rstrip(b" \t\r\n") if at == offsets[text + 1] else left
-            out[hit[row + text]], removed[hit[row + text]] = left.decode("utf-8", "surrogatepass"), len(cut)
-    return out, removed
+            out[row + text], removed[hit[row + text]] = left, len(cut)
+    changed = np.zeros(len(texts), bool)
+    changed[hit] = [left is not None for left in out]
+    cut = pa.array((left for left in out if left is not None), pa.binary()).cast(pa.string())
+    return pc.replace_with_mask(texts, pa.array(changed), cut), pa.array(removed)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False, bits: int = 64) -> DataFrame:
@@ -353,11 +359,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             texts, found = batch.column(at), batch.column(len(batch.columns) - 1)
             columns = list(batch.columns[:-1])
             if report or found.null_count < len(found):
-                kept, removed = cut_texts(cutter, texts, found)
-                columns[at] = pa.array(kept, pa.string())
+                columns[at], removed = cut_texts(cutter, texts, found)
                 if report:
-                    lost = (len(a or "") - len(b or "") for a, b in zip(texts.to_pylist(), kept, strict=True))
-                    columns += [pa.array(removed, pa.int64()), pa.array(lost, pa.int64())]
+                    before, after = (pc.fill_null(pc.utf8_length(x), 0).cast(pa.int64()) for x in (texts, columns[at]))
+                    columns += [removed, pc.subtract(before, after)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
