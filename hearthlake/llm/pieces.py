@@ -20,8 +20,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: What an unknown character costs beyond the worst piece (a fixed value of the format).
 UNKNOWN_PENALTY = 10.0
-#: Segments whose encoding a task remembers; when full, those of the fill before are forgotten.
-REMEMBERED = 50_000
+#: Segments of up to so many characters whose encoding a task remembers; when full, those of the fill before are forgotten.
+REMEMBERED, SHORT = 50_000, 64
+#: Characters from which a segment's paths are kept in packed arrays, 14 bytes for each.
+LONG = 4096
 #: Rows handed back at a time: texts, ids and decoded texts of a few hundred rows are in memory, never a partition.
 ROWS = 256
 
@@ -45,6 +47,19 @@ class Vocabulary:
                 self.raw[i] = b""
 
 
+class Steps:
+    """The last piece of the best path to each place, as (length, id), in packed arrays."""
+
+    def __init__(self, n: int):
+        self.lengths, self.ids = array("H", bytes(2 * n)), array("i", bytes(4 * n))
+
+    def __setitem__(self, at: int, step: tuple[int, int]) -> None:
+        self.lengths[at], self.ids[at] = step
+
+    def __getitem__(self, at: int) -> tuple[int, int]:
+        return self.lengths[at], self.ids[at]
+
+
 class Encoder(dict):
     """Segment to the ids of its best path as packed 32-bit integers; segments met before are looked up.
 
@@ -67,13 +82,15 @@ class Encoder(dict):
         self.cut = re.compile("(?s).+" if spans_space else f"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" + (f"|[{lone}]" if lone else ""))
 
     def __missing__(self, segment: str) -> bytes:
+        if len(segment) > SHORT:
+            return array("i", self.viterbi(segment)).tobytes()
         if len(self) >= REMEMBERED:
             self.before = dict(self)
             self.clear()
         packed = self[segment] = self.before.get(segment) or array("i", self.viterbi(segment)).tobytes()
         return packed
 
-    def viterbi(self, text: str) -> list[int]:
+    def viterbi(self, text: str) -> list[int] | array:
         """Ids of the path with the greatest sum of scores; of equal paths the one with the longest last piece.
 
         The automaton reports at each position every piece that ends there, following output links
@@ -81,8 +98,11 @@ class Encoder(dict):
         start are settled before a piece from it is seen, so one pass is enough.
         """
         n = len(text)
-        best, back = [0.0] + [float("-inf")] * n, [(0, -1)] * (n + 1)
-        strange = None if self.single.issuperset(text) else [c not in self.single for c in text]
+        if n < LONG:
+            best, back = [0.0] + [float("-inf")] * n, [(0, -1)] * (n + 1)
+        else:
+            best, back = array("d", [0.0]) + array("d", [float("-inf")]) * n, Steps(n + 1)
+        strange = None if self.single.issuperset(text) else bytearray(c not in self.single for c in text)
         settled = 0
         for last, (length, score, i) in self.automaton.iter(text):
             if strange:
@@ -93,14 +113,14 @@ class Encoder(dict):
                 best[last + 1], back[last + 1] = total, (length, i)
         if strange:
             self.unknowns(strange, settled, n, best, back)
-        ids: list[int] = []
+        ids = array("i") if n >= LONG else []
         while n:
             length, i = back[n]
-            ids += [i] if i >= 0 else self.unknown_ids(text[n - length : n])
+            ids.extend((i,) if i >= 0 else self.unknown_ids(text[n - length : n]))
             n -= length
         return ids[::-1]
 
-    def unknowns(self, strange: list[bool], begin: int, end: int, best: list[float], back: list[tuple[int, int]]) -> None:
+    def unknowns(self, strange: bytearray, begin: int, end: int, best: list[float], back: list[tuple[int, int]]) -> None:
         """Lets the characters from begin to end that are no piece themselves stand as unknown."""
         for at in range(begin, end):
             if strange[at] and best[at] + self.unknown_score > best[at + 1]:
@@ -143,7 +163,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "token_
     """docs with a column of ids for each text; null texts get null ids, empty ones an empty list.
 
     One row in, one row out, nothing moves between tasks; whole texts of any length, in memory that
-    holds the rows of one batch. A column named like ids_col is replaced; others pass through as they are.
+    holds the rows of one batch and 14 bytes for each character of the longest run without spaces. A column named like ids_col is replaced; others pass through as they are.
     """
     carried = [c for c in docs.columns if c != ids_col]
     frame = docs.select(*carried)

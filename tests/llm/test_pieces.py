@@ -95,3 +95,14 @@ def test_tables(spark):
     assert pieces.decode_ids(pieces.encode_texts(no_docs(spark))).count() == 0
     twice = pieces.encode_texts(found).columns
     assert twice.count("token_ids") == 1
+
+
+def test_long_segments_have_the_paths_of_short_ones(monkeypatch):
+    draw = random.Random(3)
+    encoder = pieces.Encoder(pieces.Vocabulary())
+    text = pieces.SPACE + "".join(draw.choice(["the", "ing", "x", "é", "\U0001F600", "中文", "zz", "▂"]) for _ in range(4000))
+    packed = encoder.viterbi(text)
+    monkeypatch.setattr(pieces, "LONG", 1 << 40)
+    assert list(packed) == encoder.viterbi(text) and len(packed) > 3000
+    encoder[text], encoder["short"]
+    assert "short" in encoder and text not in encoder
