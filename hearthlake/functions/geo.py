@@ -64,3 +64,16 @@ def project(lat: Column, lon: Column, box: tuple[float, float, float, float], wi
 def tolerance(span: Column) -> Column:
     """How far a simplified outline may stray, from the extent of the country."""
     return F.greatest(F.lit(0.004), F.least(F.lit(0.03), span / 600))
+
+
+def bounds(rings: Column) -> Column:
+    """Struct west, east, south, north of all points ([lon, lat]) of an outline's rings."""
+    points = F.flatten(rings)
+    lons, lats = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
+    return F.struct(F.array_min(lons).alias("west"), F.array_max(lons).alias("east"), F.array_min(lats).alias("south"), F.array_max(lats).alias("north"))
+
+
+def extent(rings: Column) -> Column:
+    """The larger side of an outline's bounding box, in degrees."""
+    box = bounds(rings)
+    return F.greatest(box["east"] - box["west"], box["north"] - box["south"])

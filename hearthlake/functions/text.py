@@ -136,3 +136,8 @@ def pretty_type(raw: Column, aliases: dict[str, str], fallback: str, joiner: str
     key = F.regexp_replace(F.lower(trimmed), r"\s+", joiner)
     capital = F.concat(F.upper(F.substring(trimmed, 1, 1)), F.lower(F.substring(trimmed, F.lit(2), F.length(trimmed))))
     return F.when(F.coalesce(raw, F.lit("")) == "", fallback).otherwise(F.coalesce(F.try_element_at(literal_map(aliases), key), capital))
+
+
+def dutch_number(value: Column) -> Column:
+    """A number without decimals, thousands apart by dots; a dash where there is none."""
+    return F.coalesce(F.translate(F.format_number(F.round(value), 0), ",", "."), F.lit("—"))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake.functions import money, text, urls
-from hearthlake.functions.geo import ISO_BY_NAME, SOURCE_COUNTRY, not_at_zero
+from hearthlake.functions.geo import ISO_BY_NAME, SOURCE_COUNTRY, bounds, extent, not_at_zero, tolerance
 from hearthlake.functions.numbers import bedroom_words
 from hearthlake.operators import bands, merge, pack, probe, view
 from hearthlake.plans import derived as D
-from hearthlake.sources import details, portals
+from hearthlake.sources import details, files, portals
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -269,3 +269,21 @@ JOINS = {
 def joined_urls(spark, sf_dir):
     reference = F.element_at(F.array(*map(F.lit, JOINS)), (F.col("c_custkey") % len(JOINS) + 1).cast("int"))
     return D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), urls.joined(reference, F.lit("https://p.test/d/e/f.html?q=1")).alias("url"))
+
+
+@query(
+    """SELECT c_custkey AS id, (-1 * c_nationkey)::DOUBLE AS west, (2 + c_nationkey)::DOUBLE AS east, 40::DOUBLE AS south, (41 + c_custkey % 3)::DOUBLE AS north,
+    greatest(0.004::DOUBLE, least(0.03::DOUBLE, greatest(2 + 2 * c_nationkey, 1 + c_custkey % 3)::DOUBLE / 600)) AS tolerance, CASE WHEN c_custkey % 4 = 0 THEN '—' ELSE CASE WHEN c_custkey >= 500 THEN '1.' ELSE '' END || CASE WHEN c_custkey >= 500 THEN lpad((c_custkey * 2 - 1000)::VARCHAR, 3, '0') ELSE (c_custkey * 2)::VARCHAR END END AS shown
+    FROM customer WHERE c_custkey < 1000"""
+)
+def outline_bounds(spark, sf_dir):
+    n, i = F.col("c_nationkey").cast("double"), F.col("c_custkey")
+    ring = F.array(F.array(-n, F.lit(40.0)), F.array(n + 2, 41.0 + i % 3), F.array(F.lit(0.0), F.lit(40.5)))
+    rows = D.table(spark, sf_dir, "customer").where(i < 1000).select(i.alias("id"), F.array(ring).alias("rings"), text.dutch_number(F.when(i % 4 != 0, i * 2 + 0.1)).alias("shown"))
+    return rows.select("id", bounds(F.col("rings")).alias("b"), tolerance(extent(F.col("rings"))).alias("tolerance"), "shown").select("id", "b.*", "tolerance", "shown")
+
+
+@query("SELECT 'search ' || n_nationkey AS search FROM nation WHERE n_nationkey >= 10")
+def unknown_searches(spark, sf_dir):
+    specs = D.table(spark, sf_dir, "nation").where("n_nationkey < 10").select(F.concat(F.lit("search "), F.col("n_nationkey")).alias("search"))
+    return files.unknown_searches(specs, [f"search {i}" for i in range(25)])

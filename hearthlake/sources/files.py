@@ -100,6 +100,12 @@ def enabled(specs: DataFrame, source: str | None = None, names: list[str] | None
     return chosen.where(F.col("source") == source) if source else chosen
 
 
+def unknown_searches(specs: DataFrame, names: list[str]) -> DataFrame:
+    """search: the names asked for that no specification has."""
+    asked = specs.sparkSession.createDataFrame([(n,) for n in names], "search string")
+    return asked.join(specs.select("search"), "search", "left_anti")
+
+
 def published_counts(spark: SparkSession, path: str) -> DataFrame:
     """search, ours from a published meta file; entries that are malformed are left out."""
     text = spark.read.option("wholetext", "true").text(path)

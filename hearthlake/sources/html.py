@@ -23,18 +23,23 @@ PART = re.compile(r"\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:([*^$]?=)\s*[\"']?([
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "below", "children", "classes", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-
-    def walk(self) -> Iterator[Node]:
-        """All elements below, in document order."""
-        waiting = [c for c in reversed(self.children) if isinstance(c, Node)]
-        while waiting:
-            node = waiting.pop()
-            yield node
-            waiting += [c for c in reversed(node.children) if isinstance(c, Node)]
+        self.classes = attrs["class"].split() if "class" in attrs else ()
+        self.below: list[Node] | None = None
+
+    def walk(self) -> list[Node]:
+        """All elements below, in document order; listed once, after the page is read."""
+        if self.below is None:
+            found, waiting = [], [c for c in reversed(self.children) if isinstance(c, Node)]
+            while waiting:
+                node = waiting.pop()
+                found.append(node)
+                waiting += [c for c in reversed(node.children) if isinstance(c, Node)]
+            self.below = found
+        return self.below
 
     def raw(self) -> str:
         parts, waiting = [], list(reversed(self.children))
@@ -107,7 +112,7 @@ class Simple:
             return False
         for cls, ident, name, sign, value in self.tests:
             if cls:
-                if cls not in node.attrs.get("class", "").split():
+                if cls not in node.classes:
                     return False
             elif ident:
                 if node.attrs.get("id") != ident:

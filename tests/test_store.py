@@ -142,3 +142,41 @@ def test_numbers_in_order_within_groups(spark):
         assert sorted(r["n"] for r in found if r["g"] == g) == list(range(sum(r["g"] == g for r in found)))
     assert sorted(r["n"] for r in ranked(rows, [F.col("v")], "n", first=10).collect()) == list(range(10, 510))
     assert ranked(rows.limit(0), [F.col("v")], "n").count() == 0
+
+
+def test_bands_are_planned_only_where_they_help():
+    pages = lambda a, b: (b - a) // 1000
+    assert bands.planned_bands(20, (0, 90_000), pages, 20) == bands.planned_bands(None, (0, 90_000), pages, 20) == bands.planned_bands(25, (0, 0), pages, 20) == [None]
+    found = bands.planned_bands(90, (0, 90_000), pages, 20)
+    assert found == bands.split_bands(pages, 0, 90_000, 20) and len(found) > 1
+
+
+def test_texts_sort_by_the_rules_of_their_language(spark):
+    from hearthlake.operators.view import sorted_page
+
+    rows = spark.createDataFrame(list(enumerate(["Zeist", "ézé", "ezel", "", None, "Édam", "aap"])), "id long, place string")
+    assert [r["place"] for r in sorted_page(rows, "place").collect()][:5] == ["aap", "Édam", "ezel", "ézé", "Zeist"]
+
+
+def test_a_store_from_before_some_columns(spark):
+    from hearthlake.schema import LISTING
+
+    old = spark.createDataFrame([(7, '{"country": "Spain"}', 3), (8, "{", 4)], "id long, raw_fields string, odd int")
+    new = merge.migrated(old)
+    assert [p.split(" ", 1)[0] for p in LISTING.split(", ")] == [c for c in [p.split(" ", 1)[0] for p in LISTING.split(", ")] if c in new.columns]
+    assert sorted((r["id"], r["source"], r["external_id"], r["country"], r["odd"]) for r in new.collect()) == [(7, "franimo", "7", "ES", 3), (8, "franimo", "8", "FR", 4)]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace as Some
+
+    from hearthlake.session import shared_dir
+
+    def session(master, given=None):
+        folder = Some(isEmpty=lambda: True)
+        conf = Some(get=lambda name, default: given)
+        return Some(sparkContext=Some(getConf=lambda: conf, master=master, _jsc=Some(sc=lambda: Some(getCheckpointDir=lambda: folder))))
+
+    assert shared_dir(session("spark://h:7077", "hdfs://n/shared/")) == "hdfs://n/shared"
+    with pytest.raises(RuntimeError):
+        shared_dir(session("spark://h:7077"))
