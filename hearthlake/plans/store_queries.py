@@ -272,13 +272,13 @@ def joined_urls(spark, sf_dir):
 
 
 @query(
-    """SELECT c_custkey AS id, (-1 * c_nationkey)::DOUBLE AS west, (2 + c_nationkey)::DOUBLE AS east, 40::DOUBLE AS south, (41 + c_custkey % 3)::DOUBLE AS north,
-    greatest(0.004::DOUBLE, least(0.03::DOUBLE, greatest(2 + 2 * c_nationkey, 1 + c_custkey % 3)::DOUBLE / 600)) AS tolerance, CASE WHEN c_custkey % 4 = 0 THEN '—' ELSE CASE WHEN c_custkey >= 500 THEN '1.' ELSE '' END || CASE WHEN c_custkey >= 500 THEN lpad((c_custkey * 2 - 1000)::VARCHAR, 3, '0') ELSE (c_custkey * 2)::VARCHAR END END AS shown
+    """SELECT c_custkey AS id, (-1 - c_nationkey)::DOUBLE AS west, (2 + c_nationkey)::DOUBLE AS east, 40::DOUBLE AS south, (41 + c_custkey % 3)::DOUBLE AS north,
+    greatest(0.004::DOUBLE, least(0.03::DOUBLE, greatest(3 + 2 * c_nationkey, 1 + c_custkey % 3)::DOUBLE / 600)) AS tolerance, CASE WHEN c_custkey % 4 = 0 THEN '—' ELSE CASE WHEN c_custkey >= 500 THEN '1.' ELSE '' END || CASE WHEN c_custkey >= 500 THEN lpad((c_custkey * 2 - 1000)::VARCHAR, 3, '0') ELSE (c_custkey * 2)::VARCHAR END END AS shown
     FROM customer WHERE c_custkey < 1000"""
 )
 def outline_bounds(spark, sf_dir):
     n, i = F.col("c_nationkey").cast("double"), F.col("c_custkey")
-    ring = F.array(F.array(-n, F.lit(40.0)), F.array(n + 2, 41.0 + i % 3), F.array(F.lit(0.0), F.lit(40.5)))
+    ring = F.array(F.array(-1 - n, F.lit(40.0)), F.array(n + 2, 41.0 + i % 3), F.array(F.lit(0.0), F.lit(40.5)))
     rows = D.table(spark, sf_dir, "customer").where(i < 1000).select(i.alias("id"), F.array(ring).alias("rings"), text.dutch_number(F.when(i % 4 != 0, i * 2 + 0.1)).alias("shown"))
     return rows.select("id", bounds(F.col("rings")).alias("b"), tolerance(extent(F.col("rings"))).alias("tolerance"), "shown").select("id", "b.*", "tolerance", "shown")
 
