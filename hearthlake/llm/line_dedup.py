@@ -140,9 +140,9 @@ class Cutter:
         return Units(owner, b, e, (~long[at]).astype(np.int64), rolling & self.mask, paired)
 
 
-def long_enough(units: Units, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last pair of each chunk: a longest run of common pairs over two whole lines or CHUNK bytes."""
-    edges = np.diff(np.concatenate(([0], (common & units.paired).view(np.int8), [0])))
+def long_enough(units: Units, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last pair of each chunk: a longest run of pairs that stand earlier, too, over two whole lines or CHUNK bytes."""
+    edges = np.diff(np.concatenate(([0], (earlier & units.paired).view(np.int8), [0])))
     first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
     lines = np.concatenate(([0], np.cumsum(units.whole)))
     enough = (units.end[last + 1] - units.begin[first] >= CHUNK) | (lines[last + 2] - lines[first] >= 2)
@@ -213,7 +213,7 @@ def blocks_that_may_recur(docs: DataFrame, common: Broadcast, bits: int) -> Data
     return mapped(docs.select("doc_id", "mark", "text"), run, f"doc_id {kind}, mark long, place int, rolling long, body binary, begins array<int>, ends array<int>")
 
 
-#: What becomes of a repeated pair: it is the first one and stays, goes, or overlaps the first one, so that only its second unit goes.
+#: What becomes of a pair: it is the first one and stays, goes, or goes and overlaps the first one, so that only its second unit does.
 STAYS, GOES, SECOND_GOES = 0, 1, 2
 OWN, KEY = ["doc_id", "mark", "place"], ["rolling", "other"]
 
@@ -224,7 +224,7 @@ def entry(n, fate):
 
 
 def repeated_pairs(docs: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
-    """doc_id, mark, entries (the fate of every pair that recurs), for the rows of docs (doc_id, mark, text) that may lose any.
+    """doc_id, mark, entries (the pairs that stand at an earlier place, too), for the rows of docs (doc_id, mark, text) that have any.
 
     Rolling hashes that occur more than once make a bounded filter. The blocks of pairs behind it are
     grouped by their bytes; the pairs of all but the first of equal blocks go. The pairs of the first
@@ -242,7 +242,7 @@ def repeated_pairs(docs: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
     blocks = found.where(several).groupBy("rolling", "other", "body", "begins", "ends").agg(first, F.count("*").alias("n"))
     blocks = scratch.keep(blocks, "blocks", compression="zstd")
     again = joined_by_key(found.where(several).select(*OWN, *KEY, F.size("ends").alias("units")), blocks.where("n > 1").select(*KEY, "first", "n"), KEY, "n", scratch)
-    later = again.where(F.struct(*OWN) != F.col("first")).select("doc_id", "mark", entry(F.col("units") - 1, F.lit(GOES)), F.lit(GOES).alias("fate"))
+    later = again.where(F.struct(*OWN) != F.col("first")).select("doc_id", "mark", entry(F.col("units") - 1, F.lit(GOES)))
 
     each = blocks.select("first.doc_id", "first.mark", F.col("first.place").alias("start"), "n", "body", "begins", "ends", F.explode(F.sequence(F.lit(0), F.size("ends") - 2)).alias("k"))
     begin, end = F.element_at("begins", F.col("k") + 1), F.element_at("ends", F.col("k") + 2)
@@ -254,16 +254,15 @@ def repeated_pairs(docs: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
     joined = joined_by_key(pairs.select(*OWN, *KEY), repeated, KEY, "rows", scratch)
     beside = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.mark") == F.col("mark")) & (F.col("first.place") == F.col("place") - 1)
     fate = F.when(F.struct(*OWN) == F.col("first"), STAYS).when(beside, SECOND_GOES).otherwise(GOES)
-    entries = joined.select("doc_id", "mark", entry(F.lit(1), fate), fate.alias("fate")).unionByName(later)
-    by_row = entries.groupBy("doc_id", "mark").agg(F.collect_set("entry").alias("entries"), F.max("fate").alias("most"))
-    drop = scratch.keep(by_row.where(F.col("most") > STAYS).drop("most"), "drop")
+    gone = joined.select("doc_id", "mark", entry(F.lit(1), fate), fate.alias("fate")).where(F.col("fate") != STAYS).drop("fate")
+    drop = scratch.keep(gone.unionByName(later).groupBy("doc_id", "mark").agg(F.collect_set("entry").alias("entries")), "drop")
     scratch.only("drop")
     return drop
 
 
 def fates_of(units: Units, entries: pa.ListArray) -> np.ndarray:
-    """The fate of every pair of units that recurs, -1 of any other; the i-th list of entries is about the i-th text."""
-    fates = np.full(len(units.begin), -1, np.int64)
+    """The fate of every pair of units; the i-th list of entries is about the i-th text."""
+    fates = np.full(len(units.begin), STAYS, np.int64)
     flat = entries.flatten().to_numpy(zero_copy_only=False)
     sizes = np.diff(entries.offsets.to_numpy())
     first = np.repeat(np.searchsorted(units.text, np.arange(len(entries))), sizes) + (flat >> 33)
@@ -275,13 +274,13 @@ def fates_of(units: Units, entries: pa.ListArray) -> np.ndarray:
 
 def gone_units(units: Units, fates: np.ndarray) -> np.ndarray:
     """Which units go: those of a pair that goes, inside a chunk that is long enough."""
-    first, last = long_enough(units, fates >= 0)
+    first, last = long_enough(units, fates != STAYS)
     inside = np.zeros(len(fates) + 1, np.int64)
     np.add.at(inside, first, 1)
     np.add.at(inside, last + 1, -1)
     inside = np.cumsum(inside)[:-1] > 0
     gone = inside & (fates == GOES)
-    gone[1:] |= (inside & (fates >= GOES))[:-1]
+    gone[1:] |= inside[:-1]
     return gone
 
 
@@ -326,8 +325,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs, all columns, with repeated chunks cut out of the texts; with report also removed (chunks) and removed_chars.
 
     A rolling hash is taken over the hashes of every two lines in a row. A chunk is a longest run of
-    lines all of whose rolling hashes recur in the table: its bounds follow from the lines inside it
-    and move with them, wherever a passage is put. A chunk needs two whole lines or CHUNK bytes; lines of
+    lines all of whose rolling hashes stand at an earlier place of the table, too: its bounds follow from
+    the lines inside it and move with them, wherever a passage is put. A chunk needs two whole lines or CHUNK bytes; lines of
     PARAGRAPH bytes or more are split and cut likewise, so that a passage inside a paragraph is found.
     Every two lines in a row are compared byte for byte with those of equal hash before they go, and
     the first occurrence (smallest doc_id, then place) stays. So every line that goes still stands

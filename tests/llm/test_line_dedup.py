@@ -63,16 +63,15 @@ def brute(docs):
         seen = [places[data[units[k][0] : units[k + 1][1]]] for k in range(len(units) - 1)]
         gone, k = set(), 0
         while k < len(seen):
-            if len(seen[k]) < 2:
+            if seen[k][0] == (d, k):
                 k += 1
                 continue
             past = k
-            while past < len(seen) and len(seen[past]) > 1:
+            while past < len(seen) and seen[past][0] != (d, past):
                 past += 1
             if units[past][1] - units[k][0] >= CHUNK or sum(u[2] for u in units[k : past + 1]) >= 2:
                 for j in range(k, past):
-                    if seen[j][0] != (d, j):
-                        gone |= {j + 1} if seen[j][0] == (d, j - 1) else {j, j + 1}
+                    gone |= {j + 1} if seen[j][0] == (d, j - 1) else {j, j + 1}
             k = past
         ends = [u[0] for u in units[1:]] + [len(data)]
         left, at = b"", 0
