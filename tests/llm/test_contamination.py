@@ -81,7 +81,7 @@ def test_edges(spark):
 def test_item_identifiers_of_any_type(spark):
     docs = spark.createDataFrame([(1, "here is a benchmark question of some length, indeed"), (2, None)], "doc_id long, text string")
     items = spark.createDataFrame([("q-1", "a benchmark question of some length"), (None, "is a benchmark"), ("q-3", None)], "item_id string, text string")
-    found = contamination.find_leaks(docs, items)
+    found = C.find_leaks(docs, items)
     assert dict(found.dtypes)["item_id"] == "string"
     assert sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in found.collect()), key=repr) == sorted([(1, "q-1", 0), (1, None, 0)], key=repr)
-    assert contamination.without_leaks(docs, items).count() == 1
+    assert C.without_leaks(docs, items).count() == 1
