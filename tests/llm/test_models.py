@@ -143,3 +143,36 @@ def test_nothing_to_learn_from(spark):
     docs, never = clashing_docs(spark), F.lit(False)
     labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
     assert language.train(docs, never) is None and quality.train(docs, labels, never) is None and toxicity.train(docs, labels, never) is None
+
+
+def test_toxicity_features_equal_brute_force():
+    draw = random.Random(6)
+    terms, budgets, strengths = ["idiot", "scum", "gorblimey"], [1, 0, 1], [2.0, 3.0, 4.0]
+    model = toxicity.Model(terms, budgets, strengths, [0.0] * len(toxicity.FEATURES), 0.0)
+    words = ["idiot", "idiots", "idot", "scum", "scumbag", "scun", "gorblimy", "alder", "birch", "cedar", "he", "said", '"idiot"', 'word "scum"', "\n", "maple"]
+    texts = [" ".join(draw.choices(words, k=draw.randint(0, 60))) for _ in range(300)]
+    reader = toxicity.Reader(model, model.automaton())
+    for text, got in zip(texts, reader.read(texts), strict=True):
+        found = []
+        for i, m in enumerate(toxicity.WORD.finditer(text)):
+            met = min(((d, t) for t, (term, b) in enumerate(zip(terms, budgets, strict=True)) if (d := begins_within(m[0], term, b)) is not None), default=None)
+            if met:
+                found.append((i, strengths[met[1]] * (toxicity.MISSPELLED if met[0] else 1), met[0]))
+        quoted = {h[0] for h in reader.hits(text) if h[2]}
+        direct = [(i, s) for i, s, _ in found if i not in quoted]
+        window = max((sum(s for j, s in direct if i - toxicity.WINDOW <= j <= i) for i, _ in direct), default=0.0)
+        total, rest = sum(s for _, s in direct), sum(s for i, s, _ in found if i in quoted)
+        want = [np.log1p(total), np.log1p(rest), np.log1p(window), np.log1p(1000 * total / max(1, len(toxicity.WORD.findall(text)))) / 5, np.log1p(sum(e for *_, e in found))]
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_language_scores_equal_one_run_of_letters_after_another():
+    network = language.Network(["a", "b", "c"])
+    texts = ["Ein Haus, ein ÉTÉ!", "x" * 100 + " yy", "12 34", "one one two"]
+    for text, (lang, score) in zip(texts, language.Reader(network).read(texts), strict=True):
+        total = np.zeros(3)
+        for run in language.runs(text):
+            data = run.encode()
+            for at in range(0, len(data), language.RUN):
+                total += network.positions(np.frombuffer(data[at : at + language.RUN], np.uint8)[None])[1].sum((0, 1))
+        assert (lang, score) == ("und", 0.0) if not total.sum() else lang == network.languages[int(total.argmax())] and score == pytest.approx(total.max() / total.sum(), abs=1e-5)
