@@ -85,3 +85,18 @@ def test_item_identifiers_of_any_type(spark):
     assert dict(found.dtypes)["item_id"] == "string"
     assert sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in found.collect()), key=repr) == sorted([(1, "q-1", 0), (1, None, 0)], key=repr)
     assert C.without_leaks(docs, items).count() == 1
+
+
+def test_pieces_are_found_wherever_they_stand_in_long_texts(monkeypatch):
+    monkeypatch.setattr(C, "WINDOW", 64)
+    draw = random.Random(9)
+    letters = "abcdefé中\U0001F600 "
+    items = [(i, "".join(draw.choices(letters, k=n))) for i, n in enumerate((3, 5, 7, 40, 90, 200, 13, 26))]
+    for rate in (0.08, 0.3):  # at the second rate many pieces are shorter than GRAM
+        matcher = C.Matcher(items, rate)
+        for _ in range(120):
+            text = "".join(draw.choices(letters, k=draw.randint(0, 300)))
+            item = draw.choice(items)[1]
+            text += edited(draw, item, draw.randint(0, int(rate * len(item)))) + text[::-1]
+            want = [(k, d) for k, x in items if (d := least_distance(x, text)) <= int(rate * len(x))]
+            assert [(k, d) for k, d, _ in matcher.matches(text)] == want
