@@ -98,7 +98,7 @@ def test_details(spark):
     html = f'<script type="application/ld+json">{ld}</script><div class="mainInfoProp">Decreased by 5,000 EUR</div><div class="adMainFeature"><p class="adMainFeatureContentLabel">Plot surface</p><p class="adMainFeatureContentValue">96 m²</p></div><div class="prop-map-holder" lat="34.2" lon="-4.0"></div>'
     r = details.detail_rows(pages(spark, html, "https://m/en/a/8158008/x"), "mubawab").first()
     assert (r["external_id"], r["price"], r["old_price"], r["living_m2"], r["land_m2"], r["rooms"], r["place"], r["lat"]) == ("8158008", 85000, 90000, 96, 96, 6, "Taza", 34.2)
-    assert json.loads(r["raw_fields"]) == {"plot surface": "96 m²"}
+    assert json.loads(r["raw_fields"]) == {"plot surface": "96 m²", "price_eur": "85000", "price_source": "portal_eur"}
     html = '<table class="property-information"></table><div class="property-information"><table><tr><th>Type:</th><td>Terrein</td></tr><tr><th>Woning:</th><td>800 m2</td></tr><tr><th>Terrein:</th><td>800 m2</td></tr></table></div><div class="energy-emmission"><table class="energy-table"><tr><td>51 - 90 B</td><td></td></tr><tr><td>180 - 250 D</td><td>207</td></tr></table></div><table class="gas-emmission faded"><tr><td>A</td><td>9</td></tr></table>'
     r = details.detail_rows(pages(spark, html, "https://f/woning/12345"), "franimo").first()
     assert (r["type"], r["living_m2"], r["land_m2"]) == ("Terrein", None, 800)
