@@ -27,12 +27,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         turn += 1
         said = degrees.join(labels.withColumnRenamed("node", "other"), "other")
-        heard = joined_by_key(both, said, ["other"], "links", scratch).select("node", "root")
+        heard = joined_by_key(both, said, ["other"], "links", scratch, degrees).select("node", "root")
         nearest = keep(heard.union(labels).groupBy("node").agg(F.min("root").alias("root")), f"near-{turn}")
         # A label is a node itself, so every row finds its label's label.
         shared = nearest.groupBy("root").agg(F.count("*").alias("rows"))
         jump = nearest.select(F.col("node").alias("root"), F.col("root").alias("beyond")).join(shared, "root")
-        settled = keep(joined_by_key(nearest, jump, ["root"], "rows", scratch).select("node", F.least("root", "beyond").alias("root"), F.col("root").alias("was")), f"jump-{turn}")
+        settled = keep(joined_by_key(nearest, jump, ["root"], "rows", scratch, shared).select("node", F.least("root", "beyond").alias("root"), F.col("root").alias("was")), f"jump-{turn}")
         moved = settled.join(labels.withColumnRenamed("root", "before"), "node").where("root <> before").limit(1).count()
         scratch.drop(f"labels-{turn - 1}" if turn == 1 else f"jump-{turn - 1}")
         scratch.drop(f"near-{turn}")

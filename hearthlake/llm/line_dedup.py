@@ -241,7 +241,7 @@ def repeated_pairs(docs: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
     several = F.size("ends") > 2
     blocks = found.where(several).groupBy("rolling", "other", "body", "begins", "ends").agg(first, F.count("*").alias("n"))
     blocks = scratch.keep(blocks, "blocks", compression="zstd")
-    again = joined_by_key(found.where(several).select(*OWN, *KEY, F.size("ends").alias("units")), blocks.where("n > 1").select(*KEY, "first", "n"), KEY, "n", scratch)
+    again = joined_by_key(found.where(several).select(*OWN, *KEY, F.size("ends").alias("units")), blocks.where("n > 1").select(*KEY, "first", "n"), KEY, "n", scratch, way="shuffle_hash")
     later = again.where(F.struct(*OWN) != F.col("first")).select("doc_id", "mark", entry(F.col("units") - 1, F.lit(GOES)))
 
     each = blocks.select("first.doc_id", "first.mark", F.col("first.place").alias("start"), "n", "body", "begins", "ends", F.explode(F.sequence(F.lit(0), F.size("ends") - 2)).alias("k"))
@@ -251,7 +251,7 @@ def repeated_pairs(docs: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
     pairs = scratch.keep(pairs.withColumn("rolling", F.xxhash64("body")).withColumn("other", F.xxhash64(F.lit(1), "body")), "pairs", compression="zstd")
     repeated = pairs.groupBy(*KEY, "body").agg(first, F.count("*").alias("rows"), F.sum("n").alias("n")).where("n > 1").select(*KEY, "first", "rows")
     repeated = scratch.keep(repeated, "repeated")
-    joined = joined_by_key(pairs.select(*OWN, *KEY), repeated, KEY, "rows", scratch)
+    joined = joined_by_key(pairs.select(*OWN, *KEY), repeated, KEY, "rows", scratch, way="shuffle_hash")
     beside = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.mark") == F.col("mark")) & (F.col("first.place") == F.col("place") - 1)
     fate = F.when(F.struct(*OWN) == F.col("first"), STAYS).when(beside, SECOND_GOES).otherwise(GOES)
     gone = joined.select("doc_id", "mark", entry(F.lit(1), fate), fate.alias("fate")).where(F.col("fate") != STAYS).drop("fate")

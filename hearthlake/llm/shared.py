@@ -137,17 +137,22 @@ def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 HOT, FEW = 4096, 64
 
 
-def joined_by_key(rows: DataFrame, table: DataFrame, key: list[str], n: str, scratch: Scratch) -> DataFrame:
+def joined_by_key(rows: DataFrame, table: DataFrame, key: list[str], n: str, scratch: Scratch, counts: DataFrame | None = None, way: str | None = None) -> DataFrame:
     """rows with the columns of table (one row for each key; column n: how many of rows have it), rows without a match left out.
 
     Rows of hot keys meet a broadcast of at most HOT rows where they are; only the others are
-    shuffled by the key, at most FEW and one in HOT of all to a key.
+    shuffled by the key, at most FEW and one in HOT of all to a key. counts has the column n of all
+    keys where that is cheaper to read than table; way is a hint for the join of the others.
     """
-    total = table.agg(F.sum(n)).first()[0]
-    hot = scratch.keep(table.where(F.col(n) > (total or 0) // HOT + FEW), f"hot-{uuid.uuid4().hex}")
-    few, many = table.join(F.broadcast(hot.select(*key)), key, "left_anti"), F.broadcast(hot)
+    stats = (table if counts is None else counts).agg(F.sum(n).alias("total"), F.max(n).alias("most")).first()
+    least = (stats["total"] or 0) // HOT + FEW
+    hinted = (lambda df: df.hint(way)) if way else lambda df: df
+    if (stats["most"] or 0) <= least:
+        return rows.join(hinted(table), key)
+    hot = scratch.keep(table.where(F.col(n) > least).repartition(1), f"hot-{uuid.uuid4().hex}")
+    few = table.join(F.broadcast(hot.select(*key)), key, "left_anti")
     cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
-    return rows.join(many, key).unionByName(cold.join(few.hint("shuffle_hash"), key))
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(hinted(few), key))
 
 
 def unused(name: str, columns: list[str]) -> str:
