@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import chat, contamination, exact_dedup, language, line_dedup, pieces, quality, sharding, simhash, toxicity
+from hearthlake.llm import chat, contamination, divergence, exact_dedup, language, line_dedup, pieces, quality, runs, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "removed", "removed_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), loop=True)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -90,6 +98,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_contamination": op9_contamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_divergence": op11_divergence,
+    "op13_runs": op13_runs,
 }
 
 ORACLES = {
@@ -110,4 +120,29 @@ ORACLES = {
                doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
         FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         WINDOW same AS (PARTITION BY norm)""",
+    "op11_divergence": r"""
+        WITH terms AS (
+            SELECT line, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT *, row_number() OVER () AS line FROM documents)),
+        kept AS (SELECT lang, term, count(*) AS everywhere FROM terms GROUP BY lang, term HAVING count(DISTINCT line) >= 30),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        sources AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        langs AS (SELECT lang, count(*) AS v, sum(everywhere) AS total FROM kept GROUP BY lang),
+        totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+        shares AS (
+            SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+                   (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(t.total, 0)::HUGEINT + 5 * l.v))::BIGINT AS p,
+                   (1 + (1000000000::HUGEINT * (k.everywhere + 5)) // (l.total::HUGEINT + 5 * l.v))::BIGINT AS q
+            FROM sources s JOIN kept k USING (lang) JOIN langs l USING (lang)
+            LEFT JOIN totals t ON t.lang = s.lang AND t.source = s.source
+            LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+        distances AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0)::BIGINT AS value
+            FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+        marks AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q)
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+        FROM (FROM pairs UNION ALL FROM marks) QUALIFY part = 'pair' OR rank <= 50""",
 }
