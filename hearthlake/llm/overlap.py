@@ -21,6 +21,8 @@ WIDTH, PERCENT, SEED = 4, 85, 42
 SHORT = 32
 #: Rounds in which sets are ordered anew behind long lists that came up; what is still long then is met by pivots.
 ROUNDS = 5
+#: Times the length of its prefix that a set is read ahead at most to find long lists.
+AHEAD = 4
 #: Members of a long list that are drawn as pivots in each round, and parts that the pairs of a pivot are dealt to.
 DRAWN, SALTS = (8, 64), 16
 #: Ratio of the bounds of a class of sizes.
@@ -140,13 +142,13 @@ def ordered_prefixes(classes: DataFrame, rows: DataFrame, scratch: Scratch, widt
     than SHORT of them go into a filter, and classes whose prefix holds one are read again behind it. What a
     filter lets through by chance is late for all classes alike.
     """
-    prefixes = classes.select("key", "prefix")
-    fresh, totals, late, sent_late = prefixes.withColumn("ahead", F.col("prefix")), None, None, None
+    prefixes, written = classes.select("key", "prefix"), None
+    fresh, late, sent_late = prefixes.withColumn("ahead", F.col("prefix")), None, None
     for turn in range(ROUNDS):
         counted = fresh.select(F.explode("ahead").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
-        counted = counted if totals is None else counted.union(totals).groupBy("h").agg(F.sum("c").alias("c"))
-        totals = scratch.keep(counted.where("c > 1"), f"totals-{turn}", count)
-        long = totals.where(F.col("c") > SHORT).select("h")
+        long = scratch.keep(counted.where(F.col("c") > SHORT).select("h"), f"long-{turn}", count)
+        if turn:
+            scratch.drop(f"fresh-{turn - 1}")
         if long.isEmpty():
             break
         before, late = sent_late, joined_filters(late, bitmap_of(long, "h"))
@@ -155,10 +157,12 @@ def ordered_prefixes(classes: DataFrame, rows: DataFrame, scratch: Scratch, widt
         if moved.isEmpty():
             break
         moved = scratch.keep(classes.select("key", "row").join(moved, "key", "left_semi"), f"again-{turn}", count)
-        again = prefixes_behind(of_classes(rows, moved), width, percent, sent_late, 2 << turn).join(moved.select("key"), "key", "left_semi")
+        again = prefixes_behind(of_classes(rows, moved), width, percent, sent_late, min(AHEAD, 2 << turn)).join(moved.select("key"), "key", "left_semi")
         fresh = scratch.keep(again.dropDuplicates(["key"]), f"fresh-{turn}", count)
-        stay = without(prefixes, moved, "key")
-        prefixes = scratch.keep(stay.unionByName(fresh.select("key", "prefix")), f"prefixes-{turn}", count)
+        prefixes = scratch.keep(without(prefixes, moved, "key").unionByName(fresh.select("key", "prefix")), f"prefixes-{turn}", count)
+        if written is not None:
+            scratch.drop(written)
+        written = f"prefixes-{turn}"
     return prefixes
 
 
@@ -357,6 +361,7 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     lowest = scratch.keep(joined_by_key(linked_classes, groups, ["root"], "size", scratch).select("key", "lowest"), "lowest", count)
     known = classes.where("n > 0").join(lowest, "key", "left").select("key", "copies", F.coalesce("lowest", "least").alias("component_id"))
     known = scratch.keep(known, "known", count)
+    scratch.only("marked", "known")
     empty = marked.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     found = joined_by_key(marked.where("n > 0").select("doc_id", "n", "key"), known, ["key"], "copies", scratch).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionByName(empty)
