@@ -17,7 +17,7 @@ LEAST_DOCS, ADDED, SCALE = 30, 5, 1_000_000_000
 #: Ranks of the marked terms.
 TOP = 50
 #: Different terms that a task counts before it hands them on.
-HELD = 100_000
+HELD = 300_000
 #: Letters, lower-cased, and every byte of other scripts stay; all else separates terms.
 TERM_BYTES = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).lower()
 
