@@ -157,8 +157,8 @@ ORACLES = {
             SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 4 THEN list_filter([array_to_string(words, ' ')], x -> x <> '') ELSE list_transform(range(1, len(words) - 2), i -> array_to_string(words[i:i + 3], ' ')) END) AS shingle
             FROM split),
         sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b USING (shingle) GROUP BY ALL),
-        links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b USING (shingle) GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
         reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
         SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS component_id
         FROM documents LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = doc_id GROUP BY doc_id""",
