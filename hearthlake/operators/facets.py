@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from hearthlake.functions.text import pretty_source, source_rank
 from hearthlake.operators.filters import FACETS, FilterSpec, facet_predicates, facet_values, matching, predicates
+from hearthlake.operators.selection import upper_medians
+from hearthlake.session import written
 
 #: Values shown of a facet; the source facet shows more.
 SHOWN, SHOWN_SOURCES = 8, 20
@@ -57,23 +59,13 @@ def facet(view: DataFrame, spec: FilterSpec, name: str) -> DataFrame:
     return rows.groupBy("value").agg(F.count("*").alias("n"))
 
 
-def upper_median(column):
-    """The middle value, of two middle ones the larger; null without values.
-
-    As an exact distributed aggregate: the discrete median of the negated values, negated.
-    """
-    return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{column})")
-
-
 def summary(view: DataFrame, spec: FilterSpec) -> DataFrame:
-    """One row: n, total, median_price, median_eur_m2, drops, without_detail."""
+    """One row: n, total, median_price, median_eur_m2, drops, without_detail. Medians are of the rows that match; the view is read once."""
     matches = reduce(and_, [*predicates(spec), *facet_predicates(spec).values()], F.lit(True))
-    some = view.withColumn("_in", matches).withColumn("_price", F.when(F.col("_in"), F.col("price"))).withColumn("_m2", F.when(F.col("_in"), F.col("eur_m2")))
-    return some.agg(
-        F.count_if("_in").alias("n"),
-        F.count("*").alias("total"),
-        upper_median("_price").cast("long").alias("median_price"),
-        upper_median("_m2").alias("median_eur_m2"),
-        F.count_if(F.col("_in") & (F.col("price_drop") > 0)).alias("drops"),
-        F.count_if(F.col("_in") & F.col("detail_fetched").isNull()).alias("without_detail"),
-    )
+    some = written(view.select(F.coalesce(matches, F.lit(False)).alias("in"), "price", "eur_m2", (F.col("price_drop") > 0).alias("drop"), F.col("detail_fetched").isNull().alias("plain")), "summary")
+    counts = some.agg(F.count_if("in").alias("n"), F.count("*").alias("total"), F.count_if(F.col("in") & F.col("drop")).alias("drops"), F.count_if(F.col("in") & F.col("plain")).alias("without_detail"))
+    for column in ("price", "eur_m2"):
+        middle = upper_medians(some.where("in"), column, [])
+        # One row at most on either side.
+        counts = counts.join(middle.withColumnRenamed(column, f"median_{column}"), F.lit(True), "left")
+    return counts.select("n", "total", "median_price", "median_eur_m2", "drops", "without_detail")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hearthlake.functions.geo import clean_coordinate, country_for, plottable, project
 from hearthlake.operators import bands, facets, gone, merge, pack, probe, view
 from hearthlake.operators.filters import FACETS, FilterSpec, ingest_skip, matching
+from hearthlake.operators.selection import upper_medians
 from hearthlake.plans import derived as D
 
 QUERIES: dict = {}
@@ -134,7 +135,7 @@ def summary(spark, sf_dir):
 
 @query(W_VIEW + "SELECT source, list_sort(list(price) FILTER (price IS NOT NULL))[count(price) // 2 + 1] AS median_price FROM view GROUP BY source")
 def median_price_by_source(spark, sf_dir):
-    return listing_view_of(spark, sf_dir).groupBy("source").agg(facets.upper_median("price").cast("long").alias("median_price"))
+    return upper_medians(listing_view_of(spark, sf_dir), "price", ["source"]).withColumnRenamed("price", "median_price")
 
 
 @query(f"WITH {D.DUCK_LISTING} SELECT id, agent, row_number() OVER (ORDER BY nullif(agent, '') DESC NULLS LAST, id) AS place FROM listing ORDER BY place LIMIT 500")
