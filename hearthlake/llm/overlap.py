@@ -20,7 +20,7 @@ WIDTH, PERCENT, SEED = 4, 85, 42
 #: Members of an inverted list up to which it is short and merged; longer lists are put behind the others and met by pivots.
 SHORT = 32
 #: Rounds in which sets are ordered anew behind long lists that came up; what is still long then is met by pivots.
-ROUNDS = 5
+ROUNDS = 2
 #: Times the length of its prefix that a set is read ahead at most to find long lists.
 AHEAD = 4
 #: Members of a long list that are drawn as pivots in each round, and parts that the pairs of a pivot are dealt to.
@@ -157,7 +157,7 @@ def ordered_prefixes(classes: DataFrame, rows: DataFrame, scratch: Scratch, widt
         if moved.isEmpty():
             break
         moved = scratch.keep(classes.select("key", "row").join(moved, "key", "left_semi"), f"again-{turn}", count)
-        again = prefixes_behind(of_classes(rows, moved), width, percent, sent_late, min(AHEAD, 2 << turn)).join(moved.select("key"), "key", "left_semi")
+        again = prefixes_behind(of_classes(rows, moved), width, percent, sent_late, AHEAD if turn + 1 < ROUNDS else 0).join(moved.select("key"), "key", "left_semi")
         fresh = scratch.keep(again.dropDuplicates(["key"]), f"fresh-{turn}", count)
         prefixes = scratch.keep(without(prefixes, moved, "key").unionByName(fresh.select("key", "prefix")), f"prefixes-{turn}", count)
         if written is not None:
