@@ -28,9 +28,17 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.version(n) + "/_SUCCESS")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def last(self) -> int:
+        """The number of the newest whole version."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/listings")
+        found = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)
+        return max(n for n in (int(s.getPath().getName()[1:]) for s in found) if self.exists(n))
+
     def merge(self, batch: DataFrame, n: int) -> None:
         """Batch n of sightings on top of version n - 1: writes its history rows, then version n."""
-        known = self.listings(n - 1) if n and self.exists(n - 1) else None
+        if n and not self.exists(n - 1):
+            raise FileNotFoundError(f"{self.version(n - 1)} is missing: without it every listing of batch {n} would count as new")
+        known = self.listings(n - 1) if n else None
         statuses = classified(batch, known, self.order)
         new_history(statuses).select(*KEY, "ts", "price", "status").write.mode("overwrite").parquet(f"{self.path}/history/batch={n}")
         seen = batch.select(*KEY, *self.order, *(c for c in self.columns if c not in self.order), F.col("ts").alias("_from"), F.col("ts").alias("_to"))

@@ -1,5 +1,7 @@
 """A stream of sightings leaves the store that one batch would."""
 
+import pytest
+
 from hearthlake.operators import merge
 from hearthlake.plans import derived as D
 from hearthlake.streaming.merge_stream import Store, new_by_day
@@ -22,7 +24,9 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     assert same() and statuses() == {r["status"]: r["count"] for r in batch.groupBy("status").count().collect()}
     before = statuses()
     store.merge(spark.read.parquet(f"{tmp_path}/in/2"), 2)  # a replayed batch
-    assert same() and statuses() == before
+    assert same() and statuses() == before and store.last() == 2
+    with pytest.raises(FileNotFoundError):
+        store.merge(rows, 7)  # version 6 is missing
 
 
 def test_daily_counts_stream(spark, tmp_path):
