@@ -20,9 +20,9 @@ WIDTH, PERCENT, SEED = 4, 85, 42
 #: Members of an inverted list up to which it is short and merged; longer lists are put behind the others and met by pivots.
 SHORT = 32
 #: Rounds in which sets are ordered anew behind long lists that came up; what is still long then is met by pivots.
-ROUNDS = 2
+ROUNDS = 3
 #: Times the length of its prefix that a set is read ahead at most to find long lists.
-AHEAD = 4
+AHEAD = 8
 #: Members of a long list that are drawn as pivots in each round, and parts that the pairs of a pivot are dealt to.
 DRAWN, SALTS = (8, 64), 16
 #: Ratio of the bounds of a class of sizes.
@@ -94,15 +94,19 @@ def sets_of(texts: DataFrame, width: int) -> DataFrame:
     return mapped(texts.select("text"), run, "key binary, shingles array<long>")
 
 
-def prefixes_behind(texts: DataFrame, width: int, percent: int, late, times: int) -> DataFrame:
-    """key, prefix behind the broadcast filter late, and ahead (so many times as long a beginning) for texts (text)."""
+def prefixes_behind(texts: DataFrame, width: int, percent: int, late) -> DataFrame:
+    """key, prefix behind the broadcast filter late, and ahead for texts (text): what follows the prefix, up to AHEAD times its length, where half of the first shingles are late."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         behind = received(late)
         for batch in batches:
-            sets = [shingle_set(text, width, SEED) for text in views(batch.column(0))]
-            columns = [lists([prefix_of(x, behind, percent, k) for x in sets]) for k in (1, times)]
-            yield pa.RecordBatch.from_arrays([pa.array([key_of(x) for x in sets], pa.binary()), *columns], ["key", "prefix", "ahead"])
+            keys, prefixes, ahead = [], [], []
+            for text in views(batch.column(0)):
+                found = shingle_set(text, width, SEED)
+                first = prefix_of(found, behind, percent)
+                much = 2 * np.count_nonzero(holds(behind, found[: len(first)])) >= len(first)
+                keys.append(key_of(found)), prefixes.append(first), ahead.append(prefix_of(found, behind, percent, AHEAD)[len(first) :] if much else found[:0])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), lists(prefixes), lists(ahead)], ["key", "prefix", "ahead"])
 
     return mapped(texts.select("text"), run, "key binary, prefix array<long>, ahead array<long>")
 
@@ -143,9 +147,9 @@ def ordered_prefixes(classes: DataFrame, rows: DataFrame, scratch: Scratch, widt
     filter lets through by chance is late for all classes alike.
     """
     prefixes, written = classes.select("key", "prefix"), None
-    fresh, late, sent_late = prefixes.withColumn("ahead", F.col("prefix")), None, None
+    fresh, late, sent_late = prefixes.withColumn("ahead", F.array().cast("array<long>")), None, None
     for turn in range(ROUNDS):
-        counted = fresh.select(F.explode("ahead").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
+        counted = fresh.select(F.explode(F.concat("prefix", "ahead")).alias("h")).groupBy("h").agg(F.count("*").alias("c"))
         long = scratch.keep(counted.where(F.col("c") > SHORT).select("h"), f"long-{turn}", count)
         if turn:
             scratch.drop(f"fresh-{turn - 1}")
@@ -157,7 +161,7 @@ def ordered_prefixes(classes: DataFrame, rows: DataFrame, scratch: Scratch, widt
         if moved.isEmpty():
             break
         moved = scratch.keep(classes.select("key", "row").join(moved, "key", "left_semi"), f"again-{turn}", count)
-        again = prefixes_behind(of_classes(rows, moved), width, percent, sent_late, AHEAD if turn + 1 < ROUNDS else 0).join(moved.select("key"), "key", "left_semi")
+        again = prefixes_behind(of_classes(rows, moved), width, percent, sent_late).join(moved.select("key"), "key", "left_semi")
         fresh = scratch.keep(again.dropDuplicates(["key"]), f"fresh-{turn}", count)
         prefixes = scratch.keep(without(prefixes, moved, "key").unionByName(fresh.select("key", "prefix")), f"prefixes-{turn}", count)
         if written is not None:
@@ -233,8 +237,11 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 1) -> D
     return probed(pairs.join(one, "a").join(other, "b"), percent)
 
 
-def links_of_classes(classes: DataFrame, rows: DataFrame, scratch: Scratch, width: int, percent: int, count: int) -> DataFrame:
-    """Links a, b between classes (key, n, prefix, row): their components are those of all pairs that link."""
+def links_of_classes(classes: DataFrame, rows: DataFrame, scratch: Scratch, width: int, percent: int, count: int, proposed: DataFrame | None = None) -> DataFrame:
+    """Links a, b between classes (key, n, prefix, row): their components are those of all pairs that link.
+
+    rows (row, text) are read again for the texts of some classes. Pairs a, b proposed by another search are looked up with the candidates.
+    """
     spark = classes.sparkSession
     prefixes = ordered_prefixes(classes, rows, scratch, width, percent, count)
     postings = prefixes.select("key", F.explode("prefix").alias("h"))
@@ -255,9 +262,10 @@ def links_of_classes(classes: DataFrame, rows: DataFrame, scratch: Scratch, widt
     # The long lists that two prefixes share were not merged; where there are any, fewer short ones are enough.
     late = [ends.select(F.col("key").alias(k), F.col("l").alias(f"{k}_l")) for k in "ab"]
     near = near.join(late[0], "a").join(late[1], "b").where(F.col("shared") >= enough - F.least("a_l", "b_l")).select("a", "b")
+    near = near if proposed is None else near.union(proposed.where("a <> b").select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
     near = scratch.keep(near, "near", count)
 
-    wanted = ends.where("l > 0").select("key", "row").union(ends.join(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi").select("key", "row")).distinct()
+    wanted = ends.where("l > 0").select("key", "row").union(classes.select("key", "row").join(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi").select("key", "row")).distinct()
     wanted = scratch.keep(wanted, "wanted", count)
     sets = scratch.keep(sets_of(of_classes(rows, wanted), width).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
     links = scratch.keep(linked(near, sets, percent), "links-0", count)
