@@ -1,4 +1,4 @@
-"""Near copies by resemblance: SimHash words and MinHash bands propose pairs, the exact Jaccard of the shingle sets decides."""
+"""Near copies by resemblance: SimHash words propose pairs, a join of shingle sets finds the others, the exact Jaccard of the sets decides."""
 
 from __future__ import annotations
 
@@ -6,76 +6,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake.llm.components import components
-from hearthlake.llm.shared import Scratch, joined_by_key, key_filter, mapped, parted
-from hearthlake.llm.simhash import near_links, shingle_hashes, word_of
+from hearthlake.llm.overlap import SEED, key_of, links_of_classes, lists, prefix_of
+from hearthlake.llm.shared import Scratch, joined_by_key, mapped
+from hearthlake.llm.simhash import Word, near_links
+from hearthlake.llm.words import shingle_hashes, views
 
-#: A pair of resemblance J shares a band with probability 1 - (1 - J ** ROWS) ** BANDS: 0.9983 at 0.8, 0.9999 at 0.85.
-BANDS, ROWS = 16, 5
-#: Members of one band up to which all its pairs are compared at once, and pivots of the first round for larger ones.
-DIRECT, PIVOTS = 32, 8
-#: Shingles hashed at a time, so that a long text fills no memory.
-BLOCK = 2048
-DRAWN = np.random.default_rng(42).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64)
-FLIPS, FACTORS = DRAWN[0], DRAWN[1] | np.uint64(1)
 
-
-def bands(hashes: np.ndarray) -> list[int]:
-    """One signed 64-bit key for each band of a set of shingle hashes."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(hashes), BLOCK):
-        np.minimum(least, ((hashes[at : at + BLOCK, None] ^ FLIPS) * FACTORS).min(0), out=least)
-    return [xxhash.xxh64_intdigest(row.tobytes()) - (1 << 63) for row in least.reshape(BANDS, ROWS)]
-
-
-def key_of(shingles: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(shingles.tobytes())
-
-
-def marked_texts(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, key (digest of the set of shingles), n (its size), fp, bands for every row of docs (doc_id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes, words, found = [], [], [], []
-            for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py(), width)
-                shingles = np.unique(hashes)
-                keys.append(key_of(shingles)), sizes.append(len(shingles)), words.append(word_of(hashes)), found.append(bands(shingles))
-            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(words, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "fp", "bands"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return mapped(docs, run, f"doc_id {kind}, key binary, n long, fp long, bands array<long>")
-
-
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """key, shingles for every row of docs (doc_id, text)."""
+def marked_texts(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, row, key (digest of the set of shingles), n (its size), fp, prefix for rows (doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(text.as_py(), width)) for text in batch.column(1)]
-            columns = [pa.array([key_of(s) for s in sets], pa.binary()), pa.array([s.view("<i8") for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "shingles"])
-
-    return mapped(docs, run, "key binary, shingles array<long>")
-
-
-def may_resemble(n: Column | str, m: Column | str, least: float) -> Column:
-    """Whether sets of these sizes can resemble each other so much."""
-    return F.least(n, m) >= F.greatest(n, m) * (least - 1e-9)
-
+            keys, sizes, words, prefixes = [], [], [], []
+            for text in views(batch.column(2)):
+                word, parts = Word(), [np.empty(0, "<u8")]
+                for hashes in shingle_hashes(text, width, SEED):
+                    word.add(hashes)
+                    parts.append(np.unique(hashes))
+                found = np.unique(np.concatenate(parts))
+                keys.append(key_of(found)), sizes.append(len(found)), words.append(word.value()), prefixes.append(prefix_of(found, None, percent))
+            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(words, pa.int64()), lists(prefixes)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "key", "n", "fp", "prefix"])
 
-def resembling(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs a, b whose sets of shingles have a Jaccard resemblance of at least so much."""
-    left, right = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("a_set") + F.size("b_set")).alias("sizes"))
-    return joined.where(F.col("both") >= (F.col("sizes") - F.col("both")) * (least - 1e-9)).select("a", "b")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return mapped(rows, run, f"doc_id {kind}, row long, key binary, n long, fp long, prefix array<long>")
 
 
 def word_pairs(words: DataFrame, radius: int, scratch: Scratch, rows: int) -> DataFrame:
@@ -87,63 +45,33 @@ def word_pairs(words: DataFrame, radius: int, scratch: Scratch, rows: int) -> Da
     return same.union(near.join(ends[0], "a").join(ends[1], "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b")))
 
 
-def ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def later_copies(docs: DataFrame, width: int, radius: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The identifiers (column id_col) of the rows of docs whose group of near copies has a smaller one.
 
-    Texts with the same set of shingles are one key. Pairs of keys are proposed by SimHash words within
-    radius bits and by shared MinHash bands, and linked if the Jaccard resemblance of their sets is
-    `least` or more. In a band of more than DIRECT members, members are compared with pivots, 8 in the
-    first round and twice as many in each round after it, as long as the band holds several components;
-    pairs inside one component can join nothing and are left out. So components are those of all
-    proposed pairs, and a band is paired out only where its members stay apart. Rows without an
+    Texts with the same set of shingles are one class. Pairs of classes are linked if the Jaccard resemblance
+    of their sets is `least` or more; groups are chains of links. SimHash words within radius bits propose
+    pairs; the join of overlap.py finds those that SimHash does not see, by the shingles that few texts
+    share, so texts of one template meet only where they share more than the template. Rows without an
     identifier take no part.
     """
+    percent = round(100 * least)
+    if abs(percent - 100 * least) > 1e-9:
+        raise ValueError("the resemblance must be a whole number of hundredths")
     scratch = Scratch(docs.sparkSession, "resemblance")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    marked = scratch.keep(marked_texts(rows, width), "marked")
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    marked = scratch.keep(marked_texts(rows, width, percent), "marked")
     count = marked.count()
-    words = scratch.keep(marked.groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands"), F.count("*").alias("copies")), "words", count)
-    placed = words.select("key", "n", F.posexplode("bands").alias("t", "band"))
-    sizes = scratch.keep(placed.groupBy("t", "band").agg(F.count("*").alias("c")).where("c > 1"), "sizes", count)
-    members = scratch.keep(placed.join(sizes, ["t", "band"]), "members", count)
-    few, many = members.where(F.col("c") <= DIRECT), members.where(F.col("c") > DIRECT)
-    left, right = (few.select("t", "band", F.col("key").alias(k), F.col("n").alias(f"{k}_n")) for k in "ab")
-    direct = left.join(right, ["t", "band"]).where((F.col("a") < F.col("b")) & may_resemble("a_n", "b_n", least)).select("a", "b")
-    proposed = scratch.keep(ordered(direct.union(word_pairs(words, radius, scratch, count))), "proposed", count)
-
-    wanted = members.select("key").union(proposed.select("a")).union(proposed.select("b")).distinct()
-    wanted = scratch.keep(words.join(wanted, "key", "left_semi").select("key", F.col("least").alias("doc_id")), "wanted", count)
-    # Texts are read a second time only for the keys that some pair may name.
-    read = parted(rows, "doc_id", *key_filter(wanted, "doc_id"))[1]
-    sets = scratch.keep(shingle_sets(read, width).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
-
-    links = scratch.keep(resembling(proposed, sets, least), "links-0", count)
-    draw = F.pmod(F.xxhash64("key", "t"), F.lit(1 << 40)) / float(1 << 40) * F.col("c")
-    live, low, high, turn = scratch.keep(many.withColumn("draw", draw), "live-0", count), 0, PIVOTS, 0
-    while True:
-        roots = components(links, Scratch(docs.sparkSession, f"resemblance-roots-{turn}")).withColumnRenamed("node", "key")
-        most = live.agg(F.max("c")).first()[0]
-        if most is None or low >= most:
-            break
-        turn += 1
-        live = live.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        live = scratch.keep(live, f"rooted-{turn}", count)
-        apart = live.groupBy("t", "band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("t", "band")
-        live = scratch.keep(live.join(apart, ["t", "band"], "left_semi"), f"live-{turn}", count)
-        pivots = live.where((F.col("draw") >= low) & (F.col("draw") < high)).select("t", "band", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("far"))
-        pairs = live.join(pivots, ["t", "band"]).where((F.col("root") != F.col("far")) & may_resemble("n", "m", least)).select(F.col("key").alias("a"), "b")
-        pairs = scratch.keep(ordered(pairs), f"pairs-{turn}", count)
-        links = scratch.keep(links.union(resembling(pairs, sets, least)), f"links-{turn}", count)
-        low, high = high, 2 * high + PIVOTS
-
-    linked = roots.join(words.select("key", "least"), "key")
+    grouped = marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.min("fp").alias("fp"), F.min_by(F.struct("row", "prefix"), "row").alias("one"), F.count("*").alias("copies"))
+    classes = scratch.keep(grouped.select("key", "least", "n", "fp", "one.row", "one.prefix", "copies"), "classes", count)
+    some = classes.where("n > 0")
+    proposed = scratch.keep(word_pairs(some, radius, scratch, count), "proposed", count)
+    links = links_of_classes(some, rows, scratch, width, percent, count, proposed)
+    roots = components(links, Scratch(docs.sparkSession, "resemblance-roots")).withColumnRenamed("node", "key")
+    linked = roots.join(classes.select("key", "least"), "key")
     groups = linked.groupBy("root").agg(F.min("least").alias("lowest"), F.count("*").alias("size"))
     lowest = scratch.keep(joined_by_key(linked, groups, ["root"], "size", scratch).select("key", "lowest"), "lowest", count)
-    known = scratch.keep(words.join(lowest, "key", "left").select("key", "copies", F.coalesce("lowest", "least").alias("lowest")), "known", count)
+    known = scratch.keep(classes.join(lowest, "key", "left").select("key", "copies", F.coalesce("lowest", "least").alias("lowest")), "known", count)
     later = joined_by_key(marked.select("key", "doc_id"), known, ["key"], "copies", scratch).where("doc_id <> lowest").select(F.col("doc_id").alias(id_col)).distinct()
     ids = scratch.keep(later, "ids", count)
     scratch.only("ids")

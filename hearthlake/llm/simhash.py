@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake.llm.components import components
 from hearthlake.llm.shared import Scratch, joined_by_key, mapped, without
+from hearthlake.llm.words import shingle_hashes, views
 
 BITS, SEED = 64, 42
 #: Members of one bucket up to which its pairs are compared directly; larger buckets are linked exactly through flipped keys.
@@ -21,34 +21,33 @@ DIRECT = 128
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1).view("<u8")
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """The 64-bit hashes of a text's word shingles in order, of its words where these are no more than a shingle's; none where it has no word."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, "<u8")
-    line = b" ".join(words)
-    if len(words) <= width:
-        shingles = [line]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        shingles = [line[a:b] for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8", len(shingles))
-
-
-def word_of(hashes: np.ndarray) -> int:
-    """The signed 64-bit SimHash of shingle hashes; 0 where there are none."""
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of some hashes have each bit."""
     n = len(hashes)
-    if not n:
-        return 0
     lanes = np.add.reduceat(LANES[hashes.view(np.uint8).reshape(n, 8)], np.arange(0, n, 255), axis=0)
-    counts = np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+    return np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, BITS).sum(0, dtype=np.int64)
+
+
+class Word:
+    """The signed 64-bit SimHash of hashes that come in several arrays; 0 where there are none."""
+
+    def __init__(self) -> None:
+        self.counts, self.n = np.zeros(BITS, np.int64), 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.counts += bit_counts(hashes)
+        self.n += len(hashes)
+
+    def value(self) -> int:
+        return int(np.packbits(2 * self.counts > self.n, bitorder="little").view("<i8")[0])
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The signed 64-bit SimHash of a text's word shingles; 0 where it has no word."""
-    return word_of(shingle_hashes(text, width))
+def fingerprint(text: str | memoryview | None, width: int) -> int:
+    """The signed 64-bit SimHash of a text's word shingles, read a block at a time; 0 where it has no word."""
+    word = Word()
+    for hashes in shingle_hashes(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"", width, SEED):
+        word.add(hashes)
+    return word.value()
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,7 +55,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = pa.array((fingerprint(t.as_py(), width) for t in batch.column(1)), pa.int64(), size=batch.num_rows)
+            values = pa.array([fingerprint(t, width) for t in views(batch.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -1,17 +1,16 @@
 import random
 from itertools import combinations
 
-import numpy as np
 import pytest
 
-from hearthlake.llm import resemblance
-from hearthlake.llm.resemblance import bands
-from hearthlake.llm.simhash import one_of_each_group, shingle_hashes
+from hearthlake.llm import overlap
+from hearthlake.llm.simhash import one_of_each_group
+from hearthlake.llm.words import shingle_set
 from tests.llm.helpers import no_docs
 
 
 def jaccard(a, b):
-    a, b = (set(shingle_hashes(t, 5).tolist()) for t in (a, b))
+    a, b = (set(shingle_set(t.encode(), 5, 42).tolist()) for t in (a, b))
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
@@ -50,10 +49,9 @@ def brute(docs):
     return {d for d in root if find(d) == d}
 
 
-@pytest.mark.parametrize("direct", (32, 1))
-def test_near_copies_equal_brute_force_in_small_and_large_bands(spark, monkeypatch, direct):
-    monkeypatch.setattr(resemblance, "DIRECT", direct)
-    monkeypatch.setattr(resemblance, "PIVOTS", 8 if direct > 1 else 1)
+@pytest.mark.parametrize("short", (32, 2))
+def test_near_copies_equal_brute_force_in_short_and_long_lists(spark, monkeypatch, short):
+    monkeypatch.setattr(overlap, "SHORT", short)
     docs = some_docs()
     assert len(brute(docs)) < len(docs)
     kept = one_of_each_group(spark.createDataFrame(docs, "doc_id long, text string"))
@@ -66,9 +64,11 @@ def test_texts_alike_in_few_bits_only_stay(spark):
     assert one_of_each_group(no_docs(spark)).count() == 0
 
 
-def test_recall_of_the_bands():
-    draw, met = np.random.default_rng(7), []
-    for _ in range(1000):
-        both, a, b = (draw.integers(0, 1 << 63, n, np.uint64) for n in (160, 20, 20))  # resemblance 0.8
-        met.append(any(x == y for x, y in zip(bands(np.concatenate((both, a))), bands(np.concatenate((both, b))), strict=True)))
-    assert sum(met) >= 0.99 * len(met)
+def test_one_template_makes_few_comparisons(spark, monkeypatch):
+    draw = random.Random(4)
+    common = text(draw, 120)
+    docs = [(i, " ".join(common + text(draw, 55))) for i in range(2000)]
+    seen, probed = [], overlap.probed
+    monkeypatch.setattr(overlap, "probed", lambda pairs, percent: seen.append(pairs.count()) or probed(pairs, percent))
+    assert one_of_each_group(spark.createDataFrame(docs, "doc_id long, text string")).count() == 2000
+    assert sum(seen) < 2 * len(docs)
