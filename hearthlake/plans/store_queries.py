@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthlake.functions import money, text, urls
 from hearthlake.functions.geo import ISO_BY_NAME, SOURCE_COUNTRY, bounds, extent, not_at_zero, tolerance
 from hearthlake.functions.numbers import bedroom_words
 from hearthlake.operators import bands, merge, pack, probe, view
+from hearthlake.operators.versions import SnapshotLog, prune_store
 from hearthlake.plans import derived as D
+from hearthlake.plans.listing_queries import HI, LO
+from hearthlake.session import shared_dir
 from hearthlake.sources import details, files, portals
 
 QUERIES: dict = {}
@@ -273,13 +278,13 @@ def joined_urls(spark, sf_dir):
 
 @query(
     """SELECT c_custkey AS id, (-1 - c_nationkey)::DOUBLE AS west, (2 + c_nationkey)::DOUBLE AS east, 40::DOUBLE AS south, (41 + c_custkey % 3)::DOUBLE AS north,
-    greatest(0.004::DOUBLE, least(0.03::DOUBLE, greatest(3 + 2 * c_nationkey, 1 + c_custkey % 3)::DOUBLE / 600)) AS tolerance, CASE WHEN c_custkey % 4 = 0 THEN '—' ELSE CASE WHEN c_custkey >= 500 THEN '1.' ELSE '' END || CASE WHEN c_custkey >= 500 THEN lpad((c_custkey * 2 - 1000)::VARCHAR, 3, '0') ELSE (c_custkey * 2)::VARCHAR END END AS shown
-    FROM customer WHERE c_custkey < 1000"""
+    greatest(0.004::DOUBLE, least(0.03::DOUBLE, greatest(3 + 2 * c_nationkey, 1 + c_custkey % 3)::DOUBLE / 600)) AS tolerance, CASE WHEN c_custkey % 4 = 0 THEN '—' ELSE replace(format('{:,}', c_custkey * 2), ',', '.') END AS shown
+    FROM customer"""
 )
 def outline_bounds(spark, sf_dir):
     n, i = F.col("c_nationkey").cast("double"), F.col("c_custkey")
     ring = F.array(F.array(-1 - n, F.lit(40.0)), F.array(n + 2, 41.0 + i % 3), F.array(F.lit(0.0), F.lit(40.5)))
-    rows = D.table(spark, sf_dir, "customer").where(i < 1000).select(i.alias("id"), F.array(ring).alias("rings"), text.dutch_number(F.when(i % 4 != 0, i * 2 + 0.1)).alias("shown"))
+    rows = D.table(spark, sf_dir, "customer").select(i.alias("id"), F.array(ring).alias("rings"), text.dutch_number(F.when(i % 4 != 0, i * 2 + 0.1)).alias("shown"))
     return rows.select("id", bounds(F.col("rings")).alias("b"), tolerance(extent(F.col("rings"))).alias("tolerance"), "shown").select("id", "b.*", "tolerance", "shown")
 
 
@@ -287,3 +292,33 @@ def outline_bounds(spark, sf_dir):
 def unknown_searches(spark, sf_dir):
     specs = D.table(spark, sf_dir, "nation").where("n_nationkey < 10").select(F.concat(F.lit("search "), F.col("n_nationkey")).alias("search"))
     return files.unknown_searches(specs, [f"search {i}" for i in range(25)])
+
+
+def pruned_store(spark: SparkSession, sf_dir: str) -> SnapshotLog:
+    """The listings and their history as version 0, pruned by price as version 1."""
+    log = SnapshotLog(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}")
+    history = D.history(spark, sf_dir).select("listing_id", "price")
+    log.commit({"listings": D.listings(spark, sf_dir).select("id", "price"), "history": history, "runs": D.table(spark, sf_dir, "nation").select("n_name")}, "load")
+    prune_store(log, ["history"], LO, HI)
+    return log
+
+
+W_PRUNED = f"WITH {D.DUCK_LISTING}, {D.DUCK_HISTORY}, kept AS (SELECT id FROM listing WHERE price IS NULL OR price BETWEEN {LO} AND {HI})"
+
+
+@query(
+    W_PRUNED
+    + """ SELECT 0::BIGINT AS version, 'load' AS note, 'listings' AS tbl, (SELECT count(*) FROM listing) AS rows, false AS shared
+    UNION ALL SELECT 0, 'load', 'history', (SELECT count(*) FROM history), false UNION ALL SELECT 0, 'load', 'runs', (SELECT count(*) FROM nation), false
+    UNION ALL SELECT 1, 'prune', 'listings', (SELECT count(*) FROM kept), false UNION ALL SELECT 1, 'prune', 'history', (SELECT count(*) FROM history WHERE listing_id IN (FROM kept) OR listing_id NOT IN (SELECT id FROM listing)), false
+    UNION ALL SELECT 1, 'prune', 'runs', (SELECT count(*) FROM nation), true"""
+)
+def store_versions(spark, sf_dir):
+    return pruned_store(spark, sf_dir).versions()
+
+
+@query(W_PRUNED + " SELECT 0 AS version, id, price FROM listing UNION ALL SELECT 1, id, price FROM listing WHERE id IN (FROM kept)")
+def store_as_of(spark, sf_dir):
+    """The listings before and after they were pruned, both read from the log."""
+    log = pruned_store(spark, sf_dir)
+    return log.read("listings", 0).select(F.lit(0).alias("version"), "id", "price").unionByName(log.read("listings", 1).select(F.lit(1).alias("version"), "id", "price"))
