@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hearthlake.plans import derived as D
 from hearthlake.sources import portals
-from hearthlake.sources.html import extracted
+from hearthlake.sources.elements import extracted_cards
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,7 +73,7 @@ for _source in CARDS:
 def html_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of the navigation and the heading of every raw page."""
     pages = D.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), "html")
-    found = extracted(pages, "nav > ul li", {"link": "a@href", "label": "a"}, {"lang": "html@lang"})
+    found = extracted_cards(pages, "nav > ul li", {"link": "a@href", "label": "a"}, {"lang": "html@lang"})
     return found.where("pos is not null").select(F.col("url").cast("long").alias("page_id"), F.col("pos").cast("long").alias("pos"), F.col("f")["link"].alias("link"), F.col("p")["lang"].alias("lang"))
 
 

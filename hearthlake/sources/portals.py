@@ -17,9 +17,12 @@ from hearthlake.functions import money, numbers, text, urls
 from hearthlake.functions.cleaning import plot_as_land
 from hearthlake.functions.geo import literal_map, not_at_zero
 from hearthlake.functions.numbers import found, matched
+from hearthlake.sources.elements import extracted_cards
 from hearthlake.sources.html import extracted
 
 PORTALS: dict[str, Portal] = {}
+#: Portals whose result pages are read through the table of elements; the others' are walked where they lie, which takes half the time and gives the same rows.
+ON_ELEMENTS = frozenset(["franimo", "domaza", "lefigaro", "greenacres"])
 
 
 @dataclass(frozen=True)
@@ -924,7 +927,7 @@ def unwrapped(pages: DataFrame) -> DataFrame:
 def cards(pages: DataFrame, source: str) -> DataFrame:
     portal = PORTALS[source]
     pages = unwrapped(pages) if source == "greenacres" else pages
-    return extracted(pages, portal.card, portal.fields, portal.page)
+    return (extracted_cards if source in ON_ELEMENTS else extracted)(pages, portal.card, portal.fields, portal.page)
 
 
 def list_rows(pages: DataFrame, source: str) -> DataFrame:
