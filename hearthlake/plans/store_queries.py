@@ -11,9 +11,12 @@ from hearthlake.functions import money, text, urls
 from hearthlake.functions.geo import ISO_BY_NAME, SOURCE_COUNTRY, bounds, extent, not_at_zero, tolerance
 from hearthlake.functions.numbers import bedroom_words
 from hearthlake.operators import bands, merge, pack, probe, view
+from hearthlake.operators.filters import row_haystack
+from hearthlake.operators.text_index import TextIndex
 from hearthlake.operators.versions import SnapshotLog, prune_store
 from hearthlake.plans import derived as D
-from hearthlake.plans.listing_queries import HI, LO
+from hearthlake.plans.listing_queries import HI, LO, listing_view_of
+from hearthlake.plans.listing_queries import ORACLES as LISTING_ORACLES
 from hearthlake.session import shared_dir
 from hearthlake.sources import details, files, portals
 
@@ -322,3 +325,22 @@ def store_as_of(spark, sf_dir):
     """The listings before and after they were pruned, both read from the log."""
     log = pruned_store(spark, sf_dir)
     return log.read("listings", 0).select(F.lit(0).alias("version"), "id", "price").unionByName(log.read("listings", 1).select(F.lit(1).alias("version"), "id", "price"))
+
+
+def indexed(spark: SparkSession, sf_dir: str, words: str) -> DataFrame:
+    """The listings still there that have all words, by the index: only candidates are joined to the listings."""
+    rows = listing_view_of(spark, sf_dir)
+    index = TextIndex(spark)
+    index.add(rows, "id", row_haystack())
+    return rows.where("gone_at IS NULL").join(index.search(words), "id", "left_semi").select("id")
+
+
+@query(LISTING_ORACLES["search_text"])
+def search_indexed(spark, sf_dir):
+    return indexed(spark, sf_dir, "  Near BUILDING ")
+
+
+@query(LISTING_ORACLES["search_text"].replace("'near'", "'fr'").replace("'building'", "'achinery'"))
+def search_indexed_short(spark, sf_dir):
+    """A word that is shorter than a gram is verified among the candidates of the other one."""
+    return indexed(spark, sf_dir, "fr achinery")
