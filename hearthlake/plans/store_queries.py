@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hearthlake.functions import money, text, urls
 from hearthlake.functions.geo import ISO_BY_NAME, SOURCE_COUNTRY, bounds, extent, not_at_zero, tolerance
 from hearthlake.functions.numbers import bedroom_words
-from hearthlake.operators import bands, merge, pack, probe, view
+from hearthlake.operators import bands, compaction, merge, pack, probe, view
 from hearthlake.operators.filters import row_haystack
 from hearthlake.operators.text_index import TextIndex
 from hearthlake.operators.versions import SnapshotLog, prune_store
@@ -344,3 +344,18 @@ def search_indexed(spark, sf_dir):
 def search_indexed_short(spark, sf_dir):
     """A word that is shorter than a gram is verified among the candidates of the other one."""
     return indexed(spark, sf_dir, "fr achinery")
+
+
+@query("SELECT count(*) AS files, sum(strlen(html) + 1)::BIGINT AS bytes, count(*) AS pages, count(DISTINCT html) AS different, 0::BIGINT AS left_over, true AS fewer FROM pages WHERE html IS NOT NULL")
+def pack_files(spark, sf_dir):
+    """Every raw page as a file of its own, packed by size: what was there, what is readable after it, and what is left of the files."""
+    root = f"{shared_dir(spark)}/pack-{uuid.uuid4().hex}"
+    pages = D.table(spark, sf_dir, "pages").where("html IS NOT NULL")
+    pages.select("html").write.option("maxRecordsPerFile", 1).text(f"{root}/in")
+    archive = compaction.PageArchive(spark, f"{root}/archive")
+    report = archive.pack(f"{root}/in", target=1 << 20)
+    read = archive.pages().agg(F.count("html").alias("pages"), F.count_distinct("html").alias("different"))
+    left = compaction.file_sizes(spark, f"{root}/in").agg(F.count("*").alias("left_over"))
+    # One row on every side.
+    whole = report.join(read, F.lit(True)).join(left, F.lit(True))
+    return whole.select("files", "bytes", "pages", "different", "left_over", (F.col("packed") < F.col("files")).alias("fewer"))

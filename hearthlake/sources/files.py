@@ -31,8 +31,8 @@ def decoded(content: bytes | None, declared: str = "utf-8") -> str | None:
             return text
 
 
-def page_files(spark: SparkSession, path: str, declared: str = "utf-8") -> DataFrame:
-    """key, fetched_at, html of cached page files, gzipped or plain; the key is the file's name, the hash of its address.
+def page_files(spark: SparkSession, path: str, declared: str = "utf-8", with_path: bool = False) -> DataFrame:
+    """key, fetched_at, html of cached page files, gzipped or plain; the key is the file's name, the hash of its address. With with_path its path, too.
 
     A file that cannot be unpacked has null html, so a freshness filter fetches it anew.
     """
@@ -45,11 +45,12 @@ def page_files(spark: SparkSession, path: str, declared: str = "utf-8") -> DataF
                     html.append(decoded(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content, declared))
                 except (OSError, EOFError):
                     html.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(html, pa.string())], ["key", "fetched_at", "html"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(html, pa.string()), batch.column(3)], ["key", "fetched_at", "html", "path"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", r"([^/]+?)(?:\.html)?(?:\.gz)?$", 1)
-    return files.select(name.alias("key"), F.col("modificationTime").alias("fetched_at"), "content").mapInArrow(run, "key string, fetched_at timestamp, html string")
+    read = files.select(name.alias("key"), F.col("modificationTime").alias("fetched_at"), "content", "path").mapInArrow(run, "key string, fetched_at timestamp, html string, path string")
+    return read if with_path else read.drop("path")
 
 
 def fresh(pages: DataFrame, asof: Column, max_age_seconds: int | None) -> DataFrame:
