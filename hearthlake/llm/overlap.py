@@ -8,6 +8,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,12 @@ def prefix_of(shingles: np.ndarray, late: np.ndarray | None, percent: int, times
     return shingles[: times * (n - own_occurrences(n, percent) + 1)] if n else shingles
 
 
+def start_of(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of an ascending set: its prefix in the order of the hashes and half as many more, from which most later prefixes can be told."""
+    n = len(shingles)
+    return shingles[: 3 * (n - own_occurrences(n, percent) + 1) // 2 + 1] if n else shingles
+
+
 def key_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
@@ -68,19 +75,19 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def marked_sets(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, row, key (digest of the set), n (its size), prefix for rows (doc_id, row, text)."""
+    """doc_id, row, key (digest of the set), n (its size), start for rows (doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, prefixes = [], [], []
+            keys, sizes, starts = [], [], []
             for text in views(batch.column(2)):
                 found = shingle_set(text, width, SEED)
-                keys.append(key_of(found)), sizes.append(len(found)), prefixes.append(prefix_of(found, None, percent))
-            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists(prefixes)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "key", "n", "prefix"])
+                keys.append(key_of(found)), sizes.append(len(found)), starts.append(start_of(found, percent))
+            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists(starts)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "key", "n", "start"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return mapped(rows, run, f"doc_id {kind}, row long, key binary, n long, prefix array<long>")
+    return mapped(rows, run, f"doc_id {kind}, row long, key binary, n long, start array<long>")
 
 
 def sets_of(texts: DataFrame, width: int) -> DataFrame:
@@ -111,6 +118,26 @@ def prefixes_behind(texts: DataFrame, width: int, percent: int, late) -> DataFra
     return mapped(texts.select("text"), run, "key binary, prefix array<long>, ahead array<long>")
 
 
+def prefixes_of_starts(classes: DataFrame, percent: int, late) -> DataFrame:
+    """key, row, prefix behind the broadcast filter late for classes (key, row, n, start); null where the start holds too little of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        behind = received(late)
+        for batch in batches:
+            starts, sizes = batch.column(3), batch.column(2).to_pylist()
+            at, flat = starts.offsets.to_pylist(), starts.values.to_numpy().view("<u8")
+            parts, known = [], []
+            for k, n in enumerate(sizes):
+                start = flat[at[k] : at[k + 1]]
+                first = start[~holds(behind, start)][: n - own_occurrences(n, percent) + 1]
+                known.append(len(first) == n - own_occurrences(n, percent) + 1)
+                parts.append(first if known[-1] else start[:0])
+            found = pc.if_else(pa.array(known), lists(parts), pa.scalar(None, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["key", "row", "prefix"])
+
+    return mapped(classes.select("key", "row", "n", "start"), run, "key binary, row long, prefix array<long>")
+
+
 def of_classes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts of rows that stand for the classes of wanted (row, key); a bounded filter lets a few more through."""
     return parted(rows, "row", *key_filter(wanted, "row"))[1]
@@ -146,7 +173,8 @@ def ordered_prefixes(classes: DataFrame, rows: DataFrame, scratch: Scratch, widt
     than SHORT of them go into a filter, and classes whose prefix holds one are read again behind it. What a
     filter lets through by chance is late for all classes alike.
     """
-    prefixes, written = classes.select("key", "prefix"), None
+    own = (F.col("n") - rest_of(F.col("n"), percent)).cast("int")
+    prefixes, written = classes.select("key", F.slice("start", F.lit(1), own).alias("prefix")), None
     fresh, late, sent_late = prefixes.withColumn("ahead", F.array().cast("array<long>")), None, None
     for turn in range(ROUNDS):
         counted = fresh.select(F.explode(F.concat("prefix", "ahead")).alias("h")).groupBy("h").agg(F.count("*").alias("c"))
@@ -160,10 +188,13 @@ def ordered_prefixes(classes: DataFrame, rows: DataFrame, scratch: Scratch, widt
         moved = scratch.keep(newly_late(prefixes, sent_late, before), f"moved-{turn}", count)
         if moved.isEmpty():
             break
-        moved = scratch.keep(classes.select("key", "row").join(moved, "key", "left_semi"), f"again-{turn}", count)
-        again = prefixes_behind(of_classes(rows, moved), width, percent, sent_late).join(moved.select("key"), "key", "left_semi")
-        fresh = scratch.keep(again.dropDuplicates(["key"]), f"fresh-{turn}", count)
-        prefixes = scratch.keep(without(prefixes, moved, "key").unionByName(fresh.select("key", "prefix")), f"prefixes-{turn}", count)
+        told = scratch.keep(prefixes_of_starts(classes.join(moved, "key", "left_semi"), percent, sent_late), f"told-{turn}")
+        unknown = scratch.keep(told.where("prefix IS NULL").select("key", "row"), f"again-{turn}", count)
+        again = prefixes_behind(of_classes(rows, unknown), width, percent, sent_late).join(unknown.select("key"), "key", "left_semi")
+        told = told.where("prefix IS NOT NULL").select("key", "prefix", F.array().cast("array<long>").alias("ahead"))
+        fresh = scratch.keep(again.dropDuplicates(["key"]).unionByName(told), f"fresh-{turn}")
+        prefixes = scratch.keep(without(prefixes, moved, "key").unionByName(fresh.select("key", "prefix")), f"prefixes-{turn}")
+        scratch.drop(f"told-{turn}")
         if written is not None:
             scratch.drop(written)
         written = f"prefixes-{turn}"
@@ -238,7 +269,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 1) -> D
 
 
 def links_of_classes(classes: DataFrame, rows: DataFrame, scratch: Scratch, width: int, percent: int, count: int, proposed: DataFrame | None = None) -> DataFrame:
-    """Links a, b between classes (key, n, prefix, row): their components are those of all pairs that link.
+    """Links a, b between classes (key, n, start, row): their components are those of all pairs that link.
 
     rows (row, text) are read again for the texts of some classes. Pairs a, b proposed by another search are looked up with the candidates.
     """
@@ -248,7 +279,7 @@ def links_of_classes(classes: DataFrame, rows: DataFrame, scratch: Scratch, widt
     sizes = scratch.keep(postings.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "sizes", count)
     # Most shingles stand in one prefix only and go before anything is shuffled.
     members = parted(postings, "h", *key_filter(sizes, "h"))[1].join(sizes, "h")
-    members = scratch.keep(members, "members", count)
+    members = scratch.keep(members, "members")
     short = F.col("c") <= SHORT
     ends = members.groupBy("key").agg(F.count_if(short).alias("s"), F.count_if(~short).alias("l"), F.collect_set(F.when(~short, F.col("h"))).alias("late"))
     ends = scratch.keep(ends.join(classes.select("key", "n", "row"), "key"), "ends", count)
@@ -263,7 +294,7 @@ def links_of_classes(classes: DataFrame, rows: DataFrame, scratch: Scratch, widt
     late = [ends.select(F.col("key").alias(k), F.col("l").alias(f"{k}_l")) for k in "ab"]
     near = near.join(late[0], "a").join(late[1], "b").where(F.col("shared") >= enough - F.least("a_l", "b_l")).select("a", "b")
     near = near if proposed is None else near.union(proposed.where("a <> b").select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
-    near = scratch.keep(near, "near", count)
+    near = scratch.keep(near, "near")
 
     wanted = ends.where("l > 0").select("key", "row").union(classes.select("key", "row").join(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi").select("key", "row")).distinct()
     wanted = scratch.keep(wanted, "wanted", count)
@@ -300,14 +331,16 @@ def links_of_long_lists(members: DataFrame, ends: DataFrame, links: DataFrame, s
         near = scratch.keep(both.where(may_link(F.col("own.n"), F.col("other.n"), percent) & (shared >= need)).select("a", "b"), f"long-near-{turn}", count)
         return scratch.keep(linked(near, sets, percent, SALTS), f"long-links-{turn}", count)
 
-    centres = placed.groupBy("h").agg(F.min_by("key", F.struct(-F.col("a") / prefix, "key")).alias("b"))
-    centres = scratch.keep(centres, "centres", count)
-    found = compared(placed.join(centres, "h").where("key <> b").select(F.col("key").alias("a"), "b"), "0")
+    centres = placed.groupBy("h").agg(F.min_by(F.struct("key", "n", "a"), F.struct(-F.col("a") / prefix, "key")).alias("one"))
+    centres = scratch.keep(centres.select("h", F.col("one.key").alias("b"), F.col("one.n").alias("m"), F.col("one.a").alias("b_a")), "centres", count)
+    # Prefixes that hold too little of what others have link with nothing of the other's size.
+    able = may_link(F.col("n"), F.col("m"), percent) & (needed(F.col("n"), F.col("m"), percent) <= F.least("a", "b_a"))
+    found = compared(placed.join(centres, "h").where((F.col("key") != F.col("b")) & able).select(F.col("key").alias("a"), "b"), "0")
     for turn, many in enumerate(DRAWN, 1):
         rooted, apart = apart_from_centres(placed, centres, links.union(found), scratch, f"{turn}", count)
         draw = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / float(1 << 40) * F.col("c") < many
-        pivots = apart.where(draw).select("h", F.col("key").alias("b"), F.col("root").alias("far"))
-        pairs = apart.join(pivots, "h").where("root <> far").select(F.col("key").alias("a"), "b")
+        pivots = apart.where(draw).select("h", F.col("key").alias("b"), F.col("root").alias("far"), F.col("n").alias("m"), F.col("a").alias("b_a"))
+        pairs = apart.join(pivots, "h").where((F.col("root") != F.col("far")) & able).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
         found = found.union(compared(pairs, f"{turn}"))
     rooted, apart = apart_from_centres(placed, centres, links.union(found), scratch, "all", count)
     wanted = apart.groupBy("key", "n", "a", "root").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("in"))
@@ -335,7 +368,7 @@ def apart_from_centres(placed: DataFrame, centres: DataFrame, links: DataFrame,
     """placed with the root of every member's component, and the members in no component of a centre of their list."""
     roots = components(links, Scratch(placed.sparkSession, f"overlap-roots-{turn}")).withColumnRenamed("node", "key")
     rooted = scratch.keep(placed.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), f"rooted-{turn}", count)
-    middle = centres.join(roots.withColumnRenamed("key", "b"), "b", "left").select("h", F.coalesce("root", "b").alias("middle"))
+    middle = centres.select("h", "b").join(roots.withColumnRenamed("key", "b"), "b", "left").select("h", F.coalesce("root", "b").alias("middle"))
     return rooted, scratch.keep(rooted.join(middle, "h").where("root <> middle").drop("middle"), f"apart-{turn}", count)
 
 
@@ -360,8 +393,8 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     marked = scratch.keep(marked_sets(rows, width, percent), "marked")
     count = marked.count()
-    grouped = marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.min_by(F.struct("row", "prefix"), "row").alias("one"), F.count("*").alias("copies"))
-    classes = scratch.keep(grouped.select("key", "least", "n", "one.row", "one.prefix", "copies"), "classes", count)
+    grouped = marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.min_by(F.struct("row", "start"), "row").alias("one"), F.count("*").alias("copies"))
+    classes = scratch.keep(grouped.select("key", "least", "n", "one.row", "one.start", "copies"), "classes")
     links = links_of_classes(classes.where("n > 0"), rows, scratch, width, percent, count)
     roots = components(links, Scratch(docs.sparkSession, "overlap-components")).withColumnRenamed("node", "key")
     linked_classes = roots.join(classes.select("key", "least"), "key")

@@ -10,30 +10,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake.llm.components import components
-from hearthlake.llm.overlap import SEED, key_of, links_of_classes, lists, prefix_of
+from hearthlake.llm.overlap import SEED, key_of, links_of_classes, lists, start_of
 from hearthlake.llm.shared import Scratch, joined_by_key, mapped
 from hearthlake.llm.simhash import Word, near_links
 from hearthlake.llm.words import shingle_hashes, views
 
 
 def marked_texts(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, row, key (digest of the set of shingles), n (its size), fp, prefix for rows (doc_id, row, text)."""
+    """doc_id, row, key (digest of the set of shingles), n (its size), fp, start for rows (doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, words, prefixes = [], [], [], []
+            keys, sizes, words, starts = [], [], [], []
             for text in views(batch.column(2)):
                 word, parts = Word(), [np.empty(0, "<u8")]
                 for hashes in shingle_hashes(text, width, SEED):
                     word.add(hashes)
                     parts.append(np.unique(hashes))
                 found = np.unique(np.concatenate(parts))
-                keys.append(key_of(found)), sizes.append(len(found)), words.append(word.value()), prefixes.append(prefix_of(found, None, percent))
-            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(words, pa.int64()), lists(prefixes)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "key", "n", "fp", "prefix"])
+                keys.append(key_of(found)), sizes.append(len(found)), words.append(word.value()), starts.append(start_of(found, percent))
+            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(words, pa.int64()), lists(starts)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "key", "n", "fp", "start"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return mapped(rows, run, f"doc_id {kind}, row long, key binary, n long, fp long, prefix array<long>")
+    return mapped(rows, run, f"doc_id {kind}, row long, key binary, n long, fp long, start array<long>")
 
 
 def word_pairs(words: DataFrame, radius: int, scratch: Scratch, rows: int) -> DataFrame:
@@ -62,8 +62,8 @@ def later_copies(docs: DataFrame, width: int, radius: int, least: float, id_col:
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     marked = scratch.keep(marked_texts(rows, width, percent), "marked")
     count = marked.count()
-    grouped = marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.min("fp").alias("fp"), F.min_by(F.struct("row", "prefix"), "row").alias("one"), F.count("*").alias("copies"))
-    classes = scratch.keep(grouped.select("key", "least", "n", "fp", "one.row", "one.prefix", "copies"), "classes", count)
+    grouped = marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.min("fp").alias("fp"), F.min_by(F.struct("row", "start"), "row").alias("one"), F.count("*").alias("copies"))
+    classes = scratch.keep(grouped.select("key", "least", "n", "fp", "one.row", "one.start", "copies"), "classes")
     some = classes.where("n > 0")
     proposed = scratch.keep(word_pairs(some, radius, scratch, count), "proposed", count)
     links = links_of_classes(some, rows, scratch, width, percent, count, proposed)

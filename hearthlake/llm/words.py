@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of a text that are split into words at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
