@@ -31,7 +31,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: SimHash and MinHash propose, the exact resemblance of five-word shingles decides.
+    """One document of each group of near copies: SimHash and a join of shingle sets propose, the exact resemblance of five-word shingles decides.
 
     The smallest identifier of a group stays; null, empty and wordless texts are copies of each other. Rows
     without an identifier stay, rows that share one go or stay together.
