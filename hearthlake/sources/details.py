@@ -52,30 +52,33 @@ def fact_like(pattern: str) -> Column:
     return F.try_element_at(F.map_values(F.map_filter("facts", lambda k, v: k.rlike(pattern))), F.lit(1))
 
 
+def part(value: Column | str, path: str, kind: str = "string") -> Column:
+    """A part of a parsed JSON value, as text or another type; null where it is not there or of no such type."""
+    return F.try_variant_get(value, path if path.startswith("$") else f"${path}" if path.startswith("[") else f"$.{path}", kind)
+
+
 def ld_block(kinds: tuple[str, ...], any_kind: bool) -> Column:
-    """The page's first JSON-LD block of one of these kinds, else its first block at all; lists and graphs are opened."""
-    listed = lambda text: F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
-    graph = lambda b: F.get_json_object(b, "$['@graph']")
-    opened = lambda b: F.when(F.startswith(F.ltrim(b), F.lit("[")), listed(b)).when(
-        graph(b).isNotNull(),
-        listed(graph(b)),
-    ).otherwise(F.array(b))
-    blocks = F.flatten(F.transform(F.split(F.coalesce(f("ld"), F.lit("")), RECORD), opened))
-    wanted = F.filter(blocks, lambda b: F.lower(F.get_json_object(b, "$['@type']")).rlike(rf'(^|")({"|".join(kinds)})("|$)'))
+    """The page's first JSON-LD block of one of these kinds, else its first block at all, parsed; lists and graphs are opened.
+
+    Each block is parsed once, here; fields are parts of the parsed value.
+    """
+    parsed = F.transform(F.split(F.coalesce(f("ld"), F.lit("")), RECORD), F.try_parse_json)
+    opened = lambda b: F.coalesce(part(b, "$", "array<variant>"), part(b, "$['@graph']", "array<variant>"), F.array(b))
+    blocks = F.filter(F.flatten(F.transform(parsed, opened)), lambda b: b.isNotNull())
+    wanted = F.filter(blocks, lambda b: F.lower(part(b, "$['@type']")).rlike(rf'(^|")({"|".join(kinds)})("|$)'))
     first = F.try_element_at(wanted, F.lit(1))
     return F.coalesce(first, F.try_element_at(blocks, F.lit(1))) if any_kind else first
 
 
 def ld(path: str) -> Column:
     """A value of the page's JSON-LD block."""
-    return F.get_json_object("node", f"${path}" if path.startswith("[") else f"$.{path}")
+    return part("node", path)
 
 
 def ld_images() -> Column:
     """The pictures that the JSON-LD block names, one a line: addresses, or objects with one."""
-    stated = ld("image")
-    listed = F.coalesce(F.from_json(F.when(F.startswith(stated, F.lit("[")), stated), "array<string>"), F.array(stated))
-    each = F.transform(listed, lambda x: F.when(F.startswith(x, F.lit("{")), F.get_json_object(x, "$.url")).otherwise(x))
+    listed = F.coalesce(part("node", "image", "array<variant>"), F.array(part("node", "image", "variant")))
+    each = F.transform(listed, lambda x: F.coalesce(part(x, "url"), part(x, "$")))
     return F.array_join(F.filter(each, lambda x: F.startswith(x, F.lit("http"))), "\n")
 
 
