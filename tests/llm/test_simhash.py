@@ -1,14 +1,16 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import xxhash
 
 from hearthlake.llm import simhash
 from hearthlake.llm.components import components
 from hearthlake.llm.shared import Scratch
-from hearthlake.llm.simhash import covering_masks, fingerprint, near_groups, near_links, one_of_each_group
+from hearthlake.llm.simhash import bit_counts, covering_masks, fingerprint, near_groups, near_links, one_of_each_group
 from tests.llm.helpers import EDGES, clashing_docs, edge_docs, no_docs, rows
 
 
@@ -97,3 +99,18 @@ def test_one_document_of_each_group_stays(spark):
     kept = one_of_each_group(docs)
     assert kept.columns == docs.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 4, 5, None, 8, 8, 9])
+
+
+def test_a_long_text_is_read_in_pieces():
+    text = " ".join(f"word{i % 9973}" for i in range(900_000))  # 8 MB
+    data = memoryview(text.encode())
+    tracemalloc.start()
+    found = fingerprint(data, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Less than eight times a piece's bytes a word, and nothing that grows with the text.
+    assert peak < 60_000_000
+    words = text.split()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(" ".join(three), 42) for three in zip(words, words[1:], words[2:], strict=False)), "<u8")
+    counts = bit_counts(hashes)
+    assert found == int(np.packbits(2 * counts > 899_998, bitorder="little").view("<i8")[0])
