@@ -20,3 +20,10 @@ def test_imports_without_the_llm_folders(tmp_path):
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"], cwd=copy, capture_output=True, text=True, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy)})
     assert said.stdout.split()[1] == "False" and int(said.stdout.split()[0]) > 50
+
+
+def test_imports_with_the_pipeline_left_behind(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "spark-warehouse"))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(any(k.startswith('op') for k in e.queries()), 'pipeline' in e.queries())"], cwd=copy, capture_output=True, text=True, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy)})
+    assert said.stdout.split() == ["False", "False"]
