@@ -65,7 +65,7 @@ def summary(view: DataFrame, spec: FilterSpec) -> DataFrame:
     some = written(view.select(F.coalesce(matches, F.lit(False)).alias("in"), "price", "eur_m2", (F.col("price_drop") > 0).alias("drop"), F.col("detail_fetched").isNull().alias("plain")), "summary")
     counts = some.agg(F.count_if("in").alias("n"), F.count("*").alias("total"), F.count_if(F.col("in") & F.col("drop")).alias("drops"), F.count_if(F.col("in") & F.col("plain")).alias("without_detail"))
     for column in ("price", "eur_m2"):
-        middle = upper_medians(some.where("in"), column, [])
-        # One row at most on either side.
-        counts = counts.join(middle.withColumnRenamed(column, f"median_{column}"), F.lit(True), "left")
-    return counts.select("n", "total", "median_price", "median_eur_m2", "drops", "without_detail")
+        middle = upper_medians(some.where("in"), column, []).withColumnRenamed(column, f"median_{column}")
+        counts = counts.unionByName(middle, allowMissingColumns=True)
+    # Three rows at most, each with columns of its own.
+    return counts.agg(*(F.max(c).alias(c) for c in ("n", "total", "median_price", "median_eur_m2", "drops", "without_detail")))

@@ -356,6 +356,7 @@ def pack_files(spark, sf_dir):
     report = archive.pack(f"{root}/in", target=1 << 20)
     read = archive.pages().agg(F.count("html").alias("pages"), F.count_distinct("html").alias("different"))
     left = compaction.file_sizes(spark, f"{root}/in").agg(F.count("*").alias("left_over"))
-    # One row on every side.
-    whole = report.join(read, F.lit(True)).join(left, F.lit(True))
+    # One row of each, with columns of its own.
+    whole = report.unionByName(read, allowMissingColumns=True).unionByName(left, allowMissingColumns=True)
+    whole = whole.agg(*(F.max(c).alias(c) for c in ("files", "bytes", "packed", "pages", "different", "left_over")))
     return whole.select("files", "bytes", "pages", "different", "left_over", (F.col("packed") < F.col("files")).alias("fewer"))
