@@ -152,9 +152,9 @@ ORACLES = {
         FROM (FROM pairs UNION ALL FROM marks) QUALIFY part = 'pair' OR rank <= 50""",
     "op12_jaccard_join": r"""
         WITH RECURSIVE split AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
         shingles AS (
-            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 4 THEN list_filter([array_to_string(words, ' ')], x -> x <> '') ELSE list_transform(range(1, len(words) - 2), i -> array_to_string(words[i:i + 3], ' ')) END) AS shingle
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 4 THEN list_filter([array_to_string(words, ' ')], lambda x: x <> '') ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingle
             FROM split),
         sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
         shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b USING (shingle) GROUP BY ALL),
