@@ -83,12 +83,17 @@ def amounts(text: Column, source: str) -> Column:
 
 def to_euro(amount: Column, currency: Column, source: str) -> Column:
     """Whole euros at the portal's documented rate, half to even; null for a currency without a rate."""
-    value = F.when(currency == "EUR", amount.cast("long"))
-    for c, rate in TIMES.get(source, {}).items():
-        value = value.when(currency == c, rounded(amount * F.lit(rate)))
-    for c, rate in DIVIDED_BY.get(source, {}).items():
-        value = value.when(currency == c, rounded(amount / F.lit(rate)))
-    return value
+
+    def rule(paid: Column) -> Column:
+        amount, currency = paid["amount"], paid["currency"]
+        value = F.when(currency == "EUR", amount.cast("long"))
+        for c, rate in TIMES.get(source, {}).items():
+            value = value.when(currency == c, rounded(amount * F.lit(rate)))
+        for c, rate in DIVIDED_BY.get(source, {}).items():
+            value = value.when(currency == c, rounded(amount / F.lit(rate)))
+        return value
+
+    return once(F.struct(amount.alias("amount"), currency.alias("currency")), rule)
 
 
 def priced(paid: Column, source: str) -> Column:
@@ -133,16 +138,23 @@ def provenance(stated: Column, source: str, order: tuple[str, ...] = ("EUR", "GB
     that is there. One portal's amounts are never converted; one calls its dollars its own price.
     """
     rates = TIMES.get(source, {}) | {c: 1 / r for c, r in DIVIDED_BY.get(source, {}).items()}
-    first = F.try_element_at(F.filter(F.array(*map(F.lit, order)), lambda c: stated[c].isNotNull()), F.lit(1))
-    converted = (first != "EUR") & F.lit(source != "holprop")
-    kept = {f"price_{c.lower()}": stated[c].cast("string") for c in order}
-    kept["price_eur"] = F.coalesce(kept["price_eur"], F.when(converted, to_euro(stated[first], first, source).cast("string")))
-    own = "portal_usd" if source == "akiyaportal" else None
-    kept["price_source"] = F.when(first == "USD", own).otherwise(None) if own else F.lit(None)
-    kept["price_source"] = F.coalesce(kept["price_source"], F.when(converted, F.concat(F.lower(first), F.lit("_converted"))), F.concat(F.lit("portal_"), F.lower(first)))
-    rate = F.lit(None).cast("double")
-    for c, r in rates.items():
-        rate = F.when(converted & (first == c), r).otherwise(rate)
-    kept["fx_rate"] = rate.cast("string")
-    kept["fx_source"] = F.when(rate.isNotNull(), FX_SOURCE)
-    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, kept)), F.array(*(v.cast("string") for v in kept.values()))), lambda k, v: v.isNotNull())
+
+    def rule(stated: Column, first: Column) -> Column:
+        converted = (first != "EUR") & F.lit(source != "holprop")
+        kept = {f"price_{c.lower()}": stated[c].cast("string") for c in order}
+        kept["price_eur"] = F.coalesce(kept["price_eur"], F.when(converted, to_euro(stated[first], first, source).cast("string")))
+        own = "portal_usd" if source == "akiyaportal" else None
+        kept["price_source"] = F.when(first == "USD", own).otherwise(None) if own else F.lit(None)
+        kept["price_source"] = F.coalesce(kept["price_source"], F.when(converted, F.concat(F.lower(first), F.lit("_converted"))), F.concat(F.lit("portal_"), F.lower(first)))
+        rate = F.lit(None).cast("double")
+        for c, r in rates.items():
+            rate = F.when(converted & (first == c), r).otherwise(rate)
+        kept["fx_rate"] = rate.cast("string")
+        kept["fx_source"] = F.when(rate.isNotNull(), FX_SOURCE)
+        return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, kept)), F.array(*(v.cast("string") for v in kept.values()))), lambda k, v: v.isNotNull())
+
+    def of(stated: Column) -> Column:
+        first = F.try_element_at(F.filter(F.array(*map(F.lit, order)), lambda c: stated[c].isNotNull()), F.lit(1))
+        return once(first, lambda first: rule(stated, first))
+
+    return once(stated, of)

@@ -21,9 +21,14 @@ def spaced(text: Column) -> Column:
     return F.replace(text.cast("string"), F.lit(" "), F.lit(" "))
 
 
+def filled(text: Column) -> Column:
+    """A text, null if it is empty; nullif would work the text out twice inside a lambda, and twice more for each one around it."""
+    return F.get(F.array_remove(F.array(text), ""), F.lit(0))
+
+
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match; null where there is no match or the group is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return filled(F.regexp_extract(text, pattern, group))
 
 
 def once(value: Column, rule) -> Column:
@@ -41,7 +46,7 @@ def rounded(number: Column) -> Column:
 
 def digits(text: Column) -> Column:
     """All digits as one number: 70,000.00 is 7000000."""
-    return F.nullif(F.regexp_replace(text.cast("string"), "[^0-9]", ""), F.lit("")).try_cast("long")
+    return F.regexp_replace(text.cast("string"), "[^0-9]", "").try_cast("long")
 
 
 def decimal_comma(text: Column) -> Column:

@@ -33,7 +33,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def blank_as_null(value: Column) -> Column:
-    return F.nullif(value, F.lit(""))
+    return F.get(F.array_remove(F.array(value), ""), F.lit(0))
 
 
 def node_text(value: Column) -> Column:

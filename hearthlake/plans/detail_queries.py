@@ -105,7 +105,7 @@ DETAIL_FACTS = FACTS + ", CAST(400 + o_custkey % 3000 AS BIGINT) AS land"
 
 def detail_pages(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     """url, html: the orders as detail pages of a portal."""
-    facts = D.table(spark, sf_dir, "orders").selectExpr(*D.split_select(DETAIL_FACTS))
+    facts = D.spread(D.table(spark, sf_dir, "orders").selectExpr(*D.split_select(DETAIL_FACTS)))
 
     def filled(template: str):
         out = F.lit(template)
