@@ -24,8 +24,10 @@ def udtf_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def udtf_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search's sightings are many: each day of it is a key, and the days' spans are put together."""
     sightings(spark, sf_dir)
-    return spark.sql("SELECT * FROM per_key(TABLE(SELECT search, unix_seconds(CAST(ts AS TIMESTAMP)) AS at FROM observation), 'spans', 'search')")
+    days = "SELECT struct(search, at div 86400 AS day) AS part, at FROM (SELECT search, unix_seconds(CAST(ts AS TIMESTAMP)) AS at FROM observation)"
+    return spark.sql(f"SELECT part.search AS search, min(first_at) AS first_at, max(last_at) AS last_at, sum(n) AS n FROM per_key(TABLE({days}), 'spans', 'part') GROUP BY part.search")
 
 
 def udtf_cards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, SelectedColumn, udtf
@@ -10,14 +10,14 @@ from pyspark.sql.types import DataType, IntegerType, LongType, StringType, Struc
 
 from hearthlake.sources.html import Field, Selector, parse
 
-#: What a table function is made of: the columns that it adds, and what it does with the rows of one page or listing.
-ADAPTERS: dict[str, tuple[StructType, Callable[[list[Row]], Iterator[tuple]]]] = {}
+#: What a table function is made of: the columns that it adds, and what it does with the rows of one listing, one at a time.
+ADAPTERS: dict[str, tuple[StructType, type]] = {}
 
 
 def adapter(name: str, **columns: DataType):
-    """Registers a function of the rows of one key, in order, under a name that SQL can call it by."""
+    """Registers a fold over the rows of one key, in order, under a name that SQL can call it by: add(row) and end() give rows."""
 
-    def register(f: Callable[[list[Row]], Iterator[tuple]]):
+    def register(f: type):
         ADAPTERS[name] = (StructType([StructField(c, kind) for c, kind in columns.items()]), f)
         return f
 
@@ -25,21 +25,38 @@ def adapter(name: str, **columns: DataType):
 
 
 @adapter("price_changes", at=LongType(), price=LongType(), before=LongType(), status=StringType())
-def price_changes(rows: list[Row]) -> Iterator[tuple]:
+class PriceChanges:
     """What a listing's sightings (at, price) change: new, then each drop and rise; unpriced sightings change nothing."""
-    before = None
-    for n, row in enumerate(rows):
-        price = row["price"]
-        status = "new" if n == 0 else None if price is None or before is None or price == before else "price_drop" if price < before else "price_rise"
+
+    def __init__(self):
+        self.first, self.before = True, None
+
+    def add(self, row: Row) -> Iterator[tuple]:
+        price, before = row["price"], self.before
+        status = "new" if self.first else None if price is None or before is None or price == before else "price_drop" if price < before else "price_rise"
+        self.first, self.before = False, before if price is None else price
         if status:
             yield row["at"], price, before, status
-        before = before if price is None else price
+
+    def end(self) -> Iterator[tuple]:
+        return iter(())
 
 
 @adapter("spans", first_at=LongType(), last_at=LongType(), n=LongType())
-def spans(rows: list[Row]) -> Iterator[tuple]:
+class Spans:
     """The first and last sighting of a key, and how many there are."""
-    yield rows[0]["at"], rows[-1]["at"], len(rows)
+
+    def __init__(self):
+        self.first = self.last = None
+        self.n = 0
+
+    def add(self, row: Row) -> Iterator[tuple]:
+        self.first = row["at"] if self.n == 0 else self.first
+        self.last, self.n = row["at"], self.n + 1
+        return iter(())
+
+    def end(self) -> Iterator[tuple]:
+        yield self.first, self.last, self.n
 
 
 def described(analyzed: AnalyzeArgument, name: AnalyzeArgument, key: AnalyzeArgument) -> AnalyzeResult:
@@ -62,7 +79,7 @@ class PerKey:
     """per_key(TABLE(rows), name, key): the adapter of that name over the rows of every key, in order of the column at.
 
     The call's columns follow from the table and the name while it is analysed; so does the partitioning, by the
-    key alone, and that only the columns needed are read. Rows of one key meet in one task, one key at a time.
+    key alone, and that only the columns needed are read. Rows of one key meet in one task, one row at a time; none is kept.
     """
 
     @staticmethod
@@ -70,16 +87,18 @@ class PerKey:
         return described(table, name, key)
 
     def __init__(self):
-        self.rows: list[Row] = []
+        self.fold = None
 
     def eval(self, table: Row, name: str, key: str):
-        self.name, self.key = name, key
-        self.rows.append(table)
+        if self.fold is None:
+            self.fold, self.key = ADAPTERS[name][1](), table[key]
+        for found in self.fold.add(table):
+            yield (self.key, *found)
 
     def terminate(self):
-        if self.rows:
-            for found in ADAPTERS[self.name][1](self.rows):
-                yield (self.rows[0][self.key], *found)
+        if self.fold is not None:
+            for found in self.fold.end():
+                yield (self.key, *found)
 
 
 #: Sources of cards: card selector and fields. The portals are added when the functions are registered.

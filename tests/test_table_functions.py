@@ -1,9 +1,12 @@
 """Table functions: their columns follow from their arguments, and unknown names are errors that list the known ones."""
 
+import tracemalloc
+
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import Row
 
-from hearthlake.sources.functions import ADAPTERS, register_functions
+from hearthlake.sources.functions import ADAPTERS, PerKey, register_functions
 
 
 @pytest.fixture
@@ -21,6 +24,17 @@ def test_columns_follow_from_the_name_and_the_key(spark, seen):
     assert spark.sql("SELECT * FROM per_key(TABLE(SELECT * FROM seen WHERE false), 'spans', 'k')").count() == 0
 
 
+def test_rows_of_a_key_are_not_kept():
+    call = PerKey()
+    tracemalloc.start()
+    for i in range(50_000):
+        assert not list(call.eval(Row(k="a", at=i, price=i), "spans", "k"))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert list(call.terminate()) == [("a", 0, 49_999, 50_000)]
+    assert held < 1 << 20
+
+
 def test_unknown_names_are_listed(spark, seen):
     for sql, said in (
         ("SELECT * FROM per_key(TABLE(seen), 'nope', 'k')", "price_changes, spans"),
