@@ -16,10 +16,8 @@ GRAM, PAGE = 3, 32768
 
 def grams(hay: Column) -> Column:
     """The different grams of a text; none where it is shorter than a gram."""
-    letters = F.split(hay, "")
-    starts = F.sequence(F.lit(0), F.length(hay) - GRAM)
-    joined = F.transform(starts, lambda i: F.array_join(F.slice(letters, i + 1, GRAM), ""))
-    return F.array_distinct(F.when(F.length(hay) >= GRAM, joined).otherwise(F.array().cast("array<string>")))
+    # One pass of one pattern: a match of no length at every letter that has enough letters after it.
+    return F.array_distinct(F.regexp_extract_all(hay, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
 def grams_of(term: str) -> list[str]:
@@ -41,7 +39,8 @@ class TextIndex:
         """Indexes rows that are not in the index yet, and keeps their lower-cased texts to verify by."""
         kept = rows.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.lower(hay), F.lit("")).alias("hay"))
         part = f"part={uuid.uuid4().hex}"
-        kept.write.parquet(f"{self.path}/texts/{part}")
+        # By ranges of identifiers: a task then has few pages, so its partial bitmaps are few and full.
+        kept.repartitionByRange("id").write.parquet(f"{self.path}/texts/{part}")
         texts = self.spark.read.parquet(f"{self.path}/texts/{part}")
         posted = texts.select(F.floor(F.col("id") / PAGE).alias("page"), F.pmod("id", F.lit(PAGE)).alias("bit"), F.explode(grams(F.col("hay"))).alias("gram"))
         # Partial bitmaps are made in each task before they are shuffled by gram and page.

@@ -33,3 +33,11 @@ def test_candidates_are_few(spark, tmp_path):
     index.add(spark.createDataFrame(rows, "id long, text string"), "id", F.col("text"))
     assert index.candidates(["word2999"]).count() < 20 and [r["id"] for r in index.search("word2999 common").collect()] == [2999]
     assert index.search("common").count() == 3000
+
+
+def test_texts_lie_by_ranges_of_identifiers(spark, tmp_path):
+    """So that a task's partial bitmaps are those of few pages, however the rows came."""
+    index = TextIndex(spark, f"{tmp_path}/index")
+    index.add(spark.range(3000).repartition(4).select("id", F.concat(F.lit("word"), "id").alias("text")), "id", F.col("text"))
+    spans = index.texts().groupBy(F.input_file_name()).agg(F.min("id").alias("low"), F.max("id").alias("high")).orderBy("low").collect()
+    assert all(a["high"] < b["low"] for a, b in zip(spans, spans[1:], strict=False))
