@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hearthlake.functions.numbers import found, matched
+from hearthlake.functions.numbers import filled, found, matched, once
 
 # Where a listing's id stands in its address.
 LISTING_ID = {
@@ -143,29 +143,31 @@ GREEN_BASE = "https://www.green-acres.fr/nl/AdvertListingActions/AdvertsListing"
 
 def greenacres_tokens(url: Column) -> Column:
     """Map of the search tokens of an address: `searchQuery=lg-nl-cn-fr-hab_house-on`, its own parameters, and what its path says."""
-    given = query_map(url)
-    blob = F.coalesce(F.nullif(given["searchQuery"], F.lit("")), F.nullif(given["searchquery"], F.lit("")), given["UrlConditions"], F.lit(""))
-    listed = [F.nullif(F.regexp_extract(F.concat(F.lit("-"), blob, F.lit("-")), rf"(?i)-{t}-+([^-]+)(?=-)", 1), F.lit("")) for t in TOKENS]
-    values = {t: F.coalesce(F.nullif(given[t], F.lit("")), v) for t, v in zip(TOKENS, listed, strict=True)}
-    values["order"] = F.nullif(given["order"], F.lit(""))
-    path = F.lower(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("")))
-    values["city_id"] = F.coalesce(values["city_id"], F.when(F.contains(path, F.lit("creuse")), "dp_23"))
-    values["hab_house"] = F.when(F.contains(path, F.lit("/huis")) | (values["hab_house"] == "on"), "true").otherwise(values["hab_house"])
-    pairs = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values()))
-    return F.map_filter(pairs, lambda k, v: v.isNotNull())
+
+    def rule(given: Column, blob: Column) -> Column:
+        values = {t: F.coalesce(filled(given[t]), found(blob, rf"(?i)-{t}-+([^-]+)(?=-)")) for t in TOKENS}
+        values["order"] = filled(given["order"])
+        path = F.lower(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("")))
+        values["city_id"] = F.coalesce(values["city_id"], F.when(F.contains(path, F.lit("creuse")), "dp_23"))
+        values["hab_house"] = F.when(F.contains(path, F.lit("/huis")), "true").otherwise(once(values["hab_house"], lambda v: F.when(v == "on", "true").otherwise(v)))
+        pairs = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values()))
+        return F.map_filter(pairs, lambda k, v: v.isNotNull())
+
+    # Each is worked out once: the parameters, then the words of the search.
+    blob = lambda given: F.concat(F.lit("-"), F.coalesce(filled(given["searchQuery"]), filled(given["searchquery"]), given["UrlConditions"], F.lit("")), F.lit("-"))
+    return once(query_map(url), lambda given: once(blob(given), lambda words: rule(given, words)))
 
 
 def listing_api_url(url: Column, page: Column | int = 1, order: str = "price_i", base: str = GREEN_BASE) -> Column:
     """The address of the JSON listing that stands behind a search page; of such an address itself another page."""
     number = F.greatest(F.lit(1), F.lit(page) if isinstance(page, int) else page)
-    token = greenacres_tokens(url)
-    amount = lambda name: F.coalesce(F.nullif(F.regexp_replace(token[name], "[^0-9]", ""), F.lit("")), token[name])
-    parts = [
+    amount = lambda token, name: F.coalesce(filled(F.regexp_replace(token[name], "[^0-9]", "")), token[name])
+    parts = lambda token: [
         F.lit("advertType=Property"), F.concat(F.lit("p_n="), number.cast("string")), F.concat(F.lit("order="), F.url_encode(F.coalesce(token["order"], F.lit(order)))), F.concat(F.lit("cn="), F.coalesce(token["cn"], F.lit("fr"))),
         F.concat(F.lit("lg="), F.coalesce(token["lg"], F.lit("nl"))), F.lit("type=properties"), F.when(token["hab_house"].isin("on", "true", "1"), "hab_house=true"),
-        F.concat(F.lit("mx_p="), amount("mx_p")), F.concat(F.lit("mn_p="), amount("mn_p")), F.concat(F.lit("city_id="), token["city_id"]),
+        F.concat(F.lit("mx_p="), amount(token, "mx_p")), F.concat(F.lit("mn_p="), amount(token, "mn_p")), F.concat(F.lit("city_id="), token["city_id"]),
     ]
-    built = F.concat(F.lit(base + "?"), F.concat_ws("&", *parts))
+    built = F.concat(F.lit(base + "?"), once(greenacres_tokens(url), lambda token: F.concat_ws("&", *parts(token))))
     return F.when(F.contains(url, F.lit("AdvertListingActions/AdvertsListing")), with_query(url, "p_n", number)).otherwise(built)
 
 

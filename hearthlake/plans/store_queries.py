@@ -153,7 +153,7 @@ def run_minutes(spark, sf_dir):
 def seed_urls(spark, sf_dir):
     path = "CASE c_custkey % 4 WHEN 0 THEN '/nl/huis?searchQuery=lg-nl-cn-fr-hab_house-on-mx_p-' || c_custkey WHEN 1 THEN 'https://x.test/list?n=' || c_custkey WHEN 2 THEN 'a/' || c_custkey ELSE '/b' END"
     source = "CASE c_custkey % 4 WHEN 0 THEN 'greenacres' WHEN 1 THEN 'homege' ELSE 'domaza' END"
-    rows = D.table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{path} AS path", f"{source} AS source")
+    rows = D.spread(D.table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{path} AS path", f"{source} AS source"))
     bases = {k: v.base for k, v in portals.PORTALS.items()}
     found = rows.withColumn("url", urls.seed_url(F.col("path"), F.col("source"), bases))
     return found.select("id", "url", F.when(F.col("source") == "greenacres", urls.listing_api_url(F.col("url"), 3)).alias("third"))

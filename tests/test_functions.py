@@ -109,3 +109,12 @@ def test_places_and_areas(value):
     big = lambda kind: value(cleaning.plausible_living(F.lit(kind), F.lit(2500), F.lit(3), F.lit(2), F.lit(10)))
     assert big("huis") is None and big("kasteel") == 2500
     assert value(cleaning.living_of_land(F.lit("Terrein"), F.lit(80))) is None and value(cleaning.land_unless_echoed(F.lit(80), F.lit(80))) is None
+
+
+def test_address_parts_are_worked_out_once(spark):
+    """The parameters of an address were parsed anew for each of its search words."""
+    rows = spark.createDataFrame([("/nl/huis?searchQuery=lg-nl-cn-fr-hab_house-on-mx_p-5", "greenacres")], "path string, source string").repartition(1)
+    found = rows.select(urls.seed_url(F.col("path"), F.col("source"), {"greenacres": "https://www.green-acres.fr"}).alias("url"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?i)-lg-") == 1
+    assert found.first()["url"].endswith("&hab_house=true&mx_p=5")
