@@ -921,10 +921,11 @@ def unwrapped(pages: DataFrame) -> DataFrame:
     return pages.withColumn("html", F.when(boxed, F.concat(meta, F.get_json_object("html", "$.html"))).otherwise(F.col("html")))
 
 
-def cards(pages: DataFrame, source: str) -> DataFrame:
+def cards(pages: DataFrame, source: str, page: dict[str, str] | None = None) -> DataFrame:
+    """The cards of result pages; each has a copy of the page fields that are asked for."""
     portal = PORTALS[source]
     pages = unwrapped(pages) if source == "greenacres" else pages
-    return extracted(pages, portal.card, portal.fields, portal.page)
+    return extracted(pages, portal.card, portal.fields, page)
 
 
 def list_rows(pages: DataFrame, source: str) -> DataFrame:
@@ -947,7 +948,7 @@ def list_rows(pages: DataFrame, source: str) -> DataFrame:
 def list_pages(pages: DataFrame, source: str) -> DataFrame:
     """url, total, total_pages, cards, next_url of result pages."""
     portal = PORTALS[source]
-    rows = cards(pages, source).where(F.coalesce("pos", F.lit(0)) == 0)
+    rows = cards(pages, source, portal.page).where(F.coalesce("pos", F.lit(0)) == 0)
     number = F.coalesce(
         whole(p("current")).cast("int"),
         urls.page_number(F.col("url"), source) if source in urls.PAGE_NUMBER else F.lit(1),

@@ -10,7 +10,7 @@ from hearthlake.plans.source_queries import CARDS
 from hearthlake.sources.details import COMMON, DETAILS
 from hearthlake.sources.flat import Compiled, flat
 from hearthlake.sources.html import Field, Selector, parse
-from hearthlake.sources.portals import PORTALS
+from hearthlake.sources.portals import PORTALS, cards
 
 
 def filled(template: str, i: int) -> str:
@@ -67,3 +67,22 @@ def test_one_pass_gives_what_the_tree_gives(source):
 @pytest.mark.parametrize("html", ["<p>a<!-- c -->b", "a < b", "<a title='x>y'>z</a>", "<script>if (a<b) {}</script>", "</b>x", '<a href="?a=1&amp;b=2">x</a>', "<p>a</b>c</p>", "<title>a<b>c</title>", "<script>x", "<br/>"])
 def test_other_markup_goes_to_the_parser(html):
     assert flat(html, Compiled()) is None
+
+
+@pytest.mark.parametrize("source", sorted(PAGES))
+def test_pages_of_one_template_share_their_places(source):
+    """Places are found once for a template; texts, attributes, empty texts and where a search ends are each page's own."""
+    detail, bits = DETAILS[source], Compiled()
+    fields = {k: Field(v) for k, v in (COMMON | detail.fields | {"stopped": "*p, h2 until h2 with end"}).items()}
+    compiled = bits.fields(fields)
+    pages = ["<html><body>" + filled(PAGES[source][1], i) + f"<p>{'' if i % 2 else ' a &amp; b '}</p><h2>{'End' if i % 3 else 'more'}</h2><p>{i}</p><script>{i}</script></body></html>" for i in range(6)]
+    read = [flat(html, bits).found(compiled, 0) for html in pages]
+    assert len(bits.shapes) == 1
+    assert read == [[(k, v) for k, field in fields.items() if (v := field.read(root)) is not None] for root in map(parse, pages)]
+
+
+def test_cards_carry_no_copy_of_their_page(spark):
+    """Listings need no text of the page around them: twenty cards held it twenty times."""
+    pages = spark.createDataFrame([("u", '<body><div id="listings"><div><a href="/listings/a-b">x</a></div></div></body>')], "url string, html string")
+    assert cards(pages, "akiyaportal").select("p").first()["p"] == {}
+    assert cards(pages, "akiyaportal", PORTALS["akiyaportal"].page).select("p").first()["p"]["body"] == "x"
