@@ -1,6 +1,6 @@
 """What the engine reads from documents in files: outlines, published counts, search lists, packed exports; and counts of a stream by day.
 
-The documents are written from the tables first, fifty rows each, so that the work grows with them.
+The documents are written from the tables first, fifty rows each and one a line, so that the work grows with them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from hearthlake.streaming.merge_stream import new_by_day
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-A_FILE = 50
+A_DOCUMENT = 50
 
 
 def query(sql: str):
@@ -30,10 +30,10 @@ def query(sql: str):
 
 
 def documents(rows: DataFrame, key: str, entry: Column, around: tuple[str, str]) -> str:
-    """A folder of documents, one for every A_FILE keys: the entries of its rows, comma-joined, inside a frame."""
+    """A folder of documents, one a line, one for every A_DOCUMENT keys: the entries of its rows, comma-joined, inside a frame."""
     path = f"{shared_dir(rows.sparkSession)}/documents-{uuid.uuid4().hex}"
-    parts = rows.groupBy(F.floor(F.col(key) / A_FILE).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("entries"))
-    parts.select(F.concat(F.lit(around[0]), "entries", F.lit(around[1])).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    parts = rows.groupBy(F.floor(F.col(key) / A_DOCUMENT).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("entries"))
+    parts.select(F.concat(F.lit(around[0]), "entries", F.lit(around[1])).alias("value")).write.text(path)
     return path
 
 
@@ -50,7 +50,7 @@ def outline_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("c_custkey") % 3 == 0, "name").otherwise("nom")
     feature = F.concat(F.lit('{"properties":{"'), name, F.lit('":"n'), F.col("c_custkey"), F.lit('","code":"C"},"geometry":{"type":'), nested, F.lit("}}"))
     folder = documents(D.table(spark, sf_dir, "customer"), "c_custkey", feature, ('{"type":"FeatureCollection","features":[', "]}"))
-    rows = files.simplify(files.inside(files.outlines(spark, folder), -1, 40.5, -5, 5), 0.01)
+    rows = files.simplify(files.inside(files.outlines(spark, folder, lines=True), -1, 40.5, -5, 5), 0.01)
     return rows.select("name", "code", files.svg_path(F.col("rings")).alias("path"))
 
 
@@ -59,7 +59,7 @@ def published_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts that a build published; every seventh entry is malformed and left out."""
     i = F.col("c_custkey")
     entry = F.when(i % 7 == 0, F.when(i % 2 == 0, F.lit('{"search":"bad","n":"x"}')).otherwise('{"n":3}')).otherwise(F.concat(F.lit('{"search":"s'), i, F.lit('","n":'), i, F.lit("}")))
-    return files.published_counts(spark, documents(D.table(spark, sf_dir, "customer"), "c_custkey", entry, ('{"searches":[', "]}")))
+    return files.published_counts(spark, documents(D.table(spark, sf_dir, "customer"), "c_custkey", entry, ('{"searches":[', "]}")), lines=True)
 
 
 @query(
@@ -73,7 +73,7 @@ def search_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         ",", F.concat(F.lit('"path":"/p'), i, F.lit('"')), F.when(i % 2 == 0, '"source":"homege"'), F.when(i % 3 == 0, '"enabled":false'), F.when(i % 4 == 0, F.concat(F.lit('"skip":{"above":'), i, F.lit("}")))
     )
     entry = F.concat(F.lit('"s'), i, F.lit('":{'), fields, F.lit("}"))
-    specs = files.searches(spark, documents(D.table(spark, sf_dir, "customer"), "c_custkey", entry, ("{", "}")))
+    specs = files.searches(spark, documents(D.table(spark, sf_dir, "customer"), "c_custkey", entry, ("{", "}")), lines=True)
     return files.enabled(specs).select("search", "source", "enabled", "path", F.col("skip.above").alias("above"))
 
 
@@ -88,7 +88,7 @@ def packed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(i % 3 == 2, "null").otherwise((i % 3).cast("string"))
     entry = F.concat(F.lit("["), i, F.lit(","), code, F.lit(',"/x/'), i, F.lit('",'), thumb, F.lit("]"))
     frame = ('{"v":2,"cols":["id","agent","url","thumb"],"dict":{"agent":["Agence","Makelaar"]},"imgPrefixes":["https://cdn/a/"],"urlPrefix":"https://p.test","rows":[', "]}")
-    found = files.unpacked(spark, documents(D.table(spark, sf_dir, "orders"), "o_orderkey", entry, frame))
+    found = files.unpacked(spark, documents(D.table(spark, sf_dir, "orders"), "o_orderkey", entry, frame), lines=True)
     return found.select("id", *(F.col("facts")[c].alias(c) for c in ("agent", "url", "thumb")))
 
 

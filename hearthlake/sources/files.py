@@ -64,9 +64,14 @@ def compact_pages(pages: DataFrame, path: str, files: int) -> None:
     pages.repartitionByRange(files, "key").sortWithinPartitions("key").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def searches(spark: SparkSession, path: str) -> DataFrame:
+def documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """value: the documents under a path, one a file or, with lines, one a line; a million documents are then no million files."""
+    return spark.read.option("wholetext", str(not lines).lower()).text(path)
+
+
+def searches(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """search and its specification, one row each, from a JSON object keyed by name; source falls back to the default, enabled to true."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = documents(spark, path, lines)
     entries = text.select(F.explode(F.from_json("value", f"map<string,struct<{ddl_fields(SEARCH)}>>")).alias("search", "s"))
     found = entries.select("search", "s.*")
     return found.withColumn("source", F.coalesce("source", F.lit(DEFAULT_SOURCE))).withColumn("enabled", F.coalesce("enabled", F.lit(True)))
@@ -107,19 +112,20 @@ def unknown_searches(specs: DataFrame, names: list[str]) -> DataFrame:
     return asked.join(specs.select("search"), "search", "left_anti")
 
 
-def published_counts(spark: SparkSession, path: str) -> DataFrame:
+def published_counts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """search, ours from a published meta file; entries that are malformed are left out."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = documents(spark, path, lines)
     rows = text.select(F.explode(F.from_json("value", "searches array<string>")["searches"]).alias("row"))
     found = rows.select(F.get_json_object("row", "$.search").alias("search"), F.get_json_object("row", "$.n").try_cast("long").alias("ours"))
     return found.where("search is not null and ours is not null")
 
 
-def unpacked(spark: SparkSession, path: str) -> DataFrame:
+def unpacked(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """id and a map of column to text from a packed export: dictionary codes looked up, picture directories put back, addresses made whole."""
     shape = "v int, cols array<string>, dict map<string,array<string>>, imgPrefixes array<string>, urlPrefix string, rows array<array<string>>"
-    packed = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", shape).alias("x"))
-    rows = packed.select(F.explode("x.rows").alias("row"), "x.cols", "x.dict", "x.imgPrefixes", "x.urlPrefix").repartition(spark.sparkContext.defaultParallelism)
+    packed = documents(spark, path, lines).select(F.from_json("value", shape).alias("x"))
+    rows = packed.select(F.explode("x.rows").alias("row"), "x.cols", "x.dict", "x.imgPrefixes", "x.urlPrefix")
+    rows = rows if lines else rows.repartition(spark.sparkContext.defaultParallelism)  # lines lie in all tasks already
     pairs = F.filter(F.arrays_zip(F.col("cols").alias("k"), F.col("row").alias("v")), lambda e: e["v"].isNotNull())
 
     def value(entry: Column) -> Column:
@@ -186,10 +192,10 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def outlines(spark: SparkSession, path: str) -> DataFrame:
+def outlines(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """name, code, rings (each an array of [lon, lat]) of a GeoJSON collection: the exterior rings of polygons and multipolygons."""
     feature = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
-    features = spark.read.option("wholetext", "true").text(path).select(F.explode(F.from_json("value", feature)["features"]).alias("f"))
+    features = documents(spark, path, lines).select(F.explode(F.from_json("value", feature)["features"]).alias("f"))
     shape, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     single = F.transform(F.slice(F.from_json(text, "array<array<array<double>>>"), 1, 1), lambda r: r)
     several = F.transform(F.from_json(text, "array<array<array<array<double>>>>"), lambda polygon: polygon[0])
