@@ -19,8 +19,8 @@ def completeness(bridge: DataFrame, runs: DataFrame) -> DataFrame:
 
 def missing_listings(bridge: DataFrame, runs: DataFrame, force: bool = False) -> DataFrame:
     """listing_id, gone_at of what believed runs no longer found; the earliest run counts where several miss one."""
-    trusted = completeness(bridge, runs)
-    trusted = trusted if force else trusted.where("believed")
+    # Forced runs need no counts, so the bridge is read once.
+    trusted = runs if force else completeness(bridge, runs).where("believed")
     absent = bridge.join(trusted.select("search", "ts"), "search").where(F.col("last_seen") != F.col("ts"))
     return absent.groupBy("listing_id").agg(F.min("ts").alias("missed_at"))
 
