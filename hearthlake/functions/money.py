@@ -71,29 +71,35 @@ def money(text: Column, source: str) -> Column:
     return once(spaced(text), rule)
 
 
-def amounts(text: Column, source: str) -> Column:
-    """Every currency that the text states, as a map to the first amount of each."""
-    blob, read, own = spaced(text), DIALECTS[source], {}
+def amounts_by(blob: Column, source: str) -> dict[str, Column]:
+    """The first amount of each currency that a text without no-break spaces states, null for the others."""
+    read, own = DIALECTS[source], {}
     for pattern, currency in PATTERNS[source]:
         amount = read(captured(blob, pattern)).cast("long")
         own[currency] = F.coalesce(own[currency], amount) if currency in own else amount
+    return own
+
+
+def amounts(text: Column, source: str) -> Column:
+    """Every currency that the text states, as a map to the first amount of each."""
+    own = amounts_by(spaced(text), source)
     entries = F.array(*(F.struct(F.lit(c).alias("key"), a.alias("value")) for c, a in own.items()))
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
 def to_euro(amount: Column, currency: Column, source: str) -> Column:
     """Whole euros at the portal's documented rate, half to even; null for a currency without a rate."""
+    return once(F.struct(amount.alias("amount"), currency.alias("currency")), lambda paid: euros(paid["amount"], paid["currency"], source))
 
-    def rule(paid: Column) -> Column:
-        amount, currency = paid["amount"], paid["currency"]
-        value = F.when(currency == "EUR", amount.cast("long"))
-        for c, rate in TIMES.get(source, {}).items():
-            value = value.when(currency == c, rounded(amount * F.lit(rate)))
-        for c, rate in DIVIDED_BY.get(source, {}).items():
-            value = value.when(currency == c, rounded(amount / F.lit(rate)))
-        return value
 
-    return once(F.struct(amount.alias("amount"), currency.alias("currency")), rule)
+def euros(amount: Column, currency: Column, source: str) -> Column:
+    """As to_euro, for an amount and a currency that are columns already: both are named more than once."""
+    value = F.when(currency == "EUR", amount.cast("long"))
+    for c, rate in TIMES.get(source, {}).items():
+        value = value.when(currency == c, rounded(amount * F.lit(rate)))
+    for c, rate in DIVIDED_BY.get(source, {}).items():
+        value = value.when(currency == c, rounded(amount / F.lit(rate)))
+    return value
 
 
 def priced(paid: Column, source: str) -> Column:
@@ -126,35 +132,50 @@ def price_before_drop(text: Column, price: Column, currency: Column) -> Column:
     return F.when(dirham & (currency == "MAD"), price + drop).when((unit == "EUR") & (currency == "EUR"), price + drop).when(dirham & (currency == "EUR"), price + to_euro(drop, F.lit("MAD"), "mubawab"))
 
 
+FX_SOURCE = "documented fixed rate, not a live feed"
 
 
-FX_SOURCE = "documented fixed rate, not a live feed"
+#: The order in which stated currencies count.
+ORDER = ("EUR", "GBP", "USD", "JPY", "GEL", "MAD")
+
+
+def code(currency: Column) -> Column:
+    """A currency in upper case; Spark's own upper goes through ICU, which takes longer than reading a page's JSON-LD."""
+    return F.when(currency.isin(*ORDER), currency).otherwise(F.upper(currency))
 
 
-def provenance(stated: Column, source: str, order: tuple[str, ...] = ("EUR", "GBP", "USD", "JPY", "GEL", "MAD")) -> Column:
-    """Map of what the raw fields keep of a price: price_<currency> of every stated amount, price_source and, where converted, price_eur, fx_rate and fx_source.
+def first_stated(stated: dict[str, Column], order: tuple[str, ...] = ORDER) -> Column:
+    """The portal's euros if they are there, else the first currency of the order that is."""
+    return F.coalesce(*(F.when(stated[c].isNotNull(), c) for c in order if c in stated))
 
-    stated maps currencies to amounts. The portal's euros count first, else the first currency of the order
-    that is there. One portal's amounts are never converted; one calls its dollars its own price.
+
+def provenance_parts(stated: dict[str, Column], first: Column, source: str, order: tuple[str, ...] = ORDER) -> dict[str, Column]:
+    """What the raw fields keep of a price, null where it is not there: price_<currency> of every stated amount, price_source and, where converted, price_eur, fx_rate and fx_source.
+
+    stated has the amounts by currency, first the currency that counts. One portal's amounts are never
+    converted; one calls its dollars its own price.
     """
     rates = TIMES.get(source, {}) | {c: 1 / r for c, r in DIVIDED_BY.get(source, {}).items()}
+    converted = (first != "EUR") & F.lit(source != "holprop")
+    kept = {f"price_{c.lower()}": stated[c].cast("string") if c in stated else F.lit(None).cast("string") for c in order}
+    amount = F.coalesce(*(stated[c] for c in order if c in stated))
+    kept["price_eur"] = F.coalesce(kept["price_eur"], F.when(converted, euros(amount, first, source).cast("string")))
+    own = "portal_usd" if source == "akiyaportal" else None
+    kept["price_source"] = F.when(first == "USD", own).otherwise(None) if own else F.lit(None)
+    kept["price_source"] = F.coalesce(kept["price_source"], *(F.when(converted & (first == c), f"{c.lower()}_converted") for c in order), *(F.when(first == c, f"portal_{c.lower()}") for c in order))
+    rate = F.lit(None).cast("double")
+    for c, r in rates.items():
+        rate = F.when(converted & (first == c), r).otherwise(rate)
+    kept["fx_rate"] = rate.cast("string")
+    kept["fx_source"] = F.when(rate.isNotNull(), FX_SOURCE)
+    return {k: v.cast("string") for k, v in kept.items()}
+
+
+def provenance(stated: Column, source: str, order: tuple[str, ...] = ORDER) -> Column:
+    """Map of what the raw fields keep of a price, from a map of currencies to amounts."""
 
     def rule(stated: Column, first: Column) -> Column:
-        converted = (first != "EUR") & F.lit(source != "holprop")
-        kept = {f"price_{c.lower()}": stated[c].cast("string") for c in order}
-        kept["price_eur"] = F.coalesce(kept["price_eur"], F.when(converted, to_euro(stated[first], first, source).cast("string")))
-        own = "portal_usd" if source == "akiyaportal" else None
-        kept["price_source"] = F.when(first == "USD", own).otherwise(None) if own else F.lit(None)
-        kept["price_source"] = F.coalesce(kept["price_source"], F.when(converted, F.concat(F.lower(first), F.lit("_converted"))), F.concat(F.lit("portal_"), F.lower(first)))
-        rate = F.lit(None).cast("double")
-        for c, r in rates.items():
-            rate = F.when(converted & (first == c), r).otherwise(rate)
-        kept["fx_rate"] = rate.cast("string")
-        kept["fx_source"] = F.when(rate.isNotNull(), FX_SOURCE)
-        return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, kept)), F.array(*(v.cast("string") for v in kept.values()))), lambda k, v: v.isNotNull())
-
-    def of(stated: Column) -> Column:
-        first = F.try_element_at(F.filter(F.array(*map(F.lit, order)), lambda c: stated[c].isNotNull()), F.lit(1))
-        return once(first, lambda first: rule(stated, first))
-
-    return once(stated, of)
+        kept = provenance_parts({c: stated[c] for c in order}, first, source, order)
+        return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, kept)), F.array(*kept.values())), lambda k, v: v.isNotNull())
+
+    return once(stated, lambda stated: once(first_stated({c: stated[c] for c in order}, order), lambda first: rule(stated, first)))

@@ -6,9 +6,10 @@ for sightings. Every mapping is deterministic and reaches nulls, zeros, blanks a
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthlake.functions.text import SOURCE_NAMES
@@ -81,6 +82,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def filled_in(template: str, *names: str) -> Column:
+    """A template with the values of columns for {name}: its pieces and theirs put together, which reads it once and not once for each name."""
+    pieces = re.split("(" + "|".join(rf"\{{{name}\}}" for name in names) + ")", template)
+    return F.concat(*(F.col(piece[1:-1]).cast("string") if i % 2 else F.lit(piece) for i, piece in enumerate(pieces)))
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows dealt to all tasks, before each becomes a document: a small file is read by one task, which would make and read all documents."""
     spark = rows.sparkSession

@@ -106,15 +106,9 @@ DETAIL_FACTS = FACTS + ", CAST(400 + o_custkey % 3000 AS BIGINT) AS land"
 def detail_pages(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     """url, html: the orders as detail pages of a portal."""
     facts = D.spread(D.table(spark, sf_dir, "orders").selectExpr(*D.split_select(DETAIL_FACTS)))
-
-    def filled(template: str):
-        out = F.lit(template)
-        for name in ("id", "p", "m2", "land", "place"):
-            out = F.replace(out, F.lit("{" + name + "}"), F.col(name).cast("string"))
-        return out
-
     address, body, _ = PAGES[source]
-    return facts.select(filled(address).alias("url"), filled("<html><body>" + body + "</body></html>").alias("html"))
+    named = ("id", "p", "m2", "land", "place")
+    return facts.select(D.filled_in(address, *named).alias("url"), D.filled_in("<html><body>" + body + "</body></html>", *named).alias("html"))
 
 
 def register(source: str) -> None:

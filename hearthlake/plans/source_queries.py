@@ -48,9 +48,7 @@ FACTS = "o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS p, CAST(20 + o
 def result_pages(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     """url, html: the orders as result pages of a portal, twenty cards a page."""
     facts = D.table(spark, sf_dir, "orders").selectExpr(*D.split_select(FACTS))
-    card = F.lit(CARDS[source][0])
-    for name in ("id", "p", "m2", "place"):
-        card = F.replace(card, F.lit("{" + name + "}"), F.col(name).cast("string"))
+    card = D.filled_in(CARDS[source][0], "id", "p", "m2", "place")
     page = F.concat(F.lit(portals.PORTALS[source].base + "/list?part="), F.floor(F.col("id") / 20).cast("string"))
     frame = ('<html><body><div id="listings">', "</div></body></html>") if source == "akiyaportal" else ("<html><body>", "</body></html>")
     return facts.select(page.alias("url"), card.alias("card")).groupBy("url").agg(F.concat(F.lit(frame[0]), F.array_join(F.collect_list("card"), "\n"), F.lit(frame[1])).alias("html"))

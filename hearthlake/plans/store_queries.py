@@ -199,7 +199,8 @@ def dwelling_areas(spark, sf_dir):
 def price_provenance(spark, sf_dir):
     p = F.floor("o_totalprice")
     m = F.col("o_orderkey") % 4
-    stated = details.stated_in(EUR=F.when(m == 0, p), GBP=F.when(m.isin(0, 1), p), USD=F.when(m == 2, p))
+    pairs = F.create_map(*(x for c, v in details.stated_in(EUR=F.when(m == 0, p), GBP=F.when(m.isin(0, 1), p), USD=F.when(m == 2, p)).items() for x in (F.lit(c), v)))
+    stated = F.map_filter(pairs, lambda k, v: v.isNotNull())
     rows = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), money.provenance(stated, "bulgarianproperties").alias("kept"))
     return rows.select("id", *(F.try_element_at("kept", F.lit(k)).alias(k) for k in ("price_source", "fx_rate", "price_eur", "price_gbp")))
 

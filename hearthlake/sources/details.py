@@ -12,10 +12,14 @@ from hearthlake.functions import cleaning, money, numbers, text, urls
 from hearthlake.functions.geo import clean_coordinate, literal_map, not_at_zero
 from hearthlake.functions.numbers import AMOUNT, SQUARE_METRES, found, matched
 from hearthlake.sources.html import RECORD, extracted
-from hearthlake.sources.portals import LEFIGARO_TYPES, f, here, in_lines, kinds_of, unwrapped, whole
+from hearthlake.sources.portals import LEFIGARO_TYPES, here, in_lines, kinds_of, unwrapped, whole
 
 DETAILS: dict[str, Detail] = {}
-#: Read on every detail page beside what a portal names.
+#: Values that rules name more than once, in the order in which they are worked out; detail_rows makes each a column of its own.
+STEPS: list[tuple[str, Column]] = []
+#: The fields of the page that the rules have named so far.
+ASKED: set[str] = set()
+#: May be read on every detail page beside what a portal names.
 COMMON = {
     "ld": "**script[type=application/ld+json]",
     "h1": "h1",
@@ -42,6 +46,27 @@ class Detail:
         DETAILS[self.name] = self
 
 
+def kept(value: Column) -> Column:
+    """A value that is always needed and named more than once, as a column worked out once before the rules.
+
+    It then stays outside the lambdas of `once`, which Spark walks node by node for every row.
+    """
+    STEPS.append((f"_kept_{len(STEPS)}", value))
+    return F.col(STEPS[-1][0])
+
+
+def f(name: str) -> Column:
+    """A field of the page; only fields that a rule names are read."""
+    ASKED.add(name)
+    return F.col("f")[name]
+
+
+def node() -> Column:
+    """The page's JSON-LD block."""
+    ASKED.add("ld")
+    return F.col("node")
+
+
 def fact(*labels: str) -> Column:
     """The value beside the first of the labels that the page has."""
     return F.coalesce(*(F.col("facts")[label] for label in labels))
@@ -65,19 +90,19 @@ def ld_block(kinds: tuple[str, ...], any_kind: bool) -> Column:
     parsed = F.transform(F.split(F.coalesce(f("ld"), F.lit("")), RECORD), F.try_parse_json)
     opened = lambda b: F.coalesce(part(b, "$", "array<variant>"), part(b, "$['@graph']", "array<variant>"), F.array(b))
     blocks = F.filter(F.flatten(F.transform(parsed, opened)), lambda b: b.isNotNull())
-    wanted = F.filter(blocks, lambda b: F.lower(part(b, "$['@type']")).rlike(rf'(^|")({"|".join(kinds)})("|$)'))
+    wanted = F.filter(blocks, lambda b: part(b, "$['@type']").rlike(rf'(?i)(^|")({"|".join(kinds)})("|$)'))
     first = F.try_element_at(wanted, F.lit(1))
     return F.coalesce(first, F.try_element_at(blocks, F.lit(1))) if any_kind else first
 
 
 def ld(path: str) -> Column:
     """A value of the page's JSON-LD block."""
-    return part("node", path)
+    return part(node(), path)
 
 
 def ld_images() -> Column:
     """The pictures that the JSON-LD block names, one a line: addresses, or objects with one."""
-    listed = F.coalesce(part("node", "image", "array<variant>"), F.array(part("node", "image", "variant")))
+    listed = F.coalesce(part(node(), "image", "array<variant>"), F.array(part(node(), "image", "variant")))
     each = F.transform(listed, lambda x: F.coalesce(part(x, "url"), part(x, "$")))
     return F.array_join(F.filter(each, lambda x: F.startswith(x, F.lit("http"))), "\n")
 
@@ -106,10 +131,9 @@ def photo_list(lines: Column, base: str, wanted: str = r".") -> Column:
 
 def one_size(lines: Column, size: str, base: str) -> Column:
     """The first address of each picture, whatever the size that its address names."""
-    links = F.filter(F.split(F.coalesce(lines, F.lit("")), "\n"), lambda u: u != "")
-    key = lambda u: F.regexp_replace(u, size, "/big/")
-    keys = F.transform(links, key)
-    first = F.filter(links, lambda u, i: F.array_position(keys, key(u)) == i + 1)
+    links = kept(F.filter(F.split(F.coalesce(lines, F.lit("")), "\n"), lambda u: u != ""))
+    keys = kept(F.transform(links, lambda u: F.regexp_replace(u, size, "/big/")))  # inside the lambda they would be made again for each link
+    first = F.filter(links, lambda u, i: F.array_position(keys, F.get(keys, i)) == i + 1)
     return F.transform(first, lambda u: here(u, base))
 
 
@@ -124,27 +148,29 @@ RENTAL = {
 FARM_LAND, HOUSEHOLD_PLOT = r"(?i)\b(?:agricultural(?:\s+land)?|ag[\s-]?land)\b|სასოფლო", "საკარმიდამო"
 
 
-def flags(source: str, *texts: Column, **more: Column) -> Column:
-    """Map of the marks that a page's texts earn, each as `true`: maybe_rental by the portal's words, and others that are given."""
+def flags(source: str, *texts: Column, **more: Column) -> dict[str, Column]:
+    """The marks that a page's texts earn, each as `true` or null: maybe_rental by the portal's words, and others that are given."""
     marks = more | {"maybe_rental": matched(F.concat_ws(" ", *texts), RENTAL[source])}
-    pairs = F.create_map(*(x for name, mark in marks.items() for x in (F.lit(name), F.coalesce(mark, F.lit(False)))))
-    return F.transform_values(F.map_filter(pairs, lambda k, v: v), lambda k, v: F.lit("true"))
+    return {name: F.when(mark, "true") for name, mark in marks.items()}
 
 
 def chosen(amount: Column, currency: Column) -> Column:
     return F.when(amount.isNotNull() & currency.isNotNull(), F.struct(amount.alias("amount"), currency.alias("currency")))
 
 
-def stated_by(amount: Column, currency: Column) -> Column:
-    """A single amount as a map from its currency; empty where there is none."""
-    whole_map = F.create_map(F.coalesce(currency, F.lit("")), amount.cast("long"))
-    return F.map_filter(whole_map, lambda k, v: v.isNotNull() & (k != ""))
+def stated_by(amount: Column, currency: Column) -> dict[str, Column]:
+    """A single amount by its currency; null for the others."""
+    return {c: F.when(currency == c, amount.cast("long")) for c in money.ORDER}
 
 
-def stated_in(**by_currency: Column) -> Column:
-    """Amounts by currency as a map of those that are there."""
-    pairs = F.create_map(*(x for c, v in by_currency.items() for x in (F.lit(c), v.cast("long"))))
-    return F.map_filter(pairs, lambda k, v: v.isNotNull())
+def stated_in(**by_currency: Column) -> dict[str, Column]:
+    """Amounts by currency, null where they are not there."""
+    return {c: v.cast("long") for c, v in by_currency.items()}
+
+
+def stated_at(text: Column, source: str) -> dict[str, Column]:
+    """The first amount of each currency that a text states."""
+    return {c: kept(v) for c, v in money.amounts_by(kept(numbers.spaced(text)), source).items()}
 
 
 def energy(pattern: str = r"(?i)\b(?:classe[-\s]?[eé]nergie|DPE|energieklasse|energieprestatie|verbruik)\s*[:\s]*([A-G])\b") -> Column:
@@ -152,9 +178,9 @@ def energy(pattern: str = r"(?i)\b(?:classe[-\s]?[eé]nergie|DPE|energieklasse|e
 
 
 def mubawab() -> dict[str, Column]:
-    currency = F.when(F.upper(ld("offers.priceCurrency")).isin("MAD", "DH"), "MAD").when(F.upper(ld("offers.priceCurrency")) == "EUR", "EUR")
-    paid = F.coalesce(chosen(numbers.rounded(ld("offers.price")), currency), money.money(f("price"), "mubawab"))
-    stored = money.priced(paid, "mubawab")
+    code = kept(money.code(ld("offers.priceCurrency")))
+    currency = F.when(code.isin("MAD", "DH"), "MAD").when(code == "EUR", "EUR")
+    paid = kept(F.coalesce(chosen(numbers.rounded(ld("offers.price")), currency), money.money(f("price"), "mubawab")))
     before = money.price_before_drop(f("main"), paid["amount"], paid["currency"])
     place, description = offered("address.addressLocality"), F.coalesce(f("text"), ld("description"))
     land = F.coalesce(
@@ -169,7 +195,7 @@ def mubawab() -> dict[str, Column]:
         "type": F.coalesce(fact("type of property"), F.lit("House")),
         "place": F.coalesce(f("grey"), place),
         "region": F.coalesce(place, f("grey")),
-        "price": stored["price"],
+        "price": money.euros(paid["amount"], paid["currency"], "mubawab"),
         "currency": F.lit("EUR"),
         "old_price": money.to_euro(before, paid["currency"], "mubawab"),
         "living_m2": F.coalesce(numbers.rounded(offered("floorSize.value")), numbers.area(in_lines(f("features"), r"(?i)([0-9][0-9\s.,]*\s*m[²2])"))),
@@ -213,15 +239,15 @@ def fittings() -> Column:
 
 
 def homege() -> dict[str, Column]:
-    currency = F.upper(ld("offers.priceCurrency"))
+    currency = kept(money.code(ld("offers.priceCurrency")))
     currency = F.when(currency.isin("USD", "US$"), "USD").when(currency.isin("EUR", "EU"), "EUR").when(currency == "GEL", "GEL")
-    paid = F.coalesce(chosen(numbers.comma_thousands(ld("offers.price")), currency), money.money(f("price"), "homege"))
+    paid = kept(F.coalesce(chosen(numbers.comma_thousands(ld("offers.price")), currency), money.money(f("price"), "homege")))
     living, land, _ = cleaning.plot_as_land(
         numbers.area(fact("area"), numbers.comma_thousands, r"(?:m²|m2|m)\b"),
         numbers.area(fact("yard area"), numbers.comma_thousands, r"(?:m²|m2|m)\b"),
     )
     lat, lon = coordinates(r"(?i)latLng['\"]?\s*:\s*['\"]\s*(-?[0-9]+(?:\.[0-9]+)?)\s*,\s*(-?[0-9]+(?:\.[0-9]+)?)")
-    blob = F.concat_ws(" ", fact("title"), fact("description"), ld("description"), ld("name"), ld("brand.name"))
+    blob = kept(F.concat_ws(" ", fact("title"), fact("description"), ld("description"), ld("name"), ld("brand.name")))
     farm = matched(blob, FARM_LAND) | F.contains(F.lower(F.coalesce(fact("land_type_data"), F.lit(""))), F.lit("agricultural"))
     return {
         "_flags": flags("homege", blob, agricultural_land=farm, household_plot=~farm & F.contains(blob, F.lit(HOUSEHOLD_PLOT))),
@@ -230,7 +256,7 @@ def homege() -> dict[str, Column]:
         "type": F.coalesce(ld("brand.name"), fact("type of property"), F.lit("House For Sale")),
         "place": F.trim(fact("district / village")),
         "region": F.trim(fact("city/region")),
-        "price": money.priced(paid, "homege")["price"],
+        "price": money.euros(paid["amount"], paid["currency"], "homege"),
         "currency": F.lit("EUR"),
         "living_m2": living,
         "land_m2": land,
@@ -257,16 +283,16 @@ def bulgarianproperties() -> dict[str, Column]:
         f("prop_id"),
         found(f("body"), r"(?i)\bAD([0-9]+)BG\b"),
     )
-    stated = numbers.comma_thousands(ld("offers.price"), join_spaces=True)
-    currency = F.upper(F.coalesce(ld("offers.priceCurrency"), F.lit("EUR")))
+    stated = kept(numbers.comma_thousands(ld("offers.price"), join_spaces=True))
+    currency = kept(money.code(F.coalesce(ld("offers.priceCurrency"), F.lit("EUR"))))
     switch = lambda sign: numbers.comma_thousands(
         found(f("switches"), rf"(?i)ch_currency\(\s*['\"][^'\"]*?(?:{sign})\s*{AMOUNT}"),
         join_spaces=True,
     )
-    shown = money.money(f("price"), "bulgarianproperties")
+    shown = kept(money.money(f("price"), "bulgarianproperties"))
     of = lambda code, sign: F.coalesce(F.when(currency == code, stated), switch(sign), F.when(shown["currency"] == code, shown["amount"]))
-    eur, gbp, usd = of("EUR", "€|&euro;"), of("GBP", "£|&pound;"), of("USD", r"\$|USD")
-    price = F.coalesce(eur, money.to_euro(gbp, F.lit("GBP"), "bulgarianproperties"), money.to_euro(usd, F.lit("USD"), "bulgarianproperties"))
+    eur, gbp, usd = kept(of("EUR", "€|&euro;")), kept(of("GBP", "£|&pound;")), kept(of("USD", r"\$|USD"))
+    price = F.coalesce(eur, money.euros(gbp, F.lit("GBP"), "bulgarianproperties"), money.euros(usd, F.lit("USD"), "bulgarianproperties"))
     kind = F.trim(F.split_part(fact("type of property"), F.lit(","), F.lit(1)))
     size = lambda t: numbers.area_or_number(t, lambda x: numbers.comma_thousands(x, join_spaces=True))
     living, land, _ = cleaning.plot_as_land(size(fact("area")), size(fact("garden", "yard", "plot")), matched(kind, r"(?i)land|plot"))
@@ -319,7 +345,7 @@ def centrarium() -> dict[str, Column]:
     ))
     lat, lon = coordinates(r'"addr_lat"\s*:\s*(-?[0-9.]+)\s*,\s*"addr_lon"\s*:\s*(-?[0-9.]+)', r"mlat=(-?[0-9.]+)[^\n]*?mlon=(-?[0-9.]+)")
     price = F.coalesce(
-        F.when(F.upper(ld("offers.priceCurrency")) == "EUR", numbers.rounded(ld("offers.price"))),
+        F.when(money.code(ld("offers.priceCurrency")) == "EUR", numbers.rounded(ld("offers.price"))),
         money.money(f("price"), "centrarium")["amount"],
     )
     rooms = numbers.first_token(fact_like(r"^(?:number of )?rooms?$|\brooms\b"))
@@ -425,7 +451,7 @@ Detail("abruzzopropertyitaly", abruzzopropertyitaly, {
 
 def domaza() -> dict[str, Column]:
     bits = F.split(f("h1"), r"\s*,\s*")
-    stated = money.amounts(F.coalesce(fact("price"), f("price"), f("price2"), f("meta_price")), "domaza")
+    stated = stated_at(F.coalesce(fact("price"), f("price"), f("price2"), f("meta_price")), "domaza")
     described = F.coalesce(f("text"), body())
     deal = F.lower(F.concat_ws(" ", f("labels"), f("hidden_title")))
     return {
@@ -435,7 +461,7 @@ def domaza() -> dict[str, Column]:
         "place": F.try_element_at(bits, F.lit(2)),
         "region": F.try_element_at(bits, F.lit(3)),
         "country": F.try_element_at(bits, F.lit(4)),
-        "price": money.best_priced(stated, "domaza")["price"],
+        "price": F.coalesce(*(money.euros(v, F.lit(c), "domaza") for c, v in stated.items())),
         "currency": F.lit("EUR"),
         "living_m2": F.coalesce(
             numbers.area(fact_like("floor area|total area|living area|^area"), unit=r"(?:m2|m²|m\s*2|sq\.?\s*m|sqm)\b"),
@@ -467,10 +493,10 @@ Detail("domaza", domaza, {
 
 
 def holprop() -> dict[str, Column]:
-    blob = F.concat_ws(" ", f("facts_text"), f("address"), body())
+    blob = kept(F.concat_ws(" ", f("facts_text"), f("address"), body()))
     labels = r"(?=\s*(?:Type|Bedrooms?|Bathrooms?|Floor area|Land area|Size|Plot|Date Built|City|Region|Country|Area|Postcode|Address)\s*:|$)"
     of = lambda label: found(blob, rf"(?i)\b(?:{label})\s*:\s*(.*?){labels}")
-    stated = money.amounts(F.concat_ws(" ", f("price"), f("gray"), f("facts_text")), "holprop")
+    stated = stated_at(F.concat_ws(" ", f("price"), f("gray"), f("facts_text")), "holprop")
     marked = F.when(F.upper(F.coalesce(f("currency"), F.lit("EUR"))) == "EUR", numbers.digits(f("meta_price")))
     ident = urls.listing_id(F.col("url"), "holprop")
     return {
@@ -517,17 +543,17 @@ def dwelling_area(headline: Column) -> Column:
 
 
 def ok_bulgaria() -> dict[str, Column]:
-    facts = numbers.spaced(F.coalesce(f("facts_text"), body()))
+    facts = kept(numbers.spaced(F.coalesce(f("facts_text"), body())))
     kind = found(facts, r"(?i)Type:\s*(.*?)\s*(?=Land:|Village:|Province|Price|ID:|$)")
     headline = F.concat_ws(", ", f("h3"), f("title"))
     is_land = matched(kind, r"(?i)^(?:land|regulated|plot|agricultural)")
-    euro, pound = numbers.digits(found(facts, r"€\s*([0-9.,\s]+)")), numbers.digits(found(facts, r"£\s*([0-9.,\s]+)"))
+    euro, pound = kept(numbers.digits(found(facts, r"€\s*([0-9.,\s]+)"))), kept(numbers.digits(found(facts, r"£\s*([0-9.,\s]+)")))
     return {
         "_stated": stated_in(EUR=euro, GBP=pound),
         "external_id": found(F.col("url"), r"[?&]id=([^&#]+)"),
         "type": kind,
         "place": F.initcap(F.trim(found(facts, r"(?i)Village:\s*([^(\-]+)"))),
-        "price": F.coalesce(euro, money.to_euro(pound, F.lit("GBP"), "ok_bulgaria")),
+        "price": F.coalesce(euro, money.euros(pound, F.lit("GBP"), "ok_bulgaria")),
         "currency": F.lit("EUR"),
         "price_gbp": pound,
         "land_m2": numbers.area_or_number(found(facts, r"(?i)Land:\s*([0-9][0-9\s.,]*\s*(?:sq\.?\s*m\.?|sqm|m2|m²)?)")),
@@ -606,14 +632,14 @@ Detail("lefigaro", lefigaro, {
 
 def greenacres() -> dict[str, Column]:
     size = lambda t: F.coalesce(numbers.area(t, numbers.dot_thousands, r"(?:m²|m2)"), numbers.dot_thousands(t))
-    living = F.coalesce(size(f("living")), size(f("living2")))
+    living = kept(F.coalesce(size(f("living")), size(f("living2"))))
     sizes = F.transform(F.filter(F.split(F.coalesce(f("labels"), F.lit("")), "\n"), lambda t: t.rlike(r"[0-9]\s*m[²2]")), size)
     land = F.coalesce(
         size(f("land")),
         F.try_element_at(F.filter(sizes, lambda x: x != living), F.lit(1)),
         numbers.dot_thousands(found(numbers.spaced(f("text")), r"(?i)([0-9.\s]+)\s*m[²2]\s*terrein")),
     )
-    paid = F.coalesce(money.money(f("euro"), "greenacres"), money.money(f("price"), "greenacres"), money.money(body(), "greenacres"))
+    paid = kept(F.coalesce(money.money(f("euro"), "greenacres"), money.money(f("price"), "greenacres"), money.money(body(), "greenacres")))
     name, blob = F.coalesce(f("h1"), f("title")), F.concat_ws(" ", f("h1"), F.col("url"), f("text"))
     garage = matched(blob, r"(?i)\b(?:garage|box|parking|parkeerplaats)\b") & (F.coalesce(living, F.lit(0)) < 30)
     kind = F.when(F.contains(F.col("url"), F.lit("/appartement/")), "Appartement").when(F.contains(F.col("url"), F.lit("/huis/")), "Huis").when(
@@ -631,7 +657,7 @@ def greenacres() -> dict[str, Column]:
         "type": kind,
         "place": found(f("where"), r"^\s*([^()]+?)\s*\("),
         "region": found(f("where"), r"\(([^)]+)\)"),
-        "price": money.priced(paid, "greenacres")["price"],
+        "price": money.euros(paid["amount"], paid["currency"], "greenacres"),
         "currency": F.lit("EUR"),
         "living_m2": living,
         "land_m2": land,
@@ -669,9 +695,9 @@ def scale(rows: str, kind: str) -> tuple[Column, Column]:
 def franimo() -> dict[str, Column]:
     energy_label, energy_kwh = scale("energy", "energy_class")
     gas_label, gas_co2 = scale("gas", "gas_class")
-    kind, land = F.lower(fact("type")), numbers.leading_area(fact("terrein"))
-    living = cleaning.living_of_land(kind, numbers.leading_area(fact("woning")))
-    rooms, beds = numbers.digits(fact("kamers")), numbers.digits(fact("slaapkamers"))
+    kind, land = kept(F.lower(fact("type"))), kept(numbers.leading_area(fact("terrein")))
+    living = kept(cleaning.living_of_land(kind, kept(numbers.leading_area(fact("woning")))))
+    rooms, beds = kept(numbers.digits(fact("kamers"))), kept(numbers.digits(fact("slaapkamers")))
     return {
         "external_id": F.coalesce(numbers.digits(fact("franimo nr")).cast("string"), found(F.col("url"), r"([0-9]{4,})")),
         "type": fact("type"),
@@ -714,11 +740,11 @@ Detail("franimo", franimo, {
 
 
 def akiyaportal() -> dict[str, Column]:
-    currency = F.upper(F.coalesce(ld("priceCurrency"), F.lit("USD")))
-    paid = F.coalesce(
+    currency = kept(money.code(F.coalesce(ld("priceCurrency"), F.lit("USD"))))
+    paid = kept(F.coalesce(
         chosen(numbers.rounded(ld("price")), F.when(currency.isin("JPY", "YEN"), "JPY").when(currency == "USD", "USD")),
         money.money(F.concat_ws(" ", f("h1"), f("title")), "akiyaportal"),
-    )
+    ))
     bedrooms = F.coalesce(*(numbers.layout_bedrooms(t) for t in (fact_like("layout"), fact_like("building area|floor"), f("h1"))))
     ident = F.coalesce(f("id"), urls.listing_id(F.col("url"), "akiyaportal"))
     return {
@@ -728,7 +754,7 @@ def akiyaportal() -> dict[str, Column]:
         "type": F.coalesce(fact("property type", "type"), F.lit("Used single-family home")),
         "region": F.coalesce(fact("prefecture"), ld("address.addressRegion")),
         "place": F.split_part(ld("address.addressLocality"), F.lit(","), F.lit(1)),
-        "price": money.priced(paid, "akiyaportal")["price"],
+        "price": money.euros(paid["amount"], paid["currency"], "akiyaportal"),
         "currency": F.lit("EUR"),
         "living_m2": numbers.decimal_area(fact_like("building area|floor area|living")),
         "land_m2": numbers.decimal_area(fact_like("land")),
@@ -745,21 +771,36 @@ Detail("akiyaportal", akiyaportal, {
 }, [("div.flex.justify-between", "span.label, span.text-gray-600, span", "span.font-medium, span.font-semibold")], kinds=("realestatelisting",), any_kind=False)
 
 
-def raw_facts(rows: DataFrame, columns: dict[str, Column], source: str) -> Column:
-    """Every label and value of the page, where its price comes from, and its marks, as JSON."""
-    own = [money.provenance(columns["_stated"], source)] if "_stated" in columns else []
-    own += [columns["_flags"]] if "_flags" in columns else []
+# What raw fields keep of a price and of a page's marks; a label of the page of such a name gives way.
+OWN_NAMES = r"price_[a-z]+|fx_[a-z]+|maybe_rental|reserved|best_bargain|agricultural_land|household_plot"
+
+
+def raw_facts(columns: dict[str, Column], first: Column | None, source: str) -> Column:
+    """Every label and value of the page, where its price comes from, and its marks, as JSON.
+
+    The page's labels and the rest are written apart and put together, so that nothing but labels goes through a map.
+    """
+    own = money.provenance_parts(columns["_stated"], first, source) if "_stated" in columns else {}
+    own |= columns.get("_flags", {})
     if not own:
         return F.to_json("facts")
-    plain = F.map_filter("facts", lambda k, v: ~k.rlike("^(price_[a-z]+|fx_[a-z]+|maybe_rental|reserved|best_bargain|agricultural_land|household_plot)$"))
-    return F.to_json(F.map_concat(plain, *(F.coalesce(m, F.create_map().cast("map<string,string>")) for m in own)))
+    clash = F.array_join(F.map_keys("facts"), "\n").rlike(OWN_NAMES)
+    plain = F.to_json(F.when(clash, F.map_filter("facts", lambda k, v: ~k.rlike(f"^({OWN_NAMES})$"))).otherwise(F.col("facts")))
+    more = F.to_json(F.struct(*(v.alias(k) for k, v in own.items())), {"ignoreNullFields": "true"})
+    return F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), F.when((plain != "{}") & (more != "{}"), ",").otherwise(""), F.substring(more, 2, 1 << 30))
 
 
 def detail_rows(pages: DataFrame, source: str) -> DataFrame:
     """One row for each detail page (url, html): url, source, the portal's columns, raw_fields with every label and value as JSON."""
     detail = DETAILS[source]
     pages = unwrapped(pages) if source == "greenacres" else pages
-    rows = extracted(pages, None, COMMON | detail.fields, pairs=detail.pairs).withColumn("node", ld_block(detail.kinds, detail.any_kind))
+    STEPS.clear(), ASKED.clear()
     columns = detail.columns()
+    first = kept(money.first_stated(columns["_stated"])) if "_stated" in columns else None
+    rows = extracted(pages, None, {k: v for k, v in (COMMON | detail.fields).items() if k in ASKED}, pairs=detail.pairs)
+    if "ld" in ASKED:
+        rows = rows.withColumn("node", ld_block(detail.kinds, detail.any_kind))
+    for name, value in STEPS:
+        rows = rows.withColumn(name, value)
     named = [c.alias(n) for n, c in columns.items() if n not in ("_stated", "_flags")]
-    return rows.select("url", F.lit(source).alias("source"), *named, raw_facts(rows, columns, source).alias("raw_fields"))
+    return rows.select("url", F.lit(source).alias("source"), *named, raw_facts(columns, first, source).alias("raw_fields"))
