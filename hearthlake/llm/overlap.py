@@ -309,8 +309,9 @@ def links_of_classes(classes: DataFrame, rows: DataFrame, scratch: Scratch, widt
 def links_of_long_lists(members: DataFrame, ends: DataFrame, links: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, count: int) -> DataFrame:
     """Links a, b between members of one long list (h, key, c) that join what the links so far leave apart.
 
-    First every member meets the centre of each of its lists, the one with most shingles that others have, too;
-    then some members drawn from those still apart from it. Who is apart after that meets all members, but
+    First every member meets one centre only, the best of those of its lists; the centre of a list is its member with
+    most shingles that others have, too. Then those still apart from the centre of a list meet it and some members
+    drawn from them. Who is apart after that meets all members, but
     only in so many of its lists as a link must show up in: with A of its prefix's shingles in other prefixes and
     need of them shared with a partner of some size, in one of any A - need + 1.
     """
@@ -332,14 +333,18 @@ def links_of_long_lists(members: DataFrame, ends: DataFrame, links: DataFrame, s
         return scratch.keep(linked(near, sets, percent, SALTS), f"long-links-{turn}", count)
 
     centres = placed.groupBy("h").agg(F.min_by(F.struct("key", "n", "a"), F.struct(-F.col("a") / prefix, "key")).alias("one"))
-    centres = scratch.keep(centres.select("h", F.col("one.key").alias("b"), F.col("one.n").alias("m"), F.col("one.a").alias("b_a")), "centres", count)
+    one = F.col("one")
+    rank = F.struct(-one["a"] / (one["n"] - rest_of(one["n"], percent)), one["key"])
+    centres = scratch.keep(centres.select("h", one["key"].alias("b"), one["n"].alias("m"), one["a"].alias("b_a"), rank.alias("rank")), "centres", count)
     # Prefixes that hold too little of what others have link with nothing of the other's size.
     able = may_link(F.col("n"), F.col("m"), percent) & (needed(F.col("n"), F.col("m"), percent) <= F.least("a", "b_a"))
-    found = compared(placed.join(centres, "h").where((F.col("key") != F.col("b")) & able).select(F.col("key").alias("a"), "b"), "0")
+    found = compared(best_centres(placed.join(centres, "h").where((F.col("key") != F.col("b")) & able)), "0")
     for turn, many in enumerate(DRAWN, 1):
         rooted, apart = apart_from_centres(placed, centres, links.union(found), scratch, f"{turn}", count)
+        middles = apart.select("h", F.col("middle").alias("far")).distinct().join(centres, "h").select("h", "b", "far", "m", "b_a") if turn == 1 else None
         draw = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / float(1 << 40) * F.col("c") < many
         pivots = apart.where(draw).select("h", F.col("key").alias("b"), F.col("root").alias("far"), F.col("n").alias("m"), F.col("a").alias("b_a"))
+        pivots = pivots if middles is None else pivots.union(middles)
         pairs = apart.join(pivots, "h").where((F.col("root") != F.col("far")) & able).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
         found = found.union(compared(pairs, f"{turn}"))
     rooted, apart = apart_from_centres(placed, centres, links.union(found), scratch, "all", count)
@@ -355,6 +360,11 @@ def links_of_long_lists(members: DataFrame, ends: DataFrame, links: DataFrame, s
     return found.union(compared(pairs.select(F.least("a_key", "key").alias("a"), F.greatest("a_key", "key").alias("b")), "all"))
 
 
+def best_centres(met: DataFrame) -> DataFrame:
+    """a, b: of each key the best of the centres b that it could meet (key, b, rank). Near copies share many lists; a centre for each made as many pairs of every copy."""
+    return met.groupBy(F.col("key").alias("a")).agg(F.min_by("b", "rank").alias("b"))
+
+
 def needed(n: Column, m: Column, percent: int) -> Column:
     """How many shingles of their prefixes linked sets of these sizes share at least."""
     return occurrences(n, m, percent) - F.greatest(rest_of(n, percent), rest_of(m, percent))
@@ -369,7 +379,7 @@ def apart_from_centres(placed: DataFrame, centres: DataFrame, links: DataFrame,
     roots = components(links, Scratch(placed.sparkSession, f"overlap-roots-{turn}")).withColumnRenamed("node", "key")
     rooted = scratch.keep(placed.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), f"rooted-{turn}", count)
     middle = centres.select("h", "b").join(roots.withColumnRenamed("key", "b"), "b", "left").select("h", F.coalesce("root", "b").alias("middle"))
-    return rooted, scratch.keep(rooted.join(middle, "h").where("root <> middle").drop("middle"), f"apart-{turn}", count)
+    return rooted, scratch.keep(rooted.join(middle, "h").where("root <> middle"), f"apart-{turn}", count)
 
 
 def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

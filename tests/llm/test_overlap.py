@@ -107,3 +107,25 @@ def test_large_group_of_near_copies_meets_centres(spark, monkeypatch):
     # Half of them are too far from each other and stay alone; all pairs would be 125,000.
     assert rows(found) == brute(docs) and sum(seen) < 20 * len(docs)
     assert found.agg(F.countDistinct("component_id")).first()[0] > 100
+
+
+def test_near_copies_meet_one_centre_first(spark, monkeypatch):
+    """Copies that share many long lists met the centre of each: pairs by copies and lists."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(80):
+        words = base.copy()
+        words[rng.randrange(len(words))] = f"x{i}"
+        docs.append((i, " ".join(words)))
+    met, real = [], overlap.linked
+
+    def spy(pairs, sets, percent, salts=1):
+        if salts > 1:
+            met.append(pairs.groupBy("a").count().agg(F.max("count")).first()[0])
+        return real(pairs, sets, percent, salts)
+
+    monkeypatch.setattr(overlap, "SHORT", 2)
+    monkeypatch.setattr(overlap, "linked", spy)
+    assert rows(jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    assert met[0] == 1
