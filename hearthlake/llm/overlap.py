@@ -310,13 +310,14 @@ def links_of_long_lists(members: DataFrame, ends: DataFrame, links: DataFrame, s
     """Links a, b between members of one long list (h, key, c) that join what the links so far leave apart.
 
     First every member meets one centre only, the best of those of its lists; the centre of a list is its member with
-    most shingles that others have, too. Then those still apart from the centre of a list meet it and some members
+    most of its prefix in long lists. Then those still apart from the centre of a list meet it and some members
     drawn from them. Who is apart after that meets all members, but
-    only in so many of its lists as a link must show up in: with A of its prefix's shingles in other prefixes and
-    need of them shared with a partner of some size, in one of any A - need + 1.
+    only in so many of its lists as a link must show up in: with A long lists and need of them shared with a partner
+    of some size, in one of any A - need + 1. Pairs that share a short list, too, were looked up with the short lists if
+    they can link, so here all that a link needs must be shared in long ones.
     """
     spark = members.sparkSession
-    about = F.struct("key", "n", "s", "late", (F.col("s") + F.col("l")).alias("a"))
+    about = F.struct("key", "n", "late", F.col("l").alias("a"))
     known = ends.where("l > 0").select("key", about.alias("own"))
     placed = scratch.keep(members.join(known, "key").select("h", "c", "key", "own.n", "own.a"), "placed", count)
     prefix = F.col("n") - rest_of(F.col("n"), percent)
@@ -327,7 +328,7 @@ def links_of_long_lists(members: DataFrame, ends: DataFrame, links: DataFrame, s
         far = known.select(F.col("key").alias("b"), F.col("own").alias("other")).join(pairs.select("b").distinct(), "b", "left_semi")
         far = far.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         both = pairs.join(far, ["b", "salt"]).join(known.select(F.col("key").alias("a"), "own"), "a")
-        need = needed(F.col("own.n"), F.col("other.n"), percent) - F.least("own.s", "other.s")
+        need = needed(F.col("own.n"), F.col("other.n"), percent)
         shared = F.size(F.array_intersect("own.late", "other.late"))
         near = scratch.keep(both.where(may_link(F.col("own.n"), F.col("other.n"), percent) & (shared >= need)).select("a", "b"), f"long-near-{turn}", count)
         return scratch.keep(linked(near, sets, percent, SALTS), f"long-links-{turn}", count)
@@ -336,7 +337,7 @@ def links_of_long_lists(members: DataFrame, ends: DataFrame, links: DataFrame, s
     one = F.col("one")
     rank = F.struct(-one["a"] / (one["n"] - rest_of(one["n"], percent)), one["key"])
     centres = scratch.keep(centres.select("h", one["key"].alias("b"), one["n"].alias("m"), one["a"].alias("b_a"), rank.alias("rank")), "centres", count)
-    # Prefixes that hold too little of what others have link with nothing of the other's size.
+    # Prefixes that stand in too few long lists share no link's worth of them with anything of the other's size.
     able = may_link(F.col("n"), F.col("m"), percent) & (needed(F.col("n"), F.col("m"), percent) <= F.least("a", "b_a"))
     found = compared(best_centres(placed.join(centres, "h").where((F.col("key") != F.col("b")) & able)), "0")
     for turn, many in enumerate(DRAWN, 1):

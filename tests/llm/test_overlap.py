@@ -129,3 +129,26 @@ def test_near_copies_meet_one_centre_first(spark, monkeypatch):
     monkeypatch.setattr(overlap, "linked", spy)
     assert rows(jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
     assert met[0] == 1
+
+
+def test_pairs_of_long_lists_share_all_that_a_link_needs_there(spark, monkeypatch):
+    """Pairs that share a short list were looked up with those; counting short shingles again let pairs through that share too few long lists."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(100)]
+    docs = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            words[rng.randrange(100)] = f"x{rng.randrange(40)}"
+        docs.append((i, " ".join(words)))
+    met, real = [], overlap.linked
+
+    def spy(pairs, sets, percent, salts=1):
+        if salts > 1:
+            met.append(pairs.count())
+        return real(pairs, sets, percent, salts)
+
+    monkeypatch.setattr(overlap, "SHORT", 8)
+    monkeypatch.setattr(overlap, "linked", spy)
+    assert rows(jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    assert sum(met) < 420
