@@ -86,3 +86,17 @@ def test_cards_carry_no_copy_of_their_page(spark):
     pages = spark.createDataFrame([("u", '<body><div id="listings"><div><a href="/listings/a-b">x</a></div></div></body>')], "url string, html string")
     assert cards(pages, "akiyaportal").select("p").first()["p"] == {}
     assert cards(pages, "akiyaportal", PORTALS["akiyaportal"].page).select("p").first()["p"]["body"] == "x"
+
+
+def test_tags_that_differ_in_values_nobody_tests_are_matched_once():
+    """Addresses differ on every page; each was matched against all selectors again."""
+    bits = Compiled()
+    fields = bits.fields({"pictures": Field("*img[src]@src"), "map": Field("iframe[src*=maps]@src"), "chosen": Field("*a[href*=x]@href"), "named": Field("#n7")})
+    met, real = [], bits.met
+    bits.met = lambda tag: met.append(tag) or real(tag)
+    for i in range(50):
+        html = f'<div id="n{i}">t{i}</div><img src="/{i}.jpg"><iframe2 src="maps{i}"></iframe2><a href="/{"x" if i % 2 else "y"}{i}">l</a>'
+        page = flat(html, bits)
+        wanted = {k: v for k, f in (("pictures", "*img[src]@src"), ("map", "iframe[src*=maps]@src"), ("chosen", "*a[href*=x]@href"), ("named", "#n7")) if (v := Field(f).read(parse(html))) is not None}
+        assert dict(page.found(fields, 0)) == wanted
+    assert sum(tag.tag == "img" for tag in met) == 1 and sum(tag.tag == "a" for tag in met) == 51
