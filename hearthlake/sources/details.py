@@ -85,14 +85,16 @@ def part(value: Column | str, path: str, kind: str = "string") -> Column:
 def ld_block(kinds: tuple[str, ...], any_kind: bool) -> Column:
     """The page's first JSON-LD block of one of these kinds, else its first block at all, parsed; lists and graphs are opened.
 
-    Each block is parsed once, here; fields are parts of the parsed value.
+    Blocks are parsed here; fields are parts of the parsed value. A text that nowhere has a kind's word, nor an escape
+    that might spell one, is of no such kind and is parsed only if none is.
     """
-    parsed = F.transform(F.split(F.coalesce(f("ld"), F.lit("")), RECORD), F.try_parse_json)
+    texts, words = F.split(F.coalesce(f("ld"), F.lit("")), RECORD), "|".join(kinds)
     opened = lambda b: F.coalesce(part(b, "$", "array<variant>"), part(b, "$['@graph']", "array<variant>"), F.array(b))
-    blocks = F.filter(F.flatten(F.transform(parsed, opened)), lambda b: b.isNotNull())
-    wanted = F.filter(blocks, lambda b: part(b, "$['@type']").rlike(rf'(?i)(^|")({"|".join(kinds)})("|$)'))
+    blocks = lambda of: F.filter(F.flatten(F.transform(F.transform(of, F.try_parse_json), opened)), lambda b: b.isNotNull())
+    likely = F.filter(texts, lambda t: t.rlike(rf"(?i)\\u|{words}"))
+    wanted = F.filter(blocks(likely), lambda b: part(b, "$['@type']").rlike(rf'(?i)(^|")({words})("|$)'))
     first = F.try_element_at(wanted, F.lit(1))
-    return F.coalesce(first, F.try_element_at(blocks, F.lit(1))) if any_kind else first
+    return F.coalesce(first, F.try_element_at(blocks(texts), F.lit(1))) if any_kind else first
 
 
 def ld(path: str) -> Column:

@@ -39,3 +39,19 @@ def test_text_maps():
     assert text_maps(rows).to_pylist() == rows
     assert text_maps([[], []]).to_pylist() == [[], []]
     assert text_maps([]).to_pylist() == []
+
+
+def test_only_blocks_of_a_wanted_kind_are_parsed(spark):
+    """A page's other structured data was parsed and opened, too; kinds spelled with escapes, lists, graphs and fallbacks are found as before."""
+    script = '<script type="application/ld+json">{}</script>'.format
+    other, listing = script('{"@type":"Organization","sku":"o"}'), script('{"@type":"Product","sku":"p"}')
+    pages = {
+        "a": other + listing, "b": other, "c": other + script('[{"@type":"X"},{"@type":["Thing","OFFER"],"sku":"l"}]'), "d": other + script('{"@graph":[{"@type":"product","sku":"g"}]}'),
+        "e": other + script('{"@type":"Pr\\u006fduct","sku":"e"}'), "f": script('{"@type":"Organization","name":"Product","sku":"n"}') + listing, "g": script("{broken Product") + other, "h": "",
+    }
+    wanted = {"a": "p", "b": "o", "c": "l", "d": "g", "e": "e", "f": "p", "g": "o", "h": None}
+    rows = spark.createDataFrame([(k, v) for k, v in pages.items()], "url string, html string")
+    found = {r.url: r.external_id for r in details.detail_rows(rows, "homege").collect()}
+    assert found == wanted
+    plan = details.detail_rows(rows, "bulgarianproperties")._jdf.queryExecution().optimizedPlan().toString()
+    assert r"(?i)\\u|product" in plan or r"(?i)\u|product" in plan
