@@ -41,3 +41,14 @@ def test_texts_lie_by_ranges_of_identifiers(spark, tmp_path):
     index.add(spark.range(3000).repartition(4).select("id", F.concat(F.lit("word"), "id").alias("text")), "id", F.col("text"))
     spans = index.texts().groupBy(F.input_file_name()).agg(F.min("id").alias("low"), F.max("id").alias("high")).orderBy("low").collect()
     assert all(a["high"] < b["low"] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_identifiers_are_not_broadcast(spark, tmp_path):
+    """A list of identifiers made from bitmaps looks as small as they are; what goes through the driver is the bitmaps, if anything."""
+    index = TextIndex(spark, f"{tmp_path}/index")
+    index.add(spark.range(-40_000, 40_000).select("id", F.lit("common word").alias("text")), "id", F.col("text"))
+    found = index.search("common")
+    assert found.agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id")).first() == (80_000, 80_000, -40_000, 39_999)
+    found.write.format("noop").mode("overwrite").save()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan, plan
