@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,9 +16,25 @@ from hearthlake.sources.files import page_files
 
 #: Bytes of small files that one packed file takes.
 TARGET = 128 << 20
+#: Files that are packed at once; the driver holds the list of these, or of one folder's if that has more.
+ROUND = 20_000
+#: Names of folders whose files are packed and about to be removed.
+REMOVING = ".packed-"
+
+
+@contextmanager
+def many_a_task(spark: SparkSession) -> Iterator[None]:
+    """Small files read hundreds a task: Spark counts 4 MB for opening one, so that a task would read 32 of them."""
+    name = "spark.sql.files.openCostInBytes"
+    given = spark.conf.get(name)
+    spark.conf.set(name, "256k")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, given)
 
 
-def file_sizes(spark: SparkSession, folder: str) -> DataFrame:
+def file_sizes(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """path, length of the files under a folder; their contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
 
@@ -46,31 +66,106 @@ class PageArchive:
             whole = whole.unionByName(batch)
         return whole
 
-    def pack(self, folder: str, target: int = TARGET) -> DataFrame | None:
-        """Packs the files now under folder, commits them, then removes them; a row of the report, None where there are none.
+    def pack(self, folder: str, target: int = TARGET, most: int = ROUND) -> DataFrame | None:
+        """Packs the files now under folder, commits them, then removes them, some folders at a time; a row of the report, None where there are none.
 
-        files, bytes: what was there; packed: files written. What fails before the commit leaves the folder
-        as it is; what fails after it leaves files that the next call packs again, so pages are read by
+        files, bytes: what was there; packed: files written. What fails before a commit leaves the folders that it
+        is of as they are; what fails after it leaves files that the next call packs again, so pages are read by
         their last fetch (pages_by_key).
         """
-        sizes = written(file_sizes(self.spark, folder), "to-pack")
-        if sizes.isEmpty():
+        root = self.at(folder.rstrip("/"))
+        self.bring_back(root)
+        found = [part for folders in self.rounds(root, most) if (part := self.pack_round(folders, root, target)) is not None]
+        if not found:
             return None
-        bins = written(binned(sizes, target), "bins")
-        total = bins.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count_distinct("bin").alias("packed")).first()
-        rows = page_files(self.spark, folder, with_path=True).join(bins.select("path", "bin"), "path")
-        # One task a bin, whatever its bytes: a bin is as large as a packed file may be.
-        packed = rows.repartition(max(1, total["packed"]), "bin").sortWithinPartitions("bin", "key").select("key", "fetched_at", "html")
-        self.log.commit({f"batch-{len(self.log.numbers())}": packed}, "pack")
-        self.remove(bins)
-        return self.spark.createDataFrame([(total["files"], total["bytes"], total["packed"])], "files long, bytes long, packed long")
-
-    def remove(self, bins: DataFrame) -> None:
-        """Removes packed files by name; the driver holds a part of the names at a time."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        return self.spark.createDataFrame([tuple(map(sum, zip(*found, strict=True)))], "files long, bytes long, packed long")
+
+    def at(self, path: str):
+        return self.log.jvm.org.apache.hadoop.fs.Path(path)
+
+    def folders(self, root) -> list:
+        return [s.getPath() for s in root.getFileSystem(self.log.conf).listStatus(root) if s.isDirectory()]
+
+    def rounds(self, root, most: int) -> Iterator[list]:
+        """Folders with most files together or fewer, the largest alone, their contents with them; what lies in root itself comes last, when the others are gone."""
+        files = root.getFileSystem(self.log.conf)
+        held = files.getContentSummary(root)
+        if held.getFileCount() > most and held.getDirectoryCount() > 1:
+            waiting, n = [], 0
+            for inner in self.folders(root):
+                size = files.getContentSummary(inner).getFileCount()
+                if waiting and n + size > most:
+                    yield waiting
+                    waiting, n = [], 0
+                if size > most:
+                    yield from self.rounds(inner, most)
+                elif size:
+                    waiting.append(inner)
+                    n += size
+            if waiting:
+                yield waiting
+        yield [root]
+
+    def pack_round(self, folders: list, root, target: int) -> tuple[int, int, int] | None:
+        paths = [str(f) for f in folders]
+        with many_a_task(self.spark):
+            sizes = written(file_sizes(self.spark, paths), "to-pack")
+            if sizes.isEmpty():
+                return None
+            bins = written(binned(sizes, target), "bins")
+            total = bins.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count_distinct("bin").alias("packed")).first()
+            rows = page_files(self.spark, paths, with_path=True).join(bins.select("path", "bin"), "path")
+            # One task a bin, whatever its bytes: a bin is as large as a packed file may be.
+            packed = rows.repartition(max(1, total["packed"]), "bin").sortWithinPartitions("bin", "key").select("key", "fetched_at", "html")
+            self.log.commit({f"batch-{len(self.log.numbers())}": packed}, "pack")
+        self.remove(bins, [f for f in folders if not f.equals(root)], root)
+        return total["files"], total["bytes"], total["packed"]
+
+    def remove(self, bins: DataFrame, folders: list, root) -> None:
+        """Removes packed files: a folder at a time where it holds nothing else, the others by name, of which the driver holds a part at a time."""
+        own, held = {self.plain(f): f for f in folders}, {}
+        if own:
+            for r in bins.groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes")).collect():
+                name = r["folder"]
+                while name and name not in own:
+                    name = name.rpartition("/")[0]
+                n, length = held.get(name, (0, 0))
+                held[name] = (n + r["n"], length + r["bytes"])
+            left = [name for name, f in own.items() if not self.removed_whole(f, root, *held.get(name, (0, 0)))]
+            if not left:
+                return
+            bins = bins.where(F.exists(F.array(*map(F.lit, left)), lambda name: F.startswith("path", F.concat(name, F.lit("/")))))
+        path, files = self.log.jvm.org.apache.hadoop.fs.Path, None
         for row in bins.select("path").toLocalIterator():
-            path = jvm.org.apache.hadoop.fs.Path(row["path"])
-            path.getFileSystem(conf).delete(path, False)
+            name = path(row["path"])
+            files = files or name.getFileSystem(self.log.conf)
+            files.delete(name, False)
+
+    def plain(self, folder) -> str:
+        """The folder as the paths of its files begin."""
+        return str(folder.getFileSystem(self.log.conf).makeQualified(folder))
+
+    def removed_whole(self, folder, root, n: int, length: int) -> bool:
+        """Whether the folder could be removed. It is taken aside first, so that no file can come into it, and comes back if it holds more than was packed."""
+        files, aside = folder.getFileSystem(self.log.conf), self.at(f"{root}/{REMOVING}{uuid.uuid4().hex}-{folder.getName()}")
+        if not files.rename(folder, aside):
+            return False
+        held = files.getContentSummary(aside)
+        if (held.getFileCount(), held.getLength()) == (n, length):
+            return files.delete(aside, True)
+        self.back(files, aside, folder)
+        return False
+
+    def back(self, files, aside, folder) -> None:
+        """A folder taken aside under its name again, or a name of its own if another one has come into its place."""
+        if files.exists(folder) or not files.rename(aside, folder):
+            files.rename(aside, self.at(f"{folder}-{uuid.uuid4().hex}"))
+
+    def bring_back(self, root) -> None:
+        """What a call that broke off had taken aside, so that this one packs it again."""
+        files = root.getFileSystem(self.log.conf)
+        for aside in [s.getPath() for s in files.globStatus(self.at(f"{root}/{REMOVING}*")) or []]:
+            self.back(files, aside, self.at(f"{root}/{aside.getName().removeprefix(REMOVING).partition('-')[2]}"))
 
     def pages_by_key(self) -> DataFrame:
         """The page of every key that was fetched last."""

@@ -352,7 +352,10 @@ def pack_files(spark, sf_dir):
     """Every raw page as a file of its own, packed by size: what was there, what is readable after it, and what is left of the files."""
     root = f"{shared_dir(spark)}/pack-{uuid.uuid4().hex}"
     pages = D.table(spark, sf_dir, "pages").where("html IS NOT NULL")
-    pages.select("html").write.option("maxRecordsPerFile", 1).text(f"{root}/in")
+    # Some thousand files a folder. A folder is written by one task, so that it is committed as one and not file by file.
+    folders = -(-pages.count() // 1000) or 1
+    shelf = F.pmod(F.xxhash64("page_id"), F.lit(folders)).alias("shelf")
+    pages.select("html", shelf).repartition("shelf").write.option("maxRecordsPerFile", 1).partitionBy("shelf").text(f"{root}/in")
     archive = compaction.PageArchive(spark, f"{root}/archive")
     report = archive.pack(f"{root}/in", target=1 << 20)
     read = archive.pages().agg(F.count("html").alias("pages"), F.count_distinct("html").alias("different"))

@@ -31,7 +31,7 @@ def decoded(content: bytes | None, declared: str = "utf-8") -> str | None:
             return text
 
 
-def page_files(spark: SparkSession, path: str, declared: str = "utf-8", with_path: bool = False) -> DataFrame:
+def page_files(spark: SparkSession, path: str | list[str], declared: str = "utf-8", with_path: bool = False) -> DataFrame:
     """key, fetched_at, html of cached page files, gzipped or plain; the key is the file's name, the hash of its address. With with_path its path, too.
 
     A file that cannot be unpacked has null html, so a freshness filter fetches it anew.

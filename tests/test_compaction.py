@@ -61,3 +61,35 @@ def test_a_failed_commit_leaves_the_files(spark, folder, tmp_path, monkeypatch):
     monkeypatch.undo()
     archive.pack(folder, 1000)
     assert file_sizes(spark, folder).count() == 0 and archive.pages_by_key().count() == 40
+
+
+def test_packs_some_folders_at_a_time(spark, tmp_path):
+    """The driver lists a round's files, not all; a folder goes whole, unless something else has come into it."""
+    for i in range(60):
+        at = tmp_path / "in" / f"d{i % 5}" / ("deep" if i % 2 else "")
+        os.makedirs(at, exist_ok=True)
+        (at / f"k{i:02d}.html").write_text(f"<p>page {i}</p>")
+    (tmp_path / "in" / "own.html").write_text("<p>own</p>")
+    # What a call that broke off had taken aside is found again.
+    os.rename(tmp_path / "in" / "d4", tmp_path / "in" / ".packed-0-d4")
+    archive, rounds, gone = PageArchive(spark, f"{tmp_path}/archive"), [], []
+    pack_round = archive.pack_round
+
+    def counted(folders, *rest):
+        found = pack_round(folders, *rest)
+        rounds.append(found and found[0])
+        return found
+
+    whole = archive.removed_whole
+
+    def late(folder, *rest):
+        if folder.getName() == "d1":
+            (tmp_path / "in" / "d1" / "late.html").write_text("<p>late</p>")
+        gone.append((folder.getName(), whole(folder, *rest)))
+        return gone[-1][1]
+
+    archive.pack_round, archive.removed_whole = counted, late
+    report = archive.pack(f"{tmp_path}/in", most=30).first()
+    assert [k for k, _ in keys(archive)] == [*(f"k{i:02d}" for i in range(60)), "late", "own"]
+    assert (report["files"], len(rounds)) == (62, 4) and max(filter(None, rounds)) <= 30 and len(archive.log.numbers()) == 4
+    assert file_sizes(spark, f"{tmp_path}/in").count() == 0 and sorted(gone) == [(f"d{i}", i != 1) for i in range(5)]
